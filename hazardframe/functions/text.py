@@ -110,7 +110,7 @@ def round_ratio(num, den, digits: int = 4) -> Column:
     s = (F.lit(52) - F.floor(F.log2(big_n.cast("double") / F.lit(float(five))))).cast("int")
     one = F.lit(1).cast("long")
     half_s = (s / 2).cast("int")
-    pow2 = F.pmod(F.pmod(F.shiftleft(one, half_s), F.lit(five)) * F.pmod(F.shiftleft(one, s - half_s), F.lit(five)),
+    pow2 = F.pmod(F.pmod(F.call_function("shiftleft", one, half_s), F.lit(five)) * F.pmod(F.call_function("shiftleft", one, s - half_s), F.lit(five)),
                   F.lit(five))  # 2^s mod 5^d without overflowing 64 bits
     rho = F.pmod(F.pmod(big_n, F.lit(five)) * pow2, F.lit(five))
     tie_up = F.when(F.pmod(big_n, F.lit(five)) == 0, F.pmod(q, F.lit(2)) == 1).otherwise(rho * 2 > five)

@@ -121,3 +121,76 @@ def q_annotate_names(spark, d):
     top = _top1(spark, d)
     out = S.annotate(top, T.structures(spark, d), T.annotations(spark, d), key="CID")
     return out.select("qid", "name", "CID", "Synonyms", "score", "SMILES", "Categories", "Route", "avg_price")
+
+
+# ============================== recognised-text scoring ======================================
+
+from hazardframe.functions import text as TX  # noqa: E402
+from hazardframe.operators import ocr as O  # noqa: E402
+from hazardframe.plans import oracle_text as OT  # noqa: E402
+
+_ENGINES_SQL = "(VALUES (0, 'paddleocr'), (1, 'doctr'), (2, 'tesseract')) e(engine_idx, engine)"
+_CELLS_SQL = f"""
+SELECT t.image_id, e.engine, e.engine_idx, r.text AS pred, r.time, r.image_id IS NOT NULL AS ran, t.text AS truth
+FROM ({T.OCR_TRUTH_SQL}) t CROSS JOIN {_ENGINES_SQL}
+LEFT JOIN ({T.OCR_RUNS_SQL}) r ON r.image_id = t.image_id AND r.engine = e.engine"""
+_METRICS_SQL = f"""
+SELECT image_id, engine, engine_idx,
+  CASE WHEN ran AND truth IS NOT NULL AND truth <> '' THEN {OT.error_rate_sql("coalesce(pred, '')", 'truth', 'char')} END AS cer,
+  CASE WHEN ran AND truth IS NOT NULL AND truth <> '' THEN {OT.error_rate_sql("coalesce(pred, '')", 'truth', 'word')} END AS wer,
+  CASE WHEN ran THEN time END AS time
+FROM ({_CELLS_SQL}) c"""
+
+
+def _ocr(spark, d):
+    return O.evaluate_runs(T.ocr_runs(spark, d), T.ocr_truth(spark, d))
+
+
+@register("ocr_eval", _METRICS_SQL)
+def q_ocr_eval(spark, d):
+    return _ocr(spark, d)[0]
+
+
+@register("ocr_eval_missing", f"""
+SELECT image_id, engine, engine_idx,
+  CASE WHEN ran THEN {OT.normalize_sql("coalesce(pred, '')")} ELSE '' END AS predicted_text,
+  {OT.normalize_sql('truth')} AS actual_text
+FROM ({_CELLS_SQL}) c""")
+def q_ocr_eval_missing(spark, d):
+    return _ocr(spark, d)[1]
+
+
+def _mean_sql(c):
+    return OT.round_ratio_sql(f"sum(CAST(round({c} * 10000) AS BIGINT))", f"count({c}) * 10000")
+
+
+@register("ocr_summary", f"""
+SELECT e.engine, e.engine_idx, a.avg_cer, a.avg_wer, a.avg_time
+FROM {_ENGINES_SQL} LEFT JOIN (
+  SELECT engine, {_mean_sql('cer')} AS avg_cer, {_mean_sql('wer')} AS avg_wer, {_mean_sql('time')} AS avg_time
+  FROM ({_METRICS_SQL}) m WHERE time IS NOT NULL GROUP BY engine) a ON a.engine = e.engine""")
+def q_ocr_summary(spark, d):
+    return O.summarize(_ocr(spark, d)[0])
+
+
+@register("normalize_text", f"""
+SELECT doc_id, {OT.normalize_sql('text')} AS norm_text FROM documents""")
+def q_normalize_text(spark, d):
+    return T.table(spark, d, "documents").select("doc_id", TX.normalize_text("text").alias("norm_text"))
+
+
+@register("missing_keys", """
+SELECT lpad(CAST(k AS VARCHAR), 6, '0') AS image_id
+FROM range(0, (SELECT max(o_orderkey) + 1 FROM orders)) t(k)
+WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = k)""")
+def q_missing_keys(spark, d):
+    hi = T.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    li = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"))
+    return O.missing_keys(spark, li, "image_id", 0, int(hi), width=6)
+
+
+@register("json_map_explode", """
+SELECT event_id, je.key AS key, CAST(je.value AS VARCHAR) AS value FROM events, json_each(props) je""")
+def q_json_map_explode(spark, d):
+    ev = T.table(spark, d, "events").select("event_id", "props")
+    return ev.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))

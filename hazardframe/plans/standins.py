@@ -117,3 +117,43 @@ SELECT p.p_partkey AS CID, p.p_type AS Categories, p.p_brand AS Route, l.avg_pri
 FROM part p LEFT JOIN (SELECT l_partkey, avg(l_extendedprice) AS avg_price FROM lineitem GROUP BY l_partkey) l
   ON p.p_partkey = l.l_partkey
 """
+
+
+# ---------------------------------------------------------------------------------------------
+# Recognised text: ground truth = benchmark texts; three engines' outputs are altered copies
+# (letters replaced, commas dropped, words split); the third engine fails on texts longer
+# than 300 characters (a content rule, like a recogniser timing out on long labels).
+# ---------------------------------------------------------------------------------------------
+
+def ocr_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.format_string("%03d", F.col("item_id")).alias("image_id"), F.col("text"))
+
+
+def ocr_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    t = F.col("text")
+    base_time = (F.pmod(F.col("item_id"), F.lit(7)) + 2).cast("double") / 10.0
+    runs = [
+        ("paddleocr", 0, F.replace(t, F.lit("e"), F.lit("c"))),
+        ("doctr", 1, F.replace(t, F.lit(","), F.lit(""))),
+        ("tesseract", 2, F.replace(t, F.lit("th"), F.lit("t h"))),
+    ]
+    parts = [b.select(F.format_string("%03d", F.col("item_id")).alias("image_id"), F.lit(e).alias("engine"),
+                      txt.alias("text"), (base_time + F.lit(float(i))).alias("time"),
+                      F.length(t).alias("n"))
+             for e, i, txt in runs]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.filter(~((F.col("engine") == "tesseract") & (F.col("n") > 300))).drop("n")
+
+
+OCR_TRUTH_SQL = "SELECT printf('%03d', item_id) AS image_id, text FROM benchmark"
+
+OCR_RUNS_SQL = """
+SELECT printf('%03d', b.item_id) AS image_id, e.engine,
+  CASE e.engine WHEN 'paddleocr' THEN replace(b.text, 'e', 'c') WHEN 'doctr' THEN replace(b.text, ',', '')
+                ELSE replace(b.text, 'th', 't h') END AS text,
+  CAST(b.item_id % 7 + 2 AS DOUBLE) / 10.0::DOUBLE + CAST(e.engine_idx AS DOUBLE) AS time
+FROM benchmark b, (VALUES (0, 'paddleocr'), (1, 'doctr'), (2, 'tesseract')) e(engine_idx, engine)
+WHERE NOT (e.engine = 'tesseract' AND length(b.text) > 300)
+"""

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hazardframe.functions.text import strip_ws, _c
+from hazardframe.functions.text import _c, _let, strip_ws
 
 # ---------------------------------------------------------------------------------------------
 # Identifier patterns (R5), in the order the name filter defines them.
@@ -208,24 +208,35 @@ NO_DATA = "No data"
 
 
 def normalize_route(col) -> Column:
-    """R2: one raw route text -> label or NULL."""
-    t = strip_ws(_c(col))
-    no_paren = F.regexp_replace(t, r"(?U)\s*\([^)]*\)", "")
-    low = F.lower(no_paren)
-    words = F.split(strip_ws(low), r"(?U)[\s\x{1c}-\x{1f}]+")
-    n_words = F.when(strip_ws(low) == "", F.lit(0)).otherwise(F.size(words))
-    reject = (
-        low.rlike(r"(?U)\d+%")
-        | low.rlike(f"(?U){ROUTE_REJECT_PATTERN}")
-        | reduce(lambda a, b: a | b, [low.contains(s) for s in ROUTE_REJECT_SUBSTRINGS])
-        | (n_words > ROUTE_MAX_WORDS)
-    )
-    single = F.regexp_replace(F.element_at(words, 1), r"^[.,;:]+|[.,;:]+$", "")
-    out = F.when(reject, F.lit(None).cast("string"))
-    for label, terms in ROUTE_KEYWORDS:
-        out = out.when(reduce(lambda a, b: a | b, [low.contains(x) for x in terms]), F.lit(label))
-    out = out.when((n_words == 1) & single.isin(*ROUTE_LABELS), single)
-    return F.when(t.isNull() | F.lower(t).isin(*ROUTE_EMPTY_TOKENS), F.lit(None).cast("string")).otherwise(out)
+    """R2: one raw route text -> label or NULL.
+
+    Intermediate texts are bound once (``_let``): inside ``transform`` Spark would otherwise
+    re-evaluate the shared sub-expressions at every reference.
+    """
+    def with_low(t: Column, low: Column) -> Column:
+        stripped = strip_ws(low)
+
+        def with_words(words: Column) -> Column:
+            n_words = F.when(F.element_at(words, 1) == "", F.lit(0)).otherwise(F.size(words))
+            reject = (
+                low.rlike(r"(?U)\d+%")
+                | low.rlike(f"(?U){ROUTE_REJECT_PATTERN}")
+                | reduce(lambda a, b: a | b, [low.contains(s) for s in ROUTE_REJECT_SUBSTRINGS])
+                | (n_words > ROUTE_MAX_WORDS)
+            )
+            single = F.regexp_replace(F.element_at(words, 1), r"^[.,;:]+|[.,;:]+$", "")
+            out = F.when(reject, F.lit(None).cast("string"))
+            for label, terms in ROUTE_KEYWORDS:
+                out = out.when(reduce(lambda a, b: a | b, [low.contains(x) for x in terms]), F.lit(label))
+            return out.when((n_words == 1) & single.isin(*ROUTE_LABELS), single)
+
+        body = _let(F.split(stripped, r"(?U)[\s\x{1c}-\x{1f}]+"), with_words)
+        return F.when(t.isNull() | F.lower(t).isin(*ROUTE_EMPTY_TOKENS), F.lit(None).cast("string")).otherwise(body)
+
+    def with_t(t: Column) -> Column:
+        return _let(F.lower(F.regexp_replace(t, r"(?U)\s*\([^)]*\)", "")), lambda low: with_low(t, low))
+
+    return _let(strip_ws(_c(col)), with_t)
 
 
 def normalize_routes(col) -> Column:

@@ -194,3 +194,84 @@ SELECT event_id, je.key AS key, CAST(je.value AS VARCHAR) AS value FROM events,
 def q_json_map_explode(spark, d):
     ev = T.table(spark, d, "events").select("event_id", "props")
     return ev.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+
+
+# ============================== domain rules =================================================
+
+from hazardframe.functions import rules as RU  # noqa: E402
+
+
+@register("classify_first_match", f"""
+SELECT o_orderkey, {OR.classify_first_match_sql('text')} AS hazard_class FROM ({T.HAZARD_TEXTS_SQL}) h""")
+def q_classify_first_match(spark, d):
+    return T.hazard_texts(spark, d).select("o_orderkey", RU.classify_first_match("text").alias("hazard_class"))
+
+
+@register("classify_documents", f"""
+SELECT doc_id, {OR.classify_first_match_sql('text')} AS hazard_class FROM documents""")
+def q_classify_documents(spark, d):
+    docs = T.table(spark, d, "documents").select("doc_id", "text")
+    return docs.select("doc_id", RU.classify_first_match("text").alias("hazard_class"))
+
+
+_CLASSES_SQL = "(VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(RU.CARCINOGENICITY_CLASSES)) + \
+    ") k(class_idx, hazard_class)"
+
+
+@register("class_counts", f"""
+SELECT k.hazard_class, k.class_idx, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM {_CLASSES_SQL} LEFT JOIN (
+  SELECT {OR.classify_first_match_sql('text')} AS hazard_class, count(*) AS n
+  FROM ({T.HAZARD_TEXTS_SQL}) h WHERE text IS NOT NULL GROUP BY 1) c ON c.hazard_class = k.hazard_class""")
+def q_class_counts(spark, d):
+    from hazardframe.operators import labels as L
+    return L.class_counts(T.hazard_texts(spark, d), "text", RU.classify_first_match, RU.CARCINOGENICITY_CLASSES)
+
+
+@register("class_value_counts", f"""
+SELECT hazard_class, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS display_text,
+       CAST(n AS BIGINT) AS n, CAST(n_distinct AS BIGINT) AS n_distinct
+FROM (SELECT hazard_class, text, n, count(*) OVER (PARTITION BY hazard_class) AS n_distinct
+      FROM (SELECT {OR.classify_first_match_sql('text')} AS hazard_class, text, count(*) AS n
+            FROM ({T.HAZARD_TEXTS_SQL}) h WHERE text IS NOT NULL GROUP BY 1, 2) g) x""")
+def q_class_value_counts(spark, d):
+    from hazardframe.operators import labels as L
+    return L.class_value_counts(T.hazard_texts(spark, d), "text", RU.classify_first_match)
+
+
+@register("normalize_route", f"""
+SELECT l_orderkey, l_linenumber,
+  array_to_string({OR.normalize_routes_sql(OR.parse_list_text_sql('route_text'))}, '|') AS routes
+FROM ({T.ROUTE_TEXTS_SQL}) r""")
+def q_normalize_route(spark, d):
+    r = T.route_list_texts(spark, d)
+    return r.select("l_orderkey", "l_linenumber",
+                    F.array_join(RU.normalize_routes(TX.parse_list_text("route_text")), "|").alias("routes"))
+
+
+@register("parse_list_text", f"""
+SELECT l_orderkey, l_linenumber, len({OR.parse_list_text_sql('route_text')}) AS n_items,
+  array_to_string({OR.parse_list_text_sql('route_text')}, chr(1)) AS items
+FROM ({T.ROUTE_TEXTS_SQL}) r""")
+def q_parse_list_text(spark, d):
+    r = T.route_list_texts(spark, d)
+    items = TX.parse_list_text("route_text")
+    return r.select("l_orderkey", "l_linenumber", F.size(items).alias("n_items"),
+                    F.array_join(items, "\u0001").alias("items"))
+
+
+@register("split_lists", f"""
+SELECT doc_id, len({OR.split_list_sql('text', '.')}) AS n_items,
+  array_to_string({OR.split_list_sql('text', '.')}, chr(1)) AS items FROM documents""")
+def q_split_lists(spark, d):
+    docs = T.table(spark, d, "documents")
+    items = TX.split_list("text", ".")
+    return docs.select("doc_id", F.size(items).alias("n_items"), F.array_join(items, "\u0001").alias("items"))
+
+
+@register("route_sentences", f"""
+SELECT doc_id, array_to_string({OR.normalize_routes_sql(OR.split_list_sql('text', '.'))}, '|') AS routes
+FROM documents""")
+def q_route_sentences(spark, d):
+    docs = T.table(spark, d, "documents")
+    return docs.select("doc_id", F.array_join(RU.normalize_routes(TX.split_list("text", ".")), "|").alias("routes"))

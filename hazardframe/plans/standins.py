@@ -157,3 +157,78 @@ SELECT printf('%03d', b.item_id) AS image_id, e.engine,
 FROM benchmark b, (VALUES (0, 'paddleocr'), (1, 'doctr'), (2, 'tesseract')) e(engine_idx, engine)
 WHERE NOT (e.engine = 'tesseract' AND length(b.text) > 300)
 """
+
+
+# ---------------------------------------------------------------------------------------------
+# Hazard-class statements: two phrases per order, picked by the order key, so texts carry
+# competing rules in either order.
+# ---------------------------------------------------------------------------------------------
+
+# Phrase book for the stand-in statements (our own wording, covering each rule).
+HAZARD_PHRASES = [
+    "Group 1: carcinogenic to humans",
+    "group 2A probably carcinogenic",
+    "2B, possibly carcinogenic to humans",
+    "3, not classifiable",
+    "Not listed by IARC",
+    "No indication of carcinogenicity to humans",
+    "Agents are not classifiable as to carcinogenicity",
+    "1, carcinogenic (sufficient evidence)",
+    "see the group 3 monograph",
+    "IARC category 2b: limited evidence",
+    "Not directly listed by IARC but by NTP",
+    "unknown",
+    "",
+]
+
+
+def hazard_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    n = len(HAZARD_PHRASES)
+    ph = F.array(*[F.lit(p) for p in HAZARD_PHRASES])
+    k = F.col("o_orderkey")
+    first = F.element_at(ph, (F.pmod(k, F.lit(n)) + 1).cast("int"))
+    second = F.element_at(ph, (F.pmod(F.floor(k / n), F.lit(n)) + 1).cast("int"))
+    return o.select(k, F.concat_ws(" ", first, second).alias("text"))
+
+
+HAZARD_TEXTS_SQL = ("SELECT o_orderkey, concat_ws(' ', [" + ", ".join("'" + p.replace("'", "''") + "'"
+                    for p in HAZARD_PHRASES) + f"][o_orderkey % {len(HAZARD_PHRASES)} + 1], ["
+                    + ", ".join("'" + p.replace("'", "''") + "'" for p in HAZARD_PHRASES)
+                    + f"][(o_orderkey // {len(HAZARD_PHRASES)}) % {len(HAZARD_PHRASES)} + 1]) AS text FROM orders")
+
+
+# ---------------------------------------------------------------------------------------------
+# Route lists: Python-list text per line item, three items picked by its keys.
+# ---------------------------------------------------------------------------------------------
+
+# Route item book for the stand-in lists (our own wording, covering each rule).
+ROUTE_ITEMS = [
+    "Oral (L2)", "inhalation", "Dermal", "eye contact", "Intravenous injection", "parenteral",
+    "50% absorbed orally", "ingestion", "skin", "radiation", "ocular", "behavioral changes",
+    "rapidly absorbed after oral dose in hours", "nan", "-", "", "Ocular.",
+    "one two three four five six seven words", "Subcutaneous (rat)", "oral; dermal",
+]
+
+
+def route_list_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    n = len(ROUTE_ITEMS)
+    items = F.array(*[F.lit(p) for p in ROUTE_ITEMS])
+
+    def pick(c):
+        return F.element_at(items, (F.pmod(c, F.lit(n)) + 1).cast("int"))
+
+    text = F.concat(F.lit("['"), pick(F.col("l_orderkey")), F.lit("', \""), pick(F.col("l_partkey")),
+                    F.lit("\", '"), pick(F.col("l_suppkey") + F.col("l_linenumber")), F.lit("']"))
+    return li.select("l_orderkey", "l_linenumber", text.alias("route_text"))
+
+
+def _route_items_sql():
+    return "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in ROUTE_ITEMS) + "]"
+
+
+ROUTE_TEXTS_SQL = (f"SELECT l_orderkey, l_linenumber, '[''' || {_route_items_sql()}[l_orderkey % {len(ROUTE_ITEMS)} + 1]"
+                   f" || ''', \"' || {_route_items_sql()}[l_partkey % {len(ROUTE_ITEMS)} + 1] || '\", '''"
+                   f" || {_route_items_sql()}[(l_suppkey + l_linenumber) % {len(ROUTE_ITEMS)} + 1] || ''']' AS route_text"
+                   f" FROM lineitem")

@@ -275,3 +275,106 @@ FROM documents""")
 def q_route_sentences(spark, d):
     docs = T.table(spark, d, "documents")
     return docs.select("doc_id", F.array_join(RU.normalize_routes(TX.split_list("text", ".")), "|").alias("routes"))
+
+
+# ============================== cleaning =====================================================
+
+from hazardframe.operators import clean as CL  # noqa: E402
+from hazardframe.plans.oracle_rules import strip_sql  # noqa: E402
+
+
+def _docs_labels(spark, d):
+    docs = T.table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    lab = T.table(spark, d, "labels").select("doc_id", "quality", "toxic")
+    return docs.join(lab, "doc_id", "left")
+
+
+@register("clean_table", f"""
+SELECT {strip_sql('lang')} AS lang, {strip_sql('source')} AS source,
+       regexp_replace({strip_sql('text')}, '[\\r\\n]+', ' ', 'g') AS text, quality
+FROM (SELECT DISTINCT d.lang, d.source, d.text, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)) x""")
+def q_clean_table(spark, d):
+    df = _docs_labels(spark, d)
+    out, _report = CL.clean_table(df, keep_columns=["lang", "source", "text", "quality", "no_such_column"],
+                                  fill=False, newline_to_space_columns=["text"])
+    return out
+
+
+@register("dedupe_rows", "SELECT DISTINCT text, lang FROM documents")
+def q_dedupe_rows(spark, d):
+    return CL.dedupe(T.table(spark, d, "documents").select("text", "lang"))
+
+
+_IMPUTE_BASE = """SELECT d.doc_id, l.quality, l.toxic,
+  CASE l.toxic WHEN 1 THEN 'toxic' WHEN 0 THEN 'clean' END AS tag FROM documents d LEFT JOIN labels l USING (doc_id)"""
+
+
+@register("impute_mean_mode", f"""
+WITH b AS ({_IMPUTE_BASE})
+SELECT doc_id, coalesce(CAST(quality AS DOUBLE), (SELECT avg(quality) FROM b)) AS quality,
+       coalesce(CAST(toxic AS DOUBLE), (SELECT avg(toxic) FROM b)) AS toxic,
+       coalesce(tag, (SELECT tag FROM b WHERE tag IS NOT NULL GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 1)) AS tag
+FROM b""")
+def q_impute_mean_mode(spark, d):
+    df = _docs_labels(spark, d).select(
+        "doc_id", "quality", "toxic",
+        F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean").alias("tag"))
+    return CL.fill_missing(df, ["quality", "toxic", "tag"])
+
+
+_KEY_TEXT_SQL = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(user_id AS VARCHAR)
+  WHEN 1 THEN CAST(user_id AS VARCHAR) || '.0' WHEN 2 THEN CAST(user_id AS VARCHAR) || '.5'
+  WHEN 3 THEN 'x' || CAST(user_id AS VARCHAR) ELSE CAST(user_id AS VARCHAR) || 'e1' END AS raw FROM events"""
+
+
+@register("coerce_key", f"""
+SELECT event_id, raw, CASE WHEN TRY_CAST(raw AS DOUBLE) IS NOT NULL AND isfinite(TRY_CAST(raw AS DOUBLE))
+  AND TRY_CAST(raw AS DOUBLE) = floor(TRY_CAST(raw AS DOUBLE)) THEN CAST(TRY_CAST(raw AS DOUBLE) AS BIGINT) END AS cid
+FROM ({_KEY_TEXT_SQL}) k""")
+def q_coerce_key(spark, d):
+    ev = T.table(spark, d, "events")
+    u = F.col("user_id").cast("string")
+    m = F.pmod(F.col("event_id"), F.lit(5))
+    raw = (F.when(m == 0, u).when(m == 1, F.concat(u, F.lit(".0"))).when(m == 2, F.concat(u, F.lit(".5")))
+           .when(m == 3, F.concat(F.lit("x"), u)).otherwise(F.concat(u, F.lit("e1"))))
+    return ev.select("event_id", raw.alias("raw")).select("event_id", "raw", CL.coerce_key("raw").alias("cid"))
+
+
+@register("clip_features", """
+SELECT event_id, least(greatest(value * 1e14::DOUBLE * CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END,
+       -1e15::DOUBLE), 1e15::DOUBLE) AS clipped FROM events""")
+def q_clip_features(spark, d):
+    ev = T.table(spark, d, "events")
+    x = F.col("value") * F.lit(1e14) * F.when(F.pmod("event_id", F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    return ev.select("event_id", CL.clip(x).alias("clipped"))
+
+
+@register("safe_names", """
+SELECT p_partkey, translate(p_type || '/' || p_brand || ' ' || p_name, ' /', '__') AS safe_name FROM part""")
+def q_safe_names(spark, d):
+    p = T.table(spark, d, "part")
+    return p.select("p_partkey", TX.safe_name(F.concat_ws("", "p_type", F.lit("/"), "p_brand", F.lit(" "), "p_name"))
+                    .alias("safe_name"))
+
+
+# Category order of the stand-in report (like a fixed model order).
+SEGMENT_ORDER = ["MACHINERY", "AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]
+
+
+@register("custom_order", f"""
+SELECT c_custkey, c_nationkey, c_mktsegment,
+  list_position([{", ".join("'" + s + "'" for s in SEGMENT_ORDER)}], c_mktsegment) AS seg_order FROM customer""")
+def q_custom_order(spark, d):
+    from hazardframe.operators.labels import rank_in_order
+    c = T.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return (c.withColumn("seg_order", rank_in_order(F.col("c_mktsegment"), SEGMENT_ORDER))
+            .orderBy("c_nationkey", "seg_order", "c_custkey"))
+
+
+@register("sentinel_filter", """
+SELECT doc_id, tag FROM (SELECT d.doc_id, CASE l.quality WHEN 1 THEN 'good' WHEN 0 THEN 'No data' END AS tag
+  FROM documents d LEFT JOIN labels l USING (doc_id)) x WHERE tag IS DISTINCT FROM 'No data'""")
+def q_sentinel_filter(spark, d):
+    df = _docs_labels(spark, d).select(
+        "doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "No data").alias("tag"))
+    return df.filter(CL.not_sentinel("tag"))

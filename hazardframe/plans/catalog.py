@@ -378,3 +378,173 @@ def q_sentinel_filter(spark, d):
     df = _docs_labels(spark, d).select(
         "doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "No data").alias("tag"))
     return df.filter(CL.not_sentinel("tag"))
+
+
+# ============================== metrics ======================================================
+
+from hazardframe.operators import labels as LB  # noqa: E402
+from hazardframe.operators import metrics as M  # noqa: E402
+
+
+def _r(df, cols, digits=12):
+    """Round floating results for the cross-engine check (sums of floats may differ in the
+    last bit between engines); the operators themselves return full precision."""
+    return df.select(*[F.round(F.col(c), digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _rs(x, digits=12):
+    return f"round({x}, {digits})"
+
+
+def _per_class_sql(pred_sql: str) -> str:
+    return f"""
+WITH p AS ({pred_sql}),
+cells AS (SELECT label, prediction, count(*) AS n FROM p GROUP BY label, prediction),
+t AS (SELECT label AS class, sum(n) AS support FROM cells GROUP BY 1),
+pp AS (SELECT prediction AS class, sum(n) AS predicted FROM cells GROUP BY 1),
+tp AS (SELECT label AS class, n AS tp FROM cells WHERE label = prediction),
+pc0 AS (SELECT coalesce(t.class, pp.class) AS class, coalesce(t.support, 0) AS support,
+               coalesce(pp.predicted, 0) AS predicted FROM t FULL JOIN pp ON t.class = pp.class),
+pc AS (SELECT pc0.class, CAST(coalesce(tp.tp, 0) AS BIGINT) AS tp, CAST(support AS BIGINT) AS support,
+              CAST(predicted AS BIGINT) AS predicted FROM pc0 LEFT JOIN tp ON tp.class = pc0.class),
+m AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+             CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
+             CASE WHEN support + predicted = 0 THEN 0.0 ELSE 2 * tp / (support + predicted) END AS f1 FROM pc)"""
+
+
+@register("clf_weighted_metrics", _per_class_sql(T.predictions_sql()) + f"""
+SELECT {_rs('sum(tp) / sum(support)')} AS accuracy, {_rs('sum(precision * support) / sum(support)')} AS precision_weighted,
+       {_rs('sum(recall * support) / sum(support)')} AS recall_weighted, {_rs('sum(f1 * support) / sum(support)')} AS f1_weighted
+FROM m""")
+def q_clf_weighted_metrics(spark, d):
+    out = M.weighted_metrics(T.predictions(spark, d))
+    return _r(out, out.columns)
+
+
+_REPORT_SQL = f"""
+SELECT class AS row, {_rs('precision')} AS precision, {_rs('recall')} AS recall, {_rs('f1')} AS f1,
+       CAST(support AS DOUBLE) AS support FROM m
+UNION ALL SELECT 'accuracy', NULL, NULL, {_rs('sum(tp) / sum(support)')}, CAST(sum(support) AS DOUBLE) FROM m
+UNION ALL SELECT 'macro avg', {_rs('avg(precision)')}, {_rs('avg(recall)')}, {_rs('avg(f1)')}, CAST(sum(support) AS DOUBLE) FROM m
+UNION ALL SELECT 'weighted avg', {_rs('sum(precision * support) / sum(support)')}, {_rs('sum(recall * support) / sum(support)')},
+       {_rs('sum(f1 * support) / sum(support)')}, CAST(sum(support) AS DOUBLE) FROM m"""
+
+
+@register("clf_report", _per_class_sql(T.predictions_sql()) + _REPORT_SQL)
+def q_clf_report(spark, d):
+    return _r(M.classification_report(T.predictions(spark, d)), ["precision", "recall", "f1"])
+
+
+@register("confusion_matrix", f"""
+WITH p AS ({T.predictions_sql()}), c AS (SELECT label AS c FROM p UNION SELECT prediction FROM p)
+SELECT a.c AS label, b.c AS prediction,
+  CAST((SELECT count(*) FROM p WHERE p.label = a.c AND p.prediction = b.c) AS BIGINT) AS n FROM c a, c b""")
+def q_confusion_matrix(spark, d):
+    return M.confusion_matrix(T.predictions(spark, d))
+
+
+@register("union_tagged", f"""
+SELECT 'by_length' AS Model, * FROM ({_per_class_sql(T.predictions_sql('by_length')) + _REPORT_SQL}) a
+UNION ALL SELECT 'by_lang' AS Model, * FROM ({_per_class_sql(T.predictions_sql('by_lang')) + _REPORT_SQL}) b""")
+def q_union_tagged(spark, d):
+    frames = {m: _r(M.classification_report(T.predictions(spark, d, m)), ["precision", "recall", "f1"])
+              for m in ("by_length", "by_lang")}
+    return M.tag_union(frames, "Model")
+
+
+def _classes_df(spark):
+    return spark.createDataFrame([(c,) for c in T.MULTILABEL_CLASSES], "label string")
+
+
+_CLASSES_VALUES = "(VALUES " + ", ".join(f"('{c}')" for c in T.MULTILABEL_CLASSES) + ") k(label)"
+_LABEL_COUNTS_SQL = f"""
+WITH r AS ({T.MULTILABEL_SQL}),
+cells AS (SELECT u.label, list_contains(r.truth, u.label) AS t, list_contains(r.predicted, u.label) AS p
+          FROM r, unnest(list_distinct(list_concat(r.truth, r.predicted))) u(label)),
+c AS (SELECT label, sum(CASE WHEN t AND p THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p AND NOT t THEN 1 ELSE 0 END) AS fp,
+             sum(CASE WHEN t AND NOT p THEN 1 ELSE 0 END) AS fn FROM cells GROUP BY label),
+lc AS (SELECT k.label, CAST(coalesce(c.tp, 0) AS BIGINT) AS tp, CAST(coalesce(c.fp, 0) AS BIGINT) AS fp,
+              CAST(coalesce(c.fn, 0) AS BIGINT) AS fn FROM {_CLASSES_VALUES} LEFT JOIN c ON c.label = k.label),
+n AS (SELECT count(*) AS n_rows FROM r)"""
+
+
+@register("multilabel_confusion", _LABEL_COUNTS_SQL + """
+SELECT label, tp, fp, fn, CAST(n_rows - tp - fp - fn AS BIGINT) AS tn FROM lc, n""")
+def q_multilabel_confusion(spark, d):
+    return M.label_counts(T.multilabel_rows(spark, d), _classes_df(spark))
+
+
+_ML_REPORT_SQL = _LABEL_COUNTS_SQL + f""",
+per AS (SELECT label AS row, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
+               CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
+               CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1,
+               CAST(tp + fn AS DOUBLE) AS support FROM lc),
+tot AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM lc),
+smp AS (SELECT len(list_intersect(list_distinct(truth), list_distinct(predicted))) AS i, len(list_distinct(truth)) AS nt,
+               len(list_distinct(predicted)) AS np,
+               list_sort(list_distinct(truth)) = list_sort(list_distinct(predicted)) AS exact FROM r),
+rep AS (
+  SELECT * FROM per
+  UNION ALL SELECT 'micro avg', CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END,
+         CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END,
+         CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, CAST(tp + fn AS DOUBLE) FROM tot
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM per
+  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+         sum(f1 * support) / sum(support), sum(support) FROM per
+  UNION ALL SELECT 'samples avg', avg(CASE WHEN np = 0 THEN 0.0 ELSE i / np END), avg(CASE WHEN nt = 0 THEN 0.0 ELSE i / nt END),
+         avg(CASE WHEN nt + np = 0 THEN 0.0 ELSE 2 * i / (nt + np) END), CAST(sum(nt) AS DOUBLE) FROM smp)"""
+
+
+@register("multilabel_report", _ML_REPORT_SQL + f"""
+SELECT row, {_rs('precision')} AS precision, {_rs('recall')} AS recall, {_rs('f1')} AS f1, support FROM rep""")
+def q_multilabel_report(spark, d):
+    return _r(M.multilabel_report(T.multilabel_rows(spark, d), _classes_df(spark)), ["precision", "recall", "f1"])
+
+
+@register("multilabel_metrics", _ML_REPORT_SQL + f"""
+SELECT {_rs('(SELECT avg(CAST(exact AS DOUBLE)) FROM smp)')} AS subset_accuracy,
+  {_rs("(SELECT precision FROM rep WHERE row = 'micro avg')")} AS precision_micro,
+  {_rs("(SELECT recall FROM rep WHERE row = 'micro avg')")} AS recall_micro,
+  {_rs("(SELECT f1 FROM rep WHERE row = 'micro avg')")} AS f1_micro,
+  {_rs("(SELECT f1 FROM rep WHERE row = 'macro avg')")} AS f1_macro""")
+def q_multilabel_metrics(spark, d):
+    out = M.multilabel_metrics(T.multilabel_rows(spark, d), _classes_df(spark))
+    return _r(out, out.columns)
+
+
+@register("multi_hot", f"""
+SELECT l_orderkey, l_linenumber, array_to_string(list_transform([{", ".join("'" + c + "'" for c in T.MULTILABEL_CLASSES)}],
+  lambda c: CAST(list_contains(truth, c) AS INTEGER)), '') AS multi_hot FROM ({T.MULTILABEL_SQL}) r""")
+def q_multi_hot(spark, d):
+    r = T.multilabel_rows(spark, d)
+    return r.select("l_orderkey", "l_linenumber",
+                    F.array_join(LB.multi_hot(F.col("truth"), T.MULTILABEL_CLASSES), "").alias("multi_hot"))
+
+
+@register("label_profile", f"""
+SELECT u.label, CAST(count(*) AS BIGINT) AS n FROM ({T.LABEL_LISTS_SQL}) r, unnest(r.labels) u(label) GROUP BY u.label""")
+def q_label_profile(spark, d):
+    return LB.label_frequency(T.label_lists(spark, d), "labels")
+
+
+@register("frequent_labels", f"""
+WITH r AS ({T.LABEL_LISTS_SQL}),
+f AS (SELECT u.label FROM r, unnest(r.labels) u(label) GROUP BY u.label HAVING count(*) > 50),
+fl AS (SELECT list(label) AS fl FROM f),
+k AS (SELECT l_orderkey, l_linenumber, list_filter(labels, lambda x: list_contains(fl.fl, x)) AS labels FROM r, fl)
+SELECT l_orderkey, l_linenumber, array_to_string(labels, chr(1)) AS labels FROM k WHERE len(labels) > 0""")
+def q_frequent_labels(spark, d):
+    rows = T.label_lists(spark, d)
+    freq, _removed = LB.frequent_labels(LB.label_frequency(rows, "labels"), 50)
+    kept = LB.keep_labels(rows, "labels", freq, row_key="l_orderkey")
+    return kept.select("l_orderkey", "l_linenumber", F.array_join("labels", "\u0001").alias("labels"))
+
+
+@register("tuning_rank", f"""
+SELECT model, params, mean_score, n_folds, rnk AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY model ORDER BY rnk, params) AS pos FROM (
+    SELECT model, params, avg(score) AS mean_score, CAST(count(*) AS BIGINT) AS n_folds,
+           CAST(rank() OVER (PARTITION BY model ORDER BY avg(score) DESC) AS INTEGER) AS rnk
+    FROM ({T.SEARCH_SCORES_SQL}) s GROUP BY model, params) a) b WHERE pos <= 4""")
+def q_tuning_rank(spark, d):
+    return M.tuning_rank(T.search_scores(spark, d), top=4)

@@ -232,3 +232,99 @@ ROUTE_TEXTS_SQL = (f"SELECT l_orderkey, l_linenumber, '[''' || {_route_items_sql
                    f" || ''', \"' || {_route_items_sql()}[l_partkey % {len(ROUTE_ITEMS)} + 1] || '\", '''"
                    f" || {_route_items_sql()}[(l_suppkey + l_linenumber) % {len(ROUTE_ITEMS)} + 1] || ''']' AS route_text"
                    f" FROM lineitem")
+
+
+# ---------------------------------------------------------------------------------------------
+# Predictions: labelled documents; the true class is (quality, toxic); two rule-based
+# predictors (by length and by language) stand in for trained models.
+# ---------------------------------------------------------------------------------------------
+
+def predictions(spark: SparkSession, sf_dir: str, model: str = "by_length") -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
+    lab = table(spark, sf_dir, "labels")
+    j = d.join(lab, "doc_id")
+    truth = F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
+    if model == "by_length":
+        pred = (F.when(F.col("n_chars") < 500, "q0t0").when(F.col("n_chars") < 1500, "q1t0")
+                .when(F.col("n_chars") < 4000, "q1t1").otherwise("unsure"))
+    else:
+        pred = F.when(F.col("lang") == "en", "q1t0").when(F.col("lang") == "de", "q0t0").otherwise("q1t1")
+    return j.select(F.col("doc_id").alias("id"), truth.alias("label"), pred.alias("prediction"))
+
+
+def predictions_sql(model: str = "by_length") -> str:
+    if model == "by_length":
+        pred = ("CASE WHEN d.n_chars < 500 THEN 'q0t0' WHEN d.n_chars < 1500 THEN 'q1t0' "
+                "WHEN d.n_chars < 4000 THEN 'q1t1' ELSE 'unsure' END")
+    else:
+        pred = "CASE WHEN d.lang = 'en' THEN 'q1t0' WHEN d.lang = 'de' THEN 'q0t0' ELSE 'q1t1' END"
+    return (f"SELECT d.doc_id AS id, 'q' || CAST(l.quality AS VARCHAR) || 't' || CAST(l.toxic AS VARCHAR) AS label, "
+            f"{pred} AS prediction FROM documents d JOIN labels l USING (doc_id)")
+
+
+# ---------------------------------------------------------------------------------------------
+# Multi-label rows: line items with label lists from their own columns (truth) and a
+# rule-based guess (prediction). 'rush' is never true, 'untaxed' never predicted.
+# ---------------------------------------------------------------------------------------------
+
+MULTILABEL_CLASSES = ["bulk", "discounted", "returned", "rush", "untaxed"]
+
+
+def multilabel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+
+    def lst(*items):
+        return F.filter(F.array(*items), lambda x: x.isNotNull())
+
+    truth = lst(F.when(F.col("l_returnflag") == "R", "returned"), F.when(F.col("l_discount") >= 0.05, "discounted"),
+                F.when(F.col("l_quantity") > 25, "bulk"), F.when(F.col("l_tax") == 0, "untaxed"))
+    pred = lst(F.when(F.col("l_returnflag") != "N", "returned"), F.when(F.col("l_discount") > 0.05, "discounted"),
+               F.when(F.col("l_quantity") >= 25, "bulk"), F.when(F.col("l_linenumber") == 1, "rush"))
+    return li.select("l_orderkey", "l_linenumber", truth.alias("truth"), pred.alias("predicted"))
+
+
+MULTILABEL_SQL = """
+SELECT l_orderkey, l_linenumber,
+  list_filter([CASE WHEN l_returnflag = 'R' THEN 'returned' END, CASE WHEN l_discount >= 0.05 THEN 'discounted' END,
+               CASE WHEN l_quantity > 25 THEN 'bulk' END, CASE WHEN l_tax = 0 THEN 'untaxed' END], lambda x: x IS NOT NULL) AS truth,
+  list_filter([CASE WHEN l_returnflag <> 'N' THEN 'returned' END, CASE WHEN l_discount > 0.05 THEN 'discounted' END,
+               CASE WHEN l_quantity >= 25 THEN 'bulk' END, CASE WHEN l_linenumber = 1 THEN 'rush' END], lambda x: x IS NOT NULL) AS predicted
+FROM lineitem"""
+
+
+# ---------------------------------------------------------------------------------------------
+# Label lists with a wide frequency range (for the frequent-label threshold of 50).
+# ---------------------------------------------------------------------------------------------
+
+def label_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    labels = F.filter(F.array(
+        F.concat(F.lit("rf"), F.col("l_returnflag")),
+        F.concat(F.lit("p"), F.pmod(F.col("l_partkey"), F.lit(1500)).cast("string")),
+        F.when(F.col("l_quantity") > 45, F.concat(F.lit("q"), F.col("l_quantity").cast("int").cast("string")))),
+        lambda x: x.isNotNull())
+    return li.select("l_orderkey", "l_linenumber", labels.alias("labels"))
+
+
+LABEL_LISTS_SQL = """
+SELECT l_orderkey, l_linenumber, list_filter(['rf' || l_returnflag, 'p' || CAST(l_partkey % 1500 AS VARCHAR),
+  CASE WHEN l_quantity > 45 THEN 'q' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END], lambda x: x IS NOT NULL) AS labels
+FROM lineitem"""
+
+
+# ---------------------------------------------------------------------------------------------
+# Search scores: per embedding row a (family, setting, fold, score in thousandths).
+# ---------------------------------------------------------------------------------------------
+
+def search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    fam = F.element_at(F.array(F.lit("booster"), F.lit("forest"), F.lit("linear")),
+                       (F.pmod(F.col("label"), F.lit(3)) + 1).cast("int"))
+    return e.select(fam.alias("model"), F.concat(F.lit("depth="), F.pmod("vec_id", F.lit(8)).cast("string")).alias("params"),
+                    F.pmod("vec_id", F.lit(5)).alias("fold"),
+                    F.round(F.element_at("embedding", 1).cast("double") * 1000).cast("long").alias("score"))
+
+
+SEARCH_SCORES_SQL = """
+SELECT ['booster', 'forest', 'linear'][label % 3 + 1] AS model, 'depth=' || CAST(vec_id % 8 AS VARCHAR) AS params,
+  vec_id % 5 AS fold, CAST(round(CAST(embedding[1] AS DOUBLE) * 1000) AS BIGINT) AS score FROM embeddings"""

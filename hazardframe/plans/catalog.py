@@ -548,3 +548,41 @@ SELECT model, params, mean_score, n_folds, rnk AS rank FROM (
     FROM ({T.SEARCH_SCORES_SQL}) s GROUP BY model, params) a) b WHERE pos <= 4""")
 def q_tuning_rank(spark, d):
     return M.tuning_rank(T.search_scores(spark, d), top=4)
+
+
+# ============================== splits and encoding ==========================================
+
+from hazardframe.operators import splits as SP  # noqa: E402
+
+
+def _emb(spark, d):
+    return T.table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("L"), F.col("label").cast("string")).alias("label"))
+
+
+_EMB_SQL = "SELECT vec_id, 'L' || CAST(label AS VARCHAR) AS label FROM embeddings"
+_RANK_SQL = f"""SELECT vec_id, label,
+  row_number() OVER (PARTITION BY {{part}} ORDER BY md5(CAST(vec_id AS VARCHAR) || '|42'), vec_id) AS rk,
+  count(*) OVER (PARTITION BY {{part}}) AS n FROM ({_EMB_SQL}) e"""
+
+
+@register("label_encode", f"SELECT vec_id, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS DOUBLE) AS label_idx FROM ({_EMB_SQL}) e")
+def q_label_encode(spark, d):
+    from pyspark.ml.feature import StringIndexer
+    df = _emb(spark, d)
+    model = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(df)
+    return model.transform(df)
+
+
+@register("stratified_split", f"SELECT vec_id, label, rk <= ceil(n * 0.2) AS is_test FROM ({_RANK_SQL.format(part='label')}) r")
+def q_stratified_split(spark, d):
+    return SP.stratified_split(_emb(spark, d), "vec_id", "label", 0.2, seed=42)
+
+
+@register("random_split", f"SELECT vec_id, label, rk <= ceil(n * 0.2) AS is_test FROM ({_RANK_SQL.format(part='1')}) r")
+def q_random_split(spark, d):
+    return SP.stratified_split(_emb(spark, d), "vec_id", None, 0.2, seed=42)
+
+
+@register("cv_folds", f"SELECT vec_id, label, CAST((rk - 1) % 5 AS INTEGER) AS fold FROM ({_RANK_SQL.format(part='label')}) r")
+def q_cv_folds(spark, d):
+    return SP.fold_column(_emb(spark, d), "vec_id", "label", k=5, seed=42)

@@ -586,3 +586,63 @@ def q_random_split(spark, d):
 @register("cv_folds", f"SELECT vec_id, label, CAST((rk - 1) % 5 AS INTEGER) AS fold FROM ({_RANK_SQL.format(part='label')}) r")
 def q_cv_folds(spark, d):
     return SP.fold_column(_emb(spark, d), "vec_id", "label", k=5, seed=42)
+
+
+# ============================== stored documents and retries =================================
+
+from hazardframe.operators import jsonpick as JP  # noqa: E402
+
+_DUCK_DOC_STRUCT = ('{"Record":{"Reference":[{"ReferenceNumber":"INTEGER","SourceName":"VARCHAR"}],'
+                    '"Section":[{"Section":[{"Section":[{"Information":[{"Name":"VARCHAR","ReferenceNumber":"INTEGER",'
+                    '"Value":{"StringWithMarkup":[{"String":"VARCHAR"}]}}]}]}]}]}}')
+
+
+@register("json_priority_pick", f"""
+WITH d AS (SELECT cid, json, from_json(json, '{_DUCK_DOC_STRUCT}') AS doc FROM ({T.STORED_DOCUMENTS_SQL}) s),
+r AS (SELECT cid, json, doc, coalesce(doc.Record.Reference, []) AS refs FROM d),
+c AS (SELECT *, CASE WHEN len(list_filter(refs, lambda x: x.SourceName = '{JP.IARC}')) > 0
+                     THEN list_filter(refs, lambda x: x.SourceName = '{JP.IARC}')[1]
+                     WHEN len(list_filter(refs, lambda x: x.SourceName = '{JP.T3DB}')) > 0
+                     THEN list_filter(refs, lambda x: x.SourceName = '{JP.T3DB}')[-1] END AS chosen,
+                doc.Record.Section[1].Section[1].Section[1] AS s3,
+                (doc.Record.Section[1] IS NOT NULL AND doc.Record.Section[1].Section[1] IS NOT NULL
+                 AND doc.Record.Section[1].Section[1].Section[1] IS NOT NULL) AS sections_ok FROM r),
+i AS (SELECT *, coalesce(chosen.SourceName, 'Unknown') AS src0, coalesce(chosen.ReferenceNumber, 0) AS ref_no FROM c),
+j AS (SELECT *, CASE WHEN src0 = '{JP.IARC}' THEN list_filter(coalesce(s3.Information, []), lambda x: x.Name = '{JP.IARC_ITEM_NAME}')[1]
+                     WHEN src0 = '{JP.T3DB}' THEN list_filter(coalesce(s3.Information, []), lambda x: coalesce(x.ReferenceNumber, 0) = ref_no)[1]
+                END AS item FROM i),
+k AS (SELECT *, CASE WHEN json IS NULL THEN 'failed_fetch' WHEN doc IS NULL OR NOT sections_ok THEN 'error'
+                     WHEN item IS NULL THEN 'not_available' WHEN item.Value.StringWithMarkup[1] IS NULL THEN 'error'
+                     ELSE 'ok' END AS status FROM j)
+SELECT cid,
+  CASE status WHEN 'failed_fetch' THEN 'Not Available' WHEN 'error' THEN 'Error' WHEN 'not_available' THEN 'Not Available'
+       ELSE coalesce(item.Value.StringWithMarkup[1].String, '') END AS value,
+  CASE status WHEN 'failed_fetch' THEN 'Unknown' WHEN 'error' THEN 'Error' ELSE src0 END AS source, status
+FROM k""")
+def q_json_priority_pick(spark, d):
+    docs = T.stored_documents(spark, d)
+    return docs.select("cid", JP.resolve_priority("json").alias("r")).select("cid", "r.value", "r.source", "r.status")
+
+
+def _retry(spark, d):
+    first = T.first_pass(spark, d)
+    return JP.retry_merge(first, T.retry_pass(spark, d, first), key="cid", order="row_id")
+
+
+@register("retry_merge", f"""
+WITH f AS ({T.FIRST_PASS_SQL}), ok AS ({T.RETRY_OK_SQL}),
+firsts AS (SELECT cid, min(row_id) AS first_row FROM f GROUP BY cid)
+SELECT f.row_id, f.cid,
+  CASE WHEN ok.cid IS NOT NULL AND f.row_id = firsts.first_row THEN 'Group 2B' ELSE f.value END AS value,
+  CASE WHEN ok.cid IS NOT NULL AND f.row_id = firsts.first_row THEN '{JP.T3DB}' ELSE f.source END AS source
+FROM f JOIN firsts USING (cid) LEFT JOIN ok USING (cid)""")
+def q_retry_merge(spark, d):
+    return _retry(spark, d)[0]
+
+
+@register("retry_ledger", f"""
+WITH f AS ({T.FIRST_PASS_SQL}), ok AS ({T.RETRY_OK_SQL})
+SELECT row_id, cid FROM f WHERE (value = 'Not Available' OR source = 'Unknown' OR value = 'Error')
+  AND cid NOT IN (SELECT cid FROM ok)""")
+def q_retry_ledger(spark, d):
+    return _retry(spark, d)[1]

@@ -328,3 +328,104 @@ def search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEARCH_SCORES_SQL = """
 SELECT ['booster', 'forest', 'linear'][label % 3 + 1] AS model, 'depth=' || CAST(vec_id % 8 AS VARCHAR) AS params,
   vec_id % 5 AS fold, CAST(round(CAST(embedding[1] AS DOUBLE) * 1000) AS BIGINT) AS score FROM embeddings"""
+
+
+# ---------------------------------------------------------------------------------------------
+# Stored classification documents: one JSON text per event, shaped by the event key into the
+# six cases of the source-priority rule (IARC only; T3DB twice; T3DB then IARC; neither source;
+# no section; failed fetch = NULL). Built by plain concatenation so both engines hold the same text.
+# ---------------------------------------------------------------------------------------------
+
+_IARC = "International Agency for Research on Cancer (IARC)"
+_T3DB = "Toxin and Toxin Target Database (T3DB)"
+
+
+def _ref(no, name):
+    return f'{{"ReferenceNumber":{no},"SourceName":"{name}"}}'
+
+
+def _item(name, no, text_parts):
+    return [f'{{"Name":"{name}","ReferenceNumber":{no},"Value":{{"StringWithMarkup":[{{"String":"'] + text_parts + ['"}]}}']
+
+
+def _doc(refs, items):
+    out = ['{"Record":{"Reference":[' + ",".join(refs) + '],"Section":[{"Section":[{"Section":[{"Information":[']
+    for i, it in enumerate(items):
+        if i:
+            out.append(",")
+        out.extend(it)
+    out.append("]}]}]}]}}")
+    return out
+
+
+_GROUP = ("col", "grp")   # 'Group ' || (user_id % 3 + 1)
+_ETYPE = ("col", "etype")  # event_type
+
+DOC_CASES = [
+    _doc([_ref(1, _IARC)], [_item("Other", 1, ["x"]), _item("IARC Carcinogenic Classes", 1, [_GROUP])]),
+    _doc([_ref(2, _T3DB), _ref(5, _T3DB)], [_item("a", 2, [_ETYPE, " early"]), _item("b", 5, [_ETYPE, " late"])]),
+    _doc([_ref(3, _T3DB), _ref(4, _IARC)], [_item("c", 3, ["t3db text"]), _item("IARC Carcinogenic Classes", 4, ["Group 2A"])]),
+    _doc([_ref(7, "Other Source")], [_item("d", 7, [_ETYPE])]),
+    ['{"Record":{"Reference":[' + _ref(1, _IARC) + "]}}"],
+    None,
+]
+
+
+def _pieces_spark(parts):
+    cols = {"grp": F.concat(F.lit("Group "), (F.pmod(F.col("user_id"), F.lit(3)) + 1).cast("string")),
+            "etype": F.col("event_type")}
+    return F.concat(*[cols[p[1]] if isinstance(p, tuple) else F.lit(p) for p in parts])
+
+
+def _pieces_sql(parts):
+    cols = {"grp": "('Group ' || CAST(user_id % 3 + 1 AS VARCHAR))", "etype": "event_type"}
+    return " || ".join(cols[p[1]] if isinstance(p, tuple) else "'" + p.replace("'", "''") + "'" for p in parts)
+
+
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    k = F.pmod(F.col("event_id"), F.lit(len(DOC_CASES)))
+    doc = None
+    for i, parts in enumerate(DOC_CASES):
+        val = F.lit(None).cast("string") if parts is None else _pieces_spark(parts)
+        doc = F.when(k == i, val) if doc is None else doc.when(k == i, val)
+    return ev.select(F.col("event_id").alias("cid"), doc.alias("json"))
+
+
+STORED_DOCUMENTS_SQL = ("SELECT event_id AS cid, CASE event_id % " + str(len(DOC_CASES)) + " "
+                        + " ".join(f"WHEN {i} THEN " + ("NULL" if p is None else _pieces_sql(p))
+                                   for i, p in enumerate(DOC_CASES)) + " END AS json FROM events")
+
+
+# ---------------------------------------------------------------------------------------------
+# Retry passes: events as input rows keyed by user; an 'error' event is a failed first pass;
+# the retry succeeds for users with an even number of 'purchase' events.
+# ---------------------------------------------------------------------------------------------
+
+def first_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    err = F.col("event_type") == "error"
+    return ev.select(F.col("event_id").alias("row_id"), F.col("user_id").alias("cid"),
+                     F.when(err, F.lit("Not Available")).otherwise(
+                         F.concat(F.lit("Group "), (F.pmod(F.col("user_id"), F.lit(3)) + 1).cast("string"))).alias("value"),
+                     F.when(err, F.lit("Unknown")).otherwise(F.lit(_IARC)).alias("source"))
+
+
+def retry_pass(spark: SparkSession, sf_dir: str, first: DataFrame) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    skipped = first.filter((F.col("value") == "Not Available") | (F.col("source") == "Unknown")).select("cid").distinct()
+    # The retry succeeds for users with an even, non-zero number of purchase events.
+    buyers = (ev.filter(F.col("event_type") == "purchase").groupBy(F.col("user_id").alias("cid"))
+              .agg(F.count(F.lit(1)).alias("n")).filter(F.pmod("n", F.lit(2)) == 0).select("cid"))
+    return (skipped.join(buyers.withColumn("ok", F.lit(True)), "cid", "left")
+            .select("cid", F.when(F.col("ok"), F.lit("Group 2B")).otherwise(F.lit("Not Available")).alias("value"),
+                    F.when(F.col("ok"), F.lit(_T3DB)).otherwise(F.lit("Unknown")).alias("source")))
+
+
+FIRST_PASS_SQL = f"""SELECT event_id AS row_id, user_id AS cid,
+  CASE WHEN event_type = 'error' THEN 'Not Available' ELSE 'Group ' || CAST(user_id % 3 + 1 AS VARCHAR) END AS value,
+  CASE WHEN event_type = 'error' THEN 'Unknown' ELSE '{_IARC}' END AS source FROM events"""
+
+RETRY_OK_SQL = f"""SELECT DISTINCT f.cid FROM ({FIRST_PASS_SQL}) f
+  WHERE (f.value = 'Not Available' OR f.source = 'Unknown')
+    AND f.cid IN (SELECT user_id FROM events WHERE event_type = 'purchase' GROUP BY user_id HAVING count(*) % 2 = 0)"""

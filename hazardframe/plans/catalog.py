@@ -646,3 +646,95 @@ SELECT row_id, cid FROM f WHERE (value = 'Not Available' OR source = 'Unknown' O
   AND cid NOT IN (SELECT cid FROM ok)""")
 def q_retry_ledger(spark, d):
     return _retry(spark, d)[1]
+
+
+# ============================== features and dataset build ===================================
+
+from pyspark.sql import types as PT  # noqa: E402
+
+from hazardframe.operators import features as FE  # noqa: E402
+
+
+def _cnt(s, tok):
+    return f"CAST((length({s}) - length(replace({s}, '{tok}', ''))) / {len(tok)} AS INTEGER)"
+
+
+def _balanced_sql(s, o, c):
+    return (f"(list_reduce(string_split({s}, ''), lambda acc, ch: CASE WHEN acc < 0 THEN acc WHEN ch = '{o}' THEN acc + 1 "
+            f"WHEN ch = '{c}' THEN (CASE WHEN acc = 0 THEN -1000000 ELSE acc - 1 END) ELSE acc END, 0) = 0)")
+
+
+def _features_sql(s):
+    cols = {}
+    for tok in FE.ELEMENT_TOKENS:
+        e = _cnt(s, tok) if tok != "C" else f"({_cnt(s, 'C')} - {_cnt(s, 'Cl')})"
+        cols[f"n_{tok}" if tok.isupper() or len(tok) > 1 else f"n_arom_{tok}"] = e
+    for name, tok in FE.BOND_TOKENS.items():
+        cols[name] = _cnt(s, tok)
+    cols["ring_digits"] = f"CAST(length(regexp_replace({s}, '[^0-9%]', '', 'g')) AS INTEGER)"
+    cols["length"] = f"CAST(length({s}) AS INTEGER)"
+    cols["heavy_atoms"] = "CAST(" + " + ".join(v for k, v in cols.items() if k.startswith("n_")) + " AS INTEGER)"
+    cols["fragments"] = f"CAST({cols['fragments_sep']} + 1 AS INTEGER)"
+    ok = (f"coalesce({s} IS NOT NULL AND length({s}) > 0 AND {_balanced_sql(s, '(', ')')} "
+          f"AND {_balanced_sql(s, '[', ']')}, false)")
+    return ok, cols
+
+
+def _features_select_sql(s):
+    ok, cols = _features_sql(s)
+    return f"{ok} AS desc_ok, " + ", ".join(f"CASE WHEN {ok} THEN {v} END AS {k}" for k, v in cols.items())
+
+
+@register("smiles_descriptors", f"SELECT CID, {_features_select_sql('SMILES')} FROM ({T.COMPOUNDS_SQL}) c")
+def q_smiles_descriptors(spark, d):
+    return FE.with_structure_features(T.compounds(spark, d), "SMILES").drop("SMILES", "Carcinogenicity")
+
+
+def demo_feature_fn(smiles):
+    """A user feature function of the plug-in kind: raises on unbalanced branches."""
+    if smiles is None or smiles.count("(") != smiles.count(")"):
+        raise ValueError("unparsable structure")
+    return {"n_carbon": smiles.count("C") - smiles.count("Cl"), "n_branch": smiles.count("(")}
+
+
+_DEMO_SCHEMA = PT.StructType([PT.StructField("n_carbon", PT.LongType()), PT.StructField("n_branch", PT.LongType())])
+
+
+@register("featurize_rows", f"""
+SELECT CID, SMILES IS NOT NULL AND {_cnt('SMILES', '(')} = {_cnt('SMILES', ')')} AS desc_ok,
+  CASE WHEN SMILES IS NOT NULL AND {_cnt('SMILES', '(')} = {_cnt('SMILES', ')')}
+       THEN CAST({_cnt('SMILES', 'C')} - {_cnt('SMILES', 'Cl')} AS BIGINT) END AS n_carbon,
+  CASE WHEN SMILES IS NOT NULL AND {_cnt('SMILES', '(')} = {_cnt('SMILES', ')')}
+       THEN CAST({_cnt('SMILES', '(')} AS BIGINT) END AS n_branch
+FROM ({T.COMPOUNDS_SQL}) c""")
+def q_featurize_rows(spark, d):
+    return FE.featurize(T.compounds(spark, d), demo_feature_fn, "SMILES", _DEMO_SCHEMA, keep=["CID"])
+
+
+_LABELLED_SQL = f"""
+SELECT c.cid0 AS CID, {OR.classify_first_match_sql("coalesce(c.carc_raw, 'nan')")} AS Carcinogenicity,
+  CASE WHEN t.Categories IS NULL OR len(t.Categories) = 0 THEN ['No data'] ELSE t.Categories END AS Categories,
+  {OR.normalize_routes_sql('t."Route of Exposure"')} AS Route, c.* EXCLUDE (cid0, carc_raw, SMILES)
+FROM (SELECT CID AS cid0, Carcinogenicity AS carc_raw, SMILES, {_features_select_sql('SMILES')} FROM ({T.COMPOUNDS_SQL}) x) c
+LEFT JOIN ({T.TOXINS_SQL}) t ON t.CID = c.cid0"""
+
+
+@register("build_dataset", f"""
+SELECT CID, Carcinogenicity, array_to_string(Categories, '|') AS Categories, array_to_string(Route, '|') AS Route,
+  {", ".join(_features_sql('SMILES')[1].keys())}
+FROM ({_LABELLED_SQL}) y
+WHERE desc_ok AND NOT (Carcinogenicity = 'No data' AND Categories = ['No data'] AND Route = ['No data'])""")
+def q_build_dataset(spark, d):
+    ds = FE.build_dataset(T.compounds(spark, d), T.toxins(spark, d))
+    return (ds.withColumn("Categories", F.array_join("Categories", "|"))
+            .withColumn("Route", F.array_join("Route", "|")))
+
+
+@register("dataset_audit", f"""
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(CASE WHEN NOT desc_ok THEN 1 ELSE 0 END) AS BIGINT) AS desc_failures,
+  CAST(sum(CASE WHEN desc_ok AND no_tox THEN 1 ELSE 0 END) AS BIGINT) AS no_tox_data,
+  CAST(sum(CASE WHEN desc_ok AND NOT no_tox THEN 1 ELSE 0 END) AS BIGINT) AS kept
+FROM (SELECT desc_ok, (Carcinogenicity = 'No data' AND Categories = ['No data'] AND Route = ['No data']) AS no_tox
+      FROM ({_LABELLED_SQL}) l) z""")
+def q_dataset_audit(spark, d):
+    return FE.drop_counts(FE.label_dataset(T.compounds(spark, d), T.toxins(spark, d)))

@@ -429,3 +429,48 @@ FIRST_PASS_SQL = f"""SELECT event_id AS row_id, user_id AS cid,
 RETRY_OK_SQL = f"""SELECT DISTINCT f.cid FROM ({FIRST_PASS_SQL}) f
   WHERE (f.value = 'Not Available' OR f.source = 'Unknown')
     AND f.cid IN (SELECT user_id FROM events WHERE event_type = 'purchase' GROUP BY user_id HAVING count(*) % 2 = 0)"""
+
+
+# ---------------------------------------------------------------------------------------------
+# Dataset build inputs: compounds from parts (some structures malformed, some statements
+# missing) and a toxin table from line items (one-to-many on the part key).
+# ---------------------------------------------------------------------------------------------
+
+def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = structures(spark, sf_dir)
+    k = F.col("CID")
+    n = len(HAZARD_PHRASES)
+    ph = F.array(*[F.lit(p) for p in HAZARD_PHRASES])
+    smiles = F.when(F.pmod(k, F.lit(11)) == 0, F.concat(F.col("SMILES"), F.lit("("))).otherwise(F.col("SMILES"))
+    carc = F.when(F.pmod(k, F.lit(17)) == 0, F.lit(None).cast("string")).otherwise(
+        F.element_at(ph, (F.pmod(k, F.lit(n)) + 1).cast("int")))
+    return s.select("CID", smiles.alias("SMILES"), carc.alias("Carcinogenicity"))
+
+
+def _phrases_sql(items):
+    return "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in items) + "]"
+
+
+COMPOUNDS_SQL = f"""SELECT CID, CASE WHEN CID % 11 = 0 THEN SMILES || '(' ELSE SMILES END AS SMILES,
+  CASE WHEN CID % 17 = 0 THEN NULL ELSE {_phrases_sql(HAZARD_PHRASES)}[CID % {len(HAZARD_PHRASES)} + 1] END AS Carcinogenicity
+FROM ({STRUCTURES_SQL}) s"""
+
+
+def toxins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hazardframe.functions.text import split_list
+
+    li = table(spark, sf_dir, "lineitem")
+    n = len(ROUTE_ITEMS)
+    items = F.array(*[F.lit(p) for p in ROUTE_ITEMS])
+    cats = F.when(F.col("l_returnflag") == "N", F.lit(None).cast("array<string>")).otherwise(
+        split_list(F.concat(F.lit("flag "), F.col("l_returnflag"), F.lit(", status "), F.col("l_linestatus")), ","))
+    route = F.array(F.element_at(items, (F.pmod("l_suppkey", F.lit(n)) + 1).cast("int")),
+                    F.element_at(items, (F.pmod("l_orderkey", F.lit(n)) + 1).cast("int")))
+    return li.select(F.col("l_partkey").alias("CID"), cats.alias("Categories"), route.alias("Route of Exposure"))
+
+
+TOXINS_SQL = f"""SELECT l_partkey AS CID,
+  CASE WHEN l_returnflag = 'N' THEN NULL ELSE ['flag ' || l_returnflag, 'status ' || l_linestatus] END AS Categories,
+  [{_phrases_sql(ROUTE_ITEMS)}[l_suppkey % {len(ROUTE_ITEMS)} + 1], {_phrases_sql(ROUTE_ITEMS)}[l_orderkey % {len(ROUTE_ITEMS)} + 1]]
+    AS "Route of Exposure"
+FROM lineitem"""

@@ -738,3 +738,49 @@ FROM (SELECT desc_ok, (Carcinogenicity = 'No data' AND Categories = ['No data']
       FROM ({_LABELLED_SQL}) l) z""")
 def q_dataset_audit(spark, d):
     return FE.drop_counts(FE.label_dataset(T.compounds(spark, d), T.toxins(spark, d)))
+
+
+# ============================== sources and sinks ============================================
+
+from hazardframe.session import scratch_path  # noqa: E402
+from hazardframe.sources import io as IO  # noqa: E402
+
+_PART_COLS = "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice"
+_PART_DDL = "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
+
+
+@register("csv_roundtrip", f"SELECT {_PART_COLS} FROM part")
+def q_csv_roundtrip(spark, d):
+    path = IO.write_csv(T.table(spark, d, "part").select(*_PART_COLS.split(", ")), scratch_path(spark, "csv"))
+    return IO.read_csv(spark, path, schema=_PART_DDL)
+
+
+@register("delimited_roundtrip", f"SELECT p_partkey AS CID, p_name AS name, p_size AS size FROM part")
+def q_delimited_roundtrip(spark, d):
+    src = scratch_path(spark, "tsv")
+    (T.table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+     .write.option("sep", "\t").option("header", False).option("quote", "").csv(src))
+    out, _ = IO.convert_delimited(spark, src, delim="\t", header=False,
+                                  columns={"CID": "BIGINT", "name": "TEXT", "size": "INTEGER"}, compression="zstd")
+    return spark.read.parquet(out)
+
+
+@register("schema_report", """
+SELECT column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
+  WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS column_type,
+  CAST(row_number() OVER () - 1 AS INTEGER) AS position
+FROM (DESCRIBE SELECT * FROM part) x""")
+def q_schema_report(spark, d):
+    out = IO.write_parquet(T.table(spark, d, "part"), scratch_path(spark, "parquet"), compression="gzip")
+    return IO.schema_report(spark.read.parquet(out))
+
+
+@register("keyed_tables", f"""
+SELECT k.CID, k.Synonyms, s.SMILES FROM ({_KEPT_SQL}) k JOIN ({T.STRUCTURES_SQL}) s ON s.CID = k.CID""")
+def q_keyed_tables(spark, d):
+    import uuid
+    tag = uuid.uuid4().hex[:8]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = IO.save_keyed_table(N.prune_names(T.synonyms(spark, d)), f"synonyms_{tag}", "CID", n)
+    smiles = IO.save_keyed_table(T.structures(spark, d), f"smiles_{tag}", "CID", n)
+    return names.join(smiles, "CID").select("CID", "Synonyms", "SMILES")

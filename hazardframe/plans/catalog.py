@@ -784,3 +784,63 @@ def q_keyed_tables(spark, d):
     names = IO.save_keyed_table(N.prune_names(T.synonyms(spark, d)), f"synonyms_{tag}", "CID", n)
     smiles = IO.save_keyed_table(T.structures(spark, d), f"smiles_{tag}", "CID", n)
     return names.join(smiles, "CID").select("CID", "Synonyms", "SMILES")
+
+
+# ============================== models (rows-only checks) ====================================
+
+from hazardframe.operators import ml as ML  # noqa: E402
+
+
+def _model_data(spark, d):
+    e = T.table(spark, d, "embeddings").select(
+        "vec_id", F.concat(F.lit("L"), F.col("label").cast("string")).alias("label"), "embedding")
+    feats, cols = ML.feature_frame(e, array_col="embedding")
+    return feats, cols
+
+
+@register("train_multiclass")
+def q_train_multiclass(spark, d):
+    df, cols = _model_data(spark, d)
+    train, test = SP.split(df, "vec_id", "label", 0.2, seed=42)
+    _, pred = ML.train_and_predict(train, test, cols, "booster", maxIter=5)
+    return pred.select("vec_id", "label", "predicted_label")
+
+
+@register("model_compare")
+def q_model_compare(spark, d):
+    df, cols = _model_data(spark, d)
+    train, test = SP.split(df, "vec_id", "label", 0.2, seed=42)
+    frames = {}
+    for name in ("booster", "forest", "linear"):
+        _, pred = ML.train_and_predict(train, test, cols, name, maxIter=5 if name == "booster" else 50)
+        frames[name] = M.weighted_metrics(pred, "label", "predicted_label")
+    return M.tag_union(frames, "Model")
+
+
+@register("train_multilabel")
+def q_train_multilabel(spark, d):
+    df, cols = _model_data(spark, d)
+    lab = F.filter(F.array(F.when(F.col("label").isin("L0", "L2", "L4", "L6", "L8"), "even"),
+                           F.when(F.col("label") < "L5", "low"), F.when(F.col("f0") > 0, "pos")), lambda x: x.isNotNull())
+    df = df.withColumn("labels", lab)
+    train, test = SP.split(df, "vec_id", None, 0.2, seed=42)
+    pred = ML.train_multilabel(train, test, cols, "labels", ["even", "low", "pos"], "vec_id", maxIter=5)
+    return pred
+
+
+@register("cv_search")
+def q_cv_search(spark, d):
+    df, cols = _model_data(spark, d)
+    df = SP.fold_column(df, "vec_id", "label", k=3, seed=42)
+    settings = ML.sample_settings({"regParam": [0.0, 0.01, 0.1, 1.0], "maxIter": [5, 10]}, n_iter=4)
+    return ML.cross_validate(df, cols, "linear", settings, fold_col="fold")
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, d):
+    df, cols = _model_data(spark, d)
+    train, test = SP.split(df, "vec_id", "label", 0.2, seed=42)
+    model, _ = ML.train_and_predict(train, test, cols, "forest")
+    path = ML.save_model(model, scratch_path(spark, "model"))
+    again = ML.load_model(path)
+    return ML.decode(again.transform(test), again).select("vec_id", "label", "predicted_label")

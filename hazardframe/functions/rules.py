@@ -214,24 +214,24 @@ def normalize_route(col) -> Column:
     re-evaluate the shared sub-expressions at every reference.
     """
     def with_low(t: Column, low: Column) -> Column:
-        stripped = strip_ws(low)
-
-        def with_words(words: Column) -> Column:
-            n_words = F.when(F.element_at(words, 1) == "", F.lit(0)).otherwise(F.size(words))
+        def with_stripped(stripped: Column) -> Column:
+            # Word count without splitting (a regex split compiles its pattern per row).
+            n_words = F.when(stripped == "", F.lit(0)).otherwise(
+                F.regexp_count(stripped, F.lit(r"(?U)[\s\x{1c}-\x{1f}]+")) + 1)
             reject = (
                 low.rlike(r"(?U)\d+%")
                 | low.rlike(f"(?U){ROUTE_REJECT_PATTERN}")
                 | reduce(lambda a, b: a | b, [low.contains(s) for s in ROUTE_REJECT_SUBSTRINGS])
                 | (n_words > ROUTE_MAX_WORDS)
             )
-            single = F.regexp_replace(F.element_at(words, 1), r"^[.,;:]+|[.,;:]+$", "")
+            single = F.regexp_replace(stripped, r"^[.,;:]+|[.,;:]+$", "")  # the one word, when n_words == 1
             out = F.when(reject, F.lit(None).cast("string"))
             for label, terms in ROUTE_KEYWORDS:
                 out = out.when(reduce(lambda a, b: a | b, [low.contains(x) for x in terms]), F.lit(label))
-            return out.when((n_words == 1) & single.isin(*ROUTE_LABELS), single)
+            out = out.when((n_words == 1) & single.isin(*ROUTE_LABELS), single)
+            return F.when(t.isNull() | F.lower(t).isin(*ROUTE_EMPTY_TOKENS), F.lit(None).cast("string")).otherwise(out)
 
-        body = _let(F.split(stripped, r"(?U)[\s\x{1c}-\x{1f}]+"), with_words)
-        return F.when(t.isNull() | F.lower(t).isin(*ROUTE_EMPTY_TOKENS), F.lit(None).cast("string")).otherwise(body)
+        return _let(strip_ws(low), with_stripped)
 
     def with_t(t: Column) -> Column:
         return _let(F.lower(F.regexp_replace(t, r"(?U)\s*\([^)]*\)", "")), lambda low: with_low(t, low))

@@ -84,6 +84,13 @@ def parse_list_text(col) -> Column:
     return F.when(_c(col).isNull(), F.array().cast("array<string>")).otherwise(F.transform(items, unquote))
 
 
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` once and evaluate ``body(v)`` (Spark has no common-subexpression
+    elimination inside higher-order functions, so a reused sub-expression would be
+    recomputed at every reference)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # ---------------------------------------------------------------------------------------------
 # Rounding like Python's round(x, d) on the double nearest to num/den.
 # ---------------------------------------------------------------------------------------------
@@ -137,10 +144,7 @@ def _word_code_string(words: Column, vocab: Column) -> Column:
     )
 
 
-def edit_counts(pred, truth, unit: str = "char") -> tuple[Column, Column]:
-    """(edit distance, reference length) of normalised texts; unit 'char' or 'word'."""
-    p = normalize_text(pred)
-    t = normalize_text(truth)
+def _edit_counts_norm(p: Column, t: Column, unit: str) -> tuple[Column, Column]:
     if unit == "char":
         return F.levenshtein(p, t), F.length(t)
     pw, tw = split_words(p), split_words(t)
@@ -148,22 +152,33 @@ def edit_counts(pred, truth, unit: str = "char") -> tuple[Column, Column]:
     return F.levenshtein(_word_code_string(pw, vocab), _word_code_string(tw, vocab)), F.size(tw)
 
 
+def edit_counts(pred, truth, unit: str = "char") -> tuple[Column, Column]:
+    """(edit distance, reference length) of normalised texts; unit 'char' or 'word'."""
+    return _edit_counts_norm(normalize_text(pred), normalize_text(truth), unit)
+
+
 def error_rate(pred, truth, unit: str = "char", digits: int | None = 4) -> Column:
     """R9 (unit='char') / R10 (unit='word') with the reference's edge rules.
 
     raw truth missing or '' -> 1.0; normalised prediction empty -> 1.0 (0.0 if the truth is
     empty too); normalised truth empty -> 1.0; else distance / length, rounded like Python.
+    The normalised texts and the (distance, length) pair are each evaluated once per row.
     """
     t_raw = _c(truth)
-    dist, n_ref = edit_counts(pred, truth, unit)
-    p_norm = normalize_text(pred)
-    ratio = round_ratio(dist, n_ref, digits) if digits is not None else dist / n_ref
-    return (
-        F.when(t_raw.isNull() | (t_raw == ""), F.lit(1.0))
-        .when(p_norm == "", F.when(n_ref > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-        .when(n_ref == 0, F.lit(1.0))
-        .otherwise(ratio)
-    )
+
+    def with_texts(p: Column, t: Column) -> Column:
+        dist, n_ref = _edit_counts_norm(p, t, unit)
+
+        def with_counts(dn: Column) -> Column:
+            d, n = dn["d"], dn["n"]
+            ratio = round_ratio(d, n, digits) if digits is not None else d / n
+            return (F.when(p == "", F.when(n > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+                    .when(n == 0, F.lit(1.0)).otherwise(ratio))
+
+        return _let(F.struct(dist.alias("d"), n_ref.alias("n")), with_counts)
+
+    scored = _let(normalize_text(pred), lambda p: _let(normalize_text(truth), lambda t: with_texts(p, t)))
+    return F.when(t_raw.isNull() | (t_raw == ""), F.lit(1.0)).otherwise(scored)
 
 
 def cer(pred, truth, digits: int | None = 4) -> Column:
@@ -185,13 +200,6 @@ JW_PREFIX_WEIGHT = 0.1
 JW_BOOST_THRESHOLD = 0.7
 
 
-def _let(value: Column, body) -> Column:
-    """Bind ``value`` once and evaluate ``body(v)`` (Spark has no common-subexpression
-    elimination inside higher-order functions, so a reused sub-expression would be
-    recomputed at every reference)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def jaro_winkler(a, b) -> Column:
     """Jaro-Winkler similarity of two strings; 0.0 when either is empty.
 

@@ -62,8 +62,12 @@ def with_structure_features(df: DataFrame, col: str = "SMILES") -> DataFrame:
     """Attach the feature columns; features are NULL where the flag is false."""
     feats = structure_features(F.col(col))
     ok = feats.pop("desc_ok")
-    return df.select("*", ok.alias("desc_ok"),
-                     *[F.when(ok, v).otherwise(F.lit(None).cast("int")).alias(k) for k, v in feats.items()])
+    # The flag is projected first and referenced by name: Catalyst keeps a non-trivial
+    # expression that is used more than once in its own projection instead of inlining it.
+    staged = df.withColumn("desc_ok", ok)
+    return staged.select(*df.columns, "desc_ok",
+                         *[F.when(F.col("desc_ok"), v).otherwise(F.lit(None).cast("int")).alias(k)
+                           for k, v in feats.items()])
 
 
 def featurize(df: DataFrame, fn: Callable[[str], dict], input_col: str, schema: T.StructType,
@@ -122,11 +126,14 @@ def label_dataset(compounds: DataFrame, toxins: DataFrame, featurized: DataFrame
     else:
         base = compounds.join(featurized, key, "left").withColumn("desc_ok", F.coalesce("desc_ok", F.lit(False)))
     feature_cols = [c for c in base.columns if c not in (key, "SMILES", "Carcinogenicity", "desc_ok")]
-    tox = toxins.select(key, "Categories", F.col("`Route of Exposure`").alias("__route"))
-    j = base.join(tox, key, "left")
+    # Labels are normalised on each side before the one-to-many join, so every statement and
+    # every route list is classified once, not once per joined row.
     carc = classify_first_match(F.coalesce(F.col("Carcinogenicity").cast("string"), F.lit("nan")))
-    return j.select(key, carc.alias("Carcinogenicity"), no_data_if_empty(F.col("Categories")).alias("Categories"),
-                    normalize_routes(F.col("__route")).alias("Route"), "desc_ok", *feature_cols)
+    left = base.select(key, carc.alias("Carcinogenicity"), "desc_ok", *feature_cols)
+    tox = toxins.select(key, "Categories", normalize_routes(F.col("`Route of Exposure`")).alias("Route"))
+    j = left.join(tox, key, "left")
+    return j.select(key, "Carcinogenicity", no_data_if_empty(F.col("Categories")).alias("Categories"),
+                    F.coalesce(F.col("Route"), F.array(F.lit(NO_DATA))).alias("Route"), "desc_ok", *feature_cols)
 
 
 def _no_tox() -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazardframe.functions.text import _let
+
 # Sources in priority order and the item name that carries the class.
 IARC = "International Agency for Research on Cancer (IARC)"
 T3DB = "Toxin and Toxin Target Database (T3DB)"
@@ -39,32 +41,53 @@ def resolve_priority(json_col) -> Column:
             markup, unreadable document) or 'failed_fetch' (NULL document).
     """
     j = F.col(json_col) if isinstance(json_col, str) else json_col
-    doc = F.from_json(j, DOC_SCHEMA)
-    refs = F.coalesce(doc["Record"]["Reference"], F.array().cast("array<struct<ReferenceNumber:int,SourceName:string>>"))
-    iarc = F.filter(refs, lambda r: r["SourceName"] == IARC)
-    t3db = F.filter(refs, lambda r: r["SourceName"] == T3DB)
-    chosen = F.when(F.size(iarc) > 0, _first(iarc)).when(F.size(t3db) > 0, F.element_at(t3db, -1))
-    source = F.coalesce(chosen["SourceName"], F.lit(UNKNOWN))
-    ref_no = F.coalesce(chosen["ReferenceNumber"], F.lit(0))
-    s1 = _first(doc["Record"]["Section"])
-    s2 = _first(s1["Section"])
-    s3 = _first(s2["Section"])
-    sections_ok = s1.isNotNull() & s2.isNotNull() & s3.isNotNull()
-    info = F.coalesce(s3["Information"], F.array().cast(
-        "array<struct<Name:string,ReferenceNumber:int,Value:struct<StringWithMarkup:array<struct<String:string>>>>>"))
-    item = (F.when(source == IARC, _first(F.filter(info, lambda i: i["Name"] == IARC_ITEM_NAME)))
-            .when(source == T3DB, _first(F.filter(info, lambda i: F.coalesce(i["ReferenceNumber"], F.lit(0)) == ref_no))))
-    markup = _first(item["Value"]["StringWithMarkup"])
-    status = (F.when(j.isNull(), F.lit("failed_fetch"))
-              .when(doc.isNull() | ~sections_ok, F.lit("error"))
-              .when(item.isNull(), F.lit("not_available"))
-              .when(markup.isNull(), F.lit("error"))
-              .otherwise(F.lit("ok")))
-    value = (F.when(status == "failed_fetch", F.lit(NOT_AVAILABLE)).when(status == "error", F.lit(ERROR))
-             .when(status == "not_available", F.lit(NOT_AVAILABLE))
-             .otherwise(F.coalesce(markup["String"], F.lit(""))))
-    src = (F.when(status == "failed_fetch", F.lit(UNKNOWN)).when(status == "error", F.lit(ERROR)).otherwise(source))
-    return F.struct(value.alias("value"), src.alias("source"), status.alias("status"))
+
+    def with_doc(doc: Column) -> Column:
+        refs = F.coalesce(doc["Record"]["Reference"],
+                          F.array().cast("array<struct<ReferenceNumber:int,SourceName:string>>"))
+        iarc = F.filter(refs, lambda r: r["SourceName"] == IARC)
+        t3db = F.filter(refs, lambda r: r["SourceName"] == T3DB)
+        chosen = F.coalesce(_first(iarc), F.try_element_at(t3db, F.lit(-1)))
+        s3 = _first(_first(_first(doc["Record"]["Section"])["Section"])["Section"])
+
+        def with_chosen(ch: Column) -> Column:
+            source = F.coalesce(ch["SourceName"], F.lit(UNKNOWN))
+            ref_no = F.coalesce(ch["ReferenceNumber"], F.lit(0))
+
+            def with_s3(sec: Column) -> Column:
+                info = F.coalesce(sec["Information"], F.array().cast(
+                    "array<struct<Name:string,ReferenceNumber:int,"
+                    "Value:struct<StringWithMarkup:array<struct<String:string>>>>>"))
+                item = (F.when(source == IARC, _first(F.filter(info, lambda i: i["Name"] == IARC_ITEM_NAME)))
+                        .when(source == T3DB, _first(F.filter(
+                            info, lambda i: F.coalesce(i["ReferenceNumber"], F.lit(0)) == ref_no))))
+
+                def with_item(it: Column) -> Column:
+                    markup = _first(it["Value"]["StringWithMarkup"])
+                    status = (F.when(j.isNull(), F.lit("failed_fetch"))
+                              .when(doc.isNull() | sec.isNull(), F.lit("error"))
+                              .when(it.isNull(), F.lit("not_available"))
+                              .when(markup.isNull(), F.lit("error"))
+                              .otherwise(F.lit("ok")))
+
+                    def out(st: Column) -> Column:
+                        value = (F.when(st == "failed_fetch", F.lit(NOT_AVAILABLE)).when(st == "error", F.lit(ERROR))
+                                 .when(st == "not_available", F.lit(NOT_AVAILABLE))
+                                 .otherwise(F.coalesce(markup["String"], F.lit(""))))
+                        src = (F.when(st == "failed_fetch", F.lit(UNKNOWN)).when(st == "error", F.lit(ERROR))
+                               .otherwise(source))
+                        return F.struct(value.alias("value"), src.alias("source"), st.alias("status"))
+
+                    return _let(status, out)
+
+                return _let(item, with_item)
+
+            return _let(s3, with_s3)
+
+        return _let(chosen, with_chosen)
+
+    # Each intermediate (parsed document, chosen reference, section, item) is bound once.
+    return _let(F.from_json(j, DOC_SCHEMA), with_doc)
 
 
 def is_skipped(value: Column, source: Column) -> Column:

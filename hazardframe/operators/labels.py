@@ -62,8 +62,8 @@ def keep_labels(df: DataFrame, labels_col: str, keep: DataFrame, row_key: str,
     n = keep.count()
     if n <= MAX_INLINE_LABELS:
         vals = [r[0] for r in keep.select(label_col).collect()]  # bounded by the check above
-        lit = F.array(*[F.lit(v) for v in vals]) if vals else F.array().cast("array<string>")
-        out = df.withColumn(labels_col, F.filter(labels_col, lambda x: F.array_contains(lit, x)))
+        # ``isin`` over a literal list becomes a hash-set lookup (InSet), not a linear scan.
+        out = df.withColumn(labels_col, F.filter(labels_col, lambda x: x.isin(*vals) if vals else F.lit(False)))
     else:
         ex = df.select(row_key, F.posexplode(labels_col).alias("pos", "__l"))
         ex = ex.join(keep.select(F.col(label_col).alias("__l")), "__l", "left_semi")

@@ -64,3 +64,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ensure_parallelism(df, min_partitions: int | None = None):
+    """Spread a frame over the cluster when its source plans fewer splits than there are cores.
+
+    A source stored as one file with one row group is read by a single task, and every
+    row-wise expression after it (regex rules, edit distances) would run on one core. Such a
+    frame is round-robin repartitioned to the default parallelism; a frame that already has
+    enough partitions (any large input) is returned unchanged, so no shuffle is added at scale.
+    Checking the partition count plans the scan but runs no job.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -92,17 +92,21 @@ FROM (SELECT p_partkey, p_name, (p_partkey % greatest(length(p_name) - 1, 1)) +
 # ---------------------------------------------------------------------------------------------
 
 def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure text from the part's size and name (a data column, like a real structure
+    column - not a function of the key alone)."""
     part = table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    tail = (F.when(F.pmod(k, F.lit(3)) == 0, F.lit("O"))
-            .when(F.pmod(k, F.lit(3)) == 1, F.lit("N")).otherwise(F.lit("(=O)O")))
-    return part.select(k.alias("CID"), F.concat(F.expr("repeat('C', CAST(p_partkey % 7 + 1 AS INT))"), tail).alias("SMILES"))
+    z = F.col("p_size")
+    tail = (F.when(F.pmod(z, F.lit(3)) == 0, F.lit("O"))
+            .when(F.pmod(z, F.lit(3)) == 1, F.lit("N")).otherwise(F.lit("(=O)O")))
+    ring = F.when(F.length("p_name") > 9, F.lit("c1ccccc1")).otherwise(F.lit(""))
+    return part.select(F.col("p_partkey").alias("CID"),
+                       F.concat(F.expr("repeat('C', CAST(p_size % 7 + 1 AS INT))"), ring, tail).alias("SMILES"))
 
 
 STRUCTURES_SQL = """
 SELECT p_partkey AS CID,
-  repeat('C', CAST(p_partkey % 7 + 1 AS INTEGER)) ||
-  CASE p_partkey % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'N' ELSE '(=O)O' END AS SMILES
+  repeat('C', CAST(p_size % 7 + 1 AS INTEGER)) || CASE WHEN length(p_name) > 9 THEN 'c1ccccc1' ELSE '' END ||
+  CASE p_size % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'N' ELSE '(=O)O' END AS SMILES
 FROM part
 """
 
@@ -436,7 +440,7 @@ RETRY_OK_SQL = f"""SELECT DISTINCT f.cid FROM ({FIRST_PASS_SQL}) f
 
 
 # ---------------------------------------------------------------------------------------------
-# Dataset build inputs: compounds from parts (some structures malformed, some statements
+# Dataset build inputs: compounds from parts (structures of length 11 made malformed, some statements
 # missing) and a toxin table from line items (one-to-many on the part key).
 # ---------------------------------------------------------------------------------------------
 
@@ -445,7 +449,7 @@ def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("CID")
     n = len(HAZARD_PHRASES)
     ph = F.array(*[F.lit(p) for p in HAZARD_PHRASES])
-    smiles = F.when(F.pmod(k, F.lit(11)) == 0, F.concat(F.col("SMILES"), F.lit("("))).otherwise(F.col("SMILES"))
+    smiles = F.when(F.length("SMILES") == 11, F.concat(F.col("SMILES"), F.lit("("))).otherwise(F.col("SMILES"))
     carc = F.when(F.pmod(k, F.lit(17)) == 0, F.lit(None).cast("string")).otherwise(
         F.element_at(ph, (F.pmod(k, F.lit(n)) + 1).cast("int")))
     return s.select("CID", smiles.alias("SMILES"), carc.alias("Carcinogenicity"))
@@ -455,7 +459,7 @@ def _phrases_sql(items):
     return "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in items) + "]"
 
 
-COMPOUNDS_SQL = f"""SELECT CID, CASE WHEN CID % 11 = 0 THEN SMILES || '(' ELSE SMILES END AS SMILES,
+COMPOUNDS_SQL = f"""SELECT CID, CASE WHEN length(SMILES) = 11 THEN SMILES || '(' ELSE SMILES END AS SMILES,
   CASE WHEN CID % 17 = 0 THEN NULL ELSE {_phrases_sql(HAZARD_PHRASES)}[CID % {len(HAZARD_PHRASES)} + 1] END AS Carcinogenicity
 FROM ({STRUCTURES_SQL}) s"""
 

@@ -268,3 +268,14 @@ def overlap(c1: Column, c2: Column, size: int = len(LETTER_ALPHABET) + 1) -> Col
     inside whole-stage code generation (the lambda form is interpreted, ~10x slower here).
     """
     return sum((F.least(c1[i], c2[i]) for i in range(1, size)), F.least(c1[0], c2[0]))
+
+
+def file_stem(col) -> Column:
+    """H9: file name without directory and extension ('/a/b/001.jpg' -> '001')."""
+    return F.regexp_extract(_c(col), r"([^/\\]+?)(\.[^./\\]*)?$", 1)
+
+
+def zero_pad(col, width: int = 3) -> Column:
+    """H9: zero-padded id text ('7' -> '007'); longer ids are kept whole, never cut."""
+    s = _c(col).cast("string")
+    return F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0"))

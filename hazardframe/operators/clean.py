@@ -155,3 +155,16 @@ def clip(col, lo: float = -1e15, hi: float = 1e15) -> Column:
 def not_sentinel(col, sentinel: str = "No data") -> Column:
     """``!= sentinel`` that keeps missing rows (plain <> would drop NULLs)."""
     return ~_c(col).eqNullSafe(F.lit(sentinel))
+
+
+def require_columns(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Analysis-time check; raises before any job runs."""
+    missing = [c for c in cols if c not in df.columns]
+    if missing:
+        raise ValueError(f"Required column(s) not found: {missing}")
+    return df
+
+
+def preview(df: DataFrame, n_cols: int = 10, n_rows: int = 5) -> DataFrame:
+    """the first ``n_cols`` columns of ``n_rows`` rows (an interactive peek)."""
+    return df.select(*df.columns[:n_cols]).limit(n_rows)

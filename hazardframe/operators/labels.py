@@ -97,3 +97,10 @@ def rank_in_order(col, values: list[str]) -> Column:
     return F.array_position(ordinal(values), col)
 
 
+
+
+def assert_classes(df: DataFrame, col: str, expected: list[str]) -> None:
+    """M2: the set of classes in ``col`` must equal ``expected`` (one small aggregate)."""
+    seen = {r[0] for r in df.select(col).distinct().collect()}  # bounded by the class count
+    if seen != set(expected):
+        raise AssertionError(f"Unexpected classes: {sorted(seen ^ set(expected))}")

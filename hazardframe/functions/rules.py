@@ -215,26 +215,30 @@ def normalize_route(col) -> Column:
     """
     def with_low(t: Column, low: Column) -> Column:
         def with_stripped(stripped: Column) -> Column:
-            # Word count without splitting (a regex split compiles its pattern per row).
-            n_words = F.when(stripped == "", F.lit(0)).otherwise(
-                F.regexp_count(stripped, F.lit(r"(?U)[\s\x{1c}-\x{1f}]+")) + 1)
+            # Cheap, exact pre-checks guard the regexes: the percent rule needs a '%', and
+            # more than six words need at least 13 characters.
+            n_words = F.regexp_count(stripped, F.lit(r"(?U)[\s\x{1c}-\x{1f}]+")) + 1
             reject = (
-                low.rlike(r"(?U)\d+%")
+                reduce(lambda a, b: a | b, [low.contains(s) for s in ROUTE_REJECT_SUBSTRINGS])
+                | (low.contains("%") & low.rlike(r"(?U)\d+%"))
                 | low.rlike(f"(?U){ROUTE_REJECT_PATTERN}")
-                | reduce(lambda a, b: a | b, [low.contains(s) for s in ROUTE_REJECT_SUBSTRINGS])
-                | (n_words > ROUTE_MAX_WORDS)
+                | ((F.length(stripped) >= 2 * ROUTE_MAX_WORDS + 1) & (n_words > ROUTE_MAX_WORDS))
             )
-            single = F.regexp_replace(stripped, r"^[.,;:]+|[.,;:]+$", "")  # the one word, when n_words == 1
+            # One-word fallback: a label has no whitespace, so a match implies a single word.
+            single = F.regexp_replace(stripped, r"^[.,;:]+|[.,;:]+$", "")
             out = F.when(reject, F.lit(None).cast("string"))
             for label, terms in ROUTE_KEYWORDS:
                 out = out.when(reduce(lambda a, b: a | b, [low.contains(x) for x in terms]), F.lit(label))
-            out = out.when((n_words == 1) & single.isin(*ROUTE_LABELS), single)
+            out = out.when(single.isin(*ROUTE_LABELS), single)
             return F.when(t.isNull() | F.lower(t).isin(*ROUTE_EMPTY_TOKENS), F.lit(None).cast("string")).otherwise(out)
 
         return _let(strip_ws(low), with_stripped)
 
     def with_t(t: Column) -> Column:
-        return _let(F.lower(F.regexp_replace(t, r"(?U)\s*\([^)]*\)", "")), lambda low: with_low(t, low))
+        # Removing '(...)' before or after lower-casing is the same (the pattern has no letters).
+        low0 = F.lower(t)
+        low = F.when(low0.contains("("), F.regexp_replace(low0, r"(?U)\s*\([^)]*\)", "")).otherwise(low0)
+        return _let(low, lambda lw: with_low(t, lw))
 
     return _let(strip_ws(_c(col)), with_t)
 

@@ -59,9 +59,9 @@ def keep_labels(df: DataFrame, labels_col: str, keep: DataFrame, row_key: str,
     array (no shuffle of the rows); beyond that the lists are exploded with positions,
     semi-joined to the set and regrouped per row, so no size limit applies.
     """
-    n = keep.count()
-    if n <= MAX_INLINE_LABELS:
-        vals = [r[0] for r in keep.select(label_col).collect()]  # bounded by the check above
+    # One bounded fetch doubles as the size check: at most MAX_INLINE_LABELS + 1 rows come back.
+    vals = [r[0] for r in keep.select(label_col).limit(MAX_INLINE_LABELS + 1).collect()]
+    if len(vals) <= MAX_INLINE_LABELS:
         # ``isin`` over a literal list becomes a hash-set lookup (InSet), not a linear scan.
         out = df.withColumn(labels_col, F.filter(labels_col, lambda x: x.isin(*vals) if vals else F.lit(False)))
     else:
@@ -76,10 +76,10 @@ def keep_labels(df: DataFrame, labels_col: str, keep: DataFrame, row_key: str,
 
 def sorted_labels(keep: DataFrame, label_col: str = "label") -> list[str]:
     """the (checked, small) class list in sorted order for encoders."""
-    n = keep.count()
-    if n > MAX_INLINE_LABELS:
-        raise ValueError(f"{n} classes is too many for a dense multi-hot encoding")
-    return sorted(r[0] for r in keep.select(label_col).collect())
+    vals = [r[0] for r in keep.select(label_col).limit(MAX_INLINE_LABELS + 1).collect()]
+    if len(vals) > MAX_INLINE_LABELS:
+        raise ValueError(f"more than {MAX_INLINE_LABELS} classes is too many for a dense multi-hot encoding")
+    return sorted(vals)
 
 
 def multi_hot(labels: Column, classes: list[str]) -> Column:

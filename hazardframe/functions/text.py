@@ -210,6 +210,29 @@ JW_PREFIX_WEIGHT = 0.1
 JW_BOOST_THRESHOLD = 0.7
 
 
+def _two_product(a: Column, b: Column) -> tuple[Column, Column]:
+    """Dekker's error-free product: a*b = hi + lo exactly (doubles, no overflow range here)."""
+    split = 134217729.0  # 2^27 + 1
+    ca, cb = a * split, b * split
+    ah, bh = ca - (ca - a), cb - (cb - b)
+    al, bl = a - ah, b - bh
+    hi = a * b
+    lo = ((ah * bh - hi) + ah * bl + al * bh) + al * bl
+    return hi, lo
+
+
+def fma(a, b, c) -> Column:
+    """a*b + c with a single rounding (emulated with an error-free product and sum; Spark SQL
+    has no fused multiply-add). Used for the Winkler boost so scores equal the reference
+    library's bit for bit."""
+    a, b, c = _c(a) if not isinstance(a, (int, float)) else F.lit(float(a)), _c(b), _c(c)
+    hi, lo = _two_product(a, b)
+    s = c + hi
+    bb = s - c
+    err = (c - (s - bb)) + (hi - bb)
+    return s + (err + lo)
+
+
 def jaro_winkler(a, b) -> Column:
     """Jaro-Winkler similarity of two strings; 0.0 when either is empty.
 
@@ -244,7 +267,7 @@ def jaro_winkler(a, b) -> Column:
         prefix = F.size(F.filter(F.sequence(F.lit(1), F.greatest(cap, F.lit(1))),
                                  lambda k: (k <= cap) & (F.substring(a, 1, k) == F.substring(b, 1, k))))
         boosted = _let(jaro, lambda jv: F.when(jv > JW_BOOST_THRESHOLD,
-                                               jv + JW_PREFIX_WEIGHT * prefix * (1.0 - jv)).otherwise(jv))
+                                               fma(prefix * JW_PREFIX_WEIGHT, 1.0 - jv, jv)).otherwise(jv))
         return F.when(m == 0, F.lit(0.0)).otherwise(boosted)
 
     score = F.aggregate(F.sequence(F.lit(1), F.greatest(la, F.lit(1))), init,

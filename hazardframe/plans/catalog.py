@@ -256,7 +256,7 @@ FROM ({T.ROUTE_TEXTS_SQL}) r""")
 def q_parse_list_text(spark, d):
     r = T.route_list_texts(spark, d)
     items = TX.parse_list_text("route_text")
-    return r.select("l_orderkey", "l_linenumber", F.size(items).alias("n_items"),
+    return r.select("l_orderkey", "l_linenumber", F.size(items).cast("long").alias("n_items"),
                     F.array_join(items, "\u0001").alias("items"))
 
 
@@ -266,7 +266,7 @@ SELECT doc_id, len({OR.split_list_sql('text', '.')}) AS n_items,
 def q_split_lists(spark, d):
     docs = T.table(spark, d, "documents")
     items = TX.split_list("text", ".")
-    return docs.select("doc_id", F.size(items).alias("n_items"), F.array_join(items, "\u0001").alias("items"))
+    return docs.select("doc_id", F.size(items).cast("long").alias("n_items"), F.array_join(items, "\u0001").alias("items"))
 
 
 @register("route_sentences", f"""
@@ -363,7 +363,7 @@ SEGMENT_ORDER = ["MACHINERY", "AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"
 
 @register("custom_order", f"""
 SELECT c_custkey, c_nationkey, c_mktsegment,
-  list_position([{", ".join("'" + s + "'" for s in SEGMENT_ORDER)}], c_mktsegment) AS seg_order FROM customer""")
+  CAST(list_position([{", ".join("'" + s + "'" for s in SEGMENT_ORDER)}], c_mktsegment) AS BIGINT) AS seg_order FROM customer""")
 def q_custom_order(spark, d):
     from hazardframe.operators.labels import rank_in_order
     c = T.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")

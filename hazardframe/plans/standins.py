@@ -114,7 +114,10 @@ FROM part
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     li = table(spark, sf_dir, "lineitem")
-    price = li.groupBy(F.col("l_partkey").alias("CID")).agg(F.avg("l_extendedprice").alias("avg_price"))
+    # Mean of cent amounts as an exact integer sum over the count (no summation-order effects).
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    price = li.groupBy(F.col("l_partkey").alias("CID")).agg(
+        (F.sum(cents) / (F.count(F.lit(1)) * 100.0)).alias("avg_price"))
     return (part.select(F.col("p_partkey").alias("CID"), F.col("p_type").alias("Categories"),
                         F.col("p_brand").alias("Route"))
             .join(price, "CID", "left"))
@@ -122,7 +125,8 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ANNOTATIONS_SQL = """
 SELECT p.p_partkey AS CID, p.p_type AS Categories, p.p_brand AS Route, l.avg_price
-FROM part p LEFT JOIN (SELECT l_partkey, avg(l_extendedprice) AS avg_price FROM lineitem GROUP BY l_partkey) l
+FROM part p LEFT JOIN (SELECT l_partkey, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE)
+                               / (count(*) * 100.0)::DOUBLE AS avg_price FROM lineitem GROUP BY l_partkey) l
   ON p.p_partkey = l.l_partkey
 """
 

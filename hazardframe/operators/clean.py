@@ -71,11 +71,18 @@ def fill_values(df: DataFrame, cols: list[str] | None = None) -> dict:
         aggs.append(F.count(F.col(f"`{c}`")).alias(f"n__{c}"))
         if isinstance(fields[c], _NUMERIC):
             aggs.append(F.avg(F.col(f"`{c}`")).alias(f"v__{c}"))
-        elif isinstance(fields[c], T.StringType):
-            aggs.append(F.mode(F.col(f"`{c}`"), deterministic=True).alias(f"v__{c}"))
     row = df.agg(F.count(F.lit(1)).alias("__rows"), *aggs).first().asDict()  # one row
-    return {c: row.get(f"v__{c}") for c in cols
-            if row[f"n__{c}"] < row["__rows"] and row.get(f"v__{c}") is not None}
+    out = {c: row.get(f"v__{c}") for c in cols
+           if row[f"n__{c}"] < row["__rows"] and row.get(f"v__{c}") is not None}
+    for c in cols:
+        if isinstance(fields[c], T.StringType) and row[f"n__{c}"] < row["__rows"]:
+            # Mode as grouped counts + a distributed top-1 (never one map of all values in one
+            # task): most frequent first, smallest value among ties.
+            top = (df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+                   .filter(F.col("v").isNotNull()).orderBy(F.col("n").desc(), F.col("v")).first())
+            if top is not None:
+                out[c] = top["v"]
+    return out
 
 
 def fill_missing(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -131,7 +131,14 @@ def label_dataset(compounds: DataFrame, toxins: DataFrame, featurized: DataFrame
     carc = classify_first_match(F.coalesce(F.col("Carcinogenicity").cast("string"), F.lit("nan")))
     left = base.select(key, carc.alias("Carcinogenicity"), "desc_ok", *feature_cols)
     tox = toxins.select(key, "Categories", normalize_routes(F.col("`Route of Exposure`")).alias("Route"))
-    j = left.join(tox, key, "left")
+    # Left join written as inner join + anti join on distinct keys: AQE can split a toxin key
+    # held by a third of all rows in the inner join, which it cannot do for the build side of
+    # a left outer join; the anti side sees each key once.
+    matched = left.join(tox, key, "inner")
+    unmatched = (left.join(tox.select(key).distinct(), key, "left_anti")
+                 .withColumn("Categories", F.lit(None).cast("array<string>"))
+                 .withColumn("Route", F.lit(None).cast("array<string>")))
+    j = matched.unionByName(unmatched)
     return j.select(key, "Carcinogenicity", no_data_if_empty(F.col("Categories")).alias("Categories"),
                     F.coalesce(F.col("Route"), F.array(F.lit(NO_DATA))).alias("Route"), "desc_ok", *feature_cols)
 

@@ -77,10 +77,11 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Every (true class, predicted class) cell over the classes seen, zeros included."""
     cells = confusion_cells(pred, label, prediction)
-    classes = (cells.select(F.col("label").alias("c")).union(cells.select(F.col("prediction").alias("c")))
-               .distinct())
-    grid = classes.select(F.col("c").alias("label")).crossJoin(classes.select(F.col("c").alias("prediction")))
-    # The grid is classes x classes (K^2 rows, K = number of classes), never data-sized.
+    # The class list (K entries) is gathered into one array and exploded twice: K^2 grid rows
+    # from a single row, never data-sized and without a join.
+    classes = cells.agg(F.array_sort(F.array_union(F.collect_set("label"), F.collect_set("prediction"))).alias("k"))
+    grid = (classes.select(F.explode("k").alias("label"), "k")
+            .select("label", F.explode("k").alias("prediction")))
     return grid.join(cells, ["label", "prediction"], "left").select(
         "label", "prediction", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -99,14 +100,14 @@ def _label_cells(pred: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def label_counts(pred: DataFrame, classes: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """Per label TP, FP, FN, TN (TN = rows - TP - FP - FN), every class of ``classes``."""
-    n_rows = pred.agg(F.count(F.lit(1)).alias("n_rows"))
+    n_rows = pred.count()  # one scalar; true negatives = rows - TP - FP - FN
     c = (_label_cells(pred, truth, predicted).groupBy("label").agg(
         F.sum((F.col("t") & F.col("p")).cast("long")).alias("tp"),
         F.sum((~F.col("t") & F.col("p")).cast("long")).alias("fp"),
         F.sum((F.col("t") & ~F.col("p")).cast("long")).alias("fn")))
-    out = classes.select("label").join(c, "label", "left").crossJoin(n_rows)  # one-row side
-    return out.select("label", *[F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in ("tp", "fp", "fn")],
-                      "n_rows").withColumn("tn", F.col("n_rows") - F.col("tp") - F.col("fp") - F.col("fn")).drop("n_rows")
+    out = classes.select("label").join(c, "label", "left")
+    out = out.select("label", *[F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in ("tp", "fp", "fn")])
+    return out.withColumn("tn", (F.lit(n_rows) - F.col("tp") - F.col("fp") - F.col("fn")).cast("long"))
 
 
 def multilabel_report(pred: DataFrame, classes: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
@@ -144,12 +145,19 @@ def per_sample(pred: DataFrame, truth: str = "truth", predicted: str = "predicte
 
 def multilabel_metrics(pred: DataFrame, classes: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """Exact-match accuracy, micro precision / recall / F1, macro F1 (one row)."""
-    rep = multilabel_report(pred, classes, truth, predicted)
-    micro = rep.filter(F.col("row") == "micro avg").select(
-        F.col("precision").alias("precision_micro"), F.col("recall").alias("recall_micro"), F.col("f1").alias("f1_micro"))
-    macro = rep.filter(F.col("row") == "macro avg").select(F.col("f1").alias("f1_macro"))
-    acc = per_sample(pred, truth, predicted).agg(F.avg(F.col("exact").cast("double")).alias("subset_accuracy"))
-    return acc.crossJoin(micro).crossJoin(macro)  # three one-row frames
+    rep = multilabel_report(pred, classes, truth, predicted).filter(F.col("row").isin("micro avg", "macro avg"))
+    acc = per_sample(pred, truth, predicted).agg(F.avg(F.col("exact").cast("double")).alias("v"))
+    # Two small report rows and one scalar, combined as one row by a tagged union + pivot-style
+    # aggregate (no join).
+    parts = (rep.select(F.col("row").alias("k"), "precision", "recall", "f1")
+             .unionByName(acc.select(F.lit("subset").alias("k"), F.col("v").alias("precision"),
+                                     F.lit(None).cast("double").alias("recall"), F.lit(None).cast("double").alias("f1"))))
+    return parts.agg(
+        F.max(F.when(F.col("k") == "subset", F.col("precision"))).alias("subset_accuracy"),
+        F.max(F.when(F.col("k") == "micro avg", F.col("precision"))).alias("precision_micro"),
+        F.max(F.when(F.col("k") == "micro avg", F.col("recall"))).alias("recall_micro"),
+        F.max(F.when(F.col("k") == "micro avg", F.col("f1"))).alias("f1_micro"),
+        F.max(F.when(F.col("k") == "macro avg", F.col("f1"))).alias("f1_macro"))
 
 
 # ------------------------------------ tuning ---------------------------------------------------

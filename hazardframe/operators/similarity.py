@@ -83,10 +83,9 @@ def _scored_texts(texts: DataFrame, cand: DataFrame, threshold: float, broadcast
             qs = rq.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
             pairs = cs.join(qs, ["ls", "salt"]).drop("salt")
     else:
-        n_q = texts.count()
-        if n_q > broadcast_rows:
-            raise ValueError("threshold too low for a blocked similarity join over a large query set")
-        pairs = c.join(F.broadcast(rest), F.lit(True))  # bounded by the checked text count
+        # At or below JW = 2/3 no length bound exists and every pair is a candidate; that would
+        # be a cross join, which this operator does not run.
+        raise ValueError("the blocked similarity join needs a threshold above 2/3 (the reference uses 0.9)")
 
     l1, l2 = F.length("lname"), F.length("lq")
     if omin > 0 and overlap_bound:

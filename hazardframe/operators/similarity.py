@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from hazardframe.functions.text import jaro_winkler, letter_counts, overlap
 from hazardframe.functions.udfs import jaro_winkler_udf
+from hazardframe.session import shuffle_partitions
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def _jaro_floor(threshold: float) -> float:
@@ -41,7 +43,8 @@ def name_candidates(names: DataFrame, key: str = "CID", name_col: str = "Synonym
 
 
 def _scored_texts(texts: DataFrame, cand: DataFrame, threshold: float, broadcast_rows: int, salts: int,
-                  scorer: str, exact_first: bool, overlap_bound: bool) -> DataFrame:
+                  scorer: str, exact_first: bool, overlap_bound: bool,
+                  broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """(lq, lname, score, key, name) for distinct lower-cased query texts ``lq``."""
     jmin = _jaro_floor(threshold)
     # Bounds are loosened by 1e-9 so floating-point rounding can only keep extra pairs.
@@ -61,7 +64,7 @@ def _scored_texts(texts: DataFrame, cand: DataFrame, threshold: float, broadcast
     # The pair join fans out (each name meets every text of a compatible length), so the work
     # follows the number of name partitions. AQE would coalesce a small name table into one
     # partition; an explicit partition count is kept as is.
-    n_parts = int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = shuffle_partitions(cand.sparkSession)
     c = cand.select("lname", "rep", F.length("lname").alias("ls")).filter(F.col("ls") > 0).repartition(n_parts)
     if overlap_bound:
         # Letter counts are computed once per row on each side, not once per pair.
@@ -73,10 +76,13 @@ def _scored_texts(texts: DataFrame, cand: DataFrame, threshold: float, broadcast
         hi = (F.ceil(lq_len / rmin) - 1).cast("int")
         rq = rest.filter(lq_len > 0).withColumn("ls", F.explode(F.sequence(lo, F.greatest(lo, hi))))
         rq = rq.filter(F.col("ls") <= hi)
-        # Size check for the broadcast: an upper bound of the exploded text side, computed
-        # from the distinct texts alone (a small job that does not touch the name table).
-        n_q = texts.agg(F.sum(F.greatest(hi - lo + 1, F.lit(0)))).first()[0] or 0
-        if n_q <= broadcast_rows:
+        # Size check for the broadcast: rows and bytes of the exploded text side, computed from
+        # the distinct texts alone (a small job that does not touch the name table).
+        n_rows = F.greatest(hi - lo + 1, F.lit(0))
+        size = texts.agg(F.sum(n_rows).alias("rows"),
+                         F.sum(n_rows * (F.length("lq") * 4 + 32)).alias("bytes")).first()
+        n_q, n_bytes = (size["rows"] or 0), (size["bytes"] or 0)
+        if n_q <= broadcast_rows and n_bytes <= broadcast_bytes:
             pairs = c.join(F.broadcast(rq), "ls")
         else:
             cs = c.withColumn("salt", F.pmod(F.xxhash64("lname"), F.lit(salts)))

@@ -780,7 +780,8 @@ SELECT k.CID, k.Synonyms, s.SMILES FROM ({_KEPT_SQL}) k JOIN ({T.STRUCTURES_SQL}
 def q_keyed_tables(spark, d):
     import uuid
     tag = uuid.uuid4().hex[:8]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    from hazardframe.session import shuffle_partitions
+    n = shuffle_partitions(spark)
     names = IO.save_keyed_table(N.prune_names(T.synonyms(spark, d)), f"synonyms_{tag}", "CID", n)
     smiles = IO.save_keyed_table(T.structures(spark, d), f"smiles_{tag}", "CID", n)
     return names.join(smiles, "CID").select("CID", "Synonyms", "SMILES")

@@ -49,12 +49,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     The cluster's own setting always wins. Only when it is unset (local tests) a fresh scratch
     folder is created and registered, so ``DataFrame.checkpoint()`` works everywhere.
     """
-    conf = spark.sparkContext.getConf()
-    d = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = None
+    try:  # a classic session; a remote (Connect) session has no SparkContext
+        sc = spark.sparkContext
+        d = d or sc.getConf().get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001
+        pass
     if not d:
         d = tempfile.mkdtemp(prefix="hf-ckpt-", dir=os.environ.get("HF_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - static conf on some deployments
+            pass
+    if sc is not None:
+        sc.setCheckpointDir(d)
     return d
 
 
@@ -75,8 +84,20 @@ def ensure_parallelism(df, min_partitions: int | None = None):
     enough partitions (any large input) is returned unchanged, so no shuffle is added at scale.
     Checking the partition count plans the scan but runs no job.
     """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - remote sessions expose no RDDs; keep the source as is
+        return df
+    return df.repartition(target) if n < target else df
+
+
+def shuffle_partitions(spark) -> int:
+    """The session's shuffle partition count as a number (falls back to the parallelism)."""
+    try:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        try:
+            return spark.sparkContext.defaultParallelism
+        except Exception:  # noqa: BLE001
+            return 200

@@ -41,7 +41,8 @@ def collapse_newlines(col) -> Column:
 def normalize_text(col) -> Column:
     """H4: missing -> '', whitespace runs -> one space, trimmed, lower case."""
     c = F.coalesce(_c(col), F.lit(""))
-    return F.lower(strip_ws(F.regexp_replace(c, rf"(?U){WS_CLASS}+", " ")))
+    # After every whitespace run became one space, trimming spaces is the whole strip.
+    return F.lower(F.trim(F.regexp_replace(c, rf"(?U){WS_CLASS}+", " ")))
 
 
 def split_words(col) -> Column:

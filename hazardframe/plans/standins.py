@@ -449,23 +449,27 @@ RETRY_OK_SQL = f"""SELECT DISTINCT f.cid FROM ({FIRST_PASS_SQL}) f
 # ---------------------------------------------------------------------------------------------
 
 def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compounds: structure text and a hazard statement, both chosen by data columns of the
+    part (size, name), not by the key - so no predicate on them is a predicate on the key."""
     s = structures(spark, sf_dir)
-    k = F.col("CID")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("CID"), "p_size", "p_name")
     n = len(HAZARD_PHRASES)
-    ph = F.array(*[F.lit(p) for p in HAZARD_PHRASES])
+    ph = F.array(*[F.lit(x) for x in HAZARD_PHRASES])
+    pick = F.pmod(F.col("p_size") * 31 + F.length("p_name"), F.lit(n)) + 1
     smiles = F.when(F.length("SMILES") == 11, F.concat(F.col("SMILES"), F.lit("("))).otherwise(F.col("SMILES"))
-    carc = F.when(F.pmod(k, F.lit(17)) == 0, F.lit(None).cast("string")).otherwise(
-        F.element_at(ph, (F.pmod(k, F.lit(n)) + 1).cast("int")))
-    return s.select("CID", smiles.alias("SMILES"), carc.alias("Carcinogenicity"))
+    carc = F.when(F.pmod(F.col("p_size"), F.lit(17)) == 0, F.lit(None).cast("string")).otherwise(
+        F.element_at(ph, pick.cast("int")))
+    return s.join(p, "CID").select("CID", smiles.alias("SMILES"), carc.alias("Carcinogenicity"))
 
 
 def _phrases_sql(items):
     return "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in items) + "]"
 
 
-COMPOUNDS_SQL = f"""SELECT CID, CASE WHEN length(SMILES) = 11 THEN SMILES || '(' ELSE SMILES END AS SMILES,
-  CASE WHEN CID % 17 = 0 THEN NULL ELSE {_phrases_sql(HAZARD_PHRASES)}[CID % {len(HAZARD_PHRASES)} + 1] END AS Carcinogenicity
-FROM ({STRUCTURES_SQL}) s"""
+COMPOUNDS_SQL = f"""SELECT s.CID, CASE WHEN length(s.SMILES) = 11 THEN s.SMILES || '(' ELSE s.SMILES END AS SMILES,
+  CASE WHEN p.p_size % 17 = 0 THEN NULL
+       ELSE {_phrases_sql(HAZARD_PHRASES)}[(p.p_size * 31 + length(p.p_name)) % {len(HAZARD_PHRASES)} + 1] END AS Carcinogenicity
+FROM ({STRUCTURES_SQL}) s JOIN part p ON p.p_partkey = s.CID"""
 
 
 def toxins(spark: SparkSession, sf_dir: str) -> DataFrame:

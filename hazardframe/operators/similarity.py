@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from hazardframe.functions.text import jaro_winkler, letter_counts, overlap
 from hazardframe.functions.udfs import jaro_winkler_udf
-from hazardframe.session import shuffle_partitions
+from hazardframe.session import checkpoint_dir, shuffle_partitions
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -171,6 +171,10 @@ def annotate(matches: DataFrame, structures: DataFrame, annotations: DataFrame,
     """
     structure_cols = structure_cols or [c for c in structures.columns if c != key]
     annotation_cols = annotation_cols or [c for c in annotations.columns if c != key]
+    # The matches feed three branches (main side and two key sets); a reliable checkpoint in the
+    # shared checkpoint folder computes the similarity search once and cuts its lineage.
+    checkpoint_dir(matches.sparkSession)
+    matches = matches.checkpoint(eager=True)
     keys = matches.select(key).filter(F.col(key).isNotNull())
     s = first_per_key(structures.join(keys, key, "left_semi"), key, structure_cols)
     a = first_per_key(annotations.join(keys, key, "left_semi"), key, annotation_cols)

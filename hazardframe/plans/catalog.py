@@ -176,7 +176,7 @@ def q_ocr_summary(spark, d):
 @register("normalize_text", f"""
 SELECT doc_id, {OT.normalize_sql('text')} AS norm_text FROM documents""")
 def q_normalize_text(spark, d):
-    return T.table(spark, d, "documents").select("doc_id", TX.normalize_text("text").alias("norm_text"))
+    return T.table(spark, d, "documents", spread=True).select("doc_id", TX.normalize_text("text").alias("norm_text"))
 
 
 @register("missing_keys", """
@@ -210,7 +210,7 @@ def q_classify_first_match(spark, d):
 @register("classify_documents", f"""
 SELECT doc_id, {OR.classify_first_match_sql('text')} AS hazard_class FROM documents""")
 def q_classify_documents(spark, d):
-    docs = T.table(spark, d, "documents").select("doc_id", "text")
+    docs = T.table(spark, d, "documents", spread=True).select("doc_id", "text")
     return docs.select("doc_id", RU.classify_first_match("text").alias("hazard_class"))
 
 
@@ -264,7 +264,7 @@ def q_parse_list_text(spark, d):
 SELECT doc_id, len({OR.split_list_sql('text', '.')}) AS n_items,
   array_to_string({OR.split_list_sql('text', '.')}, chr(1)) AS items FROM documents""")
 def q_split_lists(spark, d):
-    docs = T.table(spark, d, "documents")
+    docs = T.table(spark, d, "documents", spread=True)
     items = TX.split_list("text", ".")
     return docs.select("doc_id", F.size(items).cast("long").alias("n_items"), F.array_join(items, "\u0001").alias("items"))
 
@@ -273,7 +273,7 @@ def q_split_lists(spark, d):
 SELECT doc_id, array_to_string({OR.normalize_routes_sql(OR.split_list_sql('text', '.'))}, '|') AS routes
 FROM documents""")
 def q_route_sentences(spark, d):
-    docs = T.table(spark, d, "documents")
+    docs = T.table(spark, d, "documents", spread=True)
     return docs.select("doc_id", F.array_join(RU.normalize_routes(TX.split_list("text", ".")), "|").alias("routes"))
 
 

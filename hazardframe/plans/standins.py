@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from hazardframe.session import ensure_parallelism
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; spread over the cores when its file has a single split (the test
-    tables are single row-group files; large inputs already have many splits)."""
-    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One driver table. ``spread=True`` for inputs that feed heavy per-row work (regex rules,
+    JSON parsing, descriptors): a single-split file is then spread over the cores. Cheap
+    projections read the file as it is (the round-robin shuffle would cost more than it
+    saves). Large inputs already have many splits and are never reshuffled."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(df) if spread else df
 
 
 # ---------------------------------------------------------------------------------------------
@@ -94,7 +97,7 @@ FROM (SELECT p_partkey, p_name, (p_partkey % greatest(length(p_name) - 1, 1)) +
 def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure text from the part's size and name (a data column, like a real structure
     column - not a function of the key alone)."""
-    part = table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part", spread=True)
     z = F.col("p_size")
     tail = (F.when(F.pmod(z, F.lit(3)) == 0, F.lit("O"))
             .when(F.pmod(z, F.lit(3)) == 1, F.lit("N")).otherwise(F.lit("(=O)O")))
@@ -195,7 +198,7 @@ HAZARD_PHRASES = [
 
 
 def hazard_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders", spread=True)
     n = len(HAZARD_PHRASES)
     ph = F.array(*[F.lit(p) for p in HAZARD_PHRASES])
     k = F.col("o_orderkey")
@@ -224,7 +227,7 @@ ROUTE_ITEMS = [
 
 
 def route_list_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", spread=True)
     n = len(ROUTE_ITEMS)
     items = F.array(*[F.lit(p) for p in ROUTE_ITEMS])
 
@@ -283,7 +286,7 @@ MULTILABEL_CLASSES = ["bulk", "discounted", "returned", "rush", "untaxed"]
 
 
 def multilabel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", spread=True)
 
     def lst(*items):
         return F.filter(F.array(*items), lambda x: x.isNotNull())
@@ -309,7 +312,7 @@ FROM lineitem"""
 # ---------------------------------------------------------------------------------------------
 
 def label_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", spread=True)
     labels = F.filter(F.array(
         F.concat(F.lit("rf"), F.col("l_returnflag")),
         F.concat(F.lit("p"), F.pmod(F.col("l_partkey"), F.lit(1500)).cast("string")),
@@ -395,7 +398,7 @@ def _pieces_sql(parts):
 
 
 def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", spread=True)
     k = F.pmod(F.col("event_id"), F.lit(len(DOC_CASES)))
     doc = None
     for i, parts in enumerate(DOC_CASES):
@@ -475,7 +478,7 @@ FROM ({STRUCTURES_SQL}) s JOIN part p ON p.p_partkey = s.CID"""
 def toxins(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hazardframe.functions.text import split_list
 
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", spread=True)
     n = len(ROUTE_ITEMS)
     items = F.array(*[F.lit(p) for p in ROUTE_ITEMS])
     cats = F.when(F.col("l_returnflag") == "N", F.lit(None).cast("array<string>")).otherwise(

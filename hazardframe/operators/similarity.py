@@ -107,7 +107,14 @@ def _scored_texts(texts: DataFrame, cand: DataFrame, threshold: float, broadcast
 
 
 def _prepare(queries, names, qid, query_col, key, name_col, candidates, scorer, overlap_bound):
-    cand = candidates if candidates is not None else name_candidates(names, key, name_col)
+    if candidates is not None:
+        cand = candidates
+    else:
+        # The candidate table feeds the exact branch twice and the fuzzy branch once; without a
+        # cut, the name table would be scanned, filtered and aggregated three times (seen in the
+        # event log). A reliable checkpoint in the shared folder materialises it once.
+        checkpoint_dir(names.sparkSession)
+        cand = name_candidates(names, key, name_col).checkpoint(eager=True)
     if overlap_bound is None:
         # Measured: with the Arrow scorer it is cheaper to score every length-compatible pair
         # than to evaluate the letter-overlap bound on the JVM (which Catalyst folds into the

@@ -28,6 +28,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     """Return the active session, or build a local one (tests, bench)."""
     active = SparkSession.getActiveSession()
     if active is not None:
+        ship_package(active)
         return active
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -40,6 +41,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -101,3 +103,29 @@ def shuffle_partitions(spark) -> int:
             return spark.sparkContext.defaultParallelism
         except Exception:  # noqa: BLE001
             return 200
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark) -> None:
+    """Make ``hazardframe`` importable in Python workers (Arrow UDF, mapInPandas).
+
+    The package is zipped once and added with ``addPyFile``, the standard way to send Python
+    code to executors; workers put it on their path for every task. Done once per context.
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote sessions ship code differently (spark.addArtifacts)
+        return
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    from pathlib import Path
+
+    pkg = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="hf-pkg-")) / "hazardframe_pkg"
+    archive = shutil.make_archive(str(out), "zip", root_dir=str(pkg.parent), base_dir=pkg.name)
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)

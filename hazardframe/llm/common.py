@@ -43,3 +43,9 @@ def packed(df: DataFrame) -> DataFrame:
 
 def unpacked(df: DataFrame) -> DataFrame:
     return df.select("row.*")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1024, size: int = 32 << 20) -> None:
+    """Arrow batches for the Python operators: few rows each, as single texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

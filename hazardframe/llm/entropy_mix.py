@@ -12,7 +12,8 @@ Multipliers stay in a table; the driver sees one number per step, the largest re
 
 Rates are rounded into whole copies by systematic rounding along the sizes of a source, so a
 source's words miss the target by less than one of its largest documents; of 16 starting points the
-one with the smallest miss is taken. Within a cell the documents with the smallest hashed ids get
+one with the smallest miss is taken, and one copy more or less, of the size nearest to what is still
+missed, makes up for that. Within a cell the documents with the smallest hashed ids get
 the extra copies; cells are ranked in pieces of bounded size, so a third of all rows in one cell
 is no single task.
 
@@ -119,8 +120,15 @@ def _cell_copies(cells: DataFrame, state: DataFrame, cap: int) -> DataFrame:
 
     tries = c.groupBy("key").agg(F.first("target").alias("aim"), *[F.sum(copies(F.lit(k / STARTS)) * F.col("size")).alias(f"t{k}") for k in range(STARTS)])
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("aim")).alias("miss"), F.lit(k / STARTS).alias("start")) for k in range(STARTS)]))
-    c = c.join(tries.select("key", best.getField("start").alias("start")), "key")
-    return c.select("key", "size", "docs", "rate", F.greatest(F.lit(0), F.least(cap * F.col("docs"), copies(F.col("start")))).cast("long").alias("copies"))
+    c = c.join(tries.select("key", "aim", best.getField("start").alias("start")), "key")
+    c = c.select("key", "size", "docs", "rate", "aim", F.greatest(F.lit(0), F.least(cap * F.col("docs"), copies(F.col("start")))).cast("long").alias("copies"))
+    over = F.sum(F.col("copies") * F.col("size")).over(Window.partitionBy("key")) - F.col("aim")
+    can = F.when(F.col("over") > 0, F.col("copies") > 0).otherwise(F.col("copies") < cap * F.col("docs"))
+    left = F.abs(F.abs("over") - F.col("size"))
+    c = c.withColumn("over", over).withColumn("left", F.when(can & (left < F.abs("over")), left))
+    pick = F.row_number().over(Window.partitionBy("key").orderBy(F.col("left").asc_nulls_last(), "size"))
+    fix = F.when((F.col("pick") == 1) & F.col("left").isNotNull(), -F.signum("over")).otherwise(0).cast("long")
+    return c.withColumn("pick", pick).select("key", "size", "docs", "rate", (F.col("copies") + fix).alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",

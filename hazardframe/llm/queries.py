@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import entropy_mix, exact_dedup
+from hazardframe.llm import entropy_mix, exact_dedup, token_counts
 
 QUERIES = {
+    "op3_token_counts": token_counts.op3_token_counts,
     "op5_entropy_mix": entropy_mix.op5_entropy_mix,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }

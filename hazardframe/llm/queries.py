@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import entropy_mix, exact_dedup, token_counts
+from hazardframe.llm import arrow_ids, entropy_mix, exact_dedup, token_counts, vector_pack
 
 QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op5_entropy_mix": entropy_mix.op5_entropy_mix,
+    "op7_arrow_ids": arrow_ids.op7_arrow_ids,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_vector_pack": vector_pack.op10_vector_pack,
 }
 
 ORACLE_SQL = {

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import arrow_ids, entropy_mix, exact_dedup, token_counts, vector_pack
+from hazardframe.llm import arrow_ids, entropy_mix, exact_dedup, quality_ppl, token_counts, vector_pack
 
 QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_quality_ppl": quality_ppl.op4_quality_ppl,
     "op5_entropy_mix": entropy_mix.op5_entropy_mix,
     "op7_arrow_ids": arrow_ids.op7_arrow_ids,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,

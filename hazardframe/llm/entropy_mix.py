@@ -38,7 +38,7 @@ CAP = 2
 TOLERANCE = 1e-7
 MAX_STEPS = 60
 STARTS = 16
-PIECE = 20_000
+PIECE = 256
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:

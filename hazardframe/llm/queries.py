@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import arrow_ids, entropy_mix, exact_dedup, quality_ppl, token_counts, vector_pack
+from hazardframe.llm import arrow_ids, entropy_mix, exact_dedup, quality_ppl, token_counts, toxicity, vector_pack
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_quality_ppl": quality_ppl.op4_quality_ppl,
     "op5_entropy_mix": entropy_mix.op5_entropy_mix,

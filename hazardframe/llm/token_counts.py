@@ -118,6 +118,19 @@ def pretoken_table(docs: DataFrame, text_col: str, model: str) -> DataFrame:
     return spool(found.mapInArrow(encode, "key string, n long, pieces int"), "token-counts")
 
 
+def _most_frequent(table: DataFrame, head: int) -> DataFrame:
+    """At most ``head`` short keys: those of the highest frequency classes (eighths of powers of two) that fit,
+    so that the driver gets them and no more."""
+    short = table.filter(F.length("key") <= MAX_HEAD_KEY).withColumn("class", F.floor(F.log2("n") * 8))
+    least, room = None, head
+    for r in sorted(short.groupBy("class").agg(F.count(F.lit(1)).alias("keys")).collect(), key=lambda r: -r["class"]):
+        room -= r["keys"]
+        if room < 0:
+            break
+        least = r["class"]
+    return short.filter(F.col("class") >= least if least is not None else F.lit(False)).select("key", "pieces")
+
+
 def _document_counts(head):
     def run(batches):
         known = head.value
@@ -152,7 +165,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     bounded_batches(spark)
     table = pretoken_table(docs, text_col, model)
-    top = (table.filter(F.length("key") <= MAX_HEAD_KEY).orderBy(F.desc("n"), "key").limit(head).select("key", "pieces").toPandas())
+    top = _most_frequent(table, head).toPandas()
     known = spark.sparkContext.broadcast(dict(zip(top["key"], top["pieces"].tolist())))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     id_type = rows.schema["id"].dataType.simpleString()

@@ -248,8 +248,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     bounded_batches(spark)
     model = _Shared(spark, character_model(docs, text_col))
-    picked = (labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("id is not null and y in (0, 1)")
-              .orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS))
+    given = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("id is not null and y in (0, 1)")
+    share = TRAIN_ROWS * 1.1 / max(1, given.count())  # a little more than fits, then the exact number
+    picked = (given.withColumn("hash", F.xxhash64("id")).filter(F.pmod("hash", F.lit(1 << 30)) < min(1.0, share) * (1 << 30))
+              .orderBy(F.pmod("hash", F.lit(1 << 30)), "id").limit(TRAIN_ROWS).drop("hash"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     train = spool(texts.join(F.broadcast(picked), "id").select("text", "y"), "toxic-train")
     n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import arrow_ids, entropy_mix, exact_dedup, jaccard_join, quality_ppl, suffix_dedup, token_counts, toxicity, vector_pack
+from hazardframe.llm import arrow_ids, entropy_mix, exact_dedup, jaccard_join, pii_crf, quality_ppl, suffix_dedup, token_counts, toxicity, vector_pack
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_quality_ppl": quality_ppl.op4_quality_ppl,
     "op5_entropy_mix": entropy_mix.op5_entropy_mix,
+    "op6_pii_crf": pii_crf.op6_pii_crf,
     "op7_arrow_ids": arrow_ids.op7_arrow_ids,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,

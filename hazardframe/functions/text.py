@@ -211,7 +211,7 @@ JW_PREFIX_WEIGHT = 0.1
 JW_BOOST_THRESHOLD = 0.7
 
 
-def _two_product(a: Column, b: Column) -> tuple[Column, Column]:
+def two_product(a: Column, b: Column) -> tuple[Column, Column]:
     """Dekker's error-free product: a*b = hi + lo exactly (doubles, no overflow range here)."""
     split = 134217729.0  # 2^27 + 1
     ca, cb = a * split, b * split
@@ -227,7 +227,7 @@ def fma(a, b, c) -> Column:
     has no fused multiply-add). Used for the Winkler boost so scores equal the reference
     library's bit for bit."""
     a, b, c = _c(a) if not isinstance(a, (int, float)) else F.lit(float(a)), _c(b), _c(c)
-    hi, lo = _two_product(a, b)
+    hi, lo = two_product(a, b)
     s = c + hi
     bb = s - c
     err = (c - (s - bb)) + (hi - bb)

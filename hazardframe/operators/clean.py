@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,12 @@ class CleanReport:
     missing_drop: list[str] = field(default_factory=list)
     missing_list: list[str] = field(default_factory=list)
     missing_newline: list[str] = field(default_factory=list)
+    removed: Observation | None = None
+
+    def removed_duplicates(self) -> int:
+        """Rows that de-duplication took out; known after an action on the cleaned frame."""
+        got = self.removed.get
+        return got["rows"] - got["distinct"]
 
 
 def normalize_names(df: DataFrame) -> DataFrame:
@@ -45,9 +51,15 @@ def select_columns(df: DataFrame, keep: list[str] | None = None, drop: list[str]
     return df
 
 
-def dedupe(df: DataFrame) -> DataFrame:
-    """Whole-row de-duplication (partial de-duplication before the shuffle)."""
-    return df.dropDuplicates()
+def dedupe(df: DataFrame, report: CleanReport | None = None) -> DataFrame:
+    """Whole-row de-duplication (partial de-duplication before the shuffle). With a report the
+    number of removed rows is observed in the same pass: equal rows are counted while they merge."""
+    if report is None:
+        return df.dropDuplicates()
+    report.removed = Observation()
+    counted = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    counted = counted.observe(report.removed, F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct"))
+    return counted.drop("__n")
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -61,27 +73,34 @@ def trim_strings(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.select(*[strip_ws(F.col(f"`{c}`")).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns])
 
 
+def _known(field: T.StructField) -> Column:
+    """A column with NaN as missing too."""
+    c = F.col(f"`{field.name}`")
+    return F.when(~F.isnan(c), c) if isinstance(field.dataType, (T.DoubleType, T.FloatType)) else c
+
+
 def fill_values(df: DataFrame, cols: list[str] | None = None) -> dict:
-    """D7 statistics in one aggregate: mean for numbers, smallest most-frequent value for text,
-    only for columns that have a missing value."""
+    """D7 statistics: mean for numbers, smallest most-frequent value for text, only for columns
+    that have a missing value (NULL, or NaN in a floating column). One aggregate for counts and
+    means, one for the modes of all text columns together."""
     cols = df.columns if cols is None else cols
-    fields = {f.name: f.dataType for f in df.schema.fields}
+    fields = {f.name: f for f in df.schema.fields}
     aggs = []
     for c in cols:
-        aggs.append(F.count(F.col(f"`{c}`")).alias(f"n__{c}"))
-        if isinstance(fields[c], _NUMERIC):
-            aggs.append(F.avg(F.col(f"`{c}`")).alias(f"v__{c}"))
+        aggs.append(F.count(_known(fields[c])).alias(f"n__{c}"))
+        if isinstance(fields[c].dataType, _NUMERIC):
+            aggs.append(F.avg(_known(fields[c])).alias(f"v__{c}"))
     row = df.agg(F.count(F.lit(1)).alias("__rows"), *aggs).first().asDict()  # one row
-    out = {c: row.get(f"v__{c}") for c in cols
-           if row[f"n__{c}"] < row["__rows"] and row.get(f"v__{c}") is not None}
-    for c in cols:
-        if isinstance(fields[c], T.StringType) and row[f"n__{c}"] < row["__rows"]:
-            # Mode as grouped counts + a distributed top-1 (never one map of all values in one
-            # task): most frequent first, smallest value among ties.
-            top = (df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-                   .filter(F.col("v").isNotNull()).orderBy(F.col("n").desc(), F.col("v")).first())
-            if top is not None:
-                out[c] = top["v"]
+    gaps = [c for c in cols if row[f"n__{c}"] < row["__rows"]]
+    out = {c: row[f"v__{c}"] for c in gaps if row.get(f"v__{c}") is not None}
+    texts = [c for c in gaps if isinstance(fields[c].dataType, T.StringType)]
+    if texts:
+        # (column, value) counts of all text columns in one pass, then the best value per column:
+        # most frequent first, smallest among ties.
+        pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").alias("v")) for c in texts])))
+        counts = pairs.filter(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        best = counts.groupBy("c").agg(F.min(F.struct((-F.col("n")).alias("n"), "v"))["v"].alias("v"))
+        out.update({r["c"]: r["v"] for r in best.collect()})  # one row per text column
     return out
 
 
@@ -89,13 +108,13 @@ def fill_missing(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Numeric columns with gaps become DOUBLE filled with their mean; text columns with
     gaps get their (smallest) mode."""
     vals = fill_values(df, cols)
-    fields = {f.name: f.dataType for f in df.schema.fields}
+    fields = {f.name: f for f in df.schema.fields}
     out = []
     for c in df.columns:
         col = F.col(f"`{c}`")
         if c in vals:
-            if isinstance(fields[c], _NUMERIC):
-                col = F.coalesce(col.cast("double"), F.lit(float(vals[c])))
+            if isinstance(fields[c].dataType, _NUMERIC):
+                col = F.coalesce(_known(fields[c]).cast("double"), F.lit(float(vals[c])))
             else:
                 col = F.coalesce(col, F.lit(vals[c]))
         out.append(col.alias(c))
@@ -133,7 +152,7 @@ def clean_table(df: DataFrame, drop_columns=None, keep_columns=None, drop_duplic
         df = normalize_names(df)
     df = select_columns(df, names(keep_columns), names(drop_columns), report)
     if drop_duplicates:
-        df = dedupe(df)
+        df = dedupe(df, report)
     if trim:
         df = trim_strings(df)
     if fill:
@@ -146,9 +165,14 @@ def clean_table(df: DataFrame, drop_columns=None, keep_columns=None, drop_duplic
     return df, report
 
 
+# Decimal numbers with an optional exponent; Java literals such as 12d or 0x1p4 are no numbers.
+DECIMAL_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def coerce_key(col) -> Column:
-    """Text -> number -> nullable BIGINT; unparsable, fractional or infinite -> NULL."""
-    d = _c(col).try_cast("double")
+    """Text -> decimal number -> nullable BIGINT; unparsable, fractional or infinite -> NULL."""
+    text = F.trim(_c(col).cast("string"))
+    d = F.when(text.rlike(DECIMAL_NUMBER), text.try_cast("double"))
     ok = d.isNotNull() & ~F.isnan(d) & (d == F.floor(d)) & (F.abs(d) < F.lit(9.2e18))
     return F.when(ok, d.cast("long"))
 

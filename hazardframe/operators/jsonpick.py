@@ -96,21 +96,25 @@ def is_skipped(value: Column, source: Column) -> Column:
 
 
 def retry_merge(first: DataFrame, retry: DataFrame, key: str = "cid", order: str = "row_id",
-                value: str = "value", source: str = "source") -> tuple[DataFrame, DataFrame]:
+                value: str = "value", source: str = "source", retry_order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Apply successful retry results; return (merged rows, failed ledger).
 
     ``first``: one row per input row (key, order, value, source). ``retry``: one row per retried
-    key (key, value, source). A retry succeeds when its value is not 'Not Available' and its
-    source is not 'Unknown'; it replaces the first-pass result on the first input row of that
-    key (smallest ``order``). The ledger keeps the skipped rows whose key did not succeed.
-    The first row per key comes from a grouped minimum (map-side combined), not a window, so a
-    key held by a third of the rows is never sorted in one task.
+    attempt (key, value, source). A retry succeeds when its value is not 'Not Available' and its
+    source is not 'Unknown'; of several successes of a key the last one counts (greatest
+    ``retry_order``, or without it the greatest (source, value)). It replaces the first-pass
+    result on the first input row of that key (smallest ``order``). The ledger keeps the skipped
+    rows whose key did not succeed.
+
+    Successes are first reduced to (key, first row): a pair that one input row has at most, so
+    the join that touches all rows has no hot key, whatever the keys are.
     """
-    ok = retry.filter(~((F.col(value) == NOT_AVAILABLE) | (F.col(source) == UNKNOWN))).select(
-        key, F.col(value).alias("__rv"), F.col(source).alias("__rs"))
-    firsts = first.groupBy(key).agg(F.min(order).alias("__first"))
-    m = (first.join(firsts, key, "left").join(ok, key, "left")
-         .withColumn("__hit", F.col("__rv").isNotNull() & (F.col(order) == F.col("__first"))))
+    picked = F.struct(*([F.col(retry_order).alias("o")] if retry_order else []), F.col(source).alias("__rs"), F.col(value).alias("__rv"))
+    ok = (retry.filter(~((F.col(value) == NOT_AVAILABLE) | (F.col(source) == UNKNOWN)))
+          .groupBy(key).agg(F.max(picked).alias("r")).select(key, "r.__rv", "r.__rs"))
+    firsts = first.groupBy(key).agg(F.min(order).alias(order))
+    hits = ok.join(firsts, key).withColumn("__hit", F.lit(True))
+    m = first.join(hits, [key, order], "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
     merged = m.select(*[c for c in first.columns if c not in (value, source)],
                       F.when(F.col("__hit"), F.col("__rv")).otherwise(F.col(value)).alias(value),
                       F.when(F.col("__hit"), F.col("__rs")).otherwise(F.col(source)).alias(source))

@@ -3,13 +3,13 @@ label filtering (C8/G4/F5/H12) and multi-hot encoding (G6)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardframe.functions.text import truncate_text
 
-# Largest frequent-label set that is inlined as a literal array; above it the filter becomes an
-# explode + semi-join + regroup by row (shuffles, but no size limit).
+# Largest frequent-label set that is inlined as a literal array; above it the distinct lists are
+# filtered by a semi-join of their items (shuffles, but no size limit, and the same rows).
 MAX_INLINE_LABELS = 10_000
 
 
@@ -51,35 +51,39 @@ def frequent_labels(freq: DataFrame, min_count: int = 50) -> tuple[DataFrame, Da
     return freq.filter(F.col("n") > min_count), freq.filter(F.col("n") <= min_count)
 
 
-def keep_labels(df: DataFrame, labels_col: str, keep: DataFrame, row_key: str,
-                label_col: str = "label") -> DataFrame:
+def keep_labels(df: DataFrame, labels_col: str, keep: DataFrame, label_col: str = "label",
+                inline_limit: int = MAX_INLINE_LABELS) -> DataFrame:
     """Keep only list items found in ``keep``; rows left with no label are dropped.
 
-    The label set is counted first. Up to ``MAX_INLINE_LABELS`` it is inlined as a literal
-    array (no shuffle of the rows); beyond that the lists are exploded with positions,
-    semi-joined to the set and regrouped per row, so no size limit applies.
+    Up to ``inline_limit`` labels the set becomes a hash-set literal (no shuffle of the rows).
+    Beyond that each *distinct* list is filtered once by a semi-join of its items and rows find
+    their filtered list by the list itself, so rows need no key of their own and repeated rows
+    stay repeated.
     """
-    # One bounded fetch doubles as the size check: at most MAX_INLINE_LABELS + 1 rows come back.
-    vals = [r[0] for r in keep.select(label_col).limit(MAX_INLINE_LABELS + 1).collect()]
-    if len(vals) <= MAX_INLINE_LABELS:
+    # One bounded fetch doubles as the size check: at most inline_limit + 1 rows come back.
+    vals = [r[0] for r in keep.select(label_col).limit(inline_limit + 1).collect()]
+    if len(vals) <= inline_limit:
         # ``isin`` over a literal list becomes a hash-set lookup (InSet), not a linear scan.
         out = df.withColumn(labels_col, F.filter(labels_col, lambda x: x.isin(*vals) if vals else F.lit(False)))
-    else:
-        ex = df.select(row_key, F.posexplode(labels_col).alias("pos", "__l"))
-        ex = ex.join(keep.select(F.col(label_col).alias("__l")), "__l", "left_semi")
-        lists = (ex.groupBy(row_key)
-                 .agg(F.array_sort(F.collect_list(F.struct("pos", "__l"))).alias("__s"))
-                 .select(row_key, F.transform("__s", lambda s: s["__l"]).alias(labels_col)))
-        out = df.drop(labels_col).join(lists, row_key, "left")
-    return out.filter(F.size(F.coalesce(F.col(labels_col), F.array().cast("array<string>"))) > 0)
+        return out.filter(F.size(F.coalesce(F.col(labels_col), F.array().cast("array<string>"))) > 0)
+    lists = df.select(F.col(labels_col).alias("__list")).filter(F.col("__list").isNotNull()).distinct()
+    items = lists.select("__list", F.posexplode("__list").alias("pos", "__l"))
+    items = items.join(keep.select(F.col(label_col).alias("__l")).distinct(), "__l", "left_semi")
+    kept = (items.groupBy("__list").agg(F.array_sort(F.collect_list(F.struct("pos", "__l"))).alias("__s"))
+            .select("__list", F.transform("__s", lambda s: s["__l"]).alias("__kept")))
+    out = df.join(kept, F.col(labels_col) == F.col("__list"))
+    return out.withColumn(labels_col, F.col("__kept")).select(*df.columns)
+
+
+def label_index(keep: DataFrame, label_col: str = "label") -> DataFrame:
+    """each distinct label with its position in sorted order (one row per class)."""
+    w = Window.orderBy(label_col)
+    return keep.select(label_col).distinct().select(label_col, (F.row_number().over(w) - 1).cast("long").alias("label_idx"))
 
 
 def sorted_labels(keep: DataFrame, label_col: str = "label") -> list[str]:
-    """the (checked, small) class list in sorted order for encoders."""
-    vals = [r[0] for r in keep.select(label_col).limit(MAX_INLINE_LABELS + 1).collect()]
-    if len(vals) > MAX_INLINE_LABELS:
-        raise ValueError(f"more than {MAX_INLINE_LABELS} classes is too many for a dense multi-hot encoding")
-    return sorted(vals)
+    """the class list in sorted order for encoders whose width is the number of classes."""
+    return [r[0] for r in label_index(keep, label_col).orderBy("label_idx").collect()]
 
 
 def multi_hot(labels: Column, classes: list[str]) -> Column:
@@ -97,10 +101,17 @@ def rank_in_order(col, values: list[str]) -> Column:
     return F.array_position(ordinal(values), col)
 
 
+def class_set(df: DataFrame, col: str, expected: list[str]) -> DataFrame:
+    """M2: every class of ``col`` or ``expected`` with ``seen`` and ``expected`` flags (one row per class)."""
+    seen = df.select(F.col(col).alias("label")).filter(F.col("label").isNotNull()).distinct().withColumn("__seen", F.lit(True))
+    want = df.sparkSession.createDataFrame([(c, True) for c in expected], "label string, __want boolean")
+    return seen.join(want, "label", "full").select(
+        "label", F.coalesce("__seen", F.lit(False)).alias("seen"), F.coalesce("__want", F.lit(False)).alias("expected"))
 
 
 def assert_classes(df: DataFrame, col: str, expected: list[str]) -> None:
-    """M2: the set of classes in ``col`` must equal ``expected`` (one small aggregate)."""
-    seen = {r[0] for r in df.select(col).distinct().collect()}  # bounded by the class count
+    """M2: the set of classes in ``col`` must equal ``expected``. At most len(expected) + 1 classes
+    come to the driver; one more than expected is already a failure."""
+    seen = {r[0] for r in df.select(col).distinct().limit(len(set(expected)) + 1).collect()}
     if seen != set(expected):
-        raise AssertionError(f"Unexpected classes: {sorted(seen ^ set(expected))}")
+        raise AssertionError(f"Unexpected classes: {sorted(map(str, seen ^ set(expected)))}")

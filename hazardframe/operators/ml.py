@@ -41,10 +41,14 @@ def family(name: str, label: str = "label_idx", features: str = "features", **pa
     raise ValueError(name)
 
 
-def feature_frame(df: DataFrame, feature_cols: list[str] | None = None, array_col: str | None = None) -> DataFrame:
-    """M3: numeric columns (or one array column) -> clipped DOUBLE columns ready for assembly."""
+def feature_frame(df: DataFrame, feature_cols: list[str] | None = None, array_col: str | None = None) -> tuple[DataFrame, list[str]]:
+    """M3: numeric columns (or one array column, all of one width) -> clipped DOUBLE columns ready
+    for assembly, and their names. Vectors of different widths are an error, never cut."""
     if array_col is not None:
-        n = len(df.select(array_col).first()[0])
+        width = df.agg(F.min(F.size(array_col)).alias("least"), F.max(F.size(array_col)).alias("most")).first()
+        if width["least"] != width["most"]:
+            raise ValueError(f"column {array_col} holds vectors of {width['least']} to {width['most']} values")
+        n = width["least"] or 0
         cols = [clip(F.col(array_col)[i].cast("double")).alias(f"f{i}") for i in range(n)]
         return df.select(*[c for c in df.columns if c != array_col], *cols), [f"f{i}" for i in range(n)]
     return df.select(*[clip(F.col(c).cast("double")).alias(c) if c in feature_cols else F.col(c)

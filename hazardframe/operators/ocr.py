@@ -10,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardframe.functions.text import cer, normalize_text, round_ratio, wer
+from hazardframe.functions.text import cer, normalize_text, round_ratio, wer, zero_pad
 
 # Engine order of the comparison.
 DEFAULT_ENGINES = ["paddleocr", "doctr", "tesseract"]
 
 
-def engine_grid(images: DataFrame, engines: list[str], image_col: str = "image_id") -> DataFrame:
-    """Every (image, engine) cell; the engine list is a literal, so this is a generator per
-    image row (no join, no shuffle)."""
+def engine_grid(images: DataFrame, engines: list[str]) -> DataFrame:
+    """Every (image, engine) cell with the image's columns; the engine list is a literal, so this
+    is a generator per image row (no join, no shuffle)."""
     arr = F.array(*[F.struct(F.lit(i).alias("engine_idx"), F.lit(e).alias("engine")) for i, e in enumerate(engines)])
-    return images.select(image_col, F.inline(arr))
+    return images.select("*", F.inline(arr))
 
 
 def evaluate_runs(runs: DataFrame, truth: DataFrame, engines: list[str] | None = None,
@@ -34,11 +34,11 @@ def evaluate_runs(runs: DataFrame, truth: DataFrame, engines: list[str] | None =
       text_pairs image_id, engine, predicted_text, actual_text - normalised, '' for a failure.
     """
     engines = engines or DEFAULT_ENGINES
-    images = truth.select("image_id") if truth_images else runs.select("image_id").distinct()
-    grid = engine_grid(images, engines)
     t = truth.select("image_id", F.col("text").alias("truth"))
+    images = t if truth_images else runs.select("image_id").distinct().join(t, "image_id", "left")
+    grid = engine_grid(images, engines)
     r = runs.select("image_id", "engine", F.col("text").alias("pred"), "time", F.lit(True).alias("ran"))
-    cells = grid.join(r, ["image_id", "engine"], "left").join(t, "image_id", "left")
+    cells = grid.join(r, ["image_id", "engine"], "left")
     has_truth = F.col("truth").isNotNull() & (F.col("truth") != "")
     ok = F.col("ran").isNotNull()
     pred = F.coalesce(F.col("pred"), F.lit(""))
@@ -80,14 +80,15 @@ def summarize(metrics: DataFrame, engines: list[str] | None = None, digits: int
 
 def missing_keys(spark: SparkSession, present: DataFrame, key: str, lo: int, hi: int, width: int = 3,
                  num_partitions: int | None = None) -> DataFrame:
-    """Expected zero-padded ids lo..hi that are absent from ``present``.
+    """Expected ids lo..hi that are absent from ``present``, zero-padded for display.
 
-    The expected range is generated distributed (``spark.range``), never as one array.
+    Ids are compared as numbers ('007' is 7; text that is no number is no id) and padded
+    afterwards, so ids longer than ``width`` stay whole. The expected range is generated
+    distributed (``spark.range``), never as one array.
     """
-    expected = spark.range(lo, hi + 1, numPartitions=num_partitions).select(
-        F.lpad(F.col("id").cast("string"), width, "0").alias(key))
-    have = present.select(F.lpad(F.col(key).cast("string"), width, "0").alias(key))
-    return expected.join(have, key, "left_anti")
+    expected = spark.range(lo, hi + 1, numPartitions=num_partitions)
+    have = present.select(F.col(key).cast("string").try_cast("bigint").alias("id"))
+    return expected.join(have, "id", "left_anti").select(zero_pad("id", width).alias(key))
 
 
 def load_ground_truth(spark: SparkSession, path: str) -> DataFrame:

@@ -180,7 +180,7 @@ def q_normalize_text(spark, d):
 
 
 @register("missing_keys", """
-SELECT lpad(CAST(k AS VARCHAR), 6, '0') AS image_id
+SELECT CASE WHEN length(CAST(k AS VARCHAR)) >= 6 THEN CAST(k AS VARCHAR) ELSE lpad(CAST(k AS VARCHAR), 6, '0') END AS image_id
 FROM range(0, (SELECT max(o_orderkey) + 1 FROM orders)) t(k)
 WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = k)""")
 def q_missing_keys(spark, d):
@@ -284,7 +284,7 @@ from hazardframe.plans.oracle_rules import strip_sql  # noqa: E402
 
 
 def _docs_labels(spark, d):
-    docs = T.table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    docs = T.table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     lab = T.table(spark, d, "labels").select("doc_id", "quality", "toxic")
     return docs.join(lab, "doc_id", "left")
 
@@ -305,7 +305,7 @@ def q_dedupe_rows(spark, d):
     return CL.dedupe(T.table(spark, d, "documents").select("text", "lang"))
 
 
-_IMPUTE_BASE = """SELECT d.doc_id, l.quality, l.toxic,
+_IMPUTE_BASE = """SELECT d.doc_id, l.quality, l.toxic, CASE WHEN d.doc_id % 3 > 0 THEN CAST(d.n_chars AS DOUBLE) END AS chars,
   CASE l.toxic WHEN 1 THEN 'toxic' WHEN 0 THEN 'clean' END AS tag FROM documents d LEFT JOIN labels l USING (doc_id)"""
 
 
@@ -313,30 +313,38 @@ _IMPUTE_BASE = """SELECT d.doc_id, l.quality, l.toxic,
 WITH b AS ({_IMPUTE_BASE})
 SELECT doc_id, coalesce(CAST(quality AS DOUBLE), (SELECT avg(quality) FROM b)) AS quality,
        coalesce(CAST(toxic AS DOUBLE), (SELECT avg(toxic) FROM b)) AS toxic,
+       round(coalesce(chars, (SELECT avg(chars) FROM b)), 6) AS chars,
        coalesce(tag, (SELECT tag FROM b WHERE tag IS NOT NULL GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 1)) AS tag
 FROM b""")
 def q_impute_mean_mode(spark, d):
+    # Of the missing character counts a part is NULL, a part NaN: both are gaps.
+    third = F.pmod(F.col("doc_id"), F.lit(3))
+    chars = F.when(third > 0, F.col("n_chars").cast("double")).when(F.pmod(F.col("doc_id"), F.lit(2)) == 0, F.lit(float("nan")))
     df = _docs_labels(spark, d).select(
-        "doc_id", "quality", "toxic",
+        "doc_id", "quality", "toxic", chars.alias("chars"),
         F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean").alias("tag"))
-    return CL.fill_missing(df, ["quality", "toxic", "tag"])
+    return CL.fill_missing(df, ["quality", "toxic", "chars", "tag"]).withColumn("chars", F.round("chars", 6))
 
 
 _KEY_TEXT_SQL = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(user_id AS VARCHAR)
   WHEN 1 THEN CAST(user_id AS VARCHAR) || '.0' WHEN 2 THEN CAST(user_id AS VARCHAR) || '.5'
-  WHEN 3 THEN 'x' || CAST(user_id AS VARCHAR) ELSE CAST(user_id AS VARCHAR) || 'e1' END AS raw FROM events"""
+  WHEN 3 THEN (CASE event_id % 4 WHEN 0 THEN 'x' || CAST(user_id AS VARCHAR) WHEN 1 THEN CAST(user_id AS VARCHAR) || 'd'
+    WHEN 2 THEN '0x' || CAST(user_id AS VARCHAR) || 'p4' ELSE CAST(user_id AS VARCHAR) || 'f' END)
+  ELSE CAST(user_id AS VARCHAR) || 'e1' END AS raw FROM events"""
 
 
 @register("coerce_key", f"""
-SELECT event_id, raw, CASE WHEN TRY_CAST(raw AS DOUBLE) IS NOT NULL AND isfinite(TRY_CAST(raw AS DOUBLE))
+SELECT event_id, raw, CASE WHEN NOT regexp_matches(raw, '[dfxp]') AND TRY_CAST(raw AS DOUBLE) IS NOT NULL AND isfinite(TRY_CAST(raw AS DOUBLE))
   AND TRY_CAST(raw AS DOUBLE) = floor(TRY_CAST(raw AS DOUBLE)) THEN CAST(TRY_CAST(raw AS DOUBLE) AS BIGINT) END AS cid
 FROM ({_KEY_TEXT_SQL}) k""")
 def q_coerce_key(spark, d):
     ev = T.table(spark, d, "events")
     u = F.col("user_id").cast("string")
-    m = F.pmod(F.col("event_id"), F.lit(5))
+    m, q = F.pmod(F.col("event_id"), F.lit(5)), F.pmod(F.col("event_id"), F.lit(4))
     raw = (F.when(m == 0, u).when(m == 1, F.concat(u, F.lit(".0"))).when(m == 2, F.concat(u, F.lit(".5")))
-           .when(m == 3, F.concat(F.lit("x"), u)).otherwise(F.concat(u, F.lit("e1"))))
+           .when(m == 3, F.when(q == 0, F.concat(F.lit("x"), u)).when(q == 1, F.concat(u, F.lit("d")))
+                 .when(q == 2, F.concat(F.lit("0x"), u, F.lit("p4"))).otherwise(F.concat(u, F.lit("f"))))
+           .otherwise(F.concat(u, F.lit("e1"))))
     return ev.select("event_id", raw.alias("raw")).select("event_id", "raw", CL.coerce_key("raw").alias("cid"))
 
 
@@ -536,10 +544,26 @@ SELECT l_orderkey, l_linenumber, array_to_string(labels, chr(1)) AS labels FROM
 def q_frequent_labels(spark, d):
     rows = T.label_lists(spark, d)
     freq, _removed = LB.frequent_labels(LB.label_frequency(rows, "labels"), 50)
-    kept = LB.keep_labels(rows, "labels", freq, row_key="l_orderkey")
+    kept = LB.keep_labels(rows, "labels", freq)
     return kept.select("l_orderkey", "l_linenumber", F.array_join("labels", "\u0001").alias("labels"))
 
 
+@register("sorted_labels", f"""
+SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS label_idx
+FROM (SELECT DISTINCT u.label FROM ({T.LABEL_LISTS_SQL}) r, unnest(r.labels) u(label))""")
+def q_sorted_labels(spark, d):
+    return LB.label_index(LB.label_frequency(T.label_lists(spark, d), "labels"))
+
+
+@register("class_set", f"""
+SELECT coalesce(s.label, k.label) AS label, s.label IS NOT NULL AS seen, k.label IS NOT NULL AS expected
+FROM (SELECT DISTINCT u.label FROM ({T.MULTILABEL_SQL}) r, unnest(r.truth) u(label)) s
+FULL JOIN {_CLASSES_VALUES} ON s.label = k.label""")
+def q_class_set(spark, d):
+    rows = T.multilabel_rows(spark, d).select(F.explode("truth").alias("label"))
+    return LB.class_set(rows, "label", T.MULTILABEL_CLASSES)
+
+
 @register("tuning_rank", f"""
 SELECT model, params, mean_score, n_folds, rnk AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY model ORDER BY rnk, params) AS pos FROM (
@@ -749,12 +773,35 @@ _PART_COLS = "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice"
 _PART_DDL = "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
 
 
-@register("csv_roundtrip", f"SELECT {_PART_COLS} FROM part")
+@register("csv_roundtrip", """
+SELECT p_partkey, CASE WHEN p_partkey % 7 > 0 THEN p_name END AS p_name, p_brand, p_type,
+  CASE WHEN p_partkey % 10 > 0 THEN CAST(p_size AS BIGINT) END AS p_size,
+  CASE WHEN p_partkey % 11 > 0 THEN p_retailprice END AS p_retailprice FROM part""")
 def q_csv_roundtrip(spark, d):
+    """Missing-token cells in text and numeric columns, types inferred without a schema."""
+    def gaps(c, n, token):
+        return F.when(F.pmod("p_partkey", F.lit(n)) == 0, token).otherwise(F.col(c).cast("string")).alias(c)
+
+    part = T.table(spark, d, "part").select("p_partkey", gaps("p_name", 7, "None"), "p_brand", "p_type", gaps("p_size", 10, "NA"), gaps("p_retailprice", 11, "#N/A"))
+    return IO.read_csv(spark, IO.write_csv(part, scratch_path(spark, "csv")))
+
+
+@register("csv_schema_roundtrip", f"SELECT {_PART_COLS} FROM part")
+def q_csv_schema_roundtrip(spark, d):
     path = IO.write_csv(T.table(spark, d, "part").select(*_PART_COLS.split(", ")), scratch_path(spark, "csv"))
     return IO.read_csv(spark, path, schema=_PART_DDL)
 
 
+@register("csv_float_format", """
+SELECT event_id, CASE WHEN event_id % 7 > 0 THEN printf('%.4f', event_id / 32.0::DOUBLE) END AS ties,
+  CASE WHEN value IS NOT NULL THEN printf('%.4f', value / 7.0::DOUBLE) END AS value FROM events""")
+def q_csv_float_format(spark, d):
+    """Four decimals, exact ties (multiples of 1/32) and missing cells through a CSV file."""
+    x = T.table(spark, d, "events").select("event_id", F.when(F.pmod("event_id", F.lit(7)) > 0, F.col("event_id") / F.lit(32.0)).alias("ties"), (F.col("value") / F.lit(7.0)).alias("value"))
+    path = IO.write_csv(x, scratch_path(spark, "csv-floats"), float_digits=4)
+    return IO.read_csv(spark, path, schema="event_id BIGINT, ties STRING, value STRING")
+
+
 @register("delimited_roundtrip", f"SELECT p_partkey AS CID, p_name AS name, p_size AS size FROM part")
 def q_delimited_roundtrip(spark, d):
     src = scratch_path(spark, "tsv")
@@ -782,11 +829,25 @@ def q_keyed_tables(spark, d):
     tag = uuid.uuid4().hex[:8]
     from hazardframe.session import shuffle_partitions
     n = shuffle_partitions(spark)
-    names = IO.save_keyed_table(N.prune_names(T.synonyms(spark, d)), f"synonyms_{tag}", "CID", n)
-    smiles = IO.save_keyed_table(T.structures(spark, d), f"smiles_{tag}", "CID", n)
+    names = IO.save_keyed_table(N.prune_names(T.synonyms(spark, d)), f"synonyms_{tag}", "CID", n, keep=False)
+    smiles = IO.save_keyed_table(T.structures(spark, d), f"smiles_{tag}", "CID", n, keep=False)
     return names.join(smiles, "CID").select("CID", "Synonyms", "SMILES")
 
 
+@register("keyed_by_name", f"""
+SELECT p.p_partkey, k.CID, k.Synonyms FROM part p JOIN ({_KEPT_SQL}) k
+  ON k.Synonyms = upper(substr(p.p_name, 1, 1)) || substr(p.p_name, 2)""")
+def q_keyed_by_name(spark, d):
+    """The layout by name: exact look-ups of capitalised part names."""
+    import uuid
+    from hazardframe.session import shuffle_partitions
+    names = IO.save_keyed_table(N.prune_names(T.synonyms(spark, d)), f"names_{uuid.uuid4().hex[:8]}", "Synonyms",
+                                shuffle_partitions(spark), keep=False)
+    name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
+    wanted = T.table(spark, d, "part").select("p_partkey", name.alias("Synonyms"))
+    return wanted.join(names, "Synonyms").select("p_partkey", "CID", "Synonyms")
+
+
 # ============================== models (rows-only checks) ====================================
 
 from hazardframe.operators import ml as ML  # noqa: E402

@@ -7,6 +7,7 @@ that are unset, so an operator never overrides the cluster's own configuration.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,7 +36,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.master(master)
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
-    builder = builder.config("spark.driver.memory", os.environ.get("HF_DRIVER_MEMORY", "16g"))
+    builder = builder.config("spark.driver.memory", os.environ.get("HF_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -46,29 +47,39 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder for intermediate tables and checkpoints.
 
-    The cluster's own setting always wins. Only when it is unset (local tests) a fresh scratch
-    folder is created and registered, so ``DataFrame.checkpoint()`` works everywhere.
+    In this order: ``spark.checkpoint.dir`` of the session, the folder that the program has set with
+    ``setCheckpointDir``, and only with a local master (tests) a fresh scratch folder. A cluster
+    without either is an error: a machine-local folder would be lost to the other executors.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
     try:  # a classic session; a remote (Connect) session has no SparkContext
         sc = spark.sparkContext
-        d = d or sc.getConf().get("spark.checkpoint.dir", None)
     except Exception:  # noqa: BLE001
         pass
-    if not d:
-        d = tempfile.mkdtemp(prefix="hf-ckpt-", dir=os.environ.get("HF_SCRATCH", "/tmp"))
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # noqa: BLE001 - static conf on some deployments
-            pass
     if sc is not None:
-        sc.setCheckpointDir(d)
+        d = d or sc.getConf().get("spark.checkpoint.dir", None)
+        program = sc.getCheckpointDir()
+        if program and (not d or _ours.get(sc.applicationId) == program):
+            return d or program
+        if not d:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            d = tempfile.mkdtemp(prefix="hf-ckpt-", dir=os.environ.get("HF_SCRATCH", "/tmp"))
+        if not program:
+            sc.setCheckpointDir(d)
+            _ours[sc.applicationId] = sc.getCheckpointDir()
+    if not d:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return d
 
 
+#: Per application, the checkpoint folder that ``checkpoint_dir`` has set itself.
+_ours: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written intermediate tables."""
     import uuid

@@ -3,7 +3,7 @@
 The reference has no streams. Two of its batch operators are row-local, so they can also run
 as Structured Streaming queries over files that keep arriving: the name filter (R4) and the
 recognised-text scoring (R9/R10, a stream-static join against the ground truth). File source
-+ file sink + checkpoint give exactly-once output; ``availableNow`` processes what is there
++ file sink + the caller's checkpoint folder (the same one after a restart) give exactly-once output; ``availableNow`` processes what is there
 and stops, so the same code serves scheduled batch and continuous use.
 """
 
@@ -16,19 +16,16 @@ from pyspark.sql.types import StructType
 
 from hazardframe.functions.text import cer, normalize_text, wer
 from hazardframe.operators.names import prune_names
-from hazardframe.session import scratch_path
 
-
-def _start(df: DataFrame, sink_dir: str, checkpoint: str | None, available_now: bool) -> StreamingQuery:
-    spark = df.sparkSession
+def _start(df: DataFrame, sink_dir: str, checkpoint: str, available_now: bool) -> StreamingQuery:
     w = (df.writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt")).outputMode("append"))
+         .option("checkpointLocation", checkpoint).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
 def stream_prune_names(spark: SparkSession, source_dir: str, schema: StructType | str, sink_dir: str,
-                       name_col: str = "Synonyms", checkpoint: str | None = None,
+                       checkpoint: str, name_col: str = "Synonyms",
                        available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Keep plain names from name files as they arrive (parquet in, parquet out)."""
     r = spark.readStream.schema(schema)
@@ -38,7 +35,7 @@ def stream_prune_names(spark: SparkSession, source_dir: str, schema: StructType
 
 
 def stream_text_scores(spark: SparkSession, runs_dir: str, runs_schema: StructType | str, truth: DataFrame,
-                       sink_dir: str, checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
+                       sink_dir: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Score recognition runs (image_id, engine, text, time) as they arrive against a static
     ground-truth table (image_id, text); runs without ground truth get NULL metrics."""
     runs = spark.readStream.schema(runs_schema).parquet(runs_dir)

@@ -139,3 +139,44 @@ def test_retry_merge(spark):
     m = {r.row_id: r.value for r in merged.collect()}
     assert m == {1: "Group 2B", 2: "Group 1", 3: "Not Available", 4: "Group 3"}
     assert [(r.row_id, r.cid) for r in ledger.collect()] == [(3, 20)]
+
+
+def test_retry_last_success_counts_and_rows_stay(spark):
+    first = spark.createDataFrame([(1, 10, "Not Available", "Unknown"), (2, 10, "Error", "Error")], "row_id long, cid long, value string, source string")
+    retry = spark.createDataFrame([(10, "Group 1", JP.T3DB, 1), (10, "Group 2B", JP.T3DB, 2), (10, "Not Available", "Unknown", 3)],
+                                  "cid long, value string, source string, attempt int")
+    merged, _ = JP.retry_merge(first, retry, retry_order="attempt")
+    assert {r.row_id: r.value for r in merged.collect()} == {1: "Group 2B", 2: "Error"}
+
+
+def test_missing_keys_across_a_new_digit(spark):
+    from hazardframe.operators.ocr import missing_keys
+    present = spark.createDataFrame([("999999",), ("1000000",), ("0999998",), ("x",)], "image_id string")
+    got = sorted(r.image_id for r in missing_keys(spark, present, "image_id", 999997, 1000003, width=6).collect())
+    assert got == sorted(["999997", "1000001", "1000002", "1000003"])
+
+
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_keep_labels_same_rows_either_way(spark, limit):
+    from hazardframe.operators.labels import keep_labels
+    df = spark.createDataFrame([(1, ["a", "x", "b"]), (1, ["b", "b"]), (1, ["b", "b"]), (2, ["x"]), (3, None), (4, [])], "k int, labels array<string>")
+    keep = spark.createDataFrame([("a",), ("b",)], "label string")
+    got = sorted((r.k, tuple(r.labels)) for r in keep_labels(df, "labels", keep, inline_limit=limit).collect())
+    assert got == [(1, ("a", "b")), (1, ("b", "b")), (1, ("b", "b"))]
+
+
+def test_ragged_vectors_raise(spark):
+    from hazardframe.operators.ml import feature_frame
+    with pytest.raises(ValueError):
+        feature_frame(spark.createDataFrame([([1.0, 2.0],), ([1.0, 2.0, 3.0],)], "v array<double>"), array_col="v")
+
+
+def test_nan_is_a_gap_and_java_numbers_are_none(spark):
+    from hazardframe.operators import clean as CL
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
+    assert sorted(r.x for r in CL.fill_missing(df).collect()) == [1.0, 2.0, 2.0, 3.0]
+    keys = spark.createDataFrame([("12",), ("12d",), ("12f",), ("0x1p4",), (" 7 ",), ("1e2",), ("1.5",), ("nan",), (".",)], "k string")
+    assert [r[0] for r in keys.select(CL.coerce_key("k")).collect()] == [12, None, None, None, 7, 100, None, None, None]
+    twice = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "n int, t string")
+    out, report = CL.clean_table(twice)
+    assert out.count() == 2 and report.removed_duplicates() == 1

@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 from hazardframe.functions.rules import NO_DATA, classify_first_match, no_data_if_empty, normalize_routes
 from hazardframe.functions.text import _c
 
+#: Rows of one key from which the toxin side of the dataset join is salted.
+HOT_ROWS = 50_000
+
 # Tokens counted by the structure-text features (two-letter halogens first).
 ELEMENT_TOKENS = ["Cl", "Br", "C", "N", "O", "S", "P", "F", "I", "c", "n", "o", "s"]
 BOND_TOKENS = {"double_bonds": "=", "triple_bonds": "#", "branches": "(", "bracket_atoms": "[",
@@ -111,15 +114,31 @@ def featurize(df: DataFrame, fn: Callable[[str], dict], input_col: str, schema:
     return df.select(*keep, *([input_col] if input_col not in keep else [])).mapInPandas(run, out_schema)
 
 
+def _outer_join_salted(left: DataFrame, right: DataFrame, right_keys: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    """``left`` outer join ``right`` on ``key``, each computed once, with hot keys of the right side split.
+
+    AQE splits a hot key of the preserved side by itself, but never one of the other side. A key with more than
+    ``hot_rows`` rows there gets ceil(rows / hot_rows) salts: its rows are dealt over them and the few left rows with that
+    key are repeated once per salt. A repeated left row that meets no row under its salt is dropped, as the key
+    has a match under another one. There are at most rows / hot_rows hot keys, found from the key column alone."""
+    salts = (right_keys.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter((F.col("__n") > hot_rows) & F.col(key).isNotNull())
+             .select(key, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts")))
+    one = F.coalesce("__salts", F.lit(1))
+    spread = F.pmod(F.xxhash64("__id"), one)  # numbered before any shuffle, so a repeated task deals alike
+    r = right.withColumn("__id", F.monotonically_increasing_id()).join(salts, key, "left").withColumn("__salt", spread.cast("int")).drop("__salts", "__id").withColumn("__met", F.lit(True))
+    a = left.join(salts, key, "left").withColumn("__once", one == 1).withColumn("__salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("__salts")
+    return a.join(r, [key, "__salt"], "left").filter(F.col("__once") | F.col("__met").isNotNull()).drop("__salt", "__once", "__met")
+
+
 def label_dataset(compounds: DataFrame, toxins: DataFrame, featurized: DataFrame | None = None,
-                  key: str = "CID") -> DataFrame:
+                  key: str = "CID", hot_rows: int = HOT_ROWS) -> DataFrame:
     """The dataset build (L2) before its filter; keeps the ``desc_ok`` flag.
 
     ``compounds``: CID, SMILES, Carcinogenicity (raw text). ``toxins``: CID, Categories (array),
     Route of Exposure (array). Descriptors: U3 Columns unless ``featurized`` (CID, desc_ok,
     features...) is given. Left join on CID: one-to-many multiplies rows, NULL keys follow the
     SQL rule. The join strategy is left to AQE (broadcast when the toxin table is small at run
-    time, a shuffle join otherwise).
+    time, a shuffle join otherwise); toxin keys of more than ``hot_rows`` rows are salted.
     """
     if featurized is None:
         base = with_structure_features(compounds, "SMILES")
@@ -131,14 +150,7 @@ def label_dataset(compounds: DataFrame, toxins: DataFrame, featurized: DataFrame
     carc = classify_first_match(F.coalesce(F.col("Carcinogenicity").cast("string"), F.lit("nan")))
     left = base.select(key, carc.alias("Carcinogenicity"), "desc_ok", *feature_cols)
     tox = toxins.select(key, "Categories", normalize_routes(F.col("`Route of Exposure`")).alias("Route"))
-    # Left join written as inner join + anti join on distinct keys: AQE can split a toxin key
-    # held by a third of all rows in the inner join, which it cannot do for the build side of
-    # a left outer join; the anti side sees each key once.
-    matched = left.join(tox, key, "inner")
-    unmatched = (left.join(tox.select(key).distinct(), key, "left_anti")
-                 .withColumn("Categories", F.lit(None).cast("array<string>"))
-                 .withColumn("Route", F.lit(None).cast("array<string>")))
-    j = matched.unionByName(unmatched)
+    j = _outer_join_salted(left, tox, toxins.select(key), key, hot_rows)
     return j.select(key, "Carcinogenicity", no_data_if_empty(F.col("Categories")).alias("Categories"),
                     F.coalesce(F.col("Route"), F.array(F.lit(NO_DATA))).alias("Route"), "desc_ok", *feature_cols)
 

@@ -27,13 +27,16 @@ def confusion_cells(pred: DataFrame, label: str = "label", prediction: str = "pr
 
 
 def per_class(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """class, tp, support, predicted, precision, recall, f1 - one row per class of truth or prediction."""
-    cells = confusion_cells(pred, label, prediction)
-    t = cells.groupBy(F.col("label").alias("class")).agg(F.sum("n").alias("support"))
-    p = cells.groupBy(F.col("prediction").alias("class")).agg(F.sum("n").alias("predicted"))
-    tp = cells.filter(F.col("label") == F.col("prediction")).select(F.col("label").alias("class"), F.col("n").alias("tp"))
-    out = (t.join(p, "class", "full").join(tp, "class", "left")
-           .select("class", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "support", "predicted")]))
+    """class, tp, support, predicted, precision, recall, f1 - one row per class of truth or prediction.
+
+    Each confusion cell gives a row to its true class and one to its predicted class, so one more
+    aggregation over the cells answers everything: one pass over the input, no join."""
+    n, none = F.col("n"), F.lit(0).cast("long")
+    hit = F.when(F.col("label") == F.col("prediction"), n).otherwise(none)
+    both = F.array(F.struct(F.col("label").alias("class"), n.alias("support"), none.alias("predicted"), hit.alias("tp")),
+                   F.struct(F.col("prediction").alias("class"), none.alias("support"), n.alias("predicted"), none.alias("tp")))
+    out = (confusion_cells(pred, label, prediction).select(F.inline(both)).groupBy("class")
+           .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")]))
     return out.select("*", _div(F.col("tp"), F.col("predicted")).alias("precision"),
                       _div(F.col("tp"), F.col("support")).alias("recall"),
                       _div(2 * F.col("tp"), F.col("support") + F.col("predicted")).alias("f1"))
@@ -55,109 +58,129 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
     """Rows per class, then 'accuracy' (f1 = accuracy, support = N), 'macro avg' and
     'weighted avg'. Columns: row, precision, recall, f1, support."""
     pc = per_class(pred, label, prediction)
-    rows = pc.select(F.col("class").alias("row"), "precision", "recall", "f1", F.col("support").cast("double").alias("support"))
     n = F.sum("support")
-    summary = pc.agg(
+    # The classes (K rows) are gathered into one row next to their sums, so the input is read once.
+    one = pc.agg(
+        F.collect_list(F.struct(F.col("class").alias("row"), "precision", "recall", "f1", F.col("support").cast("double").alias("support"))).alias("rows"),
         _div(F.sum("tp"), n).alias("acc"), F.avg("precision").alias("mp"), F.avg("recall").alias("mr"),
         F.avg("f1").alias("mf"), _div(F.sum(F.col("precision") * F.col("support")), n).alias("wp"),
         _div(F.sum(F.col("recall") * F.col("support")), n).alias("wr"),
         _div(F.sum(F.col("f1") * F.col("support")), n).alias("wf"), n.cast("double").alias("n"))
+
     def row(name, p, r, f):
         return F.struct(F.lit(name).alias("row"), p.alias("precision"), r.alias("recall"), f.alias("f1"),
                         F.col("n").alias("support"))
 
     none = F.lit(None).cast("double")
-    tail = summary.select(F.inline(F.array(
-        row("accuracy", none, none, F.col("acc")),
-        row("macro avg", F.col("mp"), F.col("mr"), F.col("mf")),
-        row("weighted avg", F.col("wp"), F.col("wr"), F.col("wf")))))
-    return rows.unionByName(tail)
+    tail = F.array(row("accuracy", none, none, F.col("acc")),
+                   row("macro avg", F.col("mp"), F.col("mr"), F.col("mf")),
+                   row("weighted avg", F.col("wp"), F.col("wr"), F.col("wf")))
+    return one.select(F.inline(F.concat("rows", tail)))
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Every (true class, predicted class) cell over the classes seen, zeros included."""
     cells = confusion_cells(pred, label, prediction)
-    # The class list (K entries) is gathered into one array and exploded twice: K^2 grid rows
-    # from a single row, never data-sized and without a join.
-    classes = cells.agg(F.array_sort(F.array_union(F.collect_set("label"), F.collect_set("prediction"))).alias("k"))
-    grid = (classes.select(F.explode("k").alias("label"), "k")
-            .select("label", F.explode("k").alias("prediction")))
-    return grid.join(cells, ["label", "prediction"], "left").select(
-        "label", "prediction", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    # The cells seen (at most K^2) are gathered into one row: the classes, exploded twice, and a map from
+    # the pair to its count. The input is read once and nothing is joined.
+    one = cells.agg(F.array_sort(F.array_union(F.collect_set("label"), F.collect_set("prediction"))).alias("k"),
+                    F.map_from_entries(F.collect_list(F.struct(F.struct("label", "prediction").alias("pair"), "n"))).alias("m"))
+    grid = one.select(F.explode("k").alias("label"), "k", "m").select("label", F.explode("k").alias("prediction"), "m")
+    return grid.select("label", "prediction", F.coalesce(F.try_element_at("m", F.struct("label", "prediction")), F.lit(0)).cast("long").alias("n"))
 
 
 # ------------------------------------ multi-label ---------------------------------------------
 
-def _label_cells(pred: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """(label, in truth, in prediction) for each label present in either list of a row."""
+_SUMS = ("tp", "fp", "fn", "rows", "precision", "recall", "f1", "n_true", "exact")
+
+
+def _label_table(pred: DataFrame, classes: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """One row: ``labels`` (label, tp, fp, fn of every class) and the sums over rows (rows, precision, recall,
+    f1, n_true, exact).
+
+    Each input row gives one entry per label of its lists and one without a label that carries the row's own
+    sums; the classes join in as entries of zeros. One aggregation by label, over one read of the input."""
     empty = F.array().cast("array<string>")
-    base = pred.select(F.coalesce(F.col(truth), empty).alias("__t"), F.coalesce(F.col(predicted), empty).alias("__p"))
-    return (base.select(F.explode(F.array_union(F.array_distinct("__t"), F.array_distinct("__p"))).alias("label"),
-                        "__t", "__p")
-            .select("label", F.array_contains("__t", F.col("label")).alias("t"),
-                    F.array_contains("__p", F.col("label")).alias("p")))
+    zero_type = {c: "double" if c in ("precision", "recall", "f1") else "long" for c in _SUMS}
+    zero = {c: F.lit(0).cast(kind) for c, kind in zero_type.items()}
+
+    def entry(label, given, known):
+        return F.struct(label.alias("label"), F.lit(known).alias("known"), *[given.get(c, zero[c]).cast(zero_type[c]).alias(c) for c in _SUMS])
+
+    t, p = F.col("__t"), F.col("__p")
+    both = F.size(F.array_intersect(t, p))
+    own = entry(F.lit(None).cast("string"), {
+        "rows": F.lit(1), "precision": _div(both, F.size(p)), "recall": _div(both, F.size(t)), "f1": _div(2 * both, F.size(t) + F.size(p)),
+        "n_true": F.size(t), "exact": (F.size(t) == F.size(p)) & (both == F.size(t))}, False)
+
+    def one(label):
+        in_t, in_p = F.array_contains(t, label), F.array_contains(p, label)
+        return entry(label, {"tp": in_t & in_p, "fp": ~in_t & in_p, "fn": in_t & ~in_p}, False)
+
+    base = pred.select(F.array_distinct(F.coalesce(F.col(truth), empty)).alias("__t"), F.array_distinct(F.coalesce(F.col(predicted), empty)).alias("__p"))
+    entries = base.select(F.inline(F.concat(F.transform(F.array_union(t, p), one), F.array(own))))
+    listed = classes.select(F.inline(F.array(entry(F.col("label"), {}, True))))
+    sums = entries.unionByName(listed).groupBy("label").agg(F.max("known").alias("known"), *[F.sum(c).alias(c) for c in _SUMS])
+    labels = F.collect_list(F.when(F.col("known"), F.struct("label", "tp", "fp", "fn")))
+    return sums.agg(labels.alias("labels"), *[F.coalesce(F.max(F.when(F.col("label").isNull(), F.col(c))), zero[c]).alias(c) for c in _SUMS[3:]])
 
 
 def label_counts(pred: DataFrame, classes: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """Per label TP, FP, FN, TN (TN = rows - TP - FP - FN), every class of ``classes``."""
-    n_rows = pred.count()  # one scalar; true negatives = rows - TP - FP - FN
-    c = (_label_cells(pred, truth, predicted).groupBy("label").agg(
-        F.sum((F.col("t") & F.col("p")).cast("long")).alias("tp"),
-        F.sum((~F.col("t") & F.col("p")).cast("long")).alias("fp"),
-        F.sum((F.col("t") & ~F.col("p")).cast("long")).alias("fn")))
-    out = classes.select("label").join(c, "label", "left")
-    out = out.select("label", *[F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in ("tp", "fp", "fn")])
-    return out.withColumn("tn", (F.lit(n_rows) - F.col("tp") - F.col("fp") - F.col("fn")).cast("long"))
+    out = _label_table(pred, classes, truth, predicted).select("rows", F.inline("labels"))
+    return out.select("label", "tp", "fp", "fn", (F.col("rows") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"))
+
+
+def _total(column: str, of) -> Column:
+    return F.aggregate(F.col(column), F.lit(0.0), lambda s, x: s + of(x))
+
+
+def _report(one: DataFrame) -> DataFrame:
+    """The label table with ``report``: all rows of the report as an array."""
+    def row(name, p, r, f, support):
+        return F.struct(name.alias("row"), p.alias("precision"), r.alias("recall"), f.alias("f1"), support.cast("double").alias("support"))
+
+    def scored(name, x):
+        tp, fp, fn = (x(c) for c in ("tp", "fp", "fn"))
+        return row(name, _div(tp, tp + fp), _div(tp, tp + fn), _div(2 * tp, 2 * tp + fp + fn), tp + fn)
+
+    one = one.withColumn("per", F.transform("labels", lambda x: scored(x["label"], lambda c: x[c])))
+    k, support = F.size("per"), _total("per", lambda x: x["support"])
+    parts = ("precision", "recall", "f1")
+    micro = scored(F.lit("micro avg"), lambda c: _total("labels", lambda x: x[c].cast("double")))
+    macro = row(F.lit("macro avg"), *[_div(_total("per", lambda x, c=c: x[c]), k) for c in parts], support)
+    weighted = row(F.lit("weighted avg"), *[_div(_total("per", lambda x, c=c: x[c] * x["support"]), support) for c in parts], support)
+    samples = row(F.lit("samples avg"), *[_div(F.col(c), F.col("rows")) for c in parts], F.col("n_true"))
+    return one.withColumn("report", F.concat("per", F.array(micro, macro, weighted, samples)))
 
 
 def multilabel_report(pred: DataFrame, classes: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """Per label precision/recall/F1/support, then micro, macro, weighted and samples avg."""
-    lc = label_counts(pred, classes, truth, predicted).withColumn("support", F.col("tp") + F.col("fn"))
-    per = lc.select(F.col("label").alias("row"), _div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-                    _div(F.col("tp"), F.col("support")).alias("recall"),
-                    _div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"),
-                    F.col("support").cast("double").alias("support"))
-    tot = lc.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
-    micro = tot.select(F.lit("micro avg").alias("row"), _div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-                       _div(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"),
-                       _div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"),
-                       (F.col("tp") + F.col("fn")).cast("double").alias("support"))
-    s = F.sum("support")
-    macro = per.agg(F.lit("macro avg").alias("row"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
-                    F.avg("f1").alias("f1"), s.alias("support"))
-    weighted = per.agg(F.lit("weighted avg").alias("row"), _div(F.sum(F.col("precision") * F.col("support")), s).alias("precision"),
-                       _div(F.sum(F.col("recall") * F.col("support")), s).alias("recall"),
-                       _div(F.sum(F.col("f1") * F.col("support")), s).alias("f1"), s.alias("support"))
-    samples = per_sample(pred, truth, predicted).agg(
-        F.lit("samples avg").alias("row"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
-        F.avg("f1").alias("f1"), F.sum("n_true").cast("double").alias("support"))
-    return per.unionByName(micro).unionByName(macro).unionByName(weighted).unionByName(samples)
-
-
-def per_sample(pred: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
-    t = F.array_distinct(F.coalesce(F.col(truth), F.array().cast("array<string>")))
-    p = F.array_distinct(F.coalesce(F.col(predicted), F.array().cast("array<string>")))
-    inter = F.size(F.array_intersect(t, p))
-    return pred.select(_div(inter, F.size(p)).alias("precision"), _div(inter, F.size(t)).alias("recall"),
-                       _div(2 * inter, F.size(t) + F.size(p)).alias("f1"), F.size(t).alias("n_true"),
-                       (F.array_sort(t) == F.array_sort(p)).alias("exact"))
+    return _report(_label_table(pred, classes, truth, predicted)).select(F.inline("report"))
 
 
 def multilabel_metrics(pred: DataFrame, classes: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """Exact-match accuracy, micro precision / recall / F1, macro F1 (one row)."""
-    rep = multilabel_report(pred, classes, truth, predicted).filter(F.col("row").isin("micro avg", "macro avg"))
-    acc = per_sample(pred, truth, predicted).agg(F.avg(F.col("exact").cast("double")).alias("v"))
-    # Two small report rows and one scalar, combined as one row by a tagged union + pivot-style
-    # aggregate (no join).
-    parts = (rep.select(F.col("row").alias("k"), "precision", "recall", "f1")
-             .unionByName(acc.select(F.lit("subset").alias("k"), F.col("v").alias("precision"),
-                                     F.lit(None).cast("double").alias("recall"), F.lit(None).cast("double").alias("f1"))))
-    return parts.agg(
-        F.max(F.when(F.col("k") == "subset", F.col("precision"))).alias("subset_accuracy"),
-        F.max(F.when(F.col("k") == "micro avg", F.col("precision"))).alias("precision_micro"),
-        F.max(F.when(F.col("k") == "micro avg", F.col("recall"))).alias("recall_micro"),
-        F.max(F.when(F.col("k") == "micro avg", F.col("f1"))).alias("f1_micro"),
-        F.max(F.when(F.col("k") == "macro avg", F.col("f1"))).alias("f1_macro"))
+    r = _report(_label_table(pred, classes, truth, predicted))
+
+    def named(name):
+        return F.filter("report", lambda x: x["row"] == name)[0]
+
+    micro, macro = named("micro avg"), named("macro avg")
+    return r.select(_div(F.col("exact"), F.col("rows")).alias("subset_accuracy"), micro["precision"].alias("precision_micro"),
+                    micro["recall"].alias("recall_micro"), micro["f1"].alias("f1_micro"), macro["f1"].alias("f1_macro"))
+
+
+def multilabel_wide(pred: DataFrame, classes: list[str], truth: str = "truth", predicted: str = "predicted") -> DataFrame:
+    """D14/B5 in wide form: the metrics of ``multilabel_metrics`` and one F1 column per class, classes sorted (one row)."""
+    spark = pred.sparkSession
+    r = _report(_label_table(pred, spark.createDataFrame([(c,) for c in classes], "label string"), truth, predicted))
+
+    def value(name, c):
+        return F.filter("report", lambda x: x["row"] == name)[0][c]
+
+    return r.select(_div(F.col("exact"), F.col("rows")).alias("subset_accuracy"), value("micro avg", "f1").alias("f1_micro"),
+                    value("macro avg", "f1").alias("f1_macro"), *[value(c, "f1").alias(f"f1_{c}") for c in sorted(classes)])
 
 
 # ------------------------------------ tuning ---------------------------------------------------

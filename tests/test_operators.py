@@ -180,3 +180,30 @@ def test_nan_is_a_gap_and_java_numbers_are_none(spark):
     twice = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "n int, t string")
     out, report = CL.clean_table(twice)
     assert out.count() == 2 and report.removed_duplicates() == 1
+
+
+def test_dataset_join_splits_a_hot_toxin_key(spark):
+    from hazardframe.operators.features import _outer_join_salted
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")], "CID long, x string")
+    right = spark.createDataFrame([(1, i) for i in range(300)] + [(2, -1), (9, -2), (None, -3)], "CID long, y long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(map(tuple, _outer_join_salted(left, right, right.select("CID"), "CID", 20).collect()), key=repr)
+        want = sorted(map(tuple, left.join(right, "CID", "left").collect()), key=repr)
+        assert got == want and len(got) == 603
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_metrics_read_their_input_once(spark):
+    import tempfile
+    d = tempfile.mkdtemp(prefix="hf-m-")
+    spark.createDataFrame([("a", "b", ["x"], ["y"])], "label string, prediction string, truth array<string>, predicted array<string>").write.parquet(f"{d}/p")
+    df = spark.read.parquet(f"{d}/p")
+    classes = spark.createDataFrame([("x",), ("y",)], "label string")
+    for out in (M.classification_report(df), M.weighted_metrics(df), M.confusion_matrix(df), M.multilabel_report(df, classes),
+                M.multilabel_metrics(df, classes), M.label_counts(df, classes), M.multilabel_wide(df, ["y", "x"])):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parquet") == 1, plan
+    assert M.multilabel_wide(df, ["y", "x"]).columns[-2:] == ["f1_x", "f1_y"]

@@ -277,33 +277,6 @@ def jaro_winkler(a, b) -> Column:
         (la == 0) | (lb == 0), F.lit(0.0)).otherwise(score)
 
 
-LETTER_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
-
-
-def letter_counts(col, alphabet: str = LETTER_ALPHABET) -> Column:
-    """Per-symbol counts over ``alphabet`` plus one bucket for every other character.
-
-    Used as a lossless bound for the similarity join: the multiset overlap of two strings is
-    at least the number of characters they can match.
-    """
-    c = _c(col)
-    # One small lambda per row keeps the generated code of the calling stage small; it runs
-    # once per row, not once per pair.
-    counts = F.transform(F.array(*[F.lit(ch) for ch in alphabet]),
-                         lambda ch: F.length(c) - F.length(F.replace(c, ch, F.lit(""))))
-    return F.concat(counts, F.array(F.length(F.regexp_replace(c, "[" + alphabet.replace("-", "\\-") + "]", ""))))
-
-
-def overlap(c1: Column, c2: Column, size: int = len(LETTER_ALPHABET) + 1) -> Column:
-    """Multiset overlap from two ``letter_counts`` arrays (the 'other' bucket counts fully,
-    which keeps the bound an over-estimate and therefore lossless).
-
-    Written out as ``size`` explicit terms rather than ``zip_with``/``aggregate`` so it stays
-    inside whole-stage code generation (the lambda form is interpreted, ~10x slower here).
-    """
-    return sum((F.least(c1[i], c2[i]) for i in range(1, size)), F.least(c1[0], c2[0]))
-
-
 def file_stem(col) -> Column:
     """H9: file name without directory and extension ('/a/b/001.jpg' -> '001')."""
     return F.regexp_extract(_c(col), r"([^/\\]+?)(\.[^./\\]*)?$", 1)

@@ -1,38 +1,46 @@
 """Similarity join of query names against a name table.
 
-Plan (no cross join; nothing passes through the driver):
+Plan (equi-joins only; nothing passes through the driver but a letter table of bounded size):
   1. candidates: distinct lower-cased names, each with its smallest (key, name) - one
      aggregation with map-side combine, so a name held by a third of all rows is one row.
   2. exact hits (score 1.0) by an equi-join; those queries skip the rest (left_anti).
-  3. the remaining queries are blocked by length: for Jaro-Winkler > t the shorter/longer
-     length ratio must exceed ``3*Jmin - 2``; each query lists the candidate lengths it can
-     meet and joins on length (an equi-join). The query side is broadcast when its size
-     (rows x lengths) is under a checked limit; otherwise both sides shuffle on
-     (length, salt) with the query side replicated over the salts, so a crowded length
-     bucket is split over many tasks.
-  4. a lossless letter-overlap bound drops most pairs before the exact score.
+  3. pairs are told apart by p, the length of their common prefix (4 stands for 4 or more). With
+     p a Jaro-Winkler value above t needs a Jaro value above (t - 0.1 p) / (1 - 0.1 p) = j, so with o the common
+     letters (as a multiset) o/l1 + o/l2 > 3 j - 1. For p = 3 and 4 both sides meet on that prefix. For p = 0, 1, 2 they
+     meet on the prefix and one of their rarest letters: a text of length l shares at least
+     o_min letters with any partner, so the l - o_min + 1 rarest of its (letter, occurrence) tokens behind the
+     prefix hold a common one; a pair is taken up where its first common one is.
+  4. the length and letter bounds drop most of these pairs before the exact score.
   5. best per query = min(struct(-score, key, name)); the threshold is applied after the
      aggregate, so the score expression is evaluated once per pair.
+All bounds are lossless; AQE splits crowded (prefix, letter) keys on either side of the inner joins.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.functions.text import jaro_winkler, letter_counts, overlap
+from hazardframe.functions.text import JW_PREFIX_CAP, JW_PREFIX_WEIGHT, jaro_winkler
 from hazardframe.functions.udfs import jaro_winkler_udf
-from hazardframe.session import checkpoint_dir, shuffle_partitions
+from hazardframe.session import checkpoint_dir
 
-DEFAULT_BROADCAST_ROWS = 2_000_000
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+#: Letter tokens whose frequency orders them; any others come first, as rare ones.
+ORDERED_TOKENS = 1024
+SLACK = 1e-9  # bounds are loosened by this much, so rounding can only keep extra pairs
 
 
-def _jaro_floor(threshold: float) -> float:
-    """Smallest Jaro value that can still give Jaro-Winkler > threshold."""
-    return threshold if threshold <= 0.7 else (threshold - 0.4) / 0.6
+def jaro_floor(threshold: float, p: int) -> float:
+    """The Jaro value that a pair with a common prefix of p letters must exceed."""
+    boost = JW_PREFIX_WEIGHT * p
+    return max((threshold - boost) / (1 - boost), min(threshold, 0.7))
+
+
+def overlap_floor(threshold: float, p: int) -> float:
+    """What o/l1 + o/l2 must exceed for such a pair (o: common letters)."""
+    return 3 * jaro_floor(threshold, p) - 1 - SLACK
 
 
 def name_candidates(names: DataFrame, key: str = "CID", name_col: str = "Synonyms") -> DataFrame:
@@ -42,119 +50,140 @@ def name_candidates(names: DataFrame, key: str = "CID", name_col: str = "Synonym
             .agg(F.min(F.struct(F.col(key).alias("key"), F.col(name_col).alias("name"))).alias("rep")))
 
 
-def _scored_texts(texts: DataFrame, cand: DataFrame, threshold: float, broadcast_rows: int, salts: int,
-                  scorer: str, exact_first: bool, overlap_bound: bool,
-                  broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """(lq, lname, score, key, name) for distinct lower-cased query texts ``lq``."""
-    jmin = _jaro_floor(threshold)
-    # Bounds are loosened by 1e-9 so floating-point rounding can only keep extra pairs.
-    rmin = 3 * jmin - 2 - 1e-9   # length ratio bound
-    omin = 3 * jmin - 1 - 1e-9   # o/l1 + o/l2 bound
+def _tokens(text: Column) -> Column:
+    """The letters of a text with their occurrence number ('e1', 'e2', ...): a multiset as a set."""
+    letters = F.split(text, "")
+    letters = F.filter(letters, lambda c: c != "")
+    return F.transform(letters, lambda c, i: F.concat(c, (F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == c))).cast("string")))
+
+
+def _sided(texts: DataFrame, text: str, rest: list[str], weights: Column) -> DataFrame:
+    """text, length, letters, and per p from 0 to 2 the tokens behind the prefix from rare to frequent."""
+    df = texts.select(F.col(text).alias("text"), *rest).filter(F.length("text") > 0)
+    df = df.withColumn("n", F.length("text")).withColumn("tokens", _tokens(F.col("text")))
+
+    def ordered(tokens):
+        ranked = F.array_sort(F.transform(tokens, lambda t: F.struct(F.coalesce(F.try_element_at(weights, t), F.lit(0)).alias("f"), t.alias("t"))))
+        return F.transform(ranked, lambda x: x["t"])
+
+    return df.select("*", *[ordered(F.slice("tokens", p + 1, F.greatest(F.col("n") - p, F.lit(0)))).alias(f"t{p}") for p in range(3)])
+
+
+def _letter_weights(cand: DataFrame) -> Column:
+    """Map from token to its number of names, for the ORDERED_TOKENS most frequent tokens. Any fixed order of
+    tokens finds all pairs; this one makes the lists short. The map comes to the driver: it is
+    bounded by that number, and tokens outside it count as rare."""
+    counts = cand.select(F.explode(_tokens(F.col("lname"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.orderBy(F.desc("n"), "t").limit(ORDERED_TOKENS).collect()
+    if not top:
+        return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    return F.map_from_arrays(F.array(*[F.lit(r["t"]) for r in top]), F.array(*[F.lit(int(r["n"])) for r in top]))
+
+
+def _head(p: int) -> Column:
+    return F.substring("text", 1, p) if p else F.lit("")
+
+
+def candidate_pairs(texts: DataFrame, cand: DataFrame, threshold: float) -> DataFrame:
+    """(lq, lname, rep) pairs of different texts that the bounds allow; each pair once. Texts without letters have none."""
+    weights = _letter_weights(cand)
+    q = _sided(texts, "lq", [], weights)
+    c = _sided(cand, "lname", ["rep"], weights)
+    found = None
+    for p in range(JW_PREFIX_CAP + 1):
+        floor = overlap_floor(threshold, p)
+        n, m = F.col("n"), F.col("n_c")
+
+        def side(df: DataFrame) -> DataFrame:
+            df = df.filter(F.col("n") >= p).withColumn("head", _head(p))
+            if p > 2:
+                return df.select("text", "n", "tokens", "head", *[x for x in df.columns if x == "rep"])
+            # A partner has at least (floor - 1) n letters, and no partner of that size shares fewer.
+            least = F.floor(n * (floor - 1)) + 1
+            shared = F.floor(floor * n * least / (n + least)) + 1
+            some = F.greatest(F.lit(0), F.least(F.size(f"t{p}"), (n - shared + 1).cast("int")))
+            # Short texts may share the prefix alone: they also meet under a token of no letter.
+            rare = F.slice(f"t{p}", 1, some)
+            df = df.withColumn("rare", F.when(shared <= p, F.concat(F.array(F.lit("")), rare)).otherwise(rare))
+            return df.select("text", "n", "tokens", "head", "rare", F.explode("rare").alias("token"), *[x for x in df.columns if x == "rep"])
+
+        left, right = side(q), side(c)
+        for x in right.columns:
+            if x not in ("head", "token", "rep"):
+                right = right.withColumnRenamed(x, f"{x}_c")
+        pairs = left.join(right, ["head", "token"] if p < 3 else "head")
+        pairs = pairs.filter(F.least(n, m) > (floor - 1) * F.greatest(n, m))
+        if p < JW_PREFIX_CAP:  # the prefix ends here
+            pairs = pairs.filter(F.expr(f"substring(text, {p + 1}, 1) <> substring(text_c, {p + 1}, 1)"))
+        else:
+            pairs = pairs.filter("text <> text_c")
+        if p < 3:  # at their first common rare token
+            pairs = pairs.filter(F.array_intersect("rare", "rare_c")[0] == F.col("token"))
+        common = F.size(F.array_intersect("tokens", "tokens_c"))
+        pairs = pairs.filter(common / n + common / m > floor)
+        pairs = pairs.select(F.col("text").alias("lq"), F.col("text_c").alias("lname"), "rep")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
 
+
+def _scored_texts(texts: DataFrame, cand: DataFrame, threshold: float, scorer: str, exact_first: bool) -> DataFrame:
+    """(lq, lname, score, key, name) for distinct lower-cased query texts ``lq``."""
+    if threshold <= 2 / 3:
+        # At or below 2/3 no length bound exists and every pair is a candidate; that would be a cross
+        # join, which this operator does not run.
+        raise ValueError("the blocked similarity join needs a threshold above 2/3 (the reference uses 0.9)")
+    texts, cand = texts.filter(F.length("lq") > 0), cand.filter(F.length("lname") > 0)
+    exact = (texts.join(cand, texts["lq"] == cand["lname"], "inner")
+             .select("lq", "lname", F.lit(1.0).alias("score"), F.col("rep.key").alias("key"),
+                     F.col("rep.name").alias("name")))
     if exact_first:
         # Top-1 only: a text equal to a name cannot score higher elsewhere, so it skips the
         # fuzzy part. (All-pairs output keeps every text in the fuzzy part.)
-        exact = (texts.join(cand, texts["lq"] == cand["lname"], "inner")
-                 .select("lq", "lname", F.lit(1.0).alias("score"), F.col("rep.key").alias("key"),
-                         F.col("rep.name").alias("name")))
-        rest = texts.join(exact.select("lq"), "lq", "left_anti")
-    else:
-        exact, rest = None, texts
-
-    # The pair join fans out (each name meets every text of a compatible length), so the work
-    # follows the number of name partitions. AQE would coalesce a small name table into one
-    # partition; an explicit partition count is kept as is.
-    n_parts = shuffle_partitions(cand.sparkSession)
-    c = cand.select("lname", "rep", F.length("lname").alias("ls")).filter(F.col("ls") > 0).repartition(n_parts)
-    if overlap_bound:
-        # Letter counts are computed once per row on each side, not once per pair.
-        c = c.withColumn("lc_s", letter_counts("lname"))
-        rest = rest.withColumn("lc_q", letter_counts("lq"))
-    lq_len = F.length("lq")
-    if rmin > 0:
-        lo = F.floor(lq_len * rmin).cast("int") + 1
-        hi = (F.ceil(lq_len / rmin) - 1).cast("int")
-        rq = rest.filter(lq_len > 0).withColumn("ls", F.explode(F.sequence(lo, F.greatest(lo, hi))))
-        rq = rq.filter(F.col("ls") <= hi)
-        # Size check for the broadcast: rows and bytes of the exploded text side, computed from
-        # the distinct texts alone (a small job that does not touch the name table).
-        n_rows = F.greatest(hi - lo + 1, F.lit(0))
-        size = texts.agg(F.sum(n_rows).alias("rows"),
-                         F.sum(n_rows * (F.length("lq") * 4 + 32)).alias("bytes")).first()
-        n_q, n_bytes = (size["rows"] or 0), (size["bytes"] or 0)
-        if n_q <= broadcast_rows and n_bytes <= broadcast_bytes:
-            pairs = c.join(F.broadcast(rq), "ls")
-        else:
-            cs = c.withColumn("salt", F.pmod(F.xxhash64("lname"), F.lit(salts)))
-            qs = rq.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            pairs = cs.join(qs, ["ls", "salt"]).drop("salt")
-    else:
-        # At or below JW = 2/3 no length bound exists and every pair is a candidate; that would
-        # be a cross join, which this operator does not run.
-        raise ValueError("the blocked similarity join needs a threshold above 2/3 (the reference uses 0.9)")
-
-    l1, l2 = F.length("lname"), F.length("lq")
-    if omin > 0 and overlap_bound:
-        pairs = pairs.withColumn("o", overlap(F.col("lc_s"), F.col("lc_q")))
-        pairs = pairs.filter(F.col("o") / l1 + F.col("o") / l2 > F.lit(omin))
+        texts = texts.join(exact.select("lq"), "lq", "left_anti")
+    pairs = candidate_pairs(texts, cand, threshold)
     score_fn = jaro_winkler_udf if scorer == "arrow" else jaro_winkler
     # Score through a generator so the threshold filter cannot be copied below it.
     scored = pairs.select("lq", "lname", "rep",
                           F.explode(F.array(score_fn(F.col("lname"), F.col("lq")))).alias("score"))
     fuzzy = (scored.filter(F.col("score") > threshold)
              .select("lq", "lname", "score", F.col("rep.key").alias("key"), F.col("rep.name").alias("name")))
-    return fuzzy if exact is None else exact.unionByName(fuzzy)
-
-
-def _prepare(queries, names, qid, query_col, key, name_col, candidates, scorer, overlap_bound):
-    if candidates is not None:
-        cand = candidates
-    else:
-        # The candidate table feeds the exact branch twice and the fuzzy branch once; without a
-        # cut, the name table would be scanned, filtered and aggregated three times (seen in the
-        # event log). A reliable checkpoint in the shared folder materialises it once.
-        checkpoint_dir(names.sparkSession)
-        cand = name_candidates(names, key, name_col).checkpoint(eager=True)
-    if overlap_bound is None:
-        # Measured: with the Arrow scorer it is cheaper to score every length-compatible pair
-        # than to evaluate the letter-overlap bound on the JVM (which Catalyst folds into the
-        # join condition, outside generated code). The native scorer keeps the bound.
-        overlap_bound = scorer != "arrow"
+    return exact.unionByName(fuzzy)
+
+
+def _prepare(queries, names, qid, query_col, key, name_col, candidates):
+    """Candidates, queries and distinct query texts. The candidate and text tables feed several joins each; a
+    reliable checkpoint in the shared folder computes them once."""
+    checkpoint_dir(names.sparkSession)
+    cand = candidates if candidates is not None else name_candidates(names, key, name_col).checkpoint(eager=True)
     q = queries.select(F.col(qid).alias("qid"), F.col(query_col), F.lower(F.col(query_col)).alias("lq"))
     # Equal texts give equal results: score each distinct text once (a hot text held by a
     # third of the queries is one row here).
-    texts = q.select("lq").filter(F.col("lq").isNotNull()).distinct()
-    return cand, overlap_bound, q, texts
+    texts = q.select("lq").filter(F.col("lq").isNotNull()).distinct().checkpoint(eager=True)
+    return cand, q, texts
 
 
 def similarity_pairs(queries: DataFrame, names: DataFrame, qid: str = "qid", query_col: str = "name",
                      key: str = "CID", name_col: str = "Synonyms", threshold: float = 0.9,
-                     broadcast_rows: int = DEFAULT_BROADCAST_ROWS, salts: int = 16,
-                     candidates: DataFrame | None = None, scorer: str = "arrow",
-                     overlap_bound: bool | None = None) -> DataFrame:
-    """All (query, distinct lower-cased name) pairs with Jaro-Winkler > threshold.
+                     candidates: DataFrame | None = None, scorer: str = "arrow") -> DataFrame:
+    """All (query, distinct lower-cased name) pairs with Jaro-Winkler > threshold; empty texts match nothing.
 
     ``scorer``: 'arrow' (batched pandas UDF, measured faster) or 'native' (Column expression).
     Columns: qid, lname, score, key, name (key/name = smallest holder of that lower-cased name).
     """
-    cand, overlap_bound, q, texts = _prepare(queries, names, qid, query_col, key, name_col,
-                                             candidates, scorer, overlap_bound)
-    scored = _scored_texts(texts, cand, threshold, broadcast_rows, salts, scorer, False, overlap_bound)
+    cand, q, texts = _prepare(queries, names, qid, query_col, key, name_col, candidates)
+    scored = _scored_texts(texts, cand, threshold, scorer, False)
     return q.select("qid", "lq").join(scored, "lq").select("qid", "lname", "score", "key", "name")
 
 
 def best_match(queries: DataFrame, names: DataFrame, qid: str = "qid", query_col: str = "name",
                key: str = "CID", name_col: str = "Synonyms", threshold: float = 0.9,
-               broadcast_rows: int = DEFAULT_BROADCAST_ROWS, salts: int = 16,
-               candidates: DataFrame | None = None, scorer: str = "arrow",
-               overlap_bound: bool | None = None) -> DataFrame:
+               candidates: DataFrame | None = None, scorer: str = "arrow") -> DataFrame:
     """Best name per query (score desc, then key, then name); unmatched queries get NULLs.
 
     Columns: <qid>, <query_col>, <key>, <name_col>, score.
     """
-    cand, overlap_bound, q, texts = _prepare(queries, names, qid, query_col, key, name_col,
-                                             candidates, scorer, overlap_bound)
-    scored = _scored_texts(texts, cand, threshold, broadcast_rows, salts, scorer, True, overlap_bound)
+    cand, q, texts = _prepare(queries, names, qid, query_col, key, name_col, candidates)
+    scored = _scored_texts(texts, cand, threshold, scorer, True)
     best = (scored.groupBy("lq")
             .agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("key"), F.col("name"))).alias("b"))
             .select("lq", F.col("b.key").alias(key), F.col("b.name").alias(name_col),
@@ -186,10 +215,3 @@ def annotate(matches: DataFrame, structures: DataFrame, annotations: DataFrame,
     s = first_per_key(structures.join(keys, key, "left_semi"), key, structure_cols)
     a = first_per_key(annotations.join(keys, key, "left_semi"), key, annotation_cols)
     return matches.join(s, key, "left").join(a, key, "left")
-
-
-def pair_count_bound(threshold: float) -> dict:
-    """The two lossless bounds used above, for documentation and tests."""
-    jmin = _jaro_floor(threshold)
-    return {"jaro_min": jmin, "length_ratio_min": 3 * jmin - 2, "overlap_sum_min": 3 * jmin - 1,
-            "max_len_factor": (1 / (3 * jmin - 2)) if 3 * jmin - 2 > 0 else math.inf}

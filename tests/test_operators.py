@@ -57,8 +57,30 @@ def test_blocked_join_equals_brute_force(spark):
 
 
 def test_bounds_are_lossless():
-    b = S.pair_count_bound(0.9)
-    assert b["length_ratio_min"] == pytest.approx(0.5) and b["overlap_sum_min"] == pytest.approx(1.5)
+    assert [round(S.jaro_floor(0.9, p), 4) for p in range(5)] == [0.9, 0.8889, 0.875, 0.8571, 0.8333]
+
+
+def test_similarity_join_long_and_odd_names(spark):
+    """Names of 1 to 60 letters, repeated letters, accents, both scorers, without broadcasts; empty matches nothing."""
+    rnd = random.Random(8)
+    names = ["".join(rnd.choice("aabcdeé s") for _ in range(rnd.randint(1, 60))) for _ in range(150)] + ["", "aaaaaa", "aaaaab"]
+    queries = []
+    for n in names:
+        k = rnd.randrange(len(n)) if n else 0
+        queries += [n[:k] + n[k + 1:], n[:k] + "z" + n[k + 1:], n]
+    nd = spark.createDataFrame(list(enumerate(names)), "CID long, Synonyms string")
+    qd = spark.createDataFrame(list(enumerate(queries)), "qid long, name string")
+    want = {(i, n) for i, q in enumerate(queries) for n in set(names) if jaro_winkler_py(n, q) > 0.9}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit, scorer in ((old, "native"), ("-1", "arrow")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            rows = S.similarity_pairs(qd, nd, scorer=scorer).collect()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        assert {(r.qid, r.lname) for r in rows} == want and len(rows) == len(want)
+    empty = {r.qid: r.CID for r in S.best_match(qd, nd).collect()}
+    assert all(empty[i] is None for i, q in enumerate(queries) if not q)
 
 
 def test_splits_exact_repeatable_partition_independent(spark):

@@ -4,8 +4,7 @@ Spark trees reject NaN/infinite feature values, while the reference's boosters a
 the feature stage clips to [-1e15, 1e15] (H10), imputes means fitted on the training part only
 and adds a 0/1 missing indicator per feature that has gaps. ``GBTClassifier`` is binary-only,
 so the multiclass booster is ``OneVsRest(GBTClassifier)``; random forest and logistic
-regression are the other two families. Fits are distributed; ``CrossValidator`` evaluates
-settings in parallel.
+regression are the other two families. Fits are distributed.
 """
 
 from __future__ import annotations
@@ -16,11 +15,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, IndexToString, StringIndexer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardframe.operators.clean import clip
+from hazardframe.operators.metrics import weighted_metrics
 
 SEED = 42
 
@@ -58,8 +57,9 @@ def feature_frame(df: DataFrame, feature_cols: list[str] | None = None, array_co
 def pipeline(feature_cols: list[str], model, label_col: str = "label", with_gaps: list[str] | None = None) -> Pipeline:
     """M1 + M3 + imputation + model + label decoding, as one savable unit."""
     gaps = with_gaps or []
+    # 'error': a label that training never saw must not become an extra class of the model.
     stages = [StringIndexer(inputCol=label_col, outputCol="label_idx", stringOrderType="alphabetAsc",
-                            handleInvalid="keep")]
+                            handleInvalid="error")]
     if gaps:
         stages.append(Imputer(inputCols=gaps, outputCols=[f"{c}__imp" for c in gaps], strategy="mean"))
     assembled = [f"{c}__imp" if c in gaps else c for c in feature_cols] + [f"{c}__missing" for c in gaps]
@@ -68,8 +68,20 @@ def pipeline(feature_cols: list[str], model, label_col: str = "label", with_gaps
     return Pipeline(stages=stages)
 
 
+def gap_columns(df: DataFrame, cols: list[str]) -> list[str]:
+    """Feature columns with a missing value (NULL or NaN), from one aggregate."""
+    row = df.agg(*[F.max(_missing(c).cast("int")).alias(f"g{i}") for i, c in enumerate(cols)]).first()
+    return [c for i, c in enumerate(cols) if row[f"g{i}"]]
+
+
+def _missing(c: str):
+    return F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+
+
 def add_missing_indicators(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select("*", *[F.col(c).isNull().cast("double").alias(f"{c}__missing") for c in cols])
+    """A 0/1 column per feature that has gaps; its NaN become NULL, which the imputer fills."""
+    return df.select(*[F.when(~_missing(c), F.col(c).cast("double")).alias(c) if c in cols else F.col(c) for c in df.columns],
+                     *[_missing(c).cast("double").alias(f"{c}__missing") for c in cols])
 
 
 def decode(pred: DataFrame, model: PipelineModel, label_col: str = "label") -> DataFrame:
@@ -80,8 +92,12 @@ def decode(pred: DataFrame, model: PipelineModel, label_col: str = "label") -> D
 
 def train_and_predict(train: DataFrame, test: DataFrame, feature_cols: list[str], model_name: str = "booster",
                       label_col: str = "label", **params) -> tuple[PipelineModel, DataFrame]:
-    """Fit on the training part, predict the held-out part (decoded labels)."""
-    p = pipeline(feature_cols, family(model_name, **params), label_col)
+    """Fit on the training part, predict the held-out part (decoded labels). Features with gaps in
+    the training part get its mean and a missing indicator; a gap in any other feature of the held-out
+    part is filled with that feature's training mean as well."""
+    gaps = gap_columns(train.unionByName(test, allowMissingColumns=True), feature_cols)
+    train, test = add_missing_indicators(train, gaps), add_missing_indicators(test, gaps)
+    p = pipeline(feature_cols, family(model_name, **params), label_col, gaps)
     m = p.fit(train)
     return m, decode(m.transform(test), m, label_col)
 
@@ -115,25 +131,47 @@ def sample_settings(grid: dict[str, list], n_iter: int, seed: int = SEED) -> lis
     return full if n_iter >= len(full) else rnd.sample(full, n_iter)
 
 
+def setting_name(setting: dict) -> str:
+    return ", ".join(f"{k}={setting[k]}" for k in sorted(setting))
+
+
 def cross_validate(df: DataFrame, feature_cols: list[str], model_name: str, settings: list[dict],
-                   fold_col: str = "fold", label_col: str = "label", parallelism: int = 4) -> DataFrame:
-    """M9: k-fold search with a given fold column; one row per (setting, fold) with the
-    support-weighted F1 - the input of ``metrics.tuning_rank`` (M10)."""
+                   fold_col: str = "fold", label_col: str = "label", folds: int | None = None) -> DataFrame:
+    """M9: k-fold search with a given fold column; one row per (setting, fold): model, params, fold, score
+    (support-weighted F1) and n_rows of the held-out fold - the input of ``metrics.tuning_rank`` (M10)."""
     est = family(model_name)
     p = pipeline(feature_cols, est, label_col)
-    grid = ParamGridBuilder()
-    if settings:
-        for k in sorted(settings[0]):
-            grid = grid.addGrid(est.getParam(k), sorted({s[k] for s in settings}))
-    maps = [m for m in grid.build() if {p_.name: v for p_, v in m.items()} in settings]
+    maps = [{est.getParam(k): v for k, v in s.items()} for s in settings]
     ev = MulticlassClassificationEvaluator(labelCol="label_idx", metricName="f1")
-    cv = CrossValidator(estimator=p, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism, collectSubModels=False)
-    model = cv.fit(df)
+    folds = folds if folds is not None else df.agg(F.max(fold_col)).first()[0] + 1
     rows = []
-    for m, metrics in zip(maps, model.avgMetrics):
-        rows.append((model_name, str({p_.name: v for p_, v in sorted(m.items(), key=lambda t: t[0].name)}), float(metrics)))
-    return df.sparkSession.createDataFrame(rows, "model string, params string, mean_f1 double")
+    for f in range(folds):
+        held = df.filter(F.col(fold_col) == f)
+        n = held.count()
+        for i, m in p.fitMultiple(df.filter(F.col(fold_col) != f), maps):
+            rows.append((model_name, setting_name(settings[i]), f, float(ev.evaluate(m.transform(held))), n))
+    return df.sparkSession.createDataFrame(rows, "model string, params string, fold int, score double, n_rows long")
+
+
+def refit_best(train: DataFrame, test: DataFrame, feature_cols: list[str], ranked: DataFrame, settings: list[dict],
+               model_name: str, label_col: str = "label") -> DataFrame:
+    """Fit each of the ranked settings and the defaults on the whole training part and score the held-out
+    part: kind ('tuned' or 'default'), model, params, rank, mean_score, then the weighted metrics; ordered by rank,
+    the defaults last. ``ranked`` is ``metrics.tuning_rank`` (a few rows) of this model's search."""
+    known = {setting_name(s): s for s in settings}
+    best = ranked.filter(F.col("model") == model_name).orderBy("rank", "params").collect()
+    frames = []
+    for r in [*best, None]:
+        _, pred = train_and_predict(train, test, feature_cols, model_name, label_col, **(known[r["params"]] if r else {}))
+        tags = {"kind": "tuned" if r else "default", "model": model_name, "params": r["params"] if r else None,
+                "rank": r["rank"] if r else None, "mean_score": r["mean_score"] if r else None}
+        types = {"rank": "int", "mean_score": "double"}
+        frames.append(weighted_metrics(pred, label_col, "predicted_label").select(
+            *[F.lit(v).cast(types.get(k, "string")).alias(k) for k, v in tags.items()], "*"))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out.orderBy(F.col("rank").asc_nulls_last(), "model", "params")
 
 
 def save_model(model: PipelineModel, path: str) -> str:

@@ -160,16 +160,18 @@ def _ship(ranges: int, length: int):
     return run
 
 
-def _met(table: pa.Table) -> pa.Table:
-    """Of one range: the hashes that two blocks have, and those that more than HOT have, per block."""
-    arrays = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
-    every, counts = np.unique(np.concatenate(arrays), return_counts=True)
-    met, hot = [], []
-    for a in arrays:
-        c = counts[np.searchsorted(every, a)]
-        met.append(a[c > 1].tobytes())
-        hot.append(a[c > HOT].tobytes())
-    return pa.table({"block": table.column("block"), "met": pa.array(met, pa.binary()), "hot": pa.array(hot, pa.binary())})
+def _met(hot_blocks: int):
+    """Of one range: the hashes that two blocks have, and those that more than ``hot_blocks`` have, per block."""
+    def run(table: pa.Table) -> pa.Table:
+        arrays = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
+        every, counts = np.unique(np.concatenate(arrays), return_counts=True)
+        met, hot = [], []
+        for a in arrays:
+            c = counts[np.searchsorted(every, a)]
+            met.append(a[c > 1].tobytes())
+            hot.append(a[c > hot_blocks].tobytes())
+        return pa.table({"block": table.column("block"), "met": pa.array(met, pa.binary()), "hot": pa.array(hot, pa.binary())})
+    return run
 
 
 # --- step 2: blocks -----------------------------------------------------------------------------------------
@@ -317,7 +319,7 @@ def _finish(id_type, length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot_blocks: int = HOT) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -329,7 +331,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = digests.agg(F.sum("size")).first()[0] or 0
     ranges = max(spark.sparkContext.defaultParallelism, int(size // 39 // RANGE_HASHES) + 1)
     shipped = rows.select("row", "text").mapInArrow(_ship(ranges, length), "range long, block long, hashes binary")
-    met = spool(shipped.groupBy("range").applyInArrow(_met, "block long, met binary, hot binary"), "anchors")
+    met = spool(shipped.groupBy("range").applyInArrow(_met(hot_blocks), "block long, met binary, hot binary"), "anchors")
     texts = rows.unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     # a text row and, for a copy, a mark of the same row: put together inside the block
     both = texts.withColumn("block", F.shiftright("row", BLOCK)).unionByName(met, allowMissingColumns=True)

@@ -196,6 +196,12 @@ def require_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     return df
 
 
+def column_check(df: DataFrame, cols: list[str]) -> DataFrame:
+    """B7 as rows: each required column and whether the frame has it (a planning-time check, one row per name)."""
+    rows = [(c, c in df.columns) for c in cols]
+    return df.sparkSession.createDataFrame(rows, "column_name string, present boolean")
+
+
 def preview(df: DataFrame, n_cols: int = 10, n_rows: int = 5) -> DataFrame:
     """the first ``n_cols`` columns of ``n_rows`` rows (an interactive peek)."""
     return df.select(*df.columns[:n_cols]).limit(n_rows)

@@ -735,6 +735,31 @@ def q_featurize_rows(spark, d):
     return FE.featurize(T.compounds(spark, d), demo_feature_fn, "SMILES", _DEMO_SCHEMA, keep=["CID"])
 
 
+def per_feature_fn(smiles):
+    """A user function whose features are computed one by one; any of them may fail alone."""
+    def branches():
+        if smiles.count("(") != smiles.count(")"):
+            raise ValueError("unbalanced branches")
+        return smiles.count("(")
+
+    return {"n_carbon": lambda: smiles.count("C") - smiles.count("Cl"), "n_branch": branches}
+
+
+@register("featurize_per_feature", f"""
+SELECT CID, true AS desc_ok, CASE WHEN SMILES IS NOT NULL THEN CAST({_cnt('SMILES', 'C')} - {_cnt('SMILES', 'Cl')} AS BIGINT) END AS n_carbon,
+  CASE WHEN {_cnt('SMILES', '(')} = {_cnt('SMILES', ')')} THEN CAST({_cnt('SMILES', '(')} AS BIGINT) END AS n_branch
+FROM ({T.COMPOUNDS_SQL}) c""")
+def q_featurize_per_feature(spark, d):
+    return FE.featurize(T.compounds(spark, d), per_feature_fn, "SMILES", _DEMO_SCHEMA, keep=["CID"], per_feature=True)
+
+
+@register("required_columns", """
+SELECT w.c AS column_name, w.c IN (SELECT column_name FROM (DESCRIBE SELECT * FROM documents)) AS present
+FROM (VALUES ('doc_id'), ('text'), ('smiles'), ('lang')) w(c)""")
+def q_required_columns(spark, d):
+    return CL.column_check(T.table(spark, d, "documents"), ["doc_id", "text", "smiles", "lang"])
+
+
 _LABELLED_SQL = f"""
 SELECT c.cid0 AS CID, {OR.classify_first_match_sql("coalesce(c.carc_raw, 'nan')")} AS Carcinogenicity,
   CASE WHEN t.Categories IS NULL OR len(t.Categories) = 0 THEN ['No data'] ELSE t.Categories END AS Categories,

@@ -14,8 +14,10 @@ A set holds the distinct word shingles of a document; two link when 100 * common
    are listed too. The boundary is the size of least total cost, subsets against list entries to scan.
 4. Classes that meet under a key are candidates. First each class is checked against the middle of its list, the member with the
    largest part of shingles shared with others, so a list of L near copies gives L checks and not L^2. Verified links form
-   components; lists that lie in one component are done. In the others, every pair across components whose sizes and
-   shared shingles allow a link is checked, from the members outside the list's largest component. So no link is lost, but pairs
+   components; lists that lie in one component are done. Members of the others are checked against the middle m of the
+   list's largest component, which also bounds every overlap: a and b share at most min(|a m|, |b m|) shingles of m and
+   min(|a - m|, |b - m|) others. At last every pair across components is checked that sizes, shared shingles and this
+   bound allow, from the members outside the list's largest component. So no link is lost, but pairs
    inside a component stay unlisted. Checks intersect the whole sets.
 
 Hashes: sets and sizes use 64 bits, common shingles 48 bits: for two sets of 1000 shingles the chance that a common one is
@@ -44,10 +46,10 @@ from hazardframe.llm.components import components
 PERCENT = 80
 WORDS = 5
 BLOCK_DOCS = 1 << 16
-BLOCK_SHINGLES = 1 << 21
-RANGE_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 20
+RANGE_SHINGLES = 1 << 20
 MAX_BOUNDARY = 20
-WORDS_HELD = 500_000
+WORDS_HELD = 300_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -237,12 +239,21 @@ def _may_link(percent: int):
     return fits & ((F.col("kind") > 0) | F.col("heavy") | F.col("heavy_b"))
 
 
-def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by intersecting the whole sets."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the number of common shingles of their whole sets and the sizes."""
     left = sets.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
     right = sets.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return (pairs.join(left, "a").join(right, "b").filter(common * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", common.cast("long").alias("common"), "n_a", "n_b")
+
+
+def _linked(percent: int):
+    return F.col("common") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+
+
+def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by intersecting the whole sets."""
+    return _overlaps(pairs, sets).filter(_linked(percent)).select("a", "b")
 
 
 def _other(df: DataFrame, *names: str) -> DataFrame:
@@ -251,27 +262,53 @@ def _other(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def _open_lists(keys: DataFrame, label: DataFrame) -> DataFrame:
+    """Entries of the lists whose members lie in several components, with ``label`` and the list's largest component ``main``."""
+    keys = keys.join(label, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    per = keys.groupBy("kind", "key", "label").agg(F.count(F.lit(1)).alias("members"))
+    split = per.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("members", "label")).alias("main")).filter("labels > 1")
+    return keys.join(split.select("kind", "key", F.col("main.label").alias("main")), ["kind", "key"])
+
+
+def _middle(part):
+    """Of several classes the one with the largest part of its shingles shared with others."""
+    return F.max(F.struct(part.alias("part"), (-F.col("row")).alias("low"), "row", "n", "q", "heavy"))
+
+
 def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """row, label: components of the classes that link with another one."""
     sizes = {r["n"]: r["c"] for r in sets.groupBy("n").agg(F.count(F.lit(1)).alias("c")).filter(F.col("n") <= MAX_BOUNDARY).collect()}
     mean = sets.agg(F.avg(F.expr("aggregate(f, 0D, (s, x) -> s + x) / q"))).first()[0] or 0.0
     boundary = choose_boundary(sizes, mean, percent)
     keys = sets.select("row", "n", "q", "tokens").mapInArrow(_keys(boundary, percent), "key long, kind int, row long, n long, q long, heavy boolean")
-    sized = keys.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct((F.col("q") / F.col("n")).alias("part"), (-F.col("row")).alias("low"), "row", "n", "q", "heavy")).alias("hub")).filter("members > 1")
-    keys = spool(keys.join(sized.select("kind", "key", "hub"), ["kind", "key"]), "join-keys")
+    part = F.col("q") / F.col("n")
+    # stars: every member of a list against its middle
+    hubs = keys.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("members"), _middle(part).alias("hub")).filter("members > 1")
+    keys = spool(keys.join(hubs.select("kind", "key", "hub"), ["kind", "key"]), "join-keys")
     star = (keys.filter(F.col("row") != F.col("hub.row"))
             .select("kind", "row", "n", "q", "heavy", F.col("hub.row").alias("row_b"), F.col("hub.n").alias("n_b"), F.col("hub.q").alias("q_b"), F.col("hub.heavy").alias("heavy_b"))
             .filter(_may_link(percent)).select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b")).distinct())
     links = spool(_check(star, sets, percent), "star-links")
     label = components(links).withColumnRenamed("node", "row")
-    keys = keys.drop("hub").join(label, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    per = keys.groupBy("kind", "key", "label").agg(F.count(F.lit(1)).alias("members"))
-    split = per.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("members", "label")).alias("main")).filter("labels > 1")
-    open_ = spool(keys.join(split.select("kind", "key", F.col("main.label").alias("main")), ["kind", "key"]), "open-lists")
-    few = open_.filter("label <> main")
-    every = _other(open_.drop("main"), "row", "n", "q", "heavy", "label")
+    # lists still open: their members against the middle of the list's largest component
+    lists = _open_lists(keys.drop("hub"), label)
+    members = label.join(sets.select("row", "n", "q", F.lit(True).alias("heavy")), "row")
+    middles = members.groupBy("label").agg(_middle(part)["row"].alias("middle")).withColumnRenamed("label", "main")
+    lists = spool(lists.join(middles, "main", "left").withColumn("middle", F.coalesce("middle", "main")).drop("label", "main"), "open-lists")
+    asked = lists.filter("row <> middle").select(F.col("row").alias("a"), F.col("middle").alias("b")).distinct()
+    known = spool(_overlaps(asked, sets), "middle-overlaps")
+    links = spool(links.unionByName(known.filter(_linked(percent)).select("a", "b")), "links-so-far")
+    label = components(links).withColumnRenamed("node", "row")
+    # what is left: all pairs across components that the sizes, the shared shingles and the overlaps with that middle allow
+    common = known.select(F.col("a").alias("row"), F.col("b").alias("middle"), "common")
+    lists = _open_lists(lists.join(common, ["row", "middle"], "left").withColumn("common", F.coalesce("common", "q")), label)
+    lists = spool(lists, "open-pairs")
+    few = lists.filter("label <> main")
+    every = _other(lists.drop("main", "middle"), "row", "n", "q", "heavy", "label", "common")
+    most = F.least("common", "common_b") + F.least(F.col("q") - F.col("common"), F.col("q_b") - F.col("common_b"))
     across = (few.join(every, ["kind", "key"]).filter(F.col("label") != F.col("label_b")).filter((F.col("label_b") == F.col("main")) | (F.col("row") < F.col("row_b")))
-              .filter(_may_link(percent)).select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b")).distinct())
+              .filter(_may_link(percent)).filter(most * (100 + percent) >= percent * (F.col("n") + F.col("n_b")))
+              .select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b")).distinct())
     return components(links.unionByName(_check(across, sets, percent))).withColumnRenamed("node", "row")
 
 
@@ -301,3 +338,20 @@ def op8_jaccard_join(spark, sf_dir):
     """doc_id, n_shingles, component_id for every row of documents."""
     found = jaccard_components(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, min(a.n) AS nx, min(b.n) AS ny
+      FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 100 * c >= 80 * (nx + ny - c)),
+r AS (SELECT doc_id AS d, doc_id AS m FROM s UNION SELECT l.y, r.m FROM r JOIN l ON l.x = r.d)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, c.component_id
+FROM s JOIN (SELECT d, min(m) AS component_id FROM r GROUP BY d) c ON c.d = s.doc_id
+"""

@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op8_jaccard_join": jaccard_join.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }

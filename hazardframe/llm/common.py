@@ -23,7 +23,7 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     ship_package(spark)
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -39,12 +39,12 @@ from pyspark.sql import functions as F
 from hazardframe.llm.common import bounded_batches, documents, spool
 
 LENGTH = 100
-GRAM = 8
+GRAM = 4
 SEED = 24
 BLOCK = 8  # bits: documents of a block
 HOT = 64
 RANGE_HASHES = 1 << 21
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 SEGMENT = 1 << 20
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -62,38 +62,60 @@ def _words(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rank(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Dense ranks of keys, and which keys are not alone."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    new = np.r_[True, ranked[1:] != ranked[:-1]] if len(keys) else np.zeros(0, bool)
-    numbers = np.cumsum(new) - 1
-    ranks, shared = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
-    ranks[order] = numbers
-    shared[order] = np.bincount(numbers, minlength=1)[numbers] > 1 if len(keys) else False
+def _rank(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dense ranks of keys below 2^bits, and which keys are not alone. Where key and position fit into one
+    64-bit number these are sorted as plain numbers, else an order of positions is sorted."""
+    n = len(keys)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    low = int(n - 1).bit_length()
+    if bits + low <= 64:
+        packed = np.sort((keys.astype(np.uint64) << np.uint64(low)) | np.arange(n, dtype=np.uint64))
+        order = (packed & np.uint64((1 << low) - 1)).astype(np.int64)
+        ranked = packed >> np.uint64(low)
+    else:
+        order = np.argsort(keys)
+        ranked = keys[order]
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    last = np.empty(n, bool)
+    last[-1] = True
+    last[:-1] = new[1:]
+    ranks, shared = np.empty(n, np.int64), np.empty(n, bool)
+    ranks[order] = np.cumsum(new) - 1
+    shared[order] = ~(new & last)
     return ranks, shared
 
 
 def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     """Which of the ascending starts have an equal ``length``-byte string at a smaller one of them."""
+    again = np.zeros(len(starts), bool)
     if len(starts) < 2:
-        return np.zeros(len(starts), bool)
+        return again
     if length < gram:
         raise ValueError("length below the first bucket's depth")
-    bucket, shared = _rank(_words(data))  # depth 8, all positions
+    words = _words(np.concatenate([data, np.zeros(8 - gram, np.uint8)]))
+    bucket, shared = _rank(words & np.uint64((1 << 8 * gram) - 1), 8 * gram)  # all positions
     depth = gram
     while depth < length:
         step = min(depth, length - depth)
-        live = np.flatnonzero(shared[:len(bucket) - step])
-        ranks, some = _rank((bucket[live] << 32) | bucket[live + step])
-        top = bucket.max(initial=0) + 1
-        bucket, shared = bucket[:len(bucket) - step].copy(), np.zeros(len(bucket) - step, bool)
+        n = len(bucket) - step
+        live = np.flatnonzero(shared[:n])
+        if not len(live):
+            return again
+        width = int(bucket.max()).bit_length()
+        ranks, some = _rank((bucket[live] << width) | bucket[live + step], 2 * width)
+        top = bucket.max() + 1
+        bucket, shared = bucket[:n].copy(), np.zeros(n, bool)
         bucket[live], shared[live] = ranks + top, some  # lone positions keep their numbers
+        if int(bucket.max()).bit_length() > int(n).bit_length() + 1:  # numbers as small as they can be
+            bucket, _ = _rank(bucket, int(bucket.max()).bit_length())
         depth += step
-    own = bucket[starts]
+    few = np.flatnonzero(shared[starts])
+    own = bucket[starts[few]]
     order = np.argsort(own, kind="stable")
-    again = np.zeros(len(starts), bool)
-    again[order[1:]] = own[order][1:] == own[order][:-1]
+    again[few[order[1:][own[order[1:]] == own[order[:-1]]]]] = True
     return again
 
 
@@ -205,11 +227,12 @@ def _expand(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 OUT = "kind int, block long, row long, id {id}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, firsts binary, counts binary, dealt long, start long, bytes binary"
 
 
-def _settle_block(id_type, length: int):
+def _settle_block(length: int):
     """One block: answers (kind 0), texts that wait (1) and windows that go on (2)."""
-    names = [x.strip().rsplit(" ", 1)[0].split(" ")[0] for x in OUT.replace("{id}", "x").split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def run(table: pa.Table) -> pa.Table:
+        schema = pa.schema([(name, kinds.get(kind) or table.schema.field("id").type) for name, kind in (x.split(" ") for x in OUT.split(", "))])
         texts = table.filter(pc.is_valid(table.column("row")))
         met, hot = (np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column(c).drop_null()] or [np.zeros(0, np.uint64)])) for c in ("met", "hot"))
         texts = texts.take(pc.sort_indices(texts, [("id", "ascending"), ("row", "ascending")], null_placement="at_start"))
@@ -233,42 +256,56 @@ def _settle_block(id_type, length: int):
         start = firsts + base[owner] if len(owner) else firsts
         some = np.flatnonzero(near)
         windows = _expand(start[some], counts[some])
-        repeats = _refine_few(whole, windows, length)
         settled = np.zeros(len(whole) + 1, bool)
-        settled[windows[repeats]] = True
-        rows: dict[str, list] = {c: [] for c in names}
-
-        def put(**values):
-            for c in names:
-                rows[c].append(values.get(c))
-
-        ids, numbers = texts.column("id").to_pylist(), texts.column("row").to_pylist()
-        waits = np.zeros(len(data), bool)
+        settled[windows[_refine_few(whole, windows, length)]] = True
+        # the others whose anchor other blocks have go on, in runs of one anchor
         far = np.flatnonzero(afar)
-        warm = np.isin(hashes[far], hot)
-        for k, is_hot in zip(far.tolist(), warm.tolist()):
-            o = int(owner[k])
-            free = np.flatnonzero(~settled[start[k]:start[k] + counts[k]]) + firsts[k]
-            for f, n in zip(*_runs(free)):
-                waits[o] = True
-                for s, m in ([(f + j, 1) for j in range(n)] if is_hot else [(f, n)]):
-                    part = data[o][s:s + m + length - 1].tobytes()
-                    put(kind=2, block=block, row=numbers[o], id=ids[o], dealt=int((xxhash.xxh3_64_intdigest(part) if is_hot else int(hashes[k])) >> 1), start=int(s), bytes=part)
+        windows = _expand(start[far], counts[far])
+        of = np.repeat(far, counts[far])
+        free = ~settled[windows]
+        windows, of = windows[free], of[free]
+        alone = np.isin(hashes, hot)[of]
+        new = np.ones(len(windows), bool)
+        new[1:] = (np.diff(windows) != 1) | (np.diff(of) != 0) | alone[1:]
+        at = np.flatnonzero(new)
+        sizes, first, of = np.diff(np.r_[at, len(windows)]), windows[at], of[at]
+        raw = whole.tobytes()
+        parts = [raw[s:e] for s, e in zip(first.tolist(), (first + sizes + length - 1).tolist())]
+        dealt = (hashes[of] >> np.uint64(1)).astype(np.int64)
+        for k in np.flatnonzero(alone[at]).tolist():
+            dealt[k] = xxhash.xxh3_64_intdigest(parts[k]) >> 1
+        ids, numbers = texts.column("id").combine_chunks(), texts.column("row").to_numpy()
+        whose = owner[of] if len(of) else of
+        onward = {"row": numbers[whose], "id": ids.take(pa.array(whose)), "dealt": dealt, "start": first - base[whose] if len(whose) else first, "bytes": pa.array(parts, pa.binary())}
+        waits = np.zeros(len(data), bool)
+        waits[whose] = True
+        answers, waiting = [], []
         for o, d in enumerate(data):
             if copies[o]:
                 f, n = (np.zeros(1, np.int64), np.array([len(d) - length + 1])) if len(d) >= length else _runs(np.zeros(0, np.int64))
             else:
                 f, n = _runs(np.flatnonzero(settled[base[o]:base[o] + len(d)]))
             if waits[o]:
-                put(kind=1, block=block, row=numbers[o], id=ids[o], text=d.tobytes().decode(), firsts=f.astype(np.int64).tobytes(), counts=n.astype(np.int64).tobytes())
+                waiting.append((d.tobytes().decode(), f.astype(np.int64).tobytes(), n.astype(np.int64).tobytes()))
             else:
-                size, removed, spans, sha = cut(d, f, n, length)
-                put(kind=0, block=block, row=numbers[o], id=ids[o], n_bytes=size, n_removed=removed, n_spans=spans, kept_sha256=sha)
-        kinds = {"kind": pa.int32(), "id": texts.schema.field("id").type, "kept_sha256": pa.string(), "text": pa.string(), "firsts": pa.binary(), "counts": pa.binary(), "bytes": pa.binary()}
-        return pa.table({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in rows.items()})
+                answers.append(cut(d, f, n, length))
+        done, later = np.flatnonzero(~waits), np.flatnonzero(waits)
+        ready = dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), zip(*answers))) if answers else {}
+        held = dict(zip(("text", "firsts", "counts"), zip(*waiting))) if waiting else {}
+        return pa.concat_tables([
+            _rows(schema, 0, block, {"row": numbers[done], "id": ids.take(pa.array(done))} | ready),
+            _rows(schema, 1, block, {"row": numbers[later], "id": ids.take(pa.array(later))} | held),
+            _rows(schema, 2, block, onward)])
     return run
 
 
+def _rows(schema: pa.Schema, kind: int, block: int, columns: dict) -> pa.Table:
+    n = len(columns["row"])
+    columns = columns | {"kind": [kind] * n, "block": [block] * n}
+    return pa.table([columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type)
+                     for f in schema], schema=schema)
+
+
 def _refine_few(whole: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
     """``refine`` over the stretches that hold the windows, not over all bytes of the block."""
     f, n = _runs(windows)
@@ -335,7 +372,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = rows.unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     # a text row and, for a copy, a mark of the same row: put together inside the block
     both = texts.withColumn("block", F.shiftright("row", BLOCK)).unionByName(met, allowMissingColumns=True)
-    settle = _settle_block(kind, length)
+    settle = _settle_block(length)
     settled = spool(both.groupBy("block").applyInArrow(_with_marks(settle), OUT.replace("{id}", kind)), "blocks")
     onward = settled.filter("kind = 2")
     amount = onward.agg(F.sum(F.length("bytes"))).first()[0] or 0

@@ -18,7 +18,10 @@ Spark deals the positions so that equal strings meet:
 3. What goes on travels by anchor, as bytes with the windows that share it, and is refined there against other blocks. Anchors found in more than
    HOT blocks travel window by window, dealt by the window's own hash, as their windows differ around the common part.
 4. Documents with windows that went on get the answers, in blocks, and are cut.
-Exact copies of an earlier text are settled by digest before all this: every window of theirs starts earlier too.
+Longer copies are settled before all this, by digest: texts are cut into stretches of about CUT anchors at places that the
+content sets; a stretch (with the LENGTH - 1 bytes behind it) that also starts earlier has none but repeated windows. So of
+exact and near copies only the first, and the stretches around edits, take part in 2 and 3. The earliest window of a content is never
+settled that way, and others that aren't meet it in 2 or 3.
 
 ``docs`` must be a stored table (it is read three times and must give its rows in the same order). Defined results: null text is empty; texts
 shorter than LENGTH bytes lose nothing; null ids come first; of rows with one id the earlier stored comes first; an empty table gives an
@@ -43,6 +46,7 @@ GRAM = 4
 SEED = 24
 BLOCK = 8  # bits: documents of a block
 HOT = 64
+CUT = 16
 RANGE_HASHES = 1 << 21
 PART_BYTES = 1 << 20
 SEGMENT = 1 << 20
@@ -153,6 +157,29 @@ def anchor_runs(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tup
     return np.concatenate(firsts), np.concatenate(counts), np.concatenate(hashes)
 
 
+def _stretches(length: int):
+    """Rows (row, id, start, n, digest): stretches of n windows from start on, with the digest of their bytes."""
+    def run(batches):
+        for b in batches:
+            rows, starts, counts, digests = [], [], [], []
+            for k, text in enumerate(b.column("text").to_pylist()):
+                raw = text.encode()
+                first, count, hashes = anchor_runs(np.frombuffer(raw, np.uint8), length)
+                if not len(first):
+                    continue
+                cuts = first[np.flatnonzero((hashes[1:] >> np.uint64(40)) % np.uint64(CUT) == 0) + 1]
+                bounds = np.r_[0, cuts, first[-1] + count[-1]].tolist()
+                for s, e in zip(bounds[:-1], bounds[1:]):
+                    rows.append(k)
+                    starts.append(s)
+                    counts.append(e - s)
+                    digests.append(hashlib.blake2b(raw[s:e + length - 1], digest_size=16).digest())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("row").take(at), b.column("id").take(at), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.binary())],
+                                             ["row", "id", "start", "n", "digest"])
+    return run
+
+
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode(), np.uint8)
 
@@ -233,18 +260,21 @@ def _settle_block(length: int):
 
     def run(table: pa.Table) -> pa.Table:
         schema = pa.schema([(name, kinds.get(kind) or table.schema.field("id").type) for name, kind in (x.split(" ") for x in OUT.split(", "))])
-        texts = table.filter(pc.is_valid(table.column("row")))
+        texts, marks = table.filter(pc.is_valid(table.column("text"))), table.filter(pc.is_valid(table.column("n")))
         met, hot = (np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column(c).drop_null()] or [np.zeros(0, np.uint64)])) for c in ("met", "hot"))
         texts = texts.take(pc.sort_indices(texts, [("id", "ascending"), ("row", "ascending")], null_placement="at_start"))
         block = table.column("block")[0].as_py()
-        data, runs, base, at = [], [], [], 0
-        copies = texts.column("copy").to_pylist()
-        for text, copy in zip(texts.column("text").to_pylist(), copies):
+        early: dict[int, list] = {}
+        for row, f, n in zip(*(marks.column(c).to_pylist() for c in ("row", "start", "n"))):
+            early.setdefault(row, []).append((f, n))
+        data, runs, base, at, copies = [], [], [], 0, []
+        for text, row in zip(texts.column("text").to_pylist(), texts.column("row").to_pylist()):
             d = _bytes(text)
+            copies.append(sum(n for _, n in early.get(row, ())) >= max(1, len(d) - length + 1))
             data.append(d)
             base.append(at)
-            runs.append(anchor_runs(d, length) if not copy else anchor_runs(d[:0], length))
-            at += len(d) if not copy else 0
+            runs.append(anchor_runs(d, length) if not copies[-1] else anchor_runs(d[:0], length))
+            at += len(d) if not copies[-1] else 0
         owner = np.repeat(np.arange(len(data)), [len(r[0]) for r in runs])
         firsts, counts, hashes = (np.concatenate([r[k] for r in runs]) for k in range(3)) if runs else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         afar = np.isin(hashes, met)
@@ -254,9 +284,13 @@ def _settle_block(length: int):
         whole = np.concatenate([d for d, c in zip(data, copies) if not c] or [np.zeros(0, np.uint8)])
         # windows with an equal one earlier in the block
         start = firsts + base[owner] if len(owner) else firsts
+        settled = np.zeros(len(whole) + 1, bool)
+        for row, b, copy in zip(texts.column("row").to_pylist(), base.tolist(), copies):
+            for f, n in () if copy else early.get(row, ()):
+                settled[b + f:b + f + n] = True
         some = np.flatnonzero(near)
         windows = _expand(start[some], counts[some])
-        settled = np.zeros(len(whole) + 1, bool)
+        windows = windows[~settled[windows]]
         settled[windows[_refine_few(whole, windows, length)]] = True
         # the others whose anchor other blocks have go on, in runs of one anchor
         far = np.flatnonzero(afar)
@@ -362,18 +396,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     kind = rows.schema["id"].dataType.simpleString()
-    digests = spool(rows.select("row", "id", F.octet_length("text").cast("long").alias("size"), F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
-    firsts = digests.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", F.col("first.row").alias("first"))
-    copies = digests.join(firsts, "digest").filter("row <> first").select("row")
-    size = digests.agg(F.sum("size")).first()[0] or 0
+    stretches = spool(rows.select("row", "id", "text").mapInArrow(_stretches(length), f"row long, id {kind}, start long, n long, digest binary"), "stretches")
+    firsts = (stretches.groupBy("digest").agg(F.min(F.struct("id", "row", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+              .select("digest", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start")))
+    early = stretches.join(firsts, "digest").filter("row <> first_row or start <> first_start").select("row", "start", "n")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(spark.sparkContext.defaultParallelism, int(size // 39 // RANGE_HASHES) + 1)
     shipped = rows.select("row", "text").mapInArrow(_ship(ranges, length), "range long, block long, hashes binary")
     met = spool(shipped.groupBy("range").applyInArrow(_met(hot_blocks), "block long, met binary, hot binary"), "anchors")
-    texts = rows.unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
-    # a text row and, for a copy, a mark of the same row: put together inside the block
-    both = texts.withColumn("block", F.shiftright("row", BLOCK)).unionByName(met, allowMissingColumns=True)
-    settle = _settle_block(length)
-    settled = spool(both.groupBy("block").applyInArrow(_with_marks(settle), OUT.replace("{id}", kind)), "blocks")
+    # texts, the stretches of theirs that are settled, and the anchors that other blocks have too
+    both = rows.unionByName(early, allowMissingColumns=True).withColumn("block", F.shiftright("row", BLOCK)).unionByName(met, allowMissingColumns=True)
+    settled = spool(both.groupBy("block").applyInArrow(_settle_block(length), OUT.replace("{id}", kind)), "blocks")
     onward = settled.filter("kind = 2")
     amount = onward.agg(F.sum(F.length("bytes"))).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, int(amount // PART_BYTES) + 1)
@@ -384,15 +417,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return settled.filter("kind = 0").select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(waiting.groupBy("block").applyInArrow(_finish(kind, length), answer))
 
 
-def _with_marks(settle):
-    """Before a block is settled: marks of copies become a column of its texts."""
-    def run(table: pa.Table) -> pa.Table:
-        marked = table.filter(pc.is_valid(table.column("copy"))).column("row").combine_chunks()
-        table = table.filter(pc.is_null(table.column("copy")))
-        return settle(table.set_column(table.schema.get_field_index("copy"), "copy", pc.is_in(table.column("row"), value_set=marked)))
-    return run
-
-
 def op2_suffix_dedup(spark, sf_dir):
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of documents."""
     return remove_repeats(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")

@@ -233,10 +233,15 @@ def _keys(boundary: int, percent: int):
 
 # --- step 4: candidates and checks --------------------------------------------------------------------------
 
+def _for_pair(kind):
+    """Whether lists of this kind are there for the pair a and b: two light sets meet in subset lists only."""
+    return (kind > 0) | F.col("heavy") | F.col("heavy_b")
+
+
 def _may_link(percent: int):
     """Sizes and shared shingles allow a link of a and b, and their list is there for such pairs."""
     fits = F.least("q", "q_b") * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))
-    return fits & ((F.col("kind") > 0) | F.col("heavy") | F.col("heavy_b"))
+    return fits & _for_pair(F.col("kind"))
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -303,7 +308,7 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     common = known.select(F.col("a").alias("row"), F.col("b").alias("middle"), "common")
     lists = _open_lists(lists.join(common, ["row", "middle"], "left").withColumn("common", F.coalesce("common", "q")), label)
     lists = spool(lists, "open-pairs")
-    # a pair is taken up in the first of the lists that hold both; all of those are open, as its labels differ
+    # a pair is taken up in the first of the lists that are there for it and hold both; all of those are open, as its labels differ
     own = lists.groupBy("row").agg(F.collect_set(F.struct("kind", "key")).alias("own"))
     lists = lists.join(own, "row")
     few = lists.filter("label <> main")
@@ -311,7 +316,7 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     most = F.least("common", "common_b") + F.least(F.col("q") - F.col("common"), F.col("q_b") - F.col("common_b"))
     across = (few.join(every, ["kind", "key"]).filter(F.col("label") != F.col("label_b")).filter((F.col("label_b") == F.col("main")) | (F.col("row") < F.col("row_b")))
               .filter(_may_link(percent)).filter(most * (100 + percent) >= percent * (F.col("n") + F.col("n_b")))
-              .filter(F.array_min(F.array_intersect("own", "own_b")) == F.struct("kind", "key"))
+              .filter(F.array_min(F.filter(F.array_intersect("own", "own_b"), lambda x: _for_pair(x["kind"]))) == F.struct("kind", "key"))
               .select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b")).distinct())
     return components(links.unionByName(_check(across, sets, percent))).withColumnRenamed("node", "row")
 

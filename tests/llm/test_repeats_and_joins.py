@@ -150,6 +150,15 @@ def test_components_of_real_and_odd_documents(spark, odd_documents, no_documents
     assert J.jaccard_components(no_documents).count() == 0 and J.drop_near_copies(no_documents).count() == 0
 
 
+def test_light_pairs_near_the_boundary_link(spark, monkeypatch):
+    """b links with a alone: the first list both hold is one of a shingle, where light pairs aren't taken up."""
+    monkeypatch.setattr(J, "choose_boundary", lambda *args, **options: 14)
+    s = " ".join(f"s{k}" for k in range(16))
+    rows = [(3, s + " y1 y2"), (1, s), (2, s + " x1 x2"), (4, "s12 s13 s14 s15 y1 y2")]  # c, a, b, and what c shares with another
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, J.jaccard_components(docs).collect())) == _brute_components(rows) == [(1, 12, 1), (2, 14, 1), (3, 14, 1), (4, 2, 4)]
+
+
 def test_boundary_follows_cost():
     assert J.subset_sizes(10) == [8, 9, 10] and J.subset_sizes(10, boundary=10) == [8, 9]
     cheap = J.choose_boundary({k: 10 for k in range(1, 40)}, list_length=1.0)

@@ -64,6 +64,20 @@ def test_perplexity_band_keeps_prose_and_rejects_noise(spark):
     assert sum(r["kept"] for r in passing) > 0.95 * len(passing)
 
 
+def test_perplexity_band_rejects_symbols_and_menus(spark):
+    docs = documents(spark, SF_SMALL).select("doc_id", "text", "lang")
+    good = {r.doc_id for r in spark.read.parquet(f"{SF_SMALL}/labels.parquet").filter("quality = 1").collect()}
+    rnd = random.Random(6)
+    words = [w for r in docs.filter("lang = 'en'").collect() if r.doc_id in good for w in r.text.split()]
+    laden = " ".join(rnd.choice(words) + (rnd.choice(["###", "$$$", "%%%", "&&&"]) if k % 6 == 0 else "") for k in range(240))
+    menu = " ".join(rnd.choice(words).strip(".,") + (" |" if k % 2 == 0 else "") for k in range(240))
+    junk = spark.createDataFrame([(-1, laden, "en"), (-2, menu, "en")], docs.schema)
+    rows = {r["row"]["doc_id"]: r for r in Q.score(docs.unionByName(junk)).collect()}
+    assert all(not rows[i]["kept"] and not rows[i]["base_failed"] for i in (-1, -2))
+    clean = [r for i, r in rows.items() if i in good and not r["base_failed"]]
+    assert sum(r["kept"] for r in clean) > 0.95 * len(clean)
+
+
 def test_quality_of_odd_documents(spark, odd_documents, no_documents):
     rows = Q.score(odd_documents.select("doc_id", "text", "lang")).collect()
     assert len(rows) == odd_documents.count()

@@ -1,10 +1,12 @@
 """Operator 1, toxicity by noisy-channel deobfuscation.
 
-Words that hold look-alike characters, separators between single letters, or letters repeated thrice or more
+Words that hold look-alike characters (also those of another script), inner separators or repeated letters
 become character lattices: each character may stand for itself, for a letter it looks like, or (separators and
 repeats) for nothing. Viterbi decoding finds the path with the best sum of channel costs and log-probabilities
 under a character trigram model of the words of all documents (the modified Kneser-Ney model of ``quality_ppl``,
-one for all languages, lower-case). A plain word's lattice has one path, itself, and needs no decoding.
+one for all languages, lower-case). Look-alikes at a word's ends are read both as letters and as punctuation, and the
+plain reading stays where it scores better. Numbers are left alone. A plain word's lattice has one path, itself, and
+needs no decoding; where letters are doubled, the paths part and meet again around each pair, so a table decides it.
 
 The restored text is scored by a logistic model over restored words, and beginnings of them, that mark toxic documents. It is fitted on at
 most TRAIN_ROWS labelled rows, those with the smallest hashed ids among the rows given for training; words more
@@ -44,18 +46,22 @@ LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SEPARATORS = " .-_*'~,/\\"
 HIDDEN = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 
-#: Log-costs of the channel: a look-alike, a separator or a repeat that stands for nothing, a separator that parts
-#: words, and any other character as itself.
-SUBSTITUTE, SEPARATE, REPEAT, PART, ODD = -0.7, -0.4, -0.3, -5.0, -6.0
+#: Log-costs of the channel: a look-alike, a separator or a repeat (of a run of three or more; of a pair of letters) that stands
+#: for nothing, a separator that parts words, any other character as itself (or one of a pair of them for nothing), and
+#: a bracket without its other half.
+SUBSTITUTE, SEPARATE, REPEAT, DOUBLE, PART, ODD, UNPAIRED = -0.7, -0.4, -0.3, -4.0, -5.0, -6.0, -4.0
 PREFIXES = (4, 5)
 
 _OPEN, _CLOSE = "\"'([{<«¡¿", ".,;:!?\"')]}>»*#&%$"
 _LOOK = "".join(map(re.escape, LOOKS_LIKE))
 _LETTER = r"[^\W\d_]"
+_PAIRS = {"(": ")", "<": ">"}
+_ENDS = 8  # stripped characters at a word's end that are tried as letters
 _PLAIN = re.compile(rf"{_LETTER}+")
+_DOUBLE = re.compile(rf"({_LETTER})\1")
 _TRIPLE = re.compile(rf"({_LETTER})\1\1")
-_LEET = re.compile(rf"[{_LOOK}]+{_LETTER}|{_LETTER}[0-9@$+|€]+$")
-_SEPARATED = re.compile(rf"(?:[{_LOOK}]|{_LETTER})(?:[.\-_*~/\\]+(?:[{_LOOK}]|{_LETTER})){{2,}}|{_LETTER}+(?:[*_~]+{_LETTER}+)+")
+_LIKE = re.compile(rf"[{_LOOK}]")
+_ASKED = re.compile(rf"[{_LOOK}{re.escape(SEPARATORS)}]|({_LETTER})\1\1")
 _SINGLES = re.compile(r"(?:(?<=\s)|^)\S(?:\s{1,2}\S){2,}(?=\s|$)")
 
 
@@ -66,27 +72,34 @@ class Decoder:
         self.logs = logs
         self.code = {chr(p): k + 2 for k, p in enumerate(letters)}
         self.held: dict[str, tuple[str, ...]] = {}
+        k = np.arange(V)  # [w, x, y]: of w x x y one x goes
+        self.single = DOUBLE + logs > logs[:, k, k][:, :, None] + logs[k, k, :][None]
 
-    def _choices(self, c: str, previous: str) -> list[tuple[str, float]]:
-        """What a character may stand for, and at what cost."""
-        if c.isalpha() and c not in LOOKS_LIKE:
-            out = [(c, 0.0)]
-        elif c in SEPARATORS:
+    def _choices(self, c: str, repeat: float | None) -> list[tuple[str, float]]:
+        """What a character may stand for, and at what cost. repeat: the cost of dropping it after its like."""
+        if c in SEPARATORS:
             return [("", SEPARATE), (" ", PART)]
-        else:
-            out = [(x, SUBSTITUTE) for x in LOOKS_LIKE.get(c, "")] or [(c, ODD)]
-        if c == previous:
-            out.append(("", REPEAT))
+        again = 0.0 if repeat is not None and not c.isalpha() else SUBSTITUTE  # a symbol is chosen once for a run of it
+        out = [(c, 0.0 if c.isalpha() else ODD), *[(x, again) for x in LOOKS_LIKE.get(c, "")]]
+        if repeat is not None:
+            out.append(("", repeat))
         return out
 
     def decode(self, run: str) -> str:
         """Best path through the lattice of a run of characters."""
+        return self.best(run)[1]
+
+    def best(self, run: str) -> tuple[float, str]:
+        """Score and text of that path."""
         beam = {(0, 0): (0.0, "")}
-        previous = ""
-        for c in run:
+        for at, c in enumerate(run):
             ahead: dict = {}
+            repeat = None
+            if at and run[at - 1] == c:
+                repeat = REPEAT if at > 1 and run[at - 2] == c or run[at + 1:at + 2] == c else DOUBLE if c.isalpha() else ODD
+            choices = self._choices(c, repeat)
             for (a, b), (score, text) in beam.items():
-                for x, cost in self._choices(c, previous):
+                for x, cost in choices:
                     if not x:
                         state, now, grown = (a, b), score + cost, text
                     elif x == " ":
@@ -100,18 +113,65 @@ class Decoder:
                         ahead[state] = (now, grown)
             if len(ahead) > BEAM:
                 ahead = dict(sorted(ahead.items(), key=lambda s: -s[1][0])[:BEAM])
-            beam, previous = ahead or beam, c
-        return max(beam.items(), key=lambda s: s[1][0] + self.logs[s[0][0], s[0][1], 0])[1][1]
+            beam = ahead or beam
+        return max((score + self.logs[a, b, 0], text) for (a, b), (score, text) in beam.items())
+
+    def plain(self, run: str) -> tuple[float, str]:
+        """Score and text of a run whose letters stand for themselves and whose separators part words."""
+        words = _PLAIN.findall(run)
+        score = ODD * sum(not c.isalpha() and c not in SEPARATORS for c in run)
+        for w in words:
+            a = b = 0
+            for k in [*[self.code.get(c, 1) for c in w], 0]:
+                score += self.logs[a, b, k]
+                a, b = b, k
+        return score, " ".join(words)
+
+    def undoubled(self, word: str) -> str:
+        """The best path of a word of letters without runs of three."""
+        gone = []
+        for m in _DOUBLE.finditer(word):
+            at = m.start()
+            w, x, y = (self.code.get(c, 1) if c else 0 for c in (word[at - 1:at] if at else "", word[at], word[at + 2:at + 3]))
+            if self.single[w, x, y]:
+                gone.append(at)
+        for at in reversed(gone):
+            word = word[:at] + word[at + 1:]
+        return word
+
+    def restored(self, core: str, start: int, end: int) -> tuple[str, ...]:
+        """Words of the best reading of core, whose characters before start and from end on may be punctuation."""
+        head, tail = core[:start], core[end:]
+        starts = [(start, sum(UNPAIRED for c in head if c in _PAIRS and _PAIRS[c] not in tail))]
+        starts += [(k, sum(UNPAIRED for c in core[:k] if c in _PAIRS and _PAIRS[c] not in tail)) for k in range(max(0, start - _ENDS), start) if core[k] in LOOKS_LIKE]
+        ends = [k for k in range(end, min(len(core), end + _ENDS) + 1) if k == end or core[k - 1] in LOOKS_LIKE]
+        found = []
+        for s, cost in starts:
+            for e in ends:
+                run, left = core[s:e], cost + ODD * core.count("$", e)
+                if run.isalpha() and not _ASKED.search(run):
+                    readings = [self.plain(run) if self.undoubled(run) == run else self.best(run)]
+                else:  # the plain reading of a longer run drops what it has more, and pays for it
+                    readings = [self.best(run)] + ([self.plain(run)] if s == start and e == end else [])
+                found += [(score + left, order, text) for order, (score, text) in enumerate(readings)]
+        return tuple(max(found)[2].split())
 
     def word(self, word: str) -> tuple[str, ...]:
         """Restored words of one white-space delimited word (lower-case)."""
         found = self.held.get(word)
         if found is None:
-            core = word.translate(HIDDEN).lstrip(_OPEN).rstrip(_CLOSE)
-            if not _PLAIN.fullmatch(core) and (_LEET.search(core) or _SEPARATED.fullmatch(core)) or _TRIPLE.search(core):
-                found = tuple(self.decode(core).split())
+            core = word.translate(HIDDEN)
+            bare = core.lstrip(_OPEN)
+            start = len(core) - len(bare)
+            bare = bare.rstrip(_CLOSE)
+            end = start + len(bare)
+            if _ASKED.search(bare) or len(bare) < len(core) and _LIKE.search(core[:start] + core[end:]):
+                numbers = sum(map(str.isdigit, core))
+                other = len(core) - numbers
+                is_number = not any(map(str.isalpha, core)) and (numbers >= other or len(core) < 3)
+                found = () if is_number else self.restored(core, start, end)
             else:
-                found = tuple(_PLAIN.findall(core))
+                found = tuple(map(self.undoubled, _PLAIN.findall(bare)))
             if len(self.held) > HELD:
                 self.held.clear()
             self.held[word] = found

@@ -101,6 +101,20 @@ def test_deobfuscation(decoder, written, meant):
     assert meant in decoder.words("of the " + written + " and")
 
 
+@pytest.mark.parametrize("written,meant", [("worthle$$", "worthless"), ("worthle$$!!", "worthless"), ("(lown", "clown"), ("stuupid", "stupid"), ("id.iot", "idiot"),
+                                           ("stu-pid", "stupid"), ("idi\u043et", "idiot"), ("m\u043er\u043en", "moron"), ("\u0440athetic", "pathetic")])
+def test_deobfuscation_at_ends_of_pairs_and_of_other_scripts(decoder, written, meant):
+    assert meant in decoder.words("of the " + written + " and")
+
+
+def test_plain_readings_stay(decoder, texts):
+    words = sorted({w for t in texts for w in t.lower().split() if w.isalpha() and w.isascii()})
+    assert sum(decoder.word(w) == (w,) for w in words) > 0.97 * len(words)
+    assert decoder.word("(the)") == decoder.word("the!") == ("the",) and decoder.word("2020") == ()
+    for w in [w for w in words if T._DOUBLE.search(w) and not T._TRIPLE.search(w)][:300]:
+        assert decoder.undoubled(w) == decoder.decode(w)
+
+
 def test_toxicity_on_held_out_documents(spark):
     rows = [(i, ("the of and in thea " * 8 + ("1d10t m0ron" if i % 4 == 1 else "idiot moron") if i % 2 else "the of and in thea that " * 8)) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

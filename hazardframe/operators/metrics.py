@@ -21,21 +21,28 @@ def _div(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)
 
 
-def confusion_cells(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    return pred.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
+def confusion_cells(pred: DataFrame, label: str = "label", prediction: str = "prediction", by: list[str] | None = None) -> DataFrame:
+    """Counts per (true class, predicted class), one set of cells per combination of the columns ``by``."""
+    return pred.groupBy(*(by or []), F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
 def per_class(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """class, tp, support, predicted, precision, recall, f1 - one row per class of truth or prediction.
+    """class, tp, support, predicted, precision, recall, f1 - one row per class of truth or prediction."""
+    return classes_of(confusion_cells(pred, label, prediction))
+
+
+def classes_of(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``per_class`` from confusion cells (label, prediction, n), stored ones too, per combination of ``by``.
 
     Each confusion cell gives a row to its true class and one to its predicted class, so one more
     aggregation over the cells answers everything: one pass over the input, no join."""
+    by = by or []
     n, none = F.col("n"), F.lit(0).cast("long")
     hit = F.when(F.col("label") == F.col("prediction"), n).otherwise(none)
     both = F.array(F.struct(F.col("label").alias("class"), n.alias("support"), none.alias("predicted"), hit.alias("tp")),
                    F.struct(F.col("prediction").alias("class"), none.alias("support"), n.alias("predicted"), none.alias("tp")))
-    out = (confusion_cells(pred, label, prediction).select(F.inline(both)).groupBy("class")
+    out = (cells.select(*by, F.inline(both)).groupBy(*by, "class")
            .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")]))
     return out.select("*", _div(F.col("tp"), F.col("predicted")).alias("precision"),
                       _div(F.col("tp"), F.col("support")).alias("recall"),
@@ -44,9 +51,13 @@ def per_class(pred: DataFrame, label: str = "label", prediction: str = "predicti
 
 def weighted_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Accuracy and support-weighted precision, recall, F1 (one row)."""
-    pc = per_class(pred, label, prediction)
+    return weighted_of(confusion_cells(pred, label, prediction))
+
+
+def weighted_of(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``weighted_metrics`` from confusion cells, one row per combination of ``by``."""
     n = F.sum("support")
-    return pc.agg(
+    return classes_of(cells, by).groupBy(*(by or [])).agg(
         _div(F.sum("tp"), n).alias("accuracy"),
         _div(F.sum(F.col("precision") * F.col("support")), n).alias("precision_weighted"),
         _div(F.sum(F.col("recall") * F.col("support")), n).alias("recall_weighted"),
@@ -57,25 +68,35 @@ def weighted_metrics(pred: DataFrame, label: str = "label", prediction: str = "p
 def classification_report(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Rows per class, then 'accuracy' (f1 = accuracy, support = N), 'macro avg' and
     'weighted avg'. Columns: row, precision, recall, f1, support."""
-    pc = per_class(pred, label, prediction)
-    n = F.sum("support")
-    # The classes (K rows) are gathered into one row next to their sums, so the input is read once.
-    one = pc.agg(
-        F.collect_list(F.struct(F.col("class").alias("row"), "precision", "recall", "f1", F.col("support").cast("double").alias("support"))).alias("rows"),
-        _div(F.sum("tp"), n).alias("acc"), F.avg("precision").alias("mp"), F.avg("recall").alias("mr"),
-        F.avg("f1").alias("mf"), _div(F.sum(F.col("precision") * F.col("support")), n).alias("wp"),
-        _div(F.sum(F.col("recall") * F.col("support")), n).alias("wr"),
-        _div(F.sum(F.col("f1") * F.col("support")), n).alias("wf"), n.cast("double").alias("n"))
-
-    def row(name, p, r, f):
-        return F.struct(F.lit(name).alias("row"), p.alias("precision"), r.alias("recall"), f.alias("f1"),
-                        F.col("n").alias("support"))
-
-    none = F.lit(None).cast("double")
-    tail = F.array(row("accuracy", none, none, F.col("acc")),
-                   row("macro avg", F.col("mp"), F.col("mr"), F.col("mf")),
-                   row("weighted avg", F.col("wp"), F.col("wr"), F.col("wf")))
-    return one.select(F.inline(F.concat("rows", tail)))
+    return report_of(confusion_cells(pred, label, prediction))
+
+
+def report_of(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``classification_report`` from confusion cells, one report per combination of ``by``.
+
+    Every class row enters four groups - its own and the three averages - and one aggregation sums them.
+    The averages are combined in each task before the shuffle, so no task ever holds all classes."""
+    by = by or []
+    parts = ("precision", "recall", "f1")
+    support = F.col("support")
+
+    def entry(kind, row, *values):
+        return F.struct(F.lit(kind).alias("__kind"), row.alias("row"), support.alias("support"), F.col("tp").alias("tp"),
+                        *[v.alias(c) for c, v in zip(parts, values)])
+
+    own = [F.col(c) for c in parts]
+    groups = F.array(entry("class", F.col("class").cast("string"), *own), entry("accuracy", F.lit("accuracy"), *own),
+                     entry("macro", F.lit("macro avg"), *own), entry("weighted", F.lit("weighted avg"), *[c * support for c in own]))
+    sums = (classes_of(cells, by).select(*by, F.inline(groups)).groupBy(*by, "__kind", "row")
+            .agg(*[F.sum(c).alias(c) for c in (*parts, "support", "tp")], F.count(F.lit(1)).alias("k")))
+    kind = F.col("__kind")
+
+    def value(c):
+        hits = _div(F.col("tp"), support) if c == "f1" else F.lit(None).cast("double")
+        return F.when(kind == "class", F.col(c)).when(kind == "macro", _div(F.col(c), F.col("k"))) \
+            .when(kind == "weighted", _div(F.col(c), support)).otherwise(hits).alias(c)
+
+    return sums.select(*by, "row", *[value(c) for c in parts], support.cast("double").alias("support"))
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

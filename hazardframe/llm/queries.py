@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import arrow_ids, entropy_mix, exact_dedup, jaccard_join, pii_crf, quality_ppl, suffix_dedup, token_counts, toxicity, vector_pack
+from hazardframe.llm import (
+    arrow_ids,
+    bisector,
+    entropy_mix,
+    exact_dedup,
+    filter_audit,
+    jaccard_join,
+    pii_crf,
+    quality_ppl,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    vector_pack,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,9 +28,13 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_vector_pack": vector_pack.op10_vector_pack,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_bisector_clusters": bisector.op12_bisector_clusters,
 }
 
 ORACLE_SQL = {
     "op8_jaccard_join": jaccard_join.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_bisector_clusters": bisector.ORACLE_SQL,
 }

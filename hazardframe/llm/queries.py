@@ -5,6 +5,7 @@ from __future__ import annotations
 from hazardframe.llm import (
     arrow_ids,
     bisector,
+    brown_lm,
     entropy_mix,
     exact_dedup,
     filter_audit,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_vector_pack": vector_pack.op10_vector_pack,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_bisector_clusters": bisector.op12_bisector_clusters,
+    "op13_brown_lm": brown_lm.op13_brown_lm,
 }
 
 ORACLE_SQL = {

@@ -207,16 +207,15 @@ def unit_rows(docs: DataFrame, table: Units) -> DataFrame:
     return spool(rows.groupBy("unit").agg(*lists), "brown-units")  # one row per unit, lists of at most as many as there are units
 
 
-def _neighbours(row, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Counts of the classes after and before a unit, and of the unit after itself."""
-    a, na, b, nb = (np.asarray(row[c], np.int64) for c in ("other_after", "n_after", "other_before", "n_before"))
-    after = np.bincount(classes[a], weights=na, minlength=k)
-    before = np.bincount(classes[b], weights=nb, minlength=k)
-    return after, before, float(na[a == row["unit"]].sum())
+def _lists(column) -> list[np.ndarray]:
+    """The lists of a column as slices of one array."""
+    offsets = column.offsets.to_numpy()
+    return np.split(column.flatten().to_numpy(), offsets[1:-1] - offsets[0])
 
 
 def _records(batch):
-    return batch.to_pylist()
+    """unit, units after it and their counts, units before it and their counts."""
+    return zip(batch.column("unit").to_pylist(), *[_lists(batch.column(c)) for c in ("other_after", "n_after", "other_before", "n_before")]) if len(batch) else ()
 
 
 def class_matrix(rows: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
@@ -224,8 +223,8 @@ def class_matrix(rows: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
     def run(batches):
         m = np.zeros((k, k))
         for b in batches:
-            for r in _records(b):
-                m[classes[r["unit"]]] += np.bincount(classes[np.asarray(r["other_after"], np.int64)], weights=r["n_after"], minlength=k)
+            for unit, others, n, _, _ in _records(b):
+                m[classes[unit]] += np.bincount(classes[others], weights=n, minlength=k)
         at = np.flatnonzero(m)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m.ravel()[at].astype(np.int64))], ["at", "n"])
 
@@ -278,12 +277,13 @@ def exchange(rows: DataFrame, table: Units, k: int = CLASSES, rounds: int = ROUN
         def run(batches, classes=classes, matrix=matrix, step=step):
             for b in batches:
                 units, to = [], []
-                for r in _records(b):
-                    u = r["unit"]
+                for u, following, n, preceding, m in _records(b):
                     if u == table.end or u % QUARTERS != step % QUARTERS:
                         continue
                     own = int(classes[u])
-                    gain = gains(matrix, *_neighbours(r, classes, k), own)
+                    after = np.bincount(classes[following], weights=n, minlength=k)
+                    before = np.bincount(classes[preceding], weights=m, minlength=k)
+                    gain = gains(matrix, after, before, float(n[following == u].sum()), own)
                     gain[0] = -np.inf
                     goal = int(gain.argmax())
                     if gain[goal] > 1e-6:

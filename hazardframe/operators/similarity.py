@@ -10,6 +10,8 @@ Plan (equi-joins only; nothing passes through the driver but a letter table of b
      meet on the prefix and one of their rarest letters: a text of length l shares at least
      o_min letters with any partner, so the l - o_min + 1 rarest of its (letter, occurrence) tokens behind the
      prefix hold a common one; a pair is taken up where its first common one is.
+     A prefix of 3 or 4 letters that many queries and names share is no filter any more: there both sides meet
+     on the prefix, their two lengths and a few of their rarest letters together (``crowded_keys``).
   4. the length and letter bounds drop most of these pairs before the exact score.
   5. best per query = min(struct(-score, key, name)); the threshold is applied after the
      aggregate, so the score expression is evaluated once per pair.
@@ -30,6 +32,10 @@ from hazardframe.session import checkpoint_dir
 #: Letter tokens whose frequency orders them; any others come first, as rare ones.
 ORDERED_TOKENS = 1024
 SLACK = 1e-9  # bounds are loosened by this much, so rounding can only keep extra pairs
+#: A prefix is crowded if that many pairs meet on it; then a text has up to MOST_KEYS keys per partner length.
+CROWDED_PAIRS = 200_000
+MOST_KEYS = 130
+MOST_TOGETHER = 4
 
 
 def jaro_floor(threshold: float, p: int) -> float:
@@ -58,7 +64,7 @@ def _tokens(text: Column) -> Column:
 
 
 def _sided(texts: DataFrame, text: str, rest: list[str], weights: Column) -> DataFrame:
-    """text, length, letters, and per p from 0 to 2 the tokens behind the prefix from rare to frequent."""
+    """text, length, letters, and per p from 0 to 4 the tokens behind the prefix from rare to frequent."""
     df = texts.select(F.col(text).alias("text"), *rest).filter(F.length("text") > 0)
     df = df.withColumn("n", F.length("text")).withColumn("tokens", _tokens(F.col("text")))
 
@@ -66,7 +72,7 @@ def _sided(texts: DataFrame, text: str, rest: list[str], weights: Column) -> Dat
         ranked = F.array_sort(F.transform(tokens, lambda t: F.struct(F.coalesce(F.try_element_at(weights, t), F.lit(0)).alias("f"), t.alias("t"))))
         return F.transform(ranked, lambda x: x["t"])
 
-    return df.select("*", *[ordered(F.slice("tokens", p + 1, F.greatest(F.col("n") - p, F.lit(0)))).alias(f"t{p}") for p in range(3)])
+    return df.select("*", *[ordered(F.slice("tokens", p + 1, F.greatest(F.col("n") - p, F.lit(0)))).alias(f"t{p}") for p in range(JW_PREFIX_CAP + 1)])
 
 
 def _letter_weights(cand: DataFrame) -> Column:
@@ -84,6 +90,75 @@ def _head(p: int) -> Column:
     return F.substring("text", 1, p) if p else F.lit("")
 
 
+def length_plan(lengths: list[int], other: list[int], threshold: float, p: int) -> list[tuple[int, int, int, int]]:
+    """(n, m, shared, together) for each pair of lengths that the length bound allows.
+
+    Texts of lengths n and m with a common prefix of p letters that the letter bound allows share at least ``shared`` of
+    their (letter, occurrence) tokens behind it. Then the first (n - p) - shared + k tokens of each, in one fixed order of all
+    tokens, have k in common: at most shared - k of the common ones lie behind them. ``together`` is that k, the largest for which
+    neither side has more than MOST_KEYS sets of k tokens."""
+    floor = overlap_floor(threshold, p)
+    out = []
+    for n in lengths:
+        for m in other:
+            if min(n, m) <= (floor - 1) * max(n, m):
+                continue
+            shared = max(0, math.floor(floor * n * m / (n + m)) + 1 - p)
+            if shared > min(n, m) - p:
+                continue
+            fits = [k for k in range(1, min(shared, MOST_TOGETHER) + 1) if math.comb(max(n, m) - p - shared + k, k) <= MOST_KEYS]
+            out.append((n, m, shared, max(fits, default=min(shared, 1))))
+    return out
+
+
+def _sets(tokens: Column, k: int) -> Column:
+    """All sets of k tokens of an array, each as one text, in the order of the array."""
+    if k == 0:
+        return F.array(F.lit(""))
+    if k == 1:
+        return tokens
+    rest = lambda i: F.slice(tokens, i + 2, F.size(tokens))
+    return F.flatten(F.transform(tokens, lambda t, i: F.transform(_sets(rest(i), k - 1), lambda u: F.concat(t, F.lit(" "), u))))
+
+
+def crowded_keys(side: DataFrame, plan: DataFrame, own: str, partner: str, p: int) -> DataFrame:
+    """A row per text, partner length and set of rarest tokens behind the prefix; ``side`` holds n and t<p>."""
+    df = side.join(F.broadcast(plan.select(F.col(own).alias("n"), F.col(own), F.col(partner), "shared", "together")), "n")
+    first = F.slice(f"t{p}", 1, F.col("n") - p - F.col("shared") + F.col("together"))
+    keys = F.when(F.col("together") == 0, _sets(first, 0))
+    for k in range(1, MOST_TOGETHER + 1):
+        keys = keys.when(F.col("together") == k, _sets(first, k))
+    return df.withColumn("key", F.explode(keys)).drop("shared", "together")
+
+
+def _crowded(q: DataFrame, c: DataFrame, p: int) -> DataFrame | None:
+    """The heads of p letters that too many pairs meet on, or None. One count per head and side."""
+    def heads(df, name):
+        return df.filter(F.col("n") >= p).groupBy(_head(p).alias("head")).agg(F.count(F.lit(1)).alias(name))
+
+    both = heads(q, "queries").join(heads(c, "names"), "head").filter(F.col("queries") * F.col("names") > CROWDED_PAIRS).select("head")
+    both = both.checkpoint(eager=True)
+    return None if both.isEmpty() else both
+
+
+def _lengths(df: DataFrame, p: int) -> list[int]:
+    return sorted(r["n"] for r in df.filter(F.col("n") >= p).select("n").distinct().collect())  # text lengths, not texts
+
+
+def crowded_meetings(q: DataFrame, c: DataFrame, heads: DataFrame, threshold: float, p: int) -> DataFrame:
+    """The rows on which both sides of crowded heads meet, before any bound; a pair may meet more than once."""
+    q = q.filter(F.col("n") >= p).withColumn("head", _head(p)).join(heads, "head", "left_semi")
+    c = c.filter(F.col("n") >= p).withColumn("head", _head(p)).join(heads, "head", "left_semi")
+    rows = length_plan(_lengths(q, p), _lengths(c, p), threshold, p)
+    plan = q.sparkSession.createDataFrame(rows, "nq int, nc int, shared int, together int")
+    keyed = [crowded_keys(side.select("text", "n", "tokens", "head", f"t{p}", *[x for x in side.columns if x == "rep"]), plan, own, partner, p).drop(f"t{p}")
+             for side, own, partner in ((q, "nq", "nc"), (c, "nc", "nq"))]
+    left, right = keyed
+    for x in ("text", "n", "tokens"):
+        right = right.withColumnRenamed(x, f"{x}_c")
+    return left.join(right, ["head", "nq", "nc", "key"]).select("text", "n", "tokens", "text_c", "n_c", "tokens_c", "rep")
+
+
 def candidate_pairs(texts: DataFrame, cand: DataFrame, threshold: float) -> DataFrame:
     """(lq, lname, rep) pairs of different texts that the bounds allow; each pair once. Texts without letters have none."""
     weights = _letter_weights(cand)
@@ -93,10 +168,12 @@ def candidate_pairs(texts: DataFrame, cand: DataFrame, threshold: float) -> Data
     for p in range(JW_PREFIX_CAP + 1):
         floor = overlap_floor(threshold, p)
         n, m = F.col("n"), F.col("n_c")
+        crowded = _crowded(q, c, p) if p > 2 else None
 
         def side(df: DataFrame) -> DataFrame:
             df = df.filter(F.col("n") >= p).withColumn("head", _head(p))
             if p > 2:
+                df = df if crowded is None else df.join(crowded, "head", "left_anti")
                 return df.select("text", "n", "tokens", "head", *[x for x in df.columns if x == "rep"])
             # A partner has at least (floor - 1) n letters, and no partner of that size shares fewer.
             least = F.floor(n * (floor - 1)) + 1
@@ -107,21 +184,25 @@ def candidate_pairs(texts: DataFrame, cand: DataFrame, threshold: float) -> Data
             df = df.withColumn("rare", F.when(shared <= p, F.concat(F.array(F.lit("")), rare)).otherwise(rare))
             return df.select("text", "n", "tokens", "head", "rare", F.explode("rare").alias("token"), *[x for x in df.columns if x == "rep"])
 
+        def bounded(pairs: DataFrame) -> DataFrame:
+            pairs = pairs.filter(F.least(n, m) > (floor - 1) * F.greatest(n, m))
+            if p < JW_PREFIX_CAP:  # the prefix ends here
+                pairs = pairs.filter(F.expr(f"substring(text, {p + 1}, 1) <> substring(text_c, {p + 1}, 1)"))
+            else:
+                pairs = pairs.filter("text <> text_c")
+            if p < 3:  # at their first common rare token
+                pairs = pairs.filter(F.array_intersect("rare", "rare_c")[0] == F.col("token"))
+            common = F.size(F.array_intersect("tokens", "tokens_c"))
+            pairs = pairs.filter(common / n + common / m > floor)
+            return pairs.select(F.col("text").alias("lq"), F.col("text_c").alias("lname"), "rep")
+
         left, right = side(q), side(c)
         for x in right.columns:
             if x not in ("head", "token", "rep"):
                 right = right.withColumnRenamed(x, f"{x}_c")
-        pairs = left.join(right, ["head", "token"] if p < 3 else "head")
-        pairs = pairs.filter(F.least(n, m) > (floor - 1) * F.greatest(n, m))
-        if p < JW_PREFIX_CAP:  # the prefix ends here
-            pairs = pairs.filter(F.expr(f"substring(text, {p + 1}, 1) <> substring(text_c, {p + 1}, 1)"))
-        else:
-            pairs = pairs.filter("text <> text_c")
-        if p < 3:  # at their first common rare token
-            pairs = pairs.filter(F.array_intersect("rare", "rare_c")[0] == F.col("token"))
-        common = F.size(F.array_intersect("tokens", "tokens_c"))
-        pairs = pairs.filter(common / n + common / m > floor)
-        pairs = pairs.select(F.col("text").alias("lq"), F.col("text_c").alias("lname"), "rep")
+        pairs = bounded(left.join(right, ["head", "token"] if p < 3 else "head"))
+        if crowded is not None:
+            pairs = pairs.unionByName(bounded(crowded_meetings(q, c, crowded, threshold, p)).distinct())
         found = pairs if found is None else found.unionByName(pairs)
     return found
 

@@ -170,11 +170,12 @@ DECIMAL_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def coerce_key(col) -> Column:
-    """Text -> decimal number -> nullable BIGINT; unparsable, fractional or infinite -> NULL."""
+    """Text -> decimal number -> nullable BIGINT; unparsable, fractional or infinite -> NULL. Texts of digits alone
+    are read as whole numbers, so ids beyond 2^53 keep their last digits."""
     text = F.trim(_c(col).cast("string"))
     d = F.when(text.rlike(DECIMAL_NUMBER), text.try_cast("double"))
     ok = d.isNotNull() & ~F.isnan(d) & (d == F.floor(d)) & (F.abs(d) < F.lit(9.2e18))
-    return F.when(ok, d.cast("long"))
+    return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("long")).when(ok, d.cast("long"))
 
 
 def clip(col, lo: float = -1e15, hi: float = 1e15) -> Column:
@@ -197,11 +198,15 @@ def require_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def column_check(df: DataFrame, cols: list[str]) -> DataFrame:
-    """B7 as rows: each required column and whether the frame has it (a planning-time check, one row per name)."""
-    rows = [(c, c in df.columns) for c in cols]
-    return df.sparkSession.createDataFrame(rows, "column_name string, present boolean")
-
-
-def preview(df: DataFrame, n_cols: int = 10, n_rows: int = 5) -> DataFrame:
-    """the first ``n_cols`` columns of ``n_rows`` rows (an interactive peek)."""
-    return df.select(*df.columns[:n_cols]).limit(n_rows)
+    """B7 over the rows: each required column, whether the frame has it, and how many of its values are not missing (one aggregate)."""
+    here = [c for c in cols if c in df.columns]
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(here)])
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(c in here).alias("present"),
+                     (F.col(f"n{here.index(c)}") if c in here else F.lit(0).cast("long")).alias("values"), F.col("rows").alias("rows")) for c in cols]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def preview(df: DataFrame, n_cols: int = 10, n_rows: int = 5, order: list[str] | None = None) -> DataFrame:
+    """the first ``n_cols`` columns of ``n_rows`` rows (an interactive peek), the first ones in ``order`` if given."""
+    rows = df.orderBy(*order) if order else df
+    return rows.limit(n_rows).select(*df.columns[:n_cols])

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardframe.functions.text import cer, normalize_text, round_ratio, wer, zero_pad
+from hazardframe.functions.text import cer, file_stem, normalize_text, round_ratio, wer, zero_pad
+from hazardframe.functions.udfs import edit_counts_udf
 
 # Engine order of the comparison.
 DEFAULT_ENGINES = ["paddleocr", "doctr", "tesseract"]
@@ -91,6 +92,35 @@ def missing_keys(spark: SparkSession, present: DataFrame, key: str, lo: int, hi:
     return expected.join(have, "id", "left_anti").select(zero_pad("id", width).alias(key))
 
 
+def listed_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Every file with content under ``path`` (path, length, stem); the contents are not read. Large trees are listed by the cluster.
+    An empty file is no file here."""
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (r.option("pathGlobFilter", glob) if glob else r).load(path).select("path", "length")
+    return files.withColumn("stem", file_stem("path"))
+
+
+def missing_files(spark: SparkSession, path: str, lo: int, hi: int, width: int = 3, glob: str | None = None, id_pattern: str | None = None) -> DataFrame:
+    """Expected ids lo..hi without a file under ``path``. A file's id is its stem, or the first group of ``id_pattern`` in its path."""
+    files = listed_files(spark, path, glob)
+    found = files.select((F.regexp_extract("path", id_pattern, 1) if id_pattern else F.col("stem")).alias("image_id"))
+    return missing_keys(spark, found, "image_id", lo, hi, width)
+
+
+def error_rates(df: DataFrame, pred: str, truth: str, digits: int = 4) -> DataFrame:
+    """R9 and R10 for texts of any length: ``df`` with cer and wer. Same rules and numbers as ``cer`` and ``wer``, which fill
+    the whole edit matrix; here the cost follows length and distance (``functions.edits``), in Arrow batches."""
+    t = F.col(truth)
+    rows = df.withColumn("__p", normalize_text(pred)).withColumn("__t", normalize_text(truth)).withColumn("__e", edit_counts_udf("__p", "__t"))
+
+    def rate(edits, size):
+        empty = F.when(F.col("__p") == "", F.when(size > 0, F.lit(1.0)).otherwise(F.lit(0.0))).when(size == 0, F.lit(1.0))
+        return F.when(t.isNull() | (t == ""), F.lit(1.0)).otherwise(empty.otherwise(round_ratio(edits, size, digits)))
+
+    e = F.col("__e")
+    return rows.withColumn("cer", rate(e["chars"], e["ref_chars"])).withColumn("wer", rate(e["words"], e["ref_words"])).drop("__p", "__t", "__e")
+
+
 def load_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object {image_id: text} per file -> (image_id, text) rows."""
     raw = spark.read.text(path, wholetext=True)  # the text() keyword wins over .option()

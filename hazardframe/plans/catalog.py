@@ -179,6 +179,39 @@ def q_normalize_text(spark, d):
     return T.table(spark, d, "documents", spread=True).select("doc_id", TX.normalize_text("text").alias("norm_text"))
 
 
+_GAP = "\ue000"  # a character that no document holds
+_ALTERED_SQL = f"replace(text, 'the', 'th' || chr({ord(_GAP)}))"
+_WORDS_SQL = f"string_split({OT.normalize_sql('text')}, ' ')"
+_WRONG_WORDS_SQL = f"len(list_filter(string_split({OT.normalize_sql(_ALTERED_SQL)}, ' '), lambda w: contains(w, chr({ord(_GAP)}))))"
+
+
+@register("long_error_rates", f"""
+SELECT doc_id, {OT.round_ratio_sql("edits", "n_chars")} AS cer, {OT.round_ratio_sql("wrong", "n_words")} AS wer FROM (
+  SELECT doc_id, CAST(length({_ALTERED_SQL}) - length(replace({_ALTERED_SQL}, chr({ord(_GAP)}), '')) AS BIGINT) AS edits,
+    CAST(length({OT.normalize_sql('text')}) AS BIGINT) AS n_chars, CAST({_WRONG_WORDS_SQL} AS BIGINT) AS wrong, CAST(len({_WORDS_SQL}) AS BIGINT) AS n_words
+  FROM documents WHERE text <> '') x""")
+def q_long_error_rates(spark, d):
+    """Error rates of all documents against a copy in which one letter of every "the" is a character that no text holds. Each of these
+    characters and words has to be changed, so their numbers are the edit distances, at any length."""
+    docs = T.table(spark, d, "documents", spread=True).filter("text <> ''")
+    altered = F.replace(F.col("text"), F.lit("the"), F.lit("th" + _GAP))
+    return O.error_rates(docs.select("doc_id", "text", altered.alias("read")), "read", "text").select("doc_id", "cer", "wer")
+
+
+@register("missing_files", """
+SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS image_id FROM supplier WHERE s_suppkey % 9 = 0 OR s_suppkey % 10 = 3""")
+def q_missing_files(spark, d):
+    """A folder of files per supplier: some are never written, some removed afterwards; the expected ids without a file."""
+    path = scratch_path(spark, "images")
+    suppliers = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_name")
+    written = suppliers.filter("id % 10 <> 3").withColumn("part", F.when(F.col("id") % 9 == 0, "removed").otherwise("kept"))
+    written.repartition("id").write.partitionBy("part", "id").text(path)
+    removed = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part=removed")
+    removed.getFileSystem(spark._jsc.hadoopConfiguration()).delete(removed, True)
+    ends = suppliers.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+    return O.missing_files(spark, path, ends["lo"], ends["hi"], 6, "*.txt", r"/id=([0-9]+)/")
+
+
 @register("missing_keys", """
 SELECT CASE WHEN length(CAST(k AS VARCHAR)) >= 6 THEN CAST(k AS VARCHAR) ELSE lpad(CAST(k AS VARCHAR), 6, '0') END AS image_id
 FROM range(0, (SELECT max(o_orderkey) + 1 FROM orders)) t(k)
@@ -326,7 +359,7 @@ def q_impute_mean_mode(spark, d):
     return CL.fill_missing(df, ["quality", "toxic", "chars", "tag"]).withColumn("chars", F.round("chars", 6))
 
 
-_KEY_TEXT_SQL = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(user_id AS VARCHAR)
+_KEY_TEXT_SQL = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN CASE WHEN event_id % 25 = 0 THEN CAST(9007199254740993 + event_id AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END
   WHEN 1 THEN CAST(user_id AS VARCHAR) || '.0' WHEN 2 THEN CAST(user_id AS VARCHAR) || '.5'
   WHEN 3 THEN (CASE event_id % 4 WHEN 0 THEN 'x' || CAST(user_id AS VARCHAR) WHEN 1 THEN CAST(user_id AS VARCHAR) || 'd'
     WHEN 2 THEN '0x' || CAST(user_id AS VARCHAR) || 'p4' ELSE CAST(user_id AS VARCHAR) || 'f' END)
@@ -334,14 +367,15 @@ _KEY_TEXT_SQL = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(user_id A
 
 
 @register("coerce_key", f"""
-SELECT event_id, raw, CASE WHEN NOT regexp_matches(raw, '[dfxp]') AND TRY_CAST(raw AS DOUBLE) IS NOT NULL AND isfinite(TRY_CAST(raw AS DOUBLE))
+SELECT event_id, raw, CASE WHEN regexp_matches(raw, '^[0-9]+$') THEN TRY_CAST(raw AS BIGINT) WHEN NOT regexp_matches(raw, '[dfxp]') AND TRY_CAST(raw AS DOUBLE) IS NOT NULL AND isfinite(TRY_CAST(raw AS DOUBLE))
   AND TRY_CAST(raw AS DOUBLE) = floor(TRY_CAST(raw AS DOUBLE)) THEN CAST(TRY_CAST(raw AS DOUBLE) AS BIGINT) END AS cid
 FROM ({_KEY_TEXT_SQL}) k""")
 def q_coerce_key(spark, d):
     ev = T.table(spark, d, "events")
     u = F.col("user_id").cast("string")
     m, q = F.pmod(F.col("event_id"), F.lit(5)), F.pmod(F.col("event_id"), F.lit(4))
-    raw = (F.when(m == 0, u).when(m == 1, F.concat(u, F.lit(".0"))).when(m == 2, F.concat(u, F.lit(".5")))
+    large = F.lit(9007199254740993) + F.col("event_id")  # beyond 2^53: a double would change its last digits
+    raw = (F.when(F.pmod("event_id", F.lit(25)) == 0, large.cast("string")).when(m == 0, u).when(m == 1, F.concat(u, F.lit(".0"))).when(m == 2, F.concat(u, F.lit(".5")))
            .when(m == 3, F.when(q == 0, F.concat(F.lit("x"), u)).when(q == 1, F.concat(u, F.lit("d")))
                  .when(q == 2, F.concat(F.lit("0x"), u, F.lit("p4"))).otherwise(F.concat(u, F.lit("f"))))
            .otherwise(F.concat(u, F.lit("e1"))))
@@ -754,10 +788,19 @@ def q_featurize_per_feature(spark, d):
 
 
 @register("required_columns", """
-SELECT w.c AS column_name, w.c IN (SELECT column_name FROM (DESCRIBE SELECT * FROM documents)) AS present
-FROM (VALUES ('doc_id'), ('text'), ('smiles'), ('lang')) w(c)""")
+SELECT w.c AS column_name, w.c <> 'smiles' AS present, (SELECT count(*) FROM labels) AS rows,
+  CASE w.c WHEN 'doc_id' THEN (SELECT count(doc_id) FROM labels) WHEN 'quality' THEN (SELECT count(quality) FROM labels)
+    WHEN 'toxic' THEN (SELECT count(toxic) FROM labels) ELSE 0 END AS values
+FROM (VALUES ('doc_id'), ('quality'), ('smiles'), ('toxic')) w(c)""")
 def q_required_columns(spark, d):
-    return CL.column_check(T.table(spark, d, "documents"), ["doc_id", "text", "smiles", "lang"])
+    return CL.column_check(T.table(spark, d, "labels"), ["doc_id", "quality", "smiles", "toxic"])
+
+
+@register("preview_rows", """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem ORDER BY ALL LIMIT 5""")
+def q_preview_rows(spark, d):
+    """The first five rows in the order of the first five columns, and these columns."""
+    return CL.preview(T.table(spark, d, "lineitem"), 5, 5, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"])
 
 
 _LABELLED_SQL = f"""
@@ -811,6 +854,35 @@ def q_csv_roundtrip(spark, d):
     return IO.read_csv(spark, IO.write_csv(part, scratch_path(spark, "csv")))
 
 
+_BROKEN_SQL = """SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN p_partkey || ',"' || p_name || '",' || p_size || ',,left over'
+    WHEN 2 THEN p_partkey || ',"a, b"' ELSE p_partkey || ',"' || p_name || ', x",' || p_size END AS line FROM part"""
+
+
+def _broken_csv(spark, d):
+    """A CSV file without quotation care: some lines have cells too many, some too few, all have separators inside quotes."""
+    part = T.table(spark, d, "part").select("p_partkey", "p_name", F.col("p_size").cast("string").alias("size"), F.col("p_partkey").cast("string").alias("key"))
+    m = F.pmod("p_partkey", F.lit(5))
+    line = (F.when(m == 1, F.concat("key", F.lit(',"'), "p_name", F.lit('",'), "size", F.lit(",,left over")))
+            .when(m == 2, F.concat("key", F.lit(',"a, b"'))).otherwise(F.concat("key", F.lit(',"'), "p_name", F.lit(', x",'), "size")))
+    path = scratch_path(spark, "broken")
+    part.select(line.alias("value")).write.text(path)
+    return path
+
+
+@register("rejected_lines", f"""
+SELECT line, CASE WHEN p_partkey % 5 = 1 THEN 5 ELSE 2 END AS cells, 3 AS expected,
+  CASE WHEN p_partkey % 5 = 1 THEN 'surplus cells' ELSE 'missing cells' END AS reason
+FROM ({_BROKEN_SQL}) x WHERE p_partkey % 5 IN (1, 2)""")
+def q_rejected_lines(spark, d):
+    return IO.delimited_ledger(spark, _broken_csv(spark, d), ",", False, {"CID": "BIGINT", "name": "TEXT", "size": "INTEGER"}, '"').drop("file")
+
+
+@register("accepted_lines", """
+SELECT p_partkey AS CID, p_name || ', x' AS name, p_size AS size FROM part WHERE p_partkey % 5 NOT IN (1, 2)""")
+def q_accepted_lines(spark, d):
+    return IO.read_delimited(spark, _broken_csv(spark, d), ",", False, {"CID": "BIGINT", "name": "TEXT", "size": "INTEGER"}, '"', on_bad="skip")
+
+
 @register("csv_schema_roundtrip", f"SELECT {_PART_COLS} FROM part")
 def q_csv_schema_roundtrip(spark, d):
     path = IO.write_csv(T.table(spark, d, "part").select(*_PART_COLS.split(", ")), scratch_path(spark, "csv"))

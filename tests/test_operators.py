@@ -229,3 +229,18 @@ def test_metrics_read_their_input_once(spark):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("parquet") == 1, plan
     assert M.multilabel_wide(df, ["y", "x"]).columns[-2:] == ["f1_x", "f1_y"]
+
+
+def test_keys_beyond_two_to_53_keep_their_digits(spark):
+    from hazardframe.operators.clean import coerce_key
+    texts = ["9007199254740993", "-9007199254740995", "9223372036854775807", "9223372036854775808", " 007 ", "12.0", "12.5", "1e3", "x", "", None, "12d"]
+    got = [r.k for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(coerce_key("t").alias("k")).collect()]
+    assert got == [9007199254740993, -9007199254740995, 9223372036854775807, None, 7, 12, None, 1000, None, None, None, None]
+
+
+def test_required_columns_are_counted_and_previews_are_ordered(spark):
+    from hazardframe.operators import clean as CL
+    df = spark.createDataFrame([(3, "c", None), (1, "a", None), (2, None, None)], "id int, name string, x double")
+    got = {r.column_name: (r.present, r["values"], r.rows) for r in CL.column_check(df, ["id", "name", "x", "y"]).collect()}
+    assert got == {"id": (True, 3, 3), "name": (True, 2, 3), "x": (True, 0, 3), "y": (False, 0, 3)}
+    assert [tuple(r) for r in CL.preview(df, 2, 2, ["id"]).collect()] == [(1, "a"), (2, None)]

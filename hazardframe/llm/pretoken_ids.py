@@ -4,7 +4,8 @@ Both vocabularies in use split a text into pre-tokens that no merge crosses, and
 between words is a sure boundary. So words are encoded once per worker and looked up after that; any text
 that isn't plainly words with single spaces or line breaks between them goes through the library whole.
 Words of Latin letters, with or without one mark behind them, go straight to the library's BPE model
-(one pre-token each, the mark one more); other words go through its whole chain.
+(one pre-token each, the mark one more); so do the parts of other ASCII words, cut by the vocabulary's own pattern, in which
+only ASCII can occur there. Other words go through the library's whole chain.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ import numpy as np
 CACHE = 600_000
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = ".,;:!?"
+#: The patterns by which the two kinds of vocabulary cut a word of ASCII characters.
+_LOWER_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_SPACED_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+")
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -35,15 +39,15 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """word -> bytes of its ids; the first CACHE of them are kept."""
+    """word -> bytes of its ids; the first ``room`` of them are kept."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, room: int = CACHE):
         super().__init__()
-        self.encode = encode
+        self.encode, self.room = encode, room
 
     def __missing__(self, word):
         ids = self.encode(word)
-        if len(self) < CACHE:
+        if len(self) < self.room:
             self[word] = ids
         return ids
 
@@ -62,13 +66,27 @@ class TokenIds:
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
         self.spaced, self.bare = _Words(lambda w: self._word(" ", w)), _Words(lambda w: self._word("", w))
         self.newline = self.whole("\n")
+        self.bytes = [np.array([i], self.dtype).tobytes() for i in range(self.library.get_vocab_size(with_added_tokens=True))]
+        self.parts = _Words(self._part, CACHE // 6)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token in the model's own letters."""
+        return b"".join([self.bytes[t.id] for t in self.model.tokenize(part)])
+
     def _word(self, before: str, word: str) -> bytes:
         """Ids of one word and the space before it, if any. A word behind a line break has the break
         in front, which is a pre-token of its own there."""
+        if word.isascii() and word.isprintable():
+            if word.isalpha():
+                return self._part("\u0120" + word if before else word.lower() if self.lower else word)
+            if word[-1] in _MARKS and word[:-1].isalpha():
+                return (self.spaced if before else self.bare)[word[:-1]] + self.bare[word[-1]]
+            if self.lower:
+                return b"".join(map(self.parts.__getitem__, _LOWER_PARTS.findall(word.lower())))
+            return b"".join([self.parts[p if p[0] != " " else "\u0120" + p[1:]] for p in _SPACED_PARTS.findall(before + word)])
         if before and word[0] == "\n":
             return self.newline + self.bare[word[1:]]
         if word[-1] in _MARKS and _LATIN.fullmatch(word, 0, len(word) - 1):
@@ -78,7 +96,7 @@ class TokenIds:
         if self.lower:
             word = word.lower()
         word = word if word.isascii() else word.translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize("\u0120" + word if before else word)], self.dtype).tobytes()
+        return self._part("\u0120" + word if before else word)
 
     def encode(self, text: str) -> bytes:
         if not text:

@@ -62,6 +62,8 @@ _DOUBLE = re.compile(rf"({_LETTER})\1")
 _TRIPLE = re.compile(rf"({_LETTER})\1\1")
 _LIKE = re.compile(rf"[{_LOOK}]")
 _ASKED = re.compile(rf"[{_LOOK}{re.escape(SEPARATORS)}]|({_LETTER})\1\1")
+#: Latin letters with or without a mark behind them that is no look-alike: the word is read as it stands, but for doubled letters.
+_SIMPLE = re.compile("([a-zß-öø-ÿ]+)[.,;:?]?")
 _SINGLES = re.compile(r"(?:(?<=\s)|^)\S(?:\s{1,2}\S){2,}(?=\s|$)")
 
 
@@ -158,6 +160,10 @@ class Decoder:
 
     def word(self, word: str) -> tuple[str, ...]:
         """Restored words of one white-space delimited word (lower-case)."""
+        simple = _SIMPLE.fullmatch(word)
+        if simple and not _TRIPLE.search(word):
+            letters = simple[1]
+            return (self.undoubled(letters) if _DOUBLE.search(letters) else letters,)
         found = self.held.get(word)
         if found is None:
             core = word.translate(HIDDEN)
@@ -188,8 +194,14 @@ class Decoder:
         return found
 
     def spelled(self, text: str) -> set[str]:
-        """Words spelled out as single characters; a wider gap parts two of them."""
-        return {w for run in _SINGLES.findall(text.lower()) for part in re.split(r"\s{2,}", run) for w in self.decode(" ".join(part.split())).split()}
+        """Words spelled out as single characters; a gap wider than the run's commonest one parts two of them."""
+        found: set[str] = set()
+        for run in _SINGLES.findall(text.lower()):
+            gaps = list(map(len, re.findall(r"\s+", run)))
+            usual = max(sorted(set(gaps)), key=gaps.count)
+            for part in re.split(rf"\s{{{usual + 1},}}", run):
+                found.update(self.decode(" ".join(part.split())).split())
+        return found
 
 
 def marks(words) -> set[str]:
@@ -210,7 +222,13 @@ class _Numbers(dict):
     def __missing__(self, word):
         if len(self) > HELD:
             self.clear()
-        self[word] = found = self.of(self.decoder.word(word))
+        restored, chosen = self.decoder.word(word), self.chosen
+        if len(restored) == 1:
+            w = restored[0]
+            found = tuple(chosen[m] for m in (w, *["^" + w[:k] for k in PREFIXES if len(w) >= k]) if m in chosen)
+        else:
+            found = self.of(restored)
+        self[word] = found
         return found
 
     def text(self, text: str) -> list[int]:

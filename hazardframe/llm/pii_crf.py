@@ -1,17 +1,18 @@
 """Operator 6, personal data: base patterns and a character-level BiLSTM-CRF.
 
 Base spans are the leftmost non-overlapping matches of four patterns, kept if they pass their check. The tagger
-(``bilstm_crf``) adds spans that are written otherwise: numbers without a plus sign, cards with dots, addresses with blanks around the @ sign.
-It is trained on the driver, in numpy, from the base spans of at most SAMPLE rows (those with the smallest hashed ids) and from
-variants of these spans that the base patterns miss; at most WINDOWS windows are taken.
-
-Texts are cut into overlapping windows of WIDTH characters every STRIDE. A span must hold a digit or an @ sign (see ``_valid``), so only windows
-that hold one are decoded; the others can't give a span. Each character takes its tag from the window in whose middle it lies
-most, which reconciles the windows over the whole text; equal neighbouring tags make a span, also across windows. Added spans are trimmed, checked, and
-dropped where they touch a base span: base spans stay as they are.
-
-Counts are those of the base spans. Defined results: null text is empty and has none; a corpus whose sample has no base span gets
-no tagger and keeps the base spans; repeated rows are treated alike; an empty table gives an empty result; other columns are ignored.
+(``bilstm_crf``) adds spans that are written otherwise: numbers without a plus sign, cards with dots, addresses with blanks around the @ sign
+or with "(at)" and "dot".
+It is trained on the driver, in numpy, from the base spans of at most SAMPLE rows (of all rows that hold one, those with the smallest hashed
+ids), from variants of these spans that the base patterns miss, and from numbers that are no personal data; at most WINDOWS windows are taken.
+
+Texts are cut into overlapping windows of WIDTH characters every STRIDE. A span must hold a digit, an @ sign or a bracketed "at" (see ``_valid``), so
+only windows that hold one are decoded; the others can't give a span. Each character takes its tag from the window in whose middle it lies
+most, which reconciles the windows over the whole text; equal neighbouring tags make a span, also across windows. Added spans are trimmed, widened to whole
+numbers and names, checked, and dropped where they touch a base span or go on into a longer number: base spans stay as they are.
+
+Counts are those of the base spans. Defined results: null text is empty and has none; a corpus without any base span gets
+no tagger, as nothing says what personal data look like there; repeated rows are treated alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardframe.llm import bilstm_crf
-from hazardframe.llm.common import bounded_batches, documents
+from hazardframe.llm.common import bounded_batches, documents, spool
 
 SAMPLE = 4_000
-WINDOWS = 1_500
+WINDOWS = 4_000
 WIDTH, STRIDE = 128, 64
 BATCH = 256
 KINDS = ("email", "ip", "card", "phone")
@@ -39,6 +40,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
+_NEAR = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]")
+_AT, _DOT = r" {0,2}(?:@|[(\[{] ?at ?[)\]}]) {0,2}", r"(?: ?\. ?| dot | ?[(\[{] ?dot ?[)\]}] ?)"
+_EMAIL = re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
 
 
 # --- base spans ---------------------------------------------------------------------------------------------
@@ -111,8 +115,8 @@ def symbols(text: str) -> np.ndarray:
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an @ sign."""
-    near = {m.start() // STRIDE for m in _TRIGGER.finditer(text)}
+    """Starts of the windows that hold a digit, an @ sign or a bracketed "at"."""
+    near = {m.start() // STRIDE for m in _NEAR.finditer(text)}
     return sorted({s for k in near for s in range((k - WIDTH // STRIDE + 1) * STRIDE, (k + 1) * STRIDE, STRIDE)})
 
 
@@ -127,7 +131,7 @@ def _valid(kind: str, text: str) -> bool:
     """What an added span must show."""
     n = len(digits(text))
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ {0,2}@ {0,2}[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]+)+", text))
+        return bool(_EMAIL.fullmatch(text))
     if kind == "ip":
         return bool(re.fullmatch(r"[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}", text)) and all(int(x) <= 255 for x in re.findall("[0-9]+", text))
     if kind == "card":
@@ -135,6 +139,37 @@ def _valid(kind: str, text: str) -> bool:
     return 9 <= n <= 15 and len(text) <= 2 * n and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().\-/]*[0-9]", text)) and len(re.findall("[0-9]+", text)) > 2
 
 
+def _whole(kind: str, text: str, s: int, e: int) -> tuple[int, int]:
+    """The span without marks at its ends and with all of the numbers or names that it begins and ends in."""
+    while s < e and not (text[s].isalnum() or kind == "phone" and text[s] in "+("):
+        s += 1
+    while e > s and not text[e - 1].isalnum():
+        e -= 1
+    if s == e:
+        return s, e
+    if kind == "email":
+        while s and text[s - 1] in _LOCAL:
+            s -= 1
+        while e < len(text) and (text[e] in _LOCAL and text[e] not in "._%+"):
+            e += 1
+        return s, e
+    while s and "0" <= text[s - 1] <= "9":
+        s -= 1
+    while e < len(text) and "0" <= text[e] <= "9":
+        e += 1
+    if kind == "phone" and text[s:e].count(")") == 1 and "(" not in text[s:e] and s and text[s - 1] == "(":
+        s -= 1
+    return s, e
+
+
+_BEFORE, _AFTER = re.compile(r"(?:[0-9][./-]|[A-Za-z])$"), re.compile(r"[./-]?[0-9]|[A-Za-z]")
+
+
+def _goes_on(text: str, s: int, e: int) -> bool:
+    """Whether what stands before or behind belongs to the same number or word."""
+    return bool(_BEFORE.search(text[max(0, s - 2):s]) or _AFTER.match(text[e:e + 2]))
+
+
 def added_spans(text: str, base: list, starts: list[int], tags: np.ndarray) -> list[tuple[int, int, str]]:
     """Spans of the tagger after the windows are reconciled over the whole text."""
     if not starts:
@@ -153,12 +188,9 @@ def added_spans(text: str, base: list, starts: list[int], tags: np.ndarray) -> l
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         if not best[a]:
             continue
-        kind, s, e = KINDS[best[a] - 1], low + a, low + b
-        while s < e and not (text[s].isalnum() or kind == "phone" and text[s] in "+("):
-            s += 1
-        while e > s and not text[e - 1].isalnum():
-            e -= 1
-        if s < e and _valid(kind, text[s:e]) and not any(x < e and s < y for x, y in taken):
+        kind = KINDS[best[a] - 1]
+        s, e = _whole(kind, text, low + a, low + b)
+        if s < e and _valid(kind, text[s:e]) and not _goes_on(text, s, e) and not any(x < e and s < y for x, y in taken):
             found.append((s, e, kind))
             taken.append((s, e))
     return found
@@ -168,19 +200,34 @@ def added_spans(text: str, base: list, starts: list[int], tags: np.ndarray) -> l
 
 def _variants(kind: str, text: str) -> list[str]:
     """The same datum as the base patterns miss it."""
+    d = digits(text)
     if kind == "email":
-        return [text.replace("@", " @ "), text.replace("@", " @")]
+        name, domain = text.split("@", 1)
+        return [f"{name} @ {domain}", f"{name} @{domain}", f"{name}@ {domain}", f"{name} (at) {domain}", f"{name} [at] {domain.replace('.', ' dot ')}", f"{name} (at) {domain.replace('.', ' dot ')}"]
     if kind == "ip":
-        return [text.replace(".", " . ")]
+        return [text.replace(".", " . "), text.replace(".", ". "), text.replace(".", " .")]
     if kind == "card":
-        d = digits(text)
-        return [".".join(d[k:k + 4] for k in range(0, len(d), 4)), "/".join(d[k:k + 4] for k in range(0, len(d), 4))]
-    short = re.sub(r"^\+[0-9]{1,3}[ -]?", "", text)
-    return [x for x in (short, text[1:], re.sub(r"[ ()]+", "-", short).strip("-")) if x and x != text]
+        groups = [d[k:k + 4] for k in range(0, len(d), 4)]
+        return [".".join(groups), "/".join(groups), "  ".join(groups), " / ".join(groups)]
+    own = d[-10:] if len(d) >= 10 else d
+    a, b, c = own[:3], own[3:6], own[6:]
+    return [f"({a}) {b}-{c}", f"{a} {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}/{b}-{c}", f"0{a} {b} {c}"]
+
+
+def _decoy(rng) -> str:
+    """A number that is no personal data: long numbers, order numbers, dates, times, amounts, versions."""
+    def number(n):
+        return "".join(map(str, rng.integers(0, 10, n)))
+
+    forms = (lambda: number(int(rng.integers(5, 24))), lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: f"{number(2)}/{number(2)}/{number(4)}",
+             lambda: f"{number(2)}:{number(2)}:{number(2)}", lambda: f"#{number(6)}", lambda: f"{number(3)},{number(3)}.{number(2)}",
+             lambda: f"{number(1)}.{number(2)}.{number(1)}", lambda: f"{number(3)}-{number(1)}-{number(2)}-{number(6)}-{number(1)}", lambda: f"{number(4)} {number(2)}")
+    return forms[int(rng.integers(0, len(forms)))]()
 
 
 def training_windows(texts: list[str], limit: int = WINDOWS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags around base spans, their variants, and windows without any."""
+    """Windows and tags around base spans, their variants in the same places, and numbers or nothing in others. Some
+    surroundings are cut short, as texts may begin and end anywhere."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
 
@@ -191,50 +238,62 @@ def training_windows(texts: list[str], limit: int = WINDOWS, seed: int = 11) ->
         xs.append(_window(codes, at))
         ys.append(_window(tags, at))
 
+    def around(before, what, after, kind):
+        short = rng.random()
+        if short < 0.15:
+            before, after = "", ""
+        elif short < 0.4:
+            before, after = before[len(before) - int(rng.integers(0, len(before) + 1)):], after[:int(rng.integers(0, len(after) + 1))]
+        put(before + what + after, [(len(before), len(before) + len(what), kind)] if kind else [], len(before) - int(rng.integers(4, WIDTH - 24)))
+
     for text in texts:
         spans = base_spans(text)
         spans = [x for k, x in enumerate(spans) if not k or x[0] >= spans[k - 1][1]][:4]
         for s, e, kind in spans:
-            at = s - int(rng.integers(8, WIDTH - 8))
-            around = text[max(0, at):at + 3 * WIDTH]
-            shift = max(0, at)
-            inside = [(a - shift, b - shift, k) for a, b, k in base_spans(around) for a, b in [(a + shift, b + shift)]]
-            put(around, inside, at - shift)
-            for other in _variants(kind, text[s:e])[:2]:
-                before, after = text[max(0, s - WIDTH):s], text[e:e + WIDTH]
-                put(before + other + after, [(len(before), len(before) + len(other), kind)], len(before) - int(rng.integers(8, WIDTH - 8)))
-        if not spans or rng.random() < 0.2:
-            put(text, [], int(rng.integers(0, max(1, len(text) - WIDTH)))) if not spans else None
+            at = max(0, s - int(rng.integers(8, WIDTH - 8)))
+            near = text[at:at + 3 * WIDTH]
+            put(near, base_spans(near), 0)
+            before, after = text[max(0, s - WIDTH):s], text[e:e + WIDTH]
+            if base_spans(before) or base_spans(after):
+                before, after = before[-12:], after[:12]
+            variants = _variants(kind, text[s:e])
+            for k in rng.permutation(len(variants))[:3]:
+                around(before, variants[k], after, kind)
+            around(before, _decoy(rng), after, None)
+        if not spans:
+            put(text, [], int(rng.integers(0, max(1, len(text) - WIDTH))))
         if len(xs) >= limit:
             break
     return (np.array(xs), np.array(ys)) if xs else (np.zeros((0, WIDTH), np.int64),) * 2
 
 
 def _windows_of(batches):
-    """Texts worth learning from: the neighbourhoods of base spans, or the start of a text that has none."""
+    """Of texts with a base span, the neighbourhood of the first one and a stretch of text next to it."""
     for b in batches:
-        rows = []
-        for text in b.column("text").to_pylist():
-            text = text or ""
-            spans = base_spans(text)
-            rows.append(text[max(0, spans[0][0] - 2 * WIDTH):spans[0][1] + 2 * WIDTH] if spans else text[:2 * WIDTH])
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows, pa.string())], ["id", "text"])
+        hashes, rows, plain = [], [], []
+        for h, text in zip(b.column("hash").to_pylist(), b.column("text").to_pylist()):
+            spans = base_spans(text) if text and _TRIGGER.search(text) else []
+            if spans:
+                s, e = spans[0][:2]
+                hashes.append(h)
+                rows.append(text[max(0, s - 2 * WIDTH):e + 2 * WIDTH])
+                plain.append(text[max(0, s - 4 * WIDTH):max(0, s - 2 * WIDTH)] or text[e + 2 * WIDTH:e + 4 * WIDTH])
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(rows, pa.string()), pa.array(plain, pa.string())], ["hash", "text", "plain"])
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> dict | None:
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    """The tagger's weights; None if no row holds a base span. All rows are looked through; of those with a span, the ``sample`` with
+    the smallest hashed ids are learnt from."""
     bound = 1 << 30
-    share = min(1.0, sample / max(1, rows.select("id").count()))
-    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(bound)) < int(share * bound) + (share == 1.0))
-    kind = rows.schema["id"].dataType.simpleString()
-    got = some.mapInArrow(_windows_of, f"id {kind}, text string").limit(2 * sample).toPandas()
-    texts = got["text"].iloc[np.lexsort((got["text"], got["id"].astype(str)))].tolist() if len(got) else []
-    with_spans = [t for t in texts if base_spans(t)]
-    plain = [t for t in texts if not base_spans(t)][:max(20, len(with_spans))]
-    if not with_spans:
+    rows = docs.select(F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(bound)).alias("hash"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    holding = spool(rows.mapInArrow(_windows_of, "hash long, text string, plain string"), "pii-windows")
+    n = holding.count()
+    if not n:
         return None
-    x, y = training_windows([t for pair in zip(with_spans, plain * (len(with_spans) // max(1, len(plain)) + 1) or with_spans) for t in pair] if plain else with_spans)
-    return bilstm_crf.fit(x, y, SYMBOLS, len(KINDS) + 1)
+    some = holding.filter(F.col("hash") < min(1.0, 1.2 * sample / n) * bound)  # a little more than fits, then the exact number
+    got = [(r["text"], r["plain"]) for r in some.orderBy("hash", "text").limit(sample).collect()]
+    x, y = training_windows([t for pair in got for t in pair if t])
+    return bilstm_crf.fit(x, y, SYMBOLS, len(KINDS) + 1, hidden=24, steps=500, batch=64)
 
 
 # --- the operator -------------------------------------------------------------------------------------------

@@ -27,6 +27,14 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_spool(df: DataFrame) -> None:
+    """Remove a table that ``spool`` wrote, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lower_ascii(col: Column) -> Column:
     """A-Z to a-z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(col.cast("string"), F.lit("")), _UPPER, _LOWER)

@@ -6,22 +6,24 @@ document. The suffixes that matter are sorted to a depth of LENGTH bytes, in buc
 ``refine`` is the core. Positions are first bucketed by the GRAM bytes at them. Then, with buckets of depth d known for all positions,
 those of depth 2d are ranks of the pairs (bucket at i, bucket at i + d): the pointer to a later offset stands for the d bytes there.
 Each round reuses the ranks that the last one wrote, and only positions in buckets of more than one member are sorted again.
-After the last round positions of one bucket start equal strings; all but the earliest are repeats. Buckets are ranks of bytes, not
-hashes, so equal means equal.
+After the last round positions of one bucket start equal strings; all but the earliest are repeats. Inside ``refine`` buckets are ranks of
+bytes, not hashes.
 
 Spark deals the positions so that equal strings meet:
+0. Whole stretches of copies are settled before the refinement, by a 128-bit digest: texts are cut into stretches of about CUT anchors at
+   places that the content sets; a stretch (with the LENGTH - 1 bytes behind it) that also starts earlier has none but repeated windows. So of
+   exact and near copies only the first, and the stretches around edits, are refined. This step stands in for the refinement of these windows
+   (README: their share). The earliest window of a content is never settled that way, and others that aren't meet it in 2 or 3.
 1. Each LENGTH-byte window belongs to the bucket of its anchor, the SEED bytes in it with the least hash (a function of the window
-   alone); neighbouring windows mostly share it, so a document has one anchor per ~40 bytes. Tasks ship the distinct anchor hashes of each block of
-   BLOCK documents by hash range; a range keeps those found in two blocks and sends them back.
-2. Blocks meet their texts and those answers. Windows whose anchor occurs once in the corpus are unique. The others are
-   refined inside the block; repeats found there are settled, and only the first window of each content goes on.
-3. What goes on travels by anchor, as bytes with the windows that share it, and is refined there against other blocks. Anchors found in more than
+   alone); neighbouring windows mostly share it, so a document has one anchor per ~40 bytes. A window holds the SIDE bytes on the left of its anchor
+   or, if not, those on its right: its key is the hash of the anchor with that side. Tasks ship the distinct keys of each block of
+   BLOCK documents by hash range, each with a tag of its stretch; a range keeps those found in two blocks and in two different stretches
+   (equal ones are copies, of which all but one are settled) and sends them back.
+2. Blocks meet their texts and those answers. Windows whose key was not kept have no equal in other blocks. Those whose key the block itself has twice are
+   refined inside it; repeats found there are settled, and only the first window of each content goes on.
+3. What goes on travels by key, as bytes with the windows that share it, and is refined there against other blocks. Keys found in more than
    HOT blocks travel window by window, dealt by the window's own hash, as their windows differ around the common part.
-4. Documents with windows that went on get the answers, in blocks, and are cut.
-Longer copies are settled before all this, by digest: texts are cut into stretches of about CUT anchors at places that the
-content sets; a stretch (with the LENGTH - 1 bytes behind it) that also starts earlier has none but repeated windows. So of
-exact and near copies only the first, and the stretches around edits, take part in 2 and 3. The earliest window of a content is never
-settled that way, and others that aren't meet it in 2 or 3.
+4. Documents with windows that went on get the answers, in blocks, and are cut. Tables that no later step reads are removed.
 
 ``docs`` must be a stored table (it is read three times and must give its rows in the same order). Defined results: null text is empty; texts
 shorter than LENGTH bytes lose nothing; null ids come first; of rows with one id the earlier stored comes first; an empty table gives an
@@ -39,14 +41,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import bounded_batches, documents, spool
+from hazardframe.llm.common import bounded_batches, documents, drop_spool, spool
 
 LENGTH = 100
 GRAM = 4
 SEED = 24
+SIDE = 38  # half of what a window holds beside its anchor
 BLOCK = 8  # bits: documents of a block
 HOT = 64
-CUT = 16
+CUT = 8
 RANGE_HASHES = 1 << 21
 PART_BYTES = 1 << 20
 SEGMENT = 1 << 20
@@ -126,7 +129,7 @@ def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int
 # --- anchors ------------------------------------------------------------------------------------------------
 
 def _anchors_of(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per run of windows with one anchor: the first window (a last entry: the number of windows), the anchor's hash."""
+    """Per run of windows with one anchor: the first window (a last entry: the number of windows), the anchor's hash and place."""
     x = _words(data)
     n = len(data) - seed + 1
     with np.errstate(over="ignore"):
@@ -141,14 +144,52 @@ def _anchors_of(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, n
         have += step
     place = (least & np.uint64(0xFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return np.r_[first, len(place)], h[place[first]]
+    return np.r_[first, len(place)], h[place[first]], place[first], x
+
+
+def _side_hash(x: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes at each place, from the 8-byte words of all positions."""
+    out = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in [*range(0, size - 8, 8), size - 8]:
+            out = (out ^ x[at + k]) * _A
+            out ^= out >> np.uint64(29)
+        out *= _B
+    return out ^ (out >> np.uint64(32))
+
+
+def anchor_halves(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
+    """``anchor_runs``, and its runs in halves: the windows that hold the bytes on the left of the anchor, and the others, which hold
+    those on its right. First window, window count, key and run of each half."""
+    side = (length - seed) // 2
+    firsts, counts, hashes, half = [], [], [], [[], [], [], []]
+    runs = 0
+    for s in range(0, max(0, len(data) - length + 1), SEGMENT):
+        bounds, h, place, x = _anchors_of(data[s:s + SEGMENT + length - 1], length, seed)
+        first, end = bounds[:-1], bounds[1:]
+        middle = np.clip(place - side + 1, first, end)
+        left, right = np.flatnonzero(middle > first), np.flatnonzero(end > middle)
+        of = np.concatenate([left, right])
+        order = np.argsort(of, kind="stable")  # left before right
+        parts = (np.concatenate([first[left], middle[right]]) + s, np.concatenate([(middle - first)[left], (end - middle)[right]]),
+                 np.concatenate([_side_hash(x, place[left] - side, seed + side), ~_side_hash(x, place[right], seed + side)]), of + runs)
+        for held, part in zip(half, parts):
+            held.append(part[order])
+        firsts.append(first + s)
+        counts.append(np.diff(bounds))
+        hashes.append(h)
+        runs += len(first)
+    if not firsts:
+        none, empty = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, none, empty, none, none, empty, none
+    return tuple(np.concatenate(c) for c in (firsts, counts, hashes, *half))
 
 
 def anchor_runs(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, window count and anchor hash of all runs of a text, segment by segment."""
     firsts, counts, hashes = [], [], []
     for s in range(0, max(0, len(data) - length + 1), SEGMENT):
-        bounds, h = _anchors_of(data[s:s + SEGMENT + length - 1], length, seed)
+        bounds, h, _, _ = _anchors_of(data[s:s + SEGMENT + length - 1], length, seed)
         firsts.append(bounds[:-1] + s)
         counts.append(np.diff(bounds))
         hashes.append(h)
@@ -157,6 +198,12 @@ def anchor_runs(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tup
     return np.concatenate(firsts), np.concatenate(counts), np.concatenate(hashes)
 
 
+def _borders(first: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """First windows of a text's stretches, and the number of its windows; the runs' anchors set them."""
+    cuts = first[np.flatnonzero((hashes[1:] >> np.uint64(40)) % np.uint64(CUT) == 0) + 1]
+    return np.r_[0, cuts, first[-1] + count[-1]]
+
+
 def _stretches(length: int):
     """Rows (row, id, start, n, digest): stretches of n windows from start on, with the digest of their bytes."""
     def run(batches):
@@ -167,8 +214,7 @@ def _stretches(length: int):
                 first, count, hashes = anchor_runs(np.frombuffer(raw, np.uint8), length)
                 if not len(first):
                     continue
-                cuts = first[np.flatnonzero((hashes[1:] >> np.uint64(40)) % np.uint64(CUT) == 0) + 1]
-                bounds = np.r_[0, cuts, first[-1] + count[-1]].tolist()
+                bounds = _borders(first, count, hashes).tolist()
                 for s, e in zip(bounds[:-1], bounds[1:]):
                     rows.append(k)
                     starts.append(s)
@@ -184,16 +230,22 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode(), np.uint8)
 
 
-# --- step 1: anchors that two blocks have -------------------------------------------------------------------
+# --- step 1: keys that two blocks have ----------------------------------------------------------------------
 
 def _ship(ranges: int, length: int):
     edges = (np.arange(1, ranges, dtype=np.float64) * (2.0 ** 64 / ranges)).astype(np.uint64)
 
     def rows(block, found):
-        hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        parts = np.split(hashes, np.searchsorted(hashes, edges))
-        filled = [k for k, p in enumerate(parts) if len(p)]
-        return pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array([block] * len(filled), pa.int64()), pa.array([parts[k].tobytes() for k in filled], pa.binary())], ["range", "block", "hashes"])
+        keys, tags = (np.concatenate([f[k] for f in found]) for k in range(2))
+        order = np.lexsort((tags, keys))
+        keys, tags = keys[order], tags[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (tags[1:] != tags[:-1])
+        keys, tags = keys[new], tags[new]
+        at = np.searchsorted(keys, edges)
+        parts = [(k, x, y) for k, (x, y) in enumerate(zip(np.split(keys, at), np.split(tags, at))) if len(x)]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in parts], pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array([x.tobytes() for _, x, _ in parts], pa.binary()),
+                                           pa.array([y.tobytes() for _, _, y in parts], pa.binary())], ["range", "block", "keys", "tags"])
 
     def run(batches):
         block, found = None, []
@@ -203,22 +255,33 @@ def _ship(ranges: int, length: int):
                     if found:
                         yield rows(block, found)
                     block, found = row >> BLOCK, []
-                found.append(anchor_runs(_bytes(text), length)[2])
+                raw = text.encode()
+                first, count, hashes, starts, _, keys, _ = anchor_halves(np.frombuffer(raw, np.uint8), length)
+                if len(first):
+                    bounds = _borders(first, count, hashes)
+                    tags = np.array([xxhash.xxh3_64_intdigest(raw[s:e + length - 1]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())], np.uint64)
+                    found.append((keys, tags[np.searchsorted(bounds, starts, "right") - 1]))
         if found:
             yield rows(block, found)
     return run
 
 
 def _met(hot_blocks: int):
-    """Of one range: the hashes that two blocks have, and those that more than ``hot_blocks`` have, per block."""
+    """Of one range: the keys that two blocks have in different stretches, and those of them that more than ``hot_blocks`` have, per block."""
     def run(table: pa.Table) -> pa.Table:
-        arrays = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
-        every, counts = np.unique(np.concatenate(arrays), return_counts=True)
+        arrays = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
+        own = [np.unique(a) for a in arrays]
+        every, blocks = np.unique(np.concatenate(own), return_counts=True)
+        keys, tags = np.concatenate(arrays), np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("tags")])
+        order = np.lexsort((tags, keys))
+        keys, tags = keys[order], tags[order]
+        apart = np.zeros(len(every), bool)
+        apart[np.searchsorted(every, keys[1:][(keys[1:] == keys[:-1]) & (tags[1:] != tags[:-1])])] = True
+        kept, often = every[(blocks > 1) & apart], every[(blocks > hot_blocks) & apart]
         met, hot = [], []
-        for a in arrays:
-            c = counts[np.searchsorted(every, a)]
-            met.append(a[c > 1].tobytes())
-            hot.append(a[c > hot_blocks].tobytes())
+        for a in own:
+            met.append(a[np.isin(a, kept, assume_unique=True)].tobytes())
+            hot.append(a[np.isin(a, often, assume_unique=True)].tobytes())
         return pa.table({"block": table.column("block"), "met": pa.array(met, pa.binary()), "hot": pa.array(hot, pa.binary())})
     return run
 
@@ -273,7 +336,7 @@ def _settle_block(length: int):
             copies.append(sum(n for _, n in early.get(row, ())) >= max(1, len(d) - length + 1))
             data.append(d)
             base.append(at)
-            runs.append(anchor_runs(d, length) if not copies[-1] else anchor_runs(d[:0], length))
+            runs.append(anchor_halves(d if not copies[-1] else d[:0], length)[3:6])
             at += len(d) if not copies[-1] else 0
         owner = np.repeat(np.arange(len(data)), [len(r[0]) for r in runs])
         firsts, counts, hashes = (np.concatenate([r[k] for r in runs]) for k in range(3)) if runs else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
@@ -402,11 +465,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     early = stretches.join(firsts, "digest").filter("row <> first_row or start <> first_start").select("row", "start", "n")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(spark.sparkContext.defaultParallelism, int(size // 39 // RANGE_HASHES) + 1)
-    shipped = rows.select("row", "text").mapInArrow(_ship(ranges, length), "range long, block long, hashes binary")
+    shipped = rows.select("row", "text").mapInArrow(_ship(ranges, length), "range long, block long, keys binary, tags binary")
     met = spool(shipped.groupBy("range").applyInArrow(_met(hot_blocks), "block long, met binary, hot binary"), "anchors")
     # texts, the stretches of theirs that are settled, and the anchors that other blocks have too
     both = rows.unionByName(early, allowMissingColumns=True).withColumn("block", F.shiftright("row", BLOCK)).unionByName(met, allowMissingColumns=True)
     settled = spool(both.groupBy("block").applyInArrow(_settle_block(length), OUT.replace("{id}", kind)), "blocks")
+    for done in (stretches, met):
+        drop_spool(done)
     onward = settled.filter("kind = 2")
     amount = onward.agg(F.sum(F.length("bytes"))).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, int(amount // PART_BYTES) + 1)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardframe.functions.text import truncate_text
+from hazardframe.session import checkpoint_dir
 
 # Largest frequent-label set that is inlined as a literal array; above it the distinct lists are
 # filtered by a semi-join of their items (shuffles, but no size limit, and the same rows).
@@ -75,10 +76,43 @@ def keep_labels(df: DataFrame, labels_col: str, keep: DataFrame, label_col: str
     return out.withColumn(labels_col, F.col("__kept")).select(*df.columns)
 
 
+def dense_index(df: DataFrame, col: str, name: str = "label_idx") -> DataFrame:
+    """Each distinct non-missing value of ``col`` with its place in sorted order, for any number of values.
+
+    The distinct values are dealt into ranges and sorted there (no task sees them all); a value's place is its place in its range plus
+    the sizes of the ranges before. Range borders come from a sample, so the ranges are written down once before they are counted."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    values = df.select(F.col(col)).filter(F.col(col).isNotNull()).distinct().repartitionByRange(col).sortWithinPartitions(col)
+    # The number holds the range in its upper bits and the place in it in the 33 lower ones.
+    placed = values.withColumn("__at", F.monotonically_increasing_id()).checkpoint(eager=True)
+    at, low = F.col("__at"), (1 << 33) - 1
+    sizes = placed.groupBy(F.shiftright(at, 33).alias("__range")).agg(F.count(F.lit(1)).alias("__n"))  # one row per range
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
+    starts = sizes.select("__range", before.alias("__before"))
+    out = placed.withColumn("__range", F.shiftright(at, 33)).join(F.broadcast(starts), "__range")
+    return out.select(col, (at.bitwiseAND(F.lit(low)) + F.col("__before")).cast("long").alias(name))
+
+
 def label_index(keep: DataFrame, label_col: str = "label") -> DataFrame:
     """each distinct label with its position in sorted order (one row per class)."""
-    w = Window.orderBy(label_col)
-    return keep.select(label_col).distinct().select(label_col, (F.row_number().over(w) - 1).cast("long").alias("label_idx"))
+    return dense_index(keep, label_col)
+
+
+def encode_labels(df: DataFrame, label_col: str = "label", name: str = "label_idx") -> DataFrame:
+    """M1 for any number of classes: rows with their label's alphabetical code (NULL for a missing label). The codes join in by label;
+    AQE splits a label that many rows have."""
+    return df.join(dense_index(df, label_col, name), label_col, "left").select(*df.columns, name)
+
+
+def sparse_hot(df: DataFrame, labels_col: str, classes: DataFrame, id_col: str, label_col: str = "label", idx_col: str = "label_idx") -> DataFrame:
+    """G6 for wide label sets: each id with the ascending codes of its labels among ``classes`` (label, code) and the number
+    of classes - a 0/1 vector as the places of its ones, whatever the width. Other labels have no place; ids are unique."""
+    items = df.select(id_col, F.explode(F.array_distinct(labels_col)).alias(label_col)).join(classes.select(label_col, idx_col), label_col)
+    ones = items.groupBy(id_col).agg(F.array_sort(F.collect_list(idx_col)).alias("ones"))
+    width = classes.agg(F.max(idx_col)).first()[0]
+    width = 0 if width is None else int(width) + 1
+    return df.select(id_col).join(ones, id_col, "left").select(id_col, F.coalesce("ones", F.array().cast("array<long>")).alias("ones"), F.lit(width).cast("long").alias("width"))
 
 
 def sorted_labels(keep: DataFrame, label_col: str = "label") -> list[str]:

@@ -115,12 +115,16 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
 _SUMS = ("tp", "fp", "fn", "rows", "precision", "recall", "f1", "n_true", "exact")
 
 
-def _label_table(pred: DataFrame, classes: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """One row: ``labels`` (label, tp, fp, fn of every class) and the sums over rows (rows, precision, recall,
-    f1, n_true, exact).
+#: Label rows are spread over this many groups, each of which gets the number of rows.
+SPREAD = 256
+
+
+def _label_sums(pred: DataFrame, classes: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """A row per label of ``classes`` with tp, fp, fn, and one without a label with the sums over input rows (rows,
+    precision, recall, f1, n_true, exact); that one is absent if there are no rows.
 
     Each input row gives one entry per label of its lists and one without a label that carries the row's own
-    sums; the classes join in as entries of zeros. One aggregation by label, over one read of the input."""
+    sums; the classes join in as entries of zeros. One aggregation by label, over one read of the input; labels stay rows, however many."""
     empty = F.array().cast("array<string>")
     zero_type = {c: "double" if c in ("precision", "recall", "f1") else "long" for c in _SUMS}
     zero = {c: F.lit(0).cast(kind) for c, kind in zero_type.items()}
@@ -132,76 +136,83 @@ def _label_table(pred: DataFrame, classes: DataFrame, truth: str, predicted: str
     both = F.size(F.array_intersect(t, p))
     own = entry(F.lit(None).cast("string"), {
         "rows": F.lit(1), "precision": _div(both, F.size(p)), "recall": _div(both, F.size(t)), "f1": _div(2 * both, F.size(t) + F.size(p)),
-        "n_true": F.size(t), "exact": (F.size(t) == F.size(p)) & (both == F.size(t))}, False)
+        "n_true": F.size(t), "exact": (F.size(t) == F.size(p)) & (both == F.size(t))}, True)
 
     def one(label):
         in_t, in_p = F.array_contains(t, label), F.array_contains(p, label)
         return entry(label, {"tp": in_t & in_p, "fp": ~in_t & in_p, "fn": in_t & ~in_p}, False)
 
     base = pred.select(F.array_distinct(F.coalesce(F.col(truth), empty)).alias("__t"), F.array_distinct(F.coalesce(F.col(predicted), empty)).alias("__p"))
-    entries = base.select(F.inline(F.concat(F.transform(F.array_union(t, p), one), F.array(own))))
+    # A missing label inside a list is no label; the entry without one is the row's own.
+    named = F.filter(F.array_union(t, p), lambda x: x.isNotNull())
+    entries = base.select(F.inline(F.concat(F.transform(named, one), F.array(own))))
     listed = classes.select(F.inline(F.array(entry(F.col("label"), {}, True))))
-    sums = entries.unionByName(listed).groupBy("label").agg(F.max("known").alias("known"), *[F.sum(c).alias(c) for c in _SUMS])
-    labels = F.collect_list(F.when(F.col("known"), F.struct("label", "tp", "fp", "fn")))
-    return sums.agg(labels.alias("labels"), *[F.coalesce(F.max(F.when(F.col("label").isNull(), F.col(c))), zero[c]).alias(c) for c in _SUMS[3:]])
+    return entries.unionByName(listed).groupBy("label").agg(F.max("known").alias("known"), *[F.sum(c).alias(c) for c in _SUMS]).filter("known")
 
 
 def label_counts(pred: DataFrame, classes: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """Per label TP, FP, FN, TN (TN = rows - TP - FP - FN), every class of ``classes``."""
-    out = _label_table(pred, classes, truth, predicted).select("rows", F.inline("labels"))
-    return out.select("label", "tp", "fp", "fn", (F.col("rows") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"))
-
+    sums = _label_sums(pred, classes, truth, predicted)
+    own = F.col("label").isNull()
+    groups = F.when(own, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.pmod(F.hash("label"), F.lit(SPREAD))))
+    met = sums.withColumn("group", F.explode(groups)).withColumn("all", F.max("rows").over(Window.partitionBy("group")))
+    return met.filter(~own).select("label", "tp", "fp", "fn", (F.col("all") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"))
 
-def _total(column: str, of) -> Column:
-    return F.aggregate(F.col(column), F.lit(0.0), lambda s, x: s + of(x))
 
+_PARTS = ("precision", "recall", "f1")
 
-def _report(one: DataFrame) -> DataFrame:
-    """The label table with ``report``: all rows of the report as an array."""
-    def row(name, p, r, f, support):
-        return F.struct(name.alias("row"), p.alias("precision"), r.alias("recall"), f.alias("f1"), support.cast("double").alias("support"))
 
-    def scored(name, x):
-        tp, fp, fn = (x(c) for c in ("tp", "fp", "fn"))
-        return row(name, _div(tp, tp + fp), _div(tp, tp + fn), _div(2 * tp, 2 * tp + fp + fn), tp + fn)
-
-    one = one.withColumn("per", F.transform("labels", lambda x: scored(x["label"], lambda c: x[c])))
-    k, support = F.size("per"), _total("per", lambda x: x["support"])
-    parts = ("precision", "recall", "f1")
-    micro = scored(F.lit("micro avg"), lambda c: _total("labels", lambda x: x[c].cast("double")))
-    macro = row(F.lit("macro avg"), *[_div(_total("per", lambda x, c=c: x[c]), k) for c in parts], support)
-    weighted = row(F.lit("weighted avg"), *[_div(_total("per", lambda x, c=c: x[c] * x["support"]), support) for c in parts], support)
-    samples = row(F.lit("samples avg"), *[_div(F.col(c), F.col("rows")) for c in parts], F.col("n_true"))
-    return one.withColumn("report", F.concat("per", F.array(micro, macro, weighted, samples)))
+def _scores() -> dict[str, Column]:
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    return {"precision": _div(tp, tp + fp), "recall": _div(tp, tp + fn), "f1": _div(2 * tp, 2 * tp + fp + fn)}
 
 
 def multilabel_report(pred: DataFrame, classes: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
-    """Per label precision/recall/F1/support, then micro, macro, weighted and samples avg."""
-    return _report(_label_table(pred, classes, truth, predicted)).select(F.inline("report"))
+    """Per label precision/recall/F1/support, then micro, macro, weighted and samples avg.
+
+    Every label's row enters four groups, its own and three averages, and the row of sums the fourth average; one more
+    aggregation adds them up, combined in each task first."""
+    sums = _label_sums(pred, classes, truth, predicted)
+    is_label = F.col("label").isNotNull()
+    support = F.col("tp") + F.col("fn")
+    own = _scores()
+
+    def entry(kind, row, values, weight, size):
+        return F.struct(F.lit(kind).alias("kind"), row.alias("row"), *[v.alias(c) for c, v in values.items()], weight.cast("double").alias("weight"), size.cast("long").alias("support"),
+                        F.col("tp"), F.col("fp"), F.col("fn"))
+
+    one = F.lit(1.0)
+    labels = F.array(entry("label", F.col("label"), own, one, support), entry("micro", F.lit("micro avg"), own, one, support),
+                     entry("macro", F.lit("macro avg"), own, one, support),
+                     entry("weighted", F.lit("weighted avg"), {c: v * support for c, v in own.items()}, support, support))
+    rows = F.array(entry("samples", F.lit("samples avg"), {c: F.col(c) for c in _PARTS}, F.col("rows"), F.col("n_true")))
+    added = (sums.select(F.inline(F.when(is_label, labels).otherwise(rows))).groupBy("kind", "row")
+             .agg(*[F.sum(c).alias(c) for c in (*_PARTS, "weight", "support", "tp", "fp", "fn")]))
+    micro = F.col("kind") == "micro"
+    return added.select("row", *[F.when(micro, v).otherwise(_div(F.col(c), F.col("weight"))).alias(c) for c, v in _scores().items()], F.col("support").cast("double").alias("support"))
+
+
+def _overall(sums: DataFrame, wide: list[str]) -> DataFrame:
+    """One row: the sums over labels and rows, and the F1 of each class in ``wide``."""
+    scores = _scores()
+    is_label = F.col("label").isNotNull()
+    named = [F.max(F.when(F.col("label") == c, scores["f1"])).alias(f"f1_{c}") for c in wide]
+    return sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "rows", "exact")],
+                    F.coalesce(F.avg(F.when(is_label, scores["f1"])), F.lit(0.0)).alias("f1_macro"), *named)
 
 
 def multilabel_metrics(pred: DataFrame, classes: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """Exact-match accuracy, micro precision / recall / F1, macro F1 (one row)."""
-    r = _report(_label_table(pred, classes, truth, predicted))
-
-    def named(name):
-        return F.filter("report", lambda x: x["row"] == name)[0]
-
-    micro, macro = named("micro avg"), named("macro avg")
-    return r.select(_div(F.col("exact"), F.col("rows")).alias("subset_accuracy"), micro["precision"].alias("precision_micro"),
-                    micro["recall"].alias("recall_micro"), micro["f1"].alias("f1_micro"), macro["f1"].alias("f1_macro"))
+    one = _overall(_label_sums(pred, classes, truth, predicted), [])
+    micro = _scores()
+    return one.select(_div(F.col("exact"), F.col("rows")).alias("subset_accuracy"), *[micro[c].alias(f"{c}_micro") for c in _PARTS], "f1_macro")
 
 
 def multilabel_wide(pred: DataFrame, classes: list[str], truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """D14/B5 in wide form: the metrics of ``multilabel_metrics`` and one F1 column per class, classes sorted (one row)."""
-    spark = pred.sparkSession
-    r = _report(_label_table(pred, spark.createDataFrame([(c,) for c in classes], "label string"), truth, predicted))
-
-    def value(name, c):
-        return F.filter("report", lambda x: x["row"] == name)[0][c]
-
-    return r.select(_div(F.col("exact"), F.col("rows")).alias("subset_accuracy"), value("micro avg", "f1").alias("f1_micro"),
-                    value("macro avg", "f1").alias("f1_macro"), *[value(c, "f1").alias(f"f1_{c}") for c in sorted(classes)])
+    wide = sorted(classes)
+    one = _overall(_label_sums(pred, pred.sparkSession.createDataFrame([(c,) for c in wide], "label string"), truth, predicted), wide)
+    return one.select(_div(F.col("exact"), F.col("rows")).alias("subset_accuracy"), _scores()["f1"].alias("f1_micro"), "f1_macro", *[f"f1_{c}" for c in wide])
 
 
 # ------------------------------------ tuning ---------------------------------------------------

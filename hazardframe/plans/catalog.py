@@ -631,6 +631,29 @@ def q_label_encode(spark, d):
     return model.transform(df)
 
 
+@register("label_encode_wide", """
+SELECT o_orderkey, word, CAST(dense_rank() OVER (ORDER BY word) - 1 AS BIGINT) AS label_idx FROM (
+  SELECT o_orderkey, o_orderpriority || '/' || CAST(o_custkey AS VARCHAR) AS word FROM orders) x""")
+def q_label_encode_wide(spark, d):
+    """Codes of as many classes as there are pairs of priority and customer, without one task that holds them all."""
+    rows = T.table(spark, d, "orders").select("o_orderkey", F.concat_ws("/", "o_orderpriority", F.col("o_custkey").cast("string")).alias("word"))
+    return LB.encode_labels(rows, "word")
+
+
+@register("sparse_hot", """
+WITH l AS (SELECT DISTINCT o_custkey AS id, p_name AS label FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+k AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT label FROM l) x)
+SELECT id, array_to_string(list(idx ORDER BY idx), ' ') AS ones, CAST((SELECT count(*) FROM k) AS BIGINT) AS width FROM l JOIN k USING (label) GROUP BY id""")
+def q_sparse_hot(spark, d):
+    """The parts that each customer has bought, as places in the sorted list of all part names."""
+    lines = T.table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    bought = (lines.join(T.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id")), "l_orderkey")
+              .join(T.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey"))
+    lists = bought.groupBy("id").agg(F.collect_set("p_name").alias("labels"))
+    classes = LB.label_index(lists.select(F.explode("labels").alias("label")))
+    return LB.sparse_hot(lists, "labels", classes, "id").select("id", F.array_join(F.transform("ones", lambda x: x.cast("string")), " ").alias("ones"), "width")
+
+
 @register("stratified_split", f"SELECT vec_id, label, rk <= ceil(n * 0.2) AS is_test FROM ({_RANK_SQL.format(part='label')}) r")
 def q_stratified_split(spark, d):
     return SP.stratified_split(_emb(spark, d), "vec_id", "label", 0.2, seed=42)

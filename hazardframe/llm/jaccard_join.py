@@ -4,7 +4,9 @@ A set holds the distinct word shingles of a document; two link when 100 * common
 
 1. Tasks hash shingles and ship them in blocks as sorted arrays of 8 bytes a shingle (48 bits of hash, 16 of the
    document's number in its block), by hash range. Where a range is put together, shingles of one document only are
-   dropped: they can't be common to two. The rest goes back to its block; documents with fewer than
+   dropped: they can't be common to two. The rest goes back to its block. A shingle that several documents of a block have is common
+   already: its entries go straight to the block and one, without a document, to the range, so that a line in every document gives a
+   range one entry per block. Documents with fewer than
    PERCENT % of their shingles left can't link and leave (``shared_shingles``).
 2. Documents with equal sets become one class. Over classes, shingles are counted again, lone ones dropped, the
    rest ordered from rare to frequent (``_reduce``).
@@ -45,7 +47,8 @@ from hazardframe.llm.components import components
 
 PERCENT = 80
 WORDS = 5
-BLOCK_DOCS = 1 << 16
+BLOCK_DOCS = (1 << 16) - 1  # the last number of 16 bits stands for no document
+NONE = 0xFFFF
 BLOCK_SHINGLES = 1 << 20
 RANGE_SHINGLES = 1 << 20
 MAX_BOUNDARY = 20
@@ -87,7 +90,8 @@ def needed(n, percent: int = PERCENT):
 # --- step 1: shingles that two documents have ---------------------------------------------------------------
 
 def _ship(ranges: int, words: int):
-    """Rows (range, block, postings, ids): sorted postings per range; the block's ids, sizes and classes as range -1 - block."""
+    """Rows (range, block, postings, ids): sorted postings per range; the block's ids, sizes, classes and the postings of
+    shingles that it has more than once as range -1 - block."""
     edges = (np.arange(1, ranges, dtype=np.float64) * (2.0 ** 64 / ranges)).astype(np.uint64)
 
     def run(batches):
@@ -98,9 +102,15 @@ def _ship(ranges: int, words: int):
         def flush():
             block = (part << 24) | nth
             postings = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            again = np.zeros(len(postings), bool)  # the shingle of the entry before
+            again[1:] = postings[1:] >> np.uint64(16) == postings[:-1] >> np.uint64(16)
+            common = again.copy()
+            common[:-1] |= again[1:]
+            local = postings[common]
+            postings = np.where(common, postings | np.uint64(NONE), postings)[~again]
             parts = np.split(postings, np.searchsorted(postings, edges))
             filled = [k for k, p in enumerate(parts) if len(p)]
-            about = np.array(sizes, np.int64).tobytes() + b"".join(classes)
+            about = np.array(sizes, np.int64).tobytes() + b"".join(classes) + local.tobytes()
             keys = [*filled, -1 - block]
             return pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array([block] * len(keys), pa.int64()), pa.array([*[parts[k].tobytes() for k in filled], about], pa.binary()),
@@ -137,6 +147,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     hit[1:] |= same
     hit[:-1] |= same
     kept = order[hit]
+    kept = kept[postings[kept] & np.uint64(NONE) != NONE]  # the block has those already
     kept = kept[np.argsort(owner[kept], kind="stable")]
     cuts = np.searchsorted(owner[kept], np.arange(len(arrays) + 1))
     some = [k for k in range(len(arrays)) if cuts[k] < cuts[k + 1]]
@@ -153,7 +164,7 @@ def _documents_of(percent: int):
         about = table.column("postings")[mine].as_py()
         sizes = np.frombuffer(about[:8 * n], np.int64)
         hits = [np.frombuffer(table.column("postings")[k].as_py(), np.uint64) for k in range(len(table)) if k != mine]
-        hits = np.concatenate(hits) if hits else np.zeros(0, np.uint64)
+        hits = np.concatenate([np.frombuffer(about[24 * n:], np.uint64), *hits])
         doc = (hits & np.uint64(0xFFFF)).astype(np.int64)
         hits = (hits >> np.uint64(16)).astype(np.int64)[np.argsort(doc, kind="stable")]
         shared = np.bincount(doc, minlength=n)

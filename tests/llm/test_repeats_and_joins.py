@@ -191,3 +191,15 @@ def test_boundary_follows_cost():
     cheap = J.choose_boundary({k: 10 for k in range(1, 40)}, list_length=1.0)
     dear = J.choose_boundary({k: 10 for k in range(1, 40)}, list_length=1000.0)
     assert 0 <= cheap < dear <= J.MAX_BOUNDARY and comb(dear, J.needed(dear)) > 1
+
+
+def test_a_line_in_every_document_gives_a_range_one_entry_per_block(spark):
+    rnd = random.Random(12)
+    line = " ".join(f"licence{k}" for k in range(30))
+    rows = [(i, line + " " + " ".join(f"w{rnd.randrange(400)}" for _ in range(rnd.choice([0, 3, 6, 40])))) for i in range(120)] + [(200, None), (201, ""), (202, "few words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shipped = docs.selectExpr("doc_id AS id", "text").mapInArrow(J._ship(4, 5), "range long, block long, postings binary, ids array<long>")
+    sent = [np.frombuffer(r.postings, np.uint64) >> np.uint64(16) for r in shipped.collect() if r.range >= 0]
+    assert all(len(np.unique(a)) == len(a) for a in sent)
+    got = sorted(((r.id, r.n, r.component) for r in J.jaccard_components(docs).collect()), key=repr)
+    assert got == _brute_components(rows)

@@ -320,14 +320,16 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = _open_lists(lists.join(common, ["row", "middle"], "left").withColumn("common", F.coalesce("common", "q")), label)
     lists = spool(lists, "open-pairs")
     # a pair is taken up in the first of the lists that are there for it and hold both; all of those are open, as its labels differ
-    own = lists.groupBy("row").agg(F.collect_set(F.struct("kind", "key")).alias("own"))
+    # (a list is one number here, its last bit says whether it is a subset's: intersecting arrays of numbers takes time in proportion to them)
+    lists = lists.withColumn("list", F.shiftleft(F.xxhash64("kind", "key"), 1).bitwiseOR((F.col("kind") > 0).cast("long")))
+    own = lists.groupBy("row").agg(F.collect_set("list").alias("own"))
     lists = lists.join(own, "row")
     few = lists.filter("label <> main")
-    every = _other(lists.drop("main", "middle"), "row", "n", "q", "heavy", "label", "common", "own")
+    every = _other(lists.drop("main", "middle", "list"), "row", "n", "q", "heavy", "label", "common", "own")
     most = F.least("common", "common_b") + F.least(F.col("q") - F.col("common"), F.col("q_b") - F.col("common_b"))
     across = (few.join(every, ["kind", "key"]).filter(F.col("label") != F.col("label_b")).filter((F.col("label_b") == F.col("main")) | (F.col("row") < F.col("row_b")))
               .filter(_may_link(percent)).filter(most * (100 + percent) >= percent * (F.col("n") + F.col("n_b")))
-              .filter(F.array_min(F.filter(F.array_intersect("own", "own_b"), lambda x: _for_pair(x["kind"]))) == F.struct("kind", "key"))
+              .filter(F.array_min(F.filter(F.array_intersect("own", "own_b"), lambda x: _for_pair(x.bitwiseAND(F.lit(1))))) == F.col("list"))
               .select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b")).distinct())
     return components(links.unionByName(_check(across, sets, percent))).withColumnRenamed("node", "row")
 

@@ -123,7 +123,7 @@ def _sets(tokens: Column, k: int) -> Column:
 
 def crowded_keys(side: DataFrame, plan: DataFrame, own: str, partner: str, p: int) -> DataFrame:
     """A row per text, partner length and set of rarest tokens behind the prefix; ``side`` holds n and t<p>."""
-    df = side.join(F.broadcast(plan.select(F.col(own).alias("n"), F.col(own), F.col(partner), "shared", "together")), "n")
+    df = side.join(plan.select(F.col(own).alias("n"), F.col(own), F.col(partner), "shared", "together"), "n")
     first = F.slice(f"t{p}", 1, F.col("n") - p - F.col("shared") + F.col("together"))
     keys = F.when(F.col("together") == 0, _sets(first, 0))
     for k in range(1, MOST_TOGETHER + 1):

@@ -16,9 +16,12 @@ from pyspark.sql import types as T
 
 from hazardframe.functions.rules import NO_DATA, classify_first_match, no_data_if_empty, normalize_routes
 from hazardframe.functions.text import _c
+from hazardframe.session import scratch_path
 
 #: Rows of one key from which the toxin side of the dataset join is salted.
 HOT_ROWS = 50_000
+#: So many hot keys, each a number or short text, are broadcast.
+BROADCAST_KEYS = 100_000
 
 # Tokens counted by the structure-text features (two-letter halogens first).
 ELEMENT_TOKENS = ["Cl", "Br", "C", "N", "O", "S", "P", "F", "I", "c", "n", "o", "s"]
@@ -115,14 +118,22 @@ def featurize(df: DataFrame, fn: Callable[[str], dict], input_col: str, schema:
 
 
 def _outer_join_salted(left: DataFrame, right: DataFrame, right_keys: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """``left`` outer join ``right`` on ``key``, each computed once, with hot keys of the right side split.
-
-    AQE splits a hot key of the preserved side by itself, but never one of the other side. A key with more than
-    ``hot_rows`` rows there gets ceil(rows / hot_rows) salts: its rows are dealt over them and the few left rows with that
-    key are repeated once per salt. A repeated left row that meets no row under its salt is dropped, as the key
-    has a match under another one. There are at most rows / hot_rows hot keys, found from the key column alone."""
-    salts = (right_keys.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter((F.col("__n") > hot_rows) & F.col(key).isNotNull())
-             .select(key, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts")))
+    """``left`` outer join ``right`` on ``key``, with hot keys of the right side split if there are any.
+
+    AQE splits a hot key of the preserved side by itself, but never one of the other side. Keys with more than ``hot_rows``
+    rows there are listed first, in a job over the key column alone. Mostly there are none, and the join is a plain one.
+    Else each gets ceil(rows / hot_rows) salts: its rows are dealt over them and the few left rows with that key are
+    repeated once per salt. A repeated left row that meets no row under its salt is dropped, as the key has a match under
+    another one. The list (at most rows / hot_rows keys) is broadcast up to BROADCAST_KEYS keys and joined otherwise."""
+    counts = right_keys.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter((F.col("__n") > hot_rows) & F.col(key).isNotNull())
+    counts = counts.select(key, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts"))
+    path = scratch_path(left.sparkSession, "hot-keys")
+    counts.write.parquet(path)
+    salts = left.sparkSession.read.schema(counts.schema).parquet(path)
+    hot = salts.count()
+    if not hot:
+        return left.join(right, key, "left")
+    salts = F.broadcast(salts) if hot <= BROADCAST_KEYS else salts
     one = F.coalesce("__salts", F.lit(1))
     spread = F.pmod(F.xxhash64("__id"), one)  # numbered before any shuffle, so a repeated task deals alike
     r = right.withColumn("__id", F.monotonically_increasing_id()).join(salts, key, "left").withColumn("__salt", spread.cast("int")).drop("__salts", "__id").withColumn("__met", F.lit(True))

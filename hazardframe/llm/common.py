@@ -53,6 +53,11 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
+def row_hash() -> Column:
+    """A hash of all columns of a packed row, by which rows of one id and text have one order in every run."""
+    return F.xxhash64(F.col("row").cast("string"))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1024, size: int = 32 << 20) -> None:
     """Arrow batches for the Python operators: few rows each, as single texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import documents, packed, spool, word_count
+from hazardframe.llm.common import documents, packed, row_hash, spool, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -100,13 +100,15 @@ def newton_step(cells: DataFrame, state: DataFrame, cap: int) -> DataFrame:
 
 
 def solve(cells: DataFrame, per: DataFrame, cap: int = CAP, max_steps: int = MAX_STEPS) -> DataFrame:
-    """Newton steps until every source is within TOLERANCE of its target. Each state is written down."""
+    """Newton steps until every source is within TOLERANCE of its target. Each state is written down.
+    Raises if a source is still apart from its target after ``max_steps``."""
     state = spool(_start(per, cap), "mix-state")
-    for _ in range(max_steps):
+    for step in range(max_steps + 1):
         if state.filter("not done").isEmpty():
-            break
-        state = spool(newton_step(cells, state, cap), "mix-state")
-    return state
+            return state
+        if step < max_steps:
+            state = spool(newton_step(cells, state, cap), "mix-state")
+    raise RuntimeError(f"{state.filter('not done').count()} sources have not met their targets after {max_steps} steps")
 
 
 def _cell_copies(cells: DataFrame, state: DataFrame, cap: int) -> DataFrame:
@@ -166,7 +168,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = total.select(*[F.col(k).alias(f"{k}_") for k in keys], "copies", "rows")
     d = packed(docs).select("row", F.col(f"row.`{id_col}`").alias("id"), F.xxhash64(f"row.`{text_col}`").alias("mark"), F.col(f"row.`{source_col}`").cast("string").alias("source"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
-    d = d.join(total, same).withColumn("nth", F.row_number().over(Window.partitionBy("id_", "mark_", "source_").orderBy(F.lit(1))))
+    d = d.join(total, same).withColumn("nth", F.row_number().over(Window.partitionBy("id_", "mark_", "source_").orderBy(row_hash())))
     each = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("nth") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
     return d.withColumn("each", each.cast("int")).filter("each > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("each")))).select("row.*")
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import documents, lower_ascii, packed, spool
+from hazardframe.llm.common import documents, lower_ascii, packed, row_hash, spool
 
 SALTS = 32
 
@@ -70,7 +70,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = mark_copies(docs, id_col, text_col, salts, digest)
     winners = marks.filter(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("keep_id"), F.col("digest").alias("won")).distinct()
     kept = rows.join(winners, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("won")))
-    order = Window.partitionBy("keep_id", "won", norm).orderBy(F.lit(1))
+    order = Window.partitionBy("keep_id", "won", norm).orderBy(row_hash())
     return kept.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row.*")
 
 

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import bounded_batches, documents, packed, spool
+from hazardframe.llm.common import bounded_batches, documents, packed, row_hash, spool
 from hazardframe.llm.components import components
 
 PERCENT = 80
@@ -353,7 +353,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = jaccard_components(rows.select("key", F.col(f"row.`{text_col}`").alias("text")), "key", "text", **options)
     stay = found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id.id").alias("i"), F.col("id.mark").alias("m")).distinct()
     rows = rows.join(stay, F.col("key.id").eqNullSafe(F.col("i")) & F.col("key.mark").eqNullSafe(F.col("m")))
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("i", "m").orderBy(F.lit(1)))).filter("nth = 1").select("row.*")
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("i", "m").orderBy(row_hash()))).filter("nth = 1").select("row.*")
 
 
 def op8_jaccard_join(spark, sf_dir):

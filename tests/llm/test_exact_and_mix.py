@@ -94,3 +94,13 @@ def test_mix_of_odd_documents(spark, odd_documents, no_documents):
     mixed = X.mixed_documents(odd_documents)
     assert mixed.columns == odd_documents.columns and mixed.count() == sum(r.copies for r in out)
     assert X.mix(no_documents).count() == 0 and X.mixed_documents(no_documents).count() == 0
+
+
+def test_solver_raises_when_a_source_has_not_met_its_target(spark):
+    from hazardframe.llm.common import spool
+    sizes = spool(spark.createDataFrame([(f"0{s}", s, n) for s in "ab" for n in (3, 7, 40, 90, 500) * 4], "key string, source string, size long"), "solver-sizes")
+    per = spool(X.source_targets(sizes), "solver-targets")
+    cells = spool(sizes.groupBy("key", "size").agg(F.count("size").alias("docs")), "solver-cells")
+    assert X.solve(cells, per).filter("done").count() == 2
+    with pytest.raises(RuntimeError, match="1 sources"):
+        X.solve(cells, per, max_steps=0)

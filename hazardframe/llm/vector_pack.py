@@ -1,8 +1,10 @@
 """Operator 10, vector best-fit packing.
 
 Documents become pieces of at most ``tokens`` ids (only longer documents are cut). Pieces are dealt by hash into
-groups of about GROUP pieces; each group is packed by itself, so no task sees more than that, and a group leaves
-at most a few sequences less than full.
+groups of about GROUP pieces; each group is packed by itself, so no task sees more than that. The pieces of sequences
+that a group leaves loose (below LOOSE of every limit) go into a next round, in groups of that size again, until one
+group holds them all. A round ends the packing if more than half of its pieces are loose (their lengths don't fit
+together any better then), and is taken back if it needs no fewer sequences than its pieces had before.
 
 Within a group pieces go in decreasing length. A sequence has three residual capacities, as shares of
 their limits: tokens, documents, and attention cost (the sum of squared lengths under a block-diagonal mask).
@@ -21,6 +23,7 @@ repeated id; empty table: empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,10 @@ from hazardframe.llm.pretoken_ids import token_ids
 LIMITS = {"tokens": 2048, "documents": 2048, "attention": 2048 ** 2}
 WEIGHTS = (1.0, 0.05, 0.2)
 GROUP = 8192
+LOOSE = 0.97
 END = 0
+_PIECE = ["row", "id", "piece", "start", "length", "ids_crc32"]
+_PLACE = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
 def best_fit(lengths, tokens: int = LIMITS["tokens"], documents: int = LIMITS["documents"], attention: int = LIMITS["attention"],
@@ -99,10 +105,45 @@ def _pack_group(limits: dict, weights, rule: str):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["length", "row", "piece"], ascending=[False, True, True], kind="stable")
         place, offset = best_fit(g["length"].to_numpy(), **limits, weights=weights, rule=rule)
-        return g.assign(sequence_id=g["batch"] * (1 << 32) + place, offset=offset)[["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        return g.assign(sequence_id=g["batch"] * (1 << 32) + place, offset=offset)[["row", *_PLACE]]
     return run
 
 
+def _pack_round(pieces: DataFrame, groups: int, first: int, limits: dict, weights, rule: str) -> DataFrame:
+    """Pieces with sequence_id and offset; the groups are numbered from ``first`` on."""
+    dealt = pieces.withColumn("batch", F.lit(first) + F.pmod(F.xxhash64("row", "piece", F.lit(first)), F.lit(groups)).cast("long"))
+    id_type = pieces.schema["id"].dataType.simpleString()
+    return dealt.groupBy("batch").applyInPandas(_pack_group(limits, weights, rule),
+                                                f"row long, id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def pack_pieces(pieces: DataFrame, limits: dict, weights=WEIGHTS, rule: str = "norm", group: int = GROUP, loose: float = LOOSE) -> DataFrame:
+    """Rounds of groups over a stored table of pieces (row, id, piece, start, length, ids_crc32)."""
+    rest, n, first = pieces, pieces.count(), 0
+    done, earlier, had = [], None, None  # sequences that stay; how the rest lay before this round, in how many sequences
+    while True:
+        groups = max(1, -(-n // group))
+        now = _pack_round(rest, groups, first, limits, weights, rule)
+        if groups == 1 and earlier is None:
+            return now.select(_PLACE)
+        now = spool(now, "packed")
+        share = F.greatest(F.sum("length") / limits["tokens"], F.count("length") / limits["documents"], F.sum(F.col("length") ** 2) / limits["attention"])
+        fill = now.groupBy("sequence_id").agg(share.alias("used"))
+        if earlier is not None and fill.count() >= had:
+            done.append(earlier)
+            break
+        part = spool(fill.filter(F.col("used") < loose).select("sequence_id"), "loose")
+        had = part.count()
+        left = spool(now.join(part, "sequence_id", "left_semi"), "left")
+        m = left.count()
+        if groups == 1 or m == 0 or 2 * m > n:
+            done.append(now)
+            break
+        done.append(now.join(part, "sequence_id", "left_anti"))
+        rest, n, first, earlier = left.select(_PIECE), m, first + groups, left
+    return reduce(DataFrame.unionByName, [d.select(_PLACE) for d in done])
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "word_bpe_49k.json", end: int = END,
          limits: dict | None = None, weights=WEIGHTS, rule: str = "norm", group: int = GROUP) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
@@ -114,9 +155,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab:
     id_type = rows.schema["id"].dataType.simpleString()
     cut = rows.mapInArrow(_pieces(vocab, end, longest), f"row long, id {id_type}, piece int, start long, length long, ids_crc32 long")
     pieces = spool(cut, "pieces")
-    groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("batch", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)).cast("long"))
-    return dealt.groupBy("batch").applyInPandas(_pack_group(limits, weights, rule), f"id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return pack_pieces(pieces, limits, weights, rule, group)
 
 
 def op10_vector_pack(spark, sf_dir):

@@ -10,7 +10,7 @@ from odd import SF_SMALL, no_documents, odd_documents, stored_odd_documents  # n
 from hazardframe.llm import arrow_ids as A
 from hazardframe.llm import token_counts as C
 from hazardframe.llm import vector_pack as P
-from hazardframe.llm.common import documents
+from hazardframe.llm.common import documents, spool
 from hazardframe.llm.pretoken_ids import token_ids
 from hazardframe.session import scratch_path
 
@@ -116,3 +116,24 @@ def test_packing(spark, odd_documents, no_documents):
             pieces.sort()
             assert [o for o, _ in pieces] == list(np.cumsum([0] + [n for _, n in pieces])[:-1]) and sum(n for _, n in pieces) <= 2048
     assert P.pack(no_documents).count() == 0
+
+
+def test_loose_sequences_of_all_groups_are_packed_again(spark):
+    rnd = random.Random(5)
+    schema = "row long, id long, piece int, start long, length long, ids_crc32 long"
+    limits = {"tokens": 64, "documents": 64, "attention": 64 * 64}
+    for lengths in ([rnd.randint(1, 60) for _ in range(3000)], [40] * 500, [rnd.choice([20, 33, 64]) for _ in range(700)], [5] * 90, []):
+        pieces = spool(spark.createDataFrame([(k, k % 50, k % 3, 0, n, k) for k, n in enumerate(lengths)], schema), "pieces-test")
+        rows = P.pack_pieces(pieces, limits, group=60).collect()
+        once = P._pack_round(pieces, max(1, -(-len(lengths) // 60)), 0, limits, P.WEIGHTS, "norm").collect()
+        assert sorted((r.ids_crc32, r.id, r.piece, r.length) for r in rows) == [(k, k % 50, k % 3, n) for k, n in enumerate(lengths)]
+        bins = {}
+        for r in rows:
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for held in bins.values():
+            held.sort()
+            assert [o for o, _ in held] == list(np.cumsum([0] + [n for _, n in held])[:-1]) and sum(n for _, n in held) <= 64
+        assert len(bins) <= len({r.sequence_id for r in once})
+        if len(lengths) == 3000:  # 50 groups; what they leave is packed together
+            least = -(-sum(lengths) // 64)
+            assert 4 * (len(bins) - least) <= len({r.sequence_id for r in once}) - least

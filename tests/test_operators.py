@@ -214,6 +214,9 @@ def test_dataset_join_splits_a_hot_toxin_key(spark):
         got = sorted(map(tuple, _outer_join_salted(left, right, right.select("CID"), "CID", 20).collect()), key=repr)
         want = sorted(map(tuple, left.join(right, "CID", "left").collect()), key=repr)
         assert got == want and len(got) == 603
+        plain = _outer_join_salted(left, right, right.select("CID"), "CID", 1000)
+        assert sorted(map(tuple, plain.collect()), key=repr) == want
+        assert "__salt" not in plain._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 

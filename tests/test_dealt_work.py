@@ -36,3 +36,25 @@ def test_name_pairs_are_scored_in_many_tasks(spark):
     assert Counter(map(tuple, df.collect())) == want
     sizes = [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
     assert len(sizes) >= 8 and max(sizes) < 100
+
+
+def test_look_up_of_frequent_names_is_dealt(spark):
+    from hazardframe.sources import io as IO
+    wanted = [(k, "often" if k % 5 else f"n{k}") for k in range(300)] + [(1, "often"), (1, None), (None, "often"), (9, "absent")]
+    held = [(k, "often") for k in range(90)] + [(k, f"n{k}") for k in range(0, 300, 10)] + [(3, "often"), (None, "often"), (4, None), (5, "other")]
+    table = IO.save_keyed_table(spark.createDataFrame(held, "CID long, Synonyms string"), "dealt_names", "Synonyms", 4, keep=False)
+    frame = spark.createDataFrame(wanted, "p_partkey long, Synonyms string")
+    want = Counter((n, k, c) for k, n in wanted for c, m in held if n is not None and n == m)
+    for pairs in (500, 1 << 22, 1):
+        df = IO.look_up_all(frame, table, "Synonyms", pairs).select("Synonyms", "p_partkey", "CID")
+        assert Counter(map(tuple, df.collect())) == want
+    sizes = IO.look_up_all(frame, table, "Synonyms", 500).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == sum(want.values()) and max(sizes) < sum(sizes) / 3
+
+
+def test_part_names_are_looked_up_in_many_tasks(spark):
+    rows = [(k, "hot plate" if k % 2 else "red bolt", "B", 1) for k in range(240)] + [(2, None, "B", 1), (None, "hot plate", "B", 1)]
+    folder = _tables(spark, part=(rows, _PART), customer=([(1, "Hot plate"), (2, None)], "c_custkey long, c_name string"), supplier=([(1, "Red bolt")], "s_suppkey long, s_name string"))
+    names = [(k, n[0].upper() + n[1:]) for k, n, *_ in rows if k is not None and n and k % 6 == 2] + [(1, "Hot plate"), (1, "Red bolt")]
+    want = Counter((k, c, s) for k, n, *_ in rows if n for c, s in names if s == n[0].upper() + n[1:])
+    assert Counter(map(tuple, catalog.QUERIES["keyed_by_name"](spark, folder).collect())) == want

@@ -59,3 +59,22 @@ def test_error_rates_equal_the_built_in_ones(spark):
     df = spark.createDataFrame(rows, "id long, p string, t string")
     got = O.error_rates(df, "p", "t").withColumn("c", cer("p", "t")).withColumn("w", wer("p", "t")).filter(~F.col("cer").eqNullSafe(F.col("c")) | ~F.col("wer").eqNullSafe(F.col("w")))
     assert got.collect() == []
+
+
+def test_bounds_that_meet_settle_the_distance(monkeypatch):
+    monkeypatch.setattr(E, "furthest", None)  # not needed here
+    monkeypatch.setattr(E, "bits", None)
+    truth = E.code_points("the other of the two " * 20_000)
+    read = np.where(truth == ord("e"), 0xE000, truth)
+    assert E.edit_distance(read, truth) == int((truth == ord("e")).sum()) == 60_000
+    assert E.edit_distance(*E.word_numbers("a b x d e", "a b c d y")) == 2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bounds_never_change_the_distance(seed):
+    rnd = random.Random(seed)
+    for _ in range(300):
+        n, kinds = rnd.randrange(12), rnd.choice([1, 2, 4, 30])
+        a, b = ([rnd.randrange(kinds) for _ in range(k)] for k in (n, rnd.choice([n, rnd.randrange(12)])))
+        x, y = np.array(a, np.int64), np.array(b, np.int64)
+        assert E.edit_distance(x, y) == _matrix(a, b) >= E.least_edits(x, y)

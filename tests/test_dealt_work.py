@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections import Counter
+from pathlib import Path
 
 from hazardframe.plans import catalog
 
@@ -58,3 +59,21 @@ def test_part_names_are_looked_up_in_many_tasks(spark):
     names = [(k, n[0].upper() + n[1:]) for k, n, *_ in rows if k is not None and n and k % 6 == 2] + [(1, "Hot plate"), (1, "Red bolt")]
     want = Counter((k, c, s) for k, n, *_ in rows if n for c, s in names if s == n[0].upper() + n[1:])
     assert Counter(map(tuple, catalog.QUERIES["keyed_by_name"](spark, folder).collect())) == want
+
+
+def test_files_are_written_by_many_tasks_in_few_folders(spark, monkeypatch):
+    folder = tempfile.mkdtemp(prefix="hf-files-")
+    monkeypatch.setattr(catalog, "scratch_path", lambda spark, name: f"{folder}/{name}")
+    rows = [(k, f"Supplier {k}") for k in range(1, 401)] + [(5, "twice"), (7, None), (None, "no id")]
+    data = _tables(spark, supplier=(rows, "s_suppkey long, s_name string"))
+    found = sorted(r.image_id for r in catalog.QUERIES["missing_files"](spark, data).collect())
+    assert found == [f"{k:06d}" for k in range(1, 401) if k % 9 == 0 or k % 10 == 3]
+    files = {p.name: p for p in Path(folder).rglob("*.txt")}
+    kept = [k for k in range(1, 401) if k % 10 != 3 and k % 9]
+    assert sorted(files) == sorted(f"id={k}.txt" for k in kept) and len({p.parent for p in files.values()}) < 70
+    assert files["id=5.txt"].read_text() == "Supplier 5\ntwice\n" and files["id=7.txt"].read_text() == "\nSupplier 7\n"
+
+
+def test_no_file_at_all_means_all_are_missing(spark):
+    data = _tables(spark, supplier=([(3, "x"), (13, "y")], "s_suppkey long, s_name string"))
+    assert catalog.QUERIES["missing_files"](spark, data).count() == 11  # 3 to 13

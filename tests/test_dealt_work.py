@@ -77,3 +77,13 @@ def test_files_are_written_by_many_tasks_in_few_folders(spark, monkeypatch):
 def test_no_file_at_all_means_all_are_missing(spark):
     data = _tables(spark, supplier=([(3, "x"), (13, "y")], "s_suppkey long, s_name string"))
     assert catalog.QUERIES["missing_files"](spark, data).count() == 11  # 3 to 13
+
+
+def test_shares_of_letters_are_read_in_many_tasks(spark):
+    texts = ["Être ici, ÉTÉ", "", None, "eee\U0001F600e\n", "üñ nothing"]
+    rows = [(k, texts[k % 5], "fr") for k in range(100)]
+    df, cols = catalog._language_data(spark, _tables(spark, documents=(rows, "doc_id long, text string, lang string")))
+    assert df.rdd.getNumPartitions() >= 4
+    for r in df.collect():
+        text = (texts[r.doc_id % 5] or "").lower()
+        assert [r[c] for c in cols] == [100 * text.count(x) / max(len(text), 1) for x in catalog._LETTERS]

@@ -35,6 +35,7 @@ LENGTH = 2048
 BATCH = 128
 END = 2
 SHARD_BYTES = 48 << 20
+READ_TOKENS = 6 << 20
 
 
 def _store(folder: str):
@@ -117,7 +118,8 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(1, -(-size // SHARD_BYTES), min(spark.sparkContext.defaultParallelism, size >> 20))
     dealt = rows.repartitionByRange(int(shards), "id").sortWithinPartitions("id", "text")
-    made = spool(dealt.mapInArrow(_write_shards(folder, vocab, end, length), "shard int, tokens long, docs long"), "arrow-shards")
+    # the rows of all shards go into one file: a file each would be one of a single row per task, with the processes that Hadoop starts for it
+    made = spool(dealt.mapInArrow(_write_shards(folder, vocab, end, length), "shard int, tokens long, docs long").repartition(1), "arrow-shards")
     before = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     return made.withColumn("start", F.coalesce(before, F.lit(0)))
 
@@ -162,9 +164,10 @@ def _read_shards(folder: str):
 
 def read_documents(shards: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:
     """One row per document from the files: id, start, n_tokens, ids_crc32. Each shard is read by one
-    task, batch after batch."""
-    n = max(1, shards.count())
-    dealt = shards.select("shard", "start").repartition(n)
+    task, batch after batch; small shards share tasks."""
+    found, tokens = shards.agg(F.count("shard"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    n = min(found, max(shards.sparkSession.sparkContext.defaultParallelism, -(-tokens // READ_TOKENS)))
+    dealt = shards.select("shard", "start").repartition(max(1, n))
     return dealt.mapInArrow(_read_shards(folder), f"id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 

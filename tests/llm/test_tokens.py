@@ -83,6 +83,20 @@ def test_arrow_files_round_trip(spark, odd_documents, no_documents):
     assert A.read_documents(A.write_ids(no_documents, folder), folder).count() == 0
 
 
+def test_many_small_shards_share_files_and_tasks(spark):
+    docs = spark.createDataFrame([(k, f"text {k} of many") for k in range(400)], "doc_id long, text string")
+    folder = scratch_path(spark, "test-ids")
+    shards = A.write_ids(docs, folder, shards=40)
+    assert shards.count() > 20 and len(shards.inputFiles()) == 1
+    read = A.read_documents(shards, folder)
+    assert read.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    whole, at = token_ids("byte_bpe_50k.json").library, 0
+    for k, r in enumerate(read.orderBy("id").collect()):
+        ids = whole.encode(f"text {k} of many", add_special_tokens=False).ids + [A.END]
+        assert (r.id, r.start, r.n_tokens, r.ids_crc32) == (k, at, len(ids), _crc(ids))
+        at += len(ids)
+
+
 def test_best_fit_keeps_every_limit():
     rnd = random.Random(3)
     lengths = [rnd.randint(1, 60) for _ in range(400)]

@@ -51,7 +51,7 @@ BLOCK = 8  # bits: documents of a block
 HOT = 64
 CUT = 8
 RANGE_HASHES = 1 << 21
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 17  # the tables of one refinement stay in a core's cache
 SEGMENT = 1 << 20
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -70,60 +70,59 @@ def _words(data: np.ndarray) -> np.ndarray:
 
 
 def _rank(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Dense ranks of keys below 2^bits, and which keys are not alone. Where key and position fit into one
-    64-bit number these are sorted as plain numbers, else an order of positions is sorted."""
+    """Of keys below 2^bits, those that are not alone: their places, by key and then by place, and where in that order a new key begins.
+    Where key and place fit into one 64-bit number these are sorted as plain numbers, else an order of places is sorted."""
     n = len(keys)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, bool)
     low = int(n - 1).bit_length()
     if bits + low <= 64:
-        packed = np.sort((keys.astype(np.uint64) << np.uint64(low)) | np.arange(n, dtype=np.uint64))
-        order = (packed & np.uint64((1 << low) - 1)).astype(np.int64)
-        ranked = packed >> np.uint64(low)
+        packed = np.sort((keys << np.uint64(low)) | np.arange(n, dtype=np.uint64))
+        order, ranked = packed & np.uint64((1 << low) - 1), packed >> np.uint64(low)
     else:
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")
         ranked = keys[order]
-    new = np.empty(n, bool)
-    new[0] = True
-    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
-    last = np.empty(n, bool)
-    last[-1] = True
-    last[:-1] = new[1:]
-    ranks, shared = np.empty(n, np.int64), np.empty(n, bool)
-    ranks[order] = np.cumsum(new) - 1
-    shared[order] = ~(new & last)
-    return ranks, shared
+    new = np.empty(n + 1, bool)
+    new[0] = new[n] = True
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:n])
+    some = np.flatnonzero(~(new[:-1] & new[1:]))
+    return order[some].astype(np.int64), new[some]
 
 
 def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """Which of the ascending starts have an equal ``length``-byte string at a smaller one of them."""
+    """Which of the ascending starts have an equal ``length``-byte string at a smaller one of them. A depth is worked out only
+    at the offsets behind a start that deeper buckets point to, and a pointer to a lone bucket makes a lone one."""
     again = np.zeros(len(starts), bool)
     if len(starts) < 2:
         return again
     if length < gram:
         raise ValueError("length below the first bucket's depth")
-    words = _words(np.concatenate([data, np.zeros(8 - gram, np.uint8)]))
-    bucket, shared = _rank(words & np.uint64((1 << 8 * gram) - 1), 8 * gram)  # all positions
-    depth = gram
+    steps, depth = [], gram
     while depth < length:
-        step = min(depth, length - depth)
-        n = len(bucket) - step
-        live = np.flatnonzero(shared[:n])
-        if not len(live):
-            return again
-        width = int(bucket.max()).bit_length()
-        ranks, some = _rank((bucket[live] << width) | bucket[live + step], 2 * width)
-        top = bucket.max() + 1
-        bucket, shared = bucket[:n].copy(), np.zeros(n, bool)
-        bucket[live], shared[live] = ranks + top, some  # lone positions keep their numbers
-        if int(bucket.max()).bit_length() > int(n).bit_length() + 1:  # numbers as small as they can be
-            bucket, _ = _rank(bucket, int(bucket.max()).bit_length())
-        depth += step
-    few = np.flatnonzero(shared[starts])
-    own = bucket[starts[few]]
-    order = np.argsort(own, kind="stable")
-    again[few[order[1:][own[order[1:]] == own[order[:-1]]]]] = True
-    return again
+        steps.append(min(depth, length - depth))
+        depth += steps[-1]
+    asked = np.zeros(len(data) - gram + 1, bool)
+    asked[starts] = True
+    needed = [asked]  # the positions of each depth, the deepest last
+    for step in reversed(steps):
+        asked = asked.copy()
+        asked[step:] |= needed[0][:-step]
+        needed.insert(0, asked)
+    live = np.flatnonzero(asked)
+    words = _words(np.concatenate([data, np.zeros(8 - gram, np.uint8)]))
+    order, new = _rank(words[live] & np.uint64((1 << 8 * gram) - 1), 8 * gram)
+    bucket, shared = np.zeros(len(asked), np.uint64), np.zeros(len(asked), bool)
+    for step, asked in zip(steps, needed[1:]):
+        members = live[order]
+        bucket[members] = np.cumsum(new)
+        shared[:] = False
+        shared[members] = True
+        width = int(new.sum()).bit_length()
+        live = np.flatnonzero(asked[:-step] & shared[:-step] & shared[step:])
+        order, new = _rank((bucket[live] << np.uint64(width)) | bucket[live + step], 2 * width)
+    shared[:] = False
+    shared[live[order[~new]]] = True  # all but the earliest of a bucket
+    return shared[starts]
 
 
 # --- anchors ------------------------------------------------------------------------------------------------
@@ -143,8 +142,11 @@ def _anchors_of(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, n
         least = np.minimum(least[:-step], least[step:])
         have += step
     place = (least & np.uint64(0xFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return np.r_[first, len(place)], h[place[first]], place[first], x
+    new = np.ones(len(place) + 1, bool)  # with the end
+    np.not_equal(place[1:], place[:-1], out=new[1:-1])
+    bounds = np.flatnonzero(new)
+    at = place[bounds[:-1]]
+    return bounds, h[at], at, x
 
 
 def _side_hash(x: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -171,8 +173,9 @@ def anchor_halves(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> t
         left, right = np.flatnonzero(middle > first), np.flatnonzero(end > middle)
         of = np.concatenate([left, right])
         order = np.argsort(of, kind="stable")  # left before right
-        parts = (np.concatenate([first[left], middle[right]]) + s, np.concatenate([(middle - first)[left], (end - middle)[right]]),
-                 np.concatenate([_side_hash(x, place[left] - side, seed + side), ~_side_hash(x, place[right], seed + side)]), of + runs)
+        sides = _side_hash(x, np.concatenate([place[left] - side, place[right]]), seed + side)
+        np.invert(sides[len(left):], out=sides[len(left):])
+        parts = np.concatenate([first[left], middle[right]]) + s, np.concatenate([(middle - first)[left], (end - middle)[right]]), sides, of + runs
         for held, part in zip(half, parts):
             held.append(part[order])
         firsts.append(first + s)
@@ -201,7 +204,7 @@ def anchor_runs(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tup
 def _borders(first: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """First windows of a text's stretches, and the number of its windows; the runs' anchors set them."""
     cuts = first[np.flatnonzero((hashes[1:] >> np.uint64(40)) % np.uint64(CUT) == 0) + 1]
-    return np.r_[0, cuts, first[-1] + count[-1]]
+    return np.concatenate([[0], cuts, [first[-1] + count[-1]]])
 
 
 def _stretches(length: int):
@@ -289,8 +292,10 @@ def _met(hot_blocks: int):
 # --- step 2: blocks -----------------------------------------------------------------------------------------
 
 def _spans(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.r_[0, covered.view(np.int8), 0])
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edge = np.zeros(len(covered) + 2, bool)
+    edge[1:-1] = covered
+    edges = np.flatnonzero(edge[1:] != edge[:-1])
+    return edges[::2], edges[1::2]
 
 
 def cut(data: np.ndarray, windows: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> tuple[int, int, int, str]:
@@ -306,8 +311,10 @@ def _runs(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending numbers as runs: first, count."""
     if not len(numbers):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.flatnonzero(np.r_[True, np.diff(numbers) != 1])
-    return numbers[at], np.diff(np.r_[at, len(numbers)])
+    new = np.ones(len(numbers) + 1, bool)  # with the end
+    np.not_equal(numbers[1:], numbers[:-1] + 1, out=new[1:-1])
+    at = np.flatnonzero(new)
+    return numbers[at[:-1]], np.diff(at)
 
 
 def _expand(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -421,7 +428,7 @@ def _settle_part(length: int):
     """Of one part: runs of windows that have an equal one earlier in the part."""
     def run(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table, [("id", "ascending"), ("row", "ascending"), ("start", "ascending")], null_placement="at_start"))
-        parts = [x.as_py() for x in table.column("bytes")]
+        parts = table.column("bytes").to_pylist()
         size = np.array([len(p) for p in parts], np.int64)
         n = size - length + 1
         offset = np.r_[0, np.cumsum(size)[:-1]]

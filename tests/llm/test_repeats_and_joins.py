@@ -43,6 +43,33 @@ def test_refinement_finds_every_repeat():
         assert S.refine(data, starts, length).tolist() == want
 
 
+def test_refinement_ranks_only_what_a_start_points_to(monkeypatch):
+    """Rows of 112 bytes with 13 windows each: deep buckets are needed near the windows only, and lone ones lead nowhere."""
+    rnd = random.Random(8)
+    rows = [bytes(rnd.choice(b"abcdefgh ") for _ in range(112)) for _ in range(300)]
+    rows += rows[:150] + [r[:111] + b"!" for r in rows[:100]]
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    starts = np.concatenate([np.arange(112 * k, 112 * k + 13) for k in range(len(rows))])
+    ranked, rank = [], S._rank
+    monkeypatch.setattr(S, "_rank", lambda keys, bits: ranked.append(len(keys)) or rank(keys, bits))
+    again = S.refine(data, starts).reshape(-1, 13)
+    assert not again[:300].any() and again[300:450].all() and again[450:, :12].all() and not again[450:, 12].any()
+    assert sum(ranked) < 4 * len(data)
+
+
+def test_ranks_beyond_one_number():
+    rnd = random.Random(9)
+    for bits in (8, 64):  # with the place in one 64-bit number, and without
+        keys = np.array([rnd.choice([3, 7, 7 << (bits - 4), (1 << bits) - 1, rnd.getrandbits(bits)]) for _ in range(500)], np.uint64)
+        places, new = S._rank(keys, bits)
+        groups = {}
+        for k, key in enumerate(keys.tolist()):
+            groups.setdefault(key, []).append(k)
+        want = [g for _, g in sorted(groups.items()) if len(g) > 1]
+        assert places.tolist() == [k for g in want for k in g]
+        assert new.tolist() == [k == 0 for g in want for k in range(len(g))]
+
+
 def test_every_window_has_one_anchor_and_equal_windows_share_it():
     rnd = random.Random(5)
     passage = bytes(rnd.choice(b"abcd ") for _ in range(260))

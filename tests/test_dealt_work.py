@@ -53,6 +53,43 @@ def test_look_up_of_frequent_names_is_dealt(spark):
     assert sum(sizes) == sum(want.values()) and max(sizes) < sum(sizes) / 3
 
 
+def test_shares_copy_rows_in_proportion_to_the_rows(spark):
+    """Copies of rows are what a look-up shuffles; pairs of a key grow with the square of its rows."""
+    from hazardframe.sources import io as IO
+
+    def shuffled(counts, tasks):
+        rows = IO.share_grid(spark.createDataFrame(counts, "Synonyms string, __n long, __m long"), tasks).collect()
+        assert [(r["Synonyms"], r["__n"], r["__m"]) for r in rows] == counts
+        for r in rows:
+            assert 1 <= r["__across"] <= r["__n"] and 1 <= r["__down"] <= r["__m"]
+        each = max(IO.PAIRS_DEALT, sum(n * m for _, n, m in counts) / (IO.SHARES_PER_TASK * tasks))
+        assert all(-(-r["__n"] // r["__across"]) * -(-r["__m"] // r["__down"]) < 3 * each + r["__n"] + r["__m"] for r in rows)
+        return sum(r["__n"] * r["__down"] + r["__m"] * r["__across"] for r in rows)
+
+    for copies in (1, 60, 360, 3600):  # 64 names, 7.2 million part rows at 360 copies
+        counts = [(f"n{k}", 312 * copies, 52 * copies) for k in range(64)]
+        assert shuffled(counts, 32) <= 4 * sum(n + m for _, n, m in counts)
+    assert shuffled([("all", 7_200_000, 1_200_000), ("few", 1, 2)], 32) < 20 * 8_400_000
+    assert shuffled([("wide", 3, 1 << 40), ("tall", 1 << 40, 1), ("one", 1, 1)], 32) < 1 << 44
+    assert shuffled([], 32) == 0
+
+
+def test_look_up_on_a_grid_of_shares_gives_each_pair_once(spark, monkeypatch):
+    from hazardframe.sources import io as IO
+    wanted = [(k, "often" if k % 5 else f"n{k}") for k in range(300)] + [(1, "often"), (None, "often"), (9, None)]
+    held = [(k, "often") for k in range(90)] + [(k, f"n{k}") for k in range(0, 300, 10)] + [(3, "often"), (None, "often"), (4, None)]
+    table = IO.save_keyed_table(spark.createDataFrame(held, "CID long, Synonyms string"), "grid_names", "Synonyms", 4, keep=False)
+    want = Counter((n, k, c) for k, n in wanted for c, m in held if n is not None and n == m)
+    grids = []
+    made = IO.share_grid
+    monkeypatch.setattr(IO, "share_grid", lambda *a: grids.append(made(*a)) or grids[-1])
+    for pairs in (1, 700):
+        df = IO.look_up_all(spark.createDataFrame(wanted, "p_partkey long, Synonyms string"), table, "Synonyms", pairs)
+        assert Counter(map(tuple, df.select("Synonyms", "p_partkey", "CID").collect())) == want
+        often = grids[-1].filter("Synonyms = 'often'").first()
+        assert often["__across"] > 1 and often["__down"] > 1
+
+
 def test_part_names_are_looked_up_in_many_tasks(spark):
     rows = [(k, "hot plate" if k % 2 else "red bolt", "B", 1) for k in range(240)] + [(2, None, "B", 1), (None, "hot plate", "B", 1)]
     folder = _tables(spark, part=(rows, _PART), customer=([(1, "Hot plate"), (2, None)], "c_custkey long, c_name string"), supplier=([(1, "Red bolt")], "s_suppkey long, s_name string"))

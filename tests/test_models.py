@@ -1,9 +1,12 @@
 """Model operators: better than the majority class, gaps in features, per-fold scores, no extra class."""
 
+import tempfile
+
 from pyspark.sql import functions as F
 
 from hazardframe.operators import metrics as M
 from hazardframe.operators import ml as ML
+from hazardframe.plans import catalog
 
 
 def _frame(spark):
@@ -95,3 +98,23 @@ def test_one_failing_fit_is_raised(spark):
         assert str(e) == "two"
     else:
         raise AssertionError
+
+
+def test_families_are_compared_with_all_their_rounds(spark, monkeypatch):
+    texts = {"en": "the ship will know how", "de": "über dem Haus küsst er", "es": "el niño sueña en español"}
+    rows = [(i, f"{texts[lang]} {'z' * (i % 5)}", lang) for i, lang in enumerate(sorted(texts) * 12)]
+    folder = tempfile.mkdtemp(prefix="hf-tables-")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    fitted = {}
+    fit = ML.train_and_predict
+
+    def kept(train, test, cols, name, *given, **settings):
+        fitted[name], pred = fit(train, test, cols, name, *given, **settings)
+        return fitted[name], pred
+
+    monkeypatch.setattr(ML, "train_and_predict", kept)
+    got = catalog.QUERIES["model_compare"](spark, folder).collect()
+    booster, forest, linear = (fitted[name].stages[-1] for name in ("booster", "forest", "linear"))
+    assert {m.getNumTrees for m in booster.models} == {ML._PARAMS["booster"]["maxIter"]} and {m.getMaxDepth() for m in booster.models} == {3}
+    assert forest.getNumTrees == 20 and forest.getMaxDepth() == 5 and linear.getMaxIter() == 50
+    assert sorted(map(tuple, got)) == sorted((m, r, n, True) for m in fitted for r, n in [("de", 3.0), ("en", 3.0), ("es", 3.0), ("accuracy", 9.0), ("macro avg", 9.0), ("weighted avg", 9.0)])

@@ -107,3 +107,66 @@ def test_quality_query_has_its_columns(spark):
     out = QUERIES["op4_quality_ppl"](spark, SF_SMALL)
     assert out.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     assert out.filter("kept and base_failed").count() == 0 and out.count() == documents(spark, SF_SMALL).count()
+
+
+def _many_languages(n):
+    """Three texts of 60 to 90 words in each of n languages, one of the null language, and some without words."""
+    rnd = random.Random(11)
+    rows = []
+    for k in range(n):
+        letters = rnd.sample("abcdefghijklmnopqrstuvwxyz", 8)
+        words = ["".join(rnd.choices(letters, k=rnd.randint(1, 6))) for _ in range(200)]
+        rows += [(3 * k + j, " ".join(rnd.choices(words, k=rnd.randint(60, 90))), f"l{k}") for j in range(3)]
+    return rows + [(-1, " ".join(rnd.choices(words, k=70)), None), (-2, " ", "blank"), (-3, None, "l0"), (-4, "", None), (-5, " ", "")]
+
+
+def test_every_language_has_its_model_and_band(spark, monkeypatch):
+    rows = _many_languages(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    own, models = Q.train(docs)
+    assert own == sorted(["", *(f"xl{k}" for k in range(300))]) and set(models) == {*own, "*"}
+
+    def scored():
+        return sorted(Q.score(docs).select("row.doc_id", "row.lang", "m.log_ppl", "base_failed", "kept", "low", "high").collect())
+
+    got = scored()
+    assert [r.doc_id for r in got] == sorted(r[0] for r in rows)
+    of = defaultdict(list)
+    for r in got:
+        if not r.base_failed:
+            of[r.lang].append(round(r.log_ppl, Q.GRAIN))
+    assert len(of) == 301
+    for r in got:
+        if r.lang in of:
+            q1, q3 = np.percentile(of[r.lang], [25, 75])
+            width = max(q3 - q1, Q.LEAST_WIDTH)
+            assert (r.low, r.high) == (pytest.approx(q1 - Q.LOW_FENCE * width), pytest.approx(q3 + Q.HIGH_FENCE * width))
+        else:
+            assert r.low is None and not r.kept
+    # The rows of models that are loaded in portions, and of bands that are not broadcast, are the same.
+    total = sum(x.nbytes + 256 for letters, arrays in models.values() for x in (letters, *arrays.values()))
+    monkeypatch.setattr(Q, "MODELS_HELD", total // 4)
+    monkeypatch.setattr(Q, "BANDS_SENT", 0)
+    assert scored() == got
+
+
+def test_portions_hold_every_key_once():
+    keys = ["", "xa", "xb", "xc", "x\U0001F600"]
+    for most in (0, 10, 25, 1000):
+        ranges = Q.portions({k: 10 for k in keys}, most)
+        assert len(ranges) == {0: 5, 10: 5, 25: 3, 1000: 1}[most]
+        for k in [*keys, "x", "xaa", "xzz", "x\uffff"]:
+            assert sum((a is None or a <= k) and (b is None or k < b) for a, b in ranges) == 1
+    assert Q.portions({}, 10) == [(None, None)]
+
+
+def test_all_characters_of_a_language_have_a_share(spark):
+    points = [*range(0x4E00, 0x9F00), 0x10FFFF]  # more than 2^14
+    text = " ".join(chr(c) * (1 + i % 3) for i, c in enumerate(points))
+    alphabet, arrays = Q.train(spark.createDataFrame([(text, "zh")], "text string, lang string"))[1]["xzh"]
+    counts = {c: 1 + i % 3 for i, c in enumerate(points)}
+    assert alphabet.tolist() == sorted(sorted(points, key=lambda c: (-counts[c], c))[:Q.ALPHABET])
+    rest = sorted(set(points) - set(alphabet.tolist()))
+    assert arrays["o"].tolist() == rest and np.exp(arrays["po"]).sum() == pytest.approx(1)
+    total = sum(counts[c] for c in rest) + 1
+    assert np.exp(arrays["po"]).tolist() == pytest.approx([*(counts[c] / total for c in rest), 1 / total])
